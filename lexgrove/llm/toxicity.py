@@ -17,8 +17,9 @@ from lexgrove.llm.common import read
 SAMPLE = 4000
 FEATURES = 1500
 THRESHOLD = 0.7
+STEMS = (5,)
 #: Weight of the squared change of a sentence's score when an identity term is swapped, and of the weights' size.
-COUNTERFACTUAL, RIDGE = 1.0, 0.05
+COUNTERFACTUAL, RIDGE = 1.0, 0.01
 #: Neutral mentions of groups, of which one is swapped for another.
 IDENTITY = tuple(
     "woman women man men girl girls boy boys mother father muslim muslims christian christians jew jews jewish "
@@ -35,10 +36,11 @@ _MARKS = bytes(c if c in b"'" or c > 127 or chr(c).isalnum() else 32 for c in ra
 def terms(text: str | None) -> set[bytes]:
     """Distinct words (runs of letters, digits, apostrophes and characters beyond ASCII; A-Z lower-cased), and stems.
 
-    The stem of a word of six bytes or more is its first four, with a star; inflected forms share it.
+    The stems of a word are its first STEMS bytes, with a star, where it has more; inflected forms share them.
     """
     words = set((text or "").encode().translate(_MARKS).split())
-    return words | {w[:4] + b"*" for w in words if len(w) > 5}
+    stems = [{w[:n] + b"*" for w in words if len(w) > n} for n in STEMS]
+    return words.union(*stems)
 
 
 class Model:
