@@ -43,3 +43,17 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def first_by_hash(rows: DataFrame, group: str, want: int) -> DataFrame:
+    """Rows of each group among which its ``want`` first by the 64-bit hash ``h`` are, almost surely: about twice as many.
+
+    A group's count sets the share of hashes that is taken, so that ranking never gathers a whole group.
+    Few groups are expected; their counts come to the driver. Groups of up to four times ``want`` are whole.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > 4 * want).collect()
+    limit = F.lit(None).cast("long")
+    for r in counts:
+        at = -(1 << 63) + int((1 << 64) * (2 * want + 100) / r["n"])
+        limit = F.when(F.col(group) == F.lit(r[group]), F.lit(min(at, (1 << 63) - 1)).cast("long")).otherwise(limit)
+    return rows.where(limit.isNull() | (F.col("h") <= limit))

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import read
+from lexgrove.llm.common import first_by_hash, read
 
 #: The bounded sample that dictionaries are cut from: documents for a dictionary, characters of each at most, dictionaries a language.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARIES = 160, 700, 3
@@ -37,9 +37,12 @@ def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     the number of languages. Empty without such rows.
     """
     rows = docs.where(~F.coalesce(is_held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Counts first: only rows whose hash falls into about twice the wanted share are ranked.
+    want = SAMPLE_DOCS * DICTIONARIES
+    rows = first_by_hash(rows.withColumn("h", F.xxhash64("text")), "lang", want)
     order = Window.partitionBy("lang").orderBy("h", "part")
     part = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int")), SAMPLE_CHARS)
-    chosen = rows.select("lang", F.xxhash64("text").alias("h"), part.alias("part")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS * DICTIONARIES)
+    chosen = rows.select("lang", "h", part.alias("part")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= want)
     got: dict[str, list[tuple[int, str]]] = {}
     for r in chosen.select("lang", "n", "part").collect():
         got.setdefault(r["lang"], []).append((r["n"], r["part"]))

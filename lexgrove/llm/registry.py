@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import language, line_dedup, packing, simhash, toxicity
+from lexgrove.llm import chat, fingerprint, language, line_dedup, packing, sentencepieces, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepieces.query,
+        "op2_chat_format": chat.query,
         "op3_simhash_near_dedup": simhash.query,
+        "op4_exact_top_k": topk.query,
         "op5_best_fit_packing": packing.query,
+        "op6_fingerprints": fingerprint.query,
+        "op7_sharding": sharding.query,
         "op8_line_dedup": line_dedup.query,
         "op9_language_id": language.query,
         "op10_toxicity": toxicity.query,
@@ -16,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE}
+    return {"op2_chat_format": chat.ORACLE, "op4_exact_top_k": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

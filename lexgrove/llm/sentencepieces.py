@@ -17,6 +17,7 @@ SPACE = "▁"
 TOGETHER, REMEMBERED, LONGEST = 8_000_000, 600_000, 40
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BIG = np.int64(1 << 40)
+_FRONT = np.uint64(42)
 
 
 def default_model() -> str:
@@ -92,6 +93,8 @@ class Encoder:
         self.scores = np.asarray([*(pieces.scores[i] for i in use), low - 10.0])
         if self.bpe:
             self._splits(texts)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.keys >> _FRONT] = True
         self.known: dict[str, bytes] = {}
         self.table = [t.replace(SPACE, " ").encode() if k == 1 else b"" for t, k in zip(pieces.texts, pieces.kinds)]
         for b, i in self.bytes.items():
@@ -134,10 +137,16 @@ class Encoder:
             self.keys, self.checks, self.rank = self.keys[keep], self.checks[keep], self.rank[keep]
 
     def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Ranks of substrings by their two hashes; -1 where there is no such piece."""
-        at = np.searchsorted(self.keys, h1)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == h1) & (self.checks[at] == h2), self.rank[at], -1)
+        """Ranks of substrings by their two hashes; -1 where there is no such piece. Most end at a bitmap of the keys' first bits."""
+        out = np.full(len(h1), -1, np.int64)
+        some = np.flatnonzero(self.seen[h1 >> _FRONT])
+        if len(some):
+            h = h1[some]
+            at = np.searchsorted(self.keys, h)
+            at[at == len(self.keys)] = 0
+            hit = (self.keys[at] == h) & (self.checks[at] == h2[some])
+            out[some[hit]] = self.rank[at[hit]]
+        return out
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE keeps the border between pieces a and b, both given by rank."""
@@ -228,19 +237,19 @@ class Encoder:
         col, end, rank = (np.concatenate(x) for x in (cols, ends, ranks))
         order = np.lexsort((end, col))
         col, end, rank = col[order], end[order], rank[order]
-        ids = self.ids[rank]
-        if not (rank == self.unknown).any():
-            raw, cuts = ids.tobytes(), np.searchsorted(col, np.arange(n + 1)) * 4
-            return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        parts: list[list[int]] = [[] for _ in range(n)]
-        for c, e, r, i in zip(col.tolist(), end.tolist(), rank.tolist(), ids.tolist()):
-            if r != self.unknown:
-                parts[c].append(i)
-            elif self.bytes:
-                parts[c].extend(self.bytes[x] for x in words[c][e - 1].encode())
-            elif not parts[c] or parts[c][-1] != self.unk_id:
-                parts[c].append(self.unk_id)
-        return [np.asarray(p, "<u4").tobytes() for p in parts]
+        raw, cuts = self.ids[rank].tobytes(), np.searchsorted(col, np.arange(n + 1)).tolist()
+        out = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        for c in np.unique(col[rank == self.unknown]).tolist():
+            part: list[int] = []
+            for k in range(cuts[c], cuts[c + 1]):
+                if rank[k] != self.unknown:
+                    part.append(int(self.ids[rank[k]]))
+                elif self.bytes:
+                    part.extend(self.bytes[x] for x in words[c][end[k] - 1].encode())
+                elif not part or part[-1] != self.unk_id:
+                    part.append(self.unk_id)
+            out[c] = np.asarray(part, "<u4").tobytes()
+        return out
 
     def _run(self, n: int) -> bytes:
         """Ids of n spaces that no word takes in: the longest pieces from the left."""

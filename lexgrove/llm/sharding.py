@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import read, written
@@ -16,6 +16,7 @@ BINS, CLOSE = 512, 0.002
 #: Rows of a shard that are numbered together, about.
 SLOT_ROWS = 20_000
 _KEYS = ("k0", "k1", "k2")
+_LOWEST = 1 - (1 << 63)
 
 
 @dataclass
@@ -28,34 +29,32 @@ class Node:
     cut: tuple[int, int] | None = None
     left: Node | None = None
     right: Node | None = None
-    lo: list[int] = field(default_factory=list)
-    hi: list[int] = field(default_factory=list)
-
-
-def _route(node: Node, want: str) -> Column:
-    """The leaf's ``first`` of a row, as nested conditions."""
-    if node.left is None:
-        return F.lit(node.first)
-    v, tie = node.cut
-    below = (F.col(_KEYS[node.axis]) < v) | ((F.col(_KEYS[node.axis]) == v) & (F.col("tie") < tie))
-    return F.when(below, _route(node.left, want)).otherwise(_route(node.right, want))
-
-
-def _histograms(rows: DataFrame, jobs: dict[int, tuple[Column, int, int]]) -> dict[int, dict[int, int]]:
-    """For each node (by its first shard): bytes in each of BINS bins of ``value`` between lo and hi."""
-    value = F.lit(None).cast("double")
-    for n, (col, lo, hi) in jobs.items():
-        width = max(1, -(-(hi - lo + 1) // BINS))
-        at = F.floor((col.cast("decimal(38,0)") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)"))
-        value = F.when((F.col("node") == n) & (col >= lo) & (col <= hi), at.cast("double")).otherwise(value)
-    got = rows.select("node", value.cast("int").alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w"))
+
+
+def _routed(rows: DataFrame, level: list[Node]) -> DataFrame:
+    """Rows one level further down; written, so that conditions do not pile up."""
+    arms = [
+        f"when node = {n.first} and ({_KEYS[n.axis]} > {n.cut[0]} or ({_KEYS[n.axis]} = {n.cut[0]} and tie >= ({n.cut[1]}))) then {n.right.first}"
+        for n in level
+    ]
+    return written(rows.withColumn("node", F.expr("case " + " ".join(arms) + " else node end")), "level")
+
+
+def _width(lo: int, hi: int) -> int:
+    return max(1, -(-(hi - lo + 1) // BINS))
+
+
+def _histograms(rows: DataFrame, jobs: dict[int, tuple[str, int, int]]) -> dict[int, dict[int, int]]:
+    """For each node (by its first shard): bytes in each of BINS bins of a column between lo and hi."""
+    arms = [f"when node = {n} and {col} between ({lo}) and ({hi}) then ({col} - ({lo})) div {_width(lo, hi)}" for n, (col, lo, hi) in jobs.items()]
+    got = rows.select("node", F.expr("case " + " ".join(arms) + " end").cast("int").alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w"))
     out: dict[int, dict[int, int]] = {n: {} for n in jobs}
     for r in got.collect():
         out[r["node"]][r["bin"]] = int(r["w"])
     return out
 
 
-def _cuts(rows: DataFrame, wanted: dict[int, tuple[Column, int, int, float]], slack: float) -> dict[int, tuple[int, float]]:
+def _cuts(rows: DataFrame, wanted: dict[int, tuple[str, int, int, float]], slack: float, exact: bool = False) -> dict[int, tuple[int, float]]:
     """For each node: the smallest value whose rows reach the wanted bytes, and what is still wanted of them.
 
     A row below the value goes left. Histograms are refined within one bin until the bin's bytes are
@@ -66,7 +65,7 @@ def _cuts(rows: DataFrame, wanted: dict[int, tuple[Column, int, int, float]], sl
         found = _histograms(rows, {n: (c, lo, hi) for n, (c, lo, hi, _) in state.items()})
         for n in list(state):
             col, lo, hi, want = state[n]
-            width = max(1, -(-(hi - lo + 1) // BINS))
+            width = _width(lo, hi)
             bins = sorted(found[n].items())
             k, w = bins[-1] if bins else (0, 0)
             for k, w in bins:
@@ -74,51 +73,51 @@ def _cuts(rows: DataFrame, wanted: dict[int, tuple[Column, int, int, float]], sl
                     break
                 want -= w
             if width == 1 or (slack and w <= slack):
-                done[n] = (lo + k * width, max(0.0, want) if width == 1 else 0.0)
+                # Without a further split by ties the nearer side takes the rows at the value.
+                up = width if (exact or width > 1) and want > w / 2 else 0
+                done[n] = (lo + k * width + up, 0.0 if up or width > 1 else max(0.0, want))
                 del state[n]
             else:
                 state[n] = [col, lo + k * width, min(hi, lo + (k + 1) * width - 1), want]
     return done
 
 
-def tree(rows: DataFrame, shards: int) -> Node:
-    """The k-d tree over ``rows`` (k0, k1, k2, tie: long; size: long), a level at a time.
+def split(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (k0, k1, k2, tie, size: long) with ``node``: the shard each falls into, by a k-d tree built a level at a time.
 
     A node with s shards is split so that the left part holds floor(s/2)/s of its bytes. The dimension
-    is the one whose values spread widest, as a share of the spread over all rows. Rows at the cut's value are split
-    by ``tie``.
+    is the one whose values spread widest, as a share of the spread over all rows. Rows at the cut's
+    value are split by ``tie``.
     """
-    root = Node(0, shards)
+    rows = rows.withColumn("node", F.lit(0))
     spread: list[int] = []
-    level = [root]
+    level = [Node(0, shards)]
     while level := [n for n in level if n.shards > 1]:
-        routed = rows.withColumn("node", _route(root, "node"))
-        got = routed.groupBy("node").agg(F.sum("size").alias("w"), F.min("tie").alias("t0"), F.max("tie").alias("t1"), *(f(k).alias(f"{f.__name__}{k}") for k in _KEYS for f in (F.min, F.max))).collect()
+        got = rows.groupBy("node").agg(F.sum("size").alias("w"), F.min("tie").alias("t0"), F.max("tie").alias("t1"), *(f(k).alias(f"{f.__name__}{k}") for k in _KEYS for f in (F.min, F.max))).collect()
         facts = {r["node"]: r for r in got}
-        spread = spread or [max(1, facts[0][f"max{k}"] - facts[0][f"min{k}"]) for k in _KEYS] if facts else [1] * len(_KEYS)
-        wanted, ties = {}, {}
-        for n in level:
-            f = facts.get(n.first)
-            if f is None:
-                n.cut = (0, 0)
-                continue
-            n.lo, n.hi = [f[f"min{k}"] for k in _KEYS], [f[f"max{k}"] for k in _KEYS]
-            n.axis = max(range(len(_KEYS)), key=lambda a: ((n.hi[a] - n.lo[a]) / spread[a], -a))
-            wanted[n.first] = (F.col(_KEYS[n.axis]), n.lo[n.axis], n.hi[n.axis], f["w"] * (n.shards // 2) / n.shards)
+        level = [n for n in level if n.first in facts]
+        if not level:
+            break
+        spread = spread or [max(1, facts[0][f"max{k}"] - facts[0][f"min{k}"]) for k in _KEYS]
         slack = CLOSE * sum(int(f["w"]) for f in facts.values()) / shards
-        cuts = _cuts(routed, wanted, slack) if wanted else {}
-        open_ = {n.first: n for n in level if n.first in cuts}
-        at_cut = F.lit(False)
-        for k, n in open_.items():
-            at_cut = at_cut | ((F.col("node") == k) & (F.col(_KEYS[n.axis]) == cuts[k][0]))
-        if rest := {k: (F.col("tie"), facts[k]["t0"], facts[k]["t1"], cuts[k][1]) for k in open_ if cuts[k][1] > 0}:
-            ties = _cuts(routed.where(at_cut), rest, 0.0)
-        for k, n in open_.items():
-            n.cut = (cuts[k][0], ties[k][0] if k in ties else -(1 << 63))
+        wanted = {}
         for n in level:
+            f = facts[n.first]
+            lo, hi = [f[f"min{k}"] for k in _KEYS], [f[f"max{k}"] for k in _KEYS]
+            n.axis = max(range(len(_KEYS)), key=lambda a: ((hi[a] - lo[a]) / spread[a], -a))
+            wanted[n.first] = (_KEYS[n.axis], lo[n.axis], hi[n.axis], f["w"] * (n.shards // 2) / n.shards)
+        cuts = _cuts(rows, wanted, slack)
+        rest = {n.first: ("tie", facts[n.first]["t0"], facts[n.first]["t1"], cuts[n.first][1]) for n in level if cuts[n.first][1] > 0}
+        ties = {}
+        if rest:
+            at_cut = " or ".join(f"(node = {n.first} and {_KEYS[n.axis]} = ({cuts[n.first][0]}))" for n in level if n.first in rest)
+            ties = _cuts(rows.where(at_cut), rest, 0.0, True)
+        for n in level:
+            n.cut = (cuts[n.first][0], ties[n.first][0] if n.first in ties else _LOWEST)
             n.left, n.right = Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)
+        rows = _routed(rows, level)
         level = [c for n in level for c in (n.left, n.right)]
-    return root
+    return rows
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
         F.floor(F.log2(size.cast("double")) * 1000).alias("k0"), F.shiftright(place, 8).alias("k1"), F.shiftright(F.xxhash64(text), 8).alias("k2"),
-        F.xxhash64(F.col("doc_id").cast("string"), text).alias("tie"),
+        F.shiftright(F.xxhash64(F.col("doc_id").cast("string"), text), 8).alias("tie"),
     )
 
 
@@ -145,13 +144,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows that agree in doc_id and text go to the same shard. Slots count from 0 in each shard without gaps. An empty
     table gives an empty result; with few rows shards can be empty.
     """
-    rows = written(_keys(docs), "keys")
-    root = tree(rows, shards)
+    rows = split(written(_keys(docs), "keys"), shards)
     parts = max(16, rows.count() // (shards * SLOT_ROWS) + 1)
-    placed = written(rows.select("doc_id", "size", "text_crc32", "tie", _route(root, "shard").cast("int").alias("shard"), F.pmod("tie", F.lit(parts)).cast("int").alias("part")), "placed")
+    placed = written(rows.select("doc_id", "size", "text_crc32", "tie", F.col("node").alias("shard"), F.pmod("tie", F.lit(parts)).cast("int").alias("part")), "placed")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("tie", "doc_id", "size"))

@@ -15,9 +15,7 @@ K = 10
 SCALE = 1024
 EVERY = 100
 #: Vectors of a block, and bins of each histogram.
-QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 1024, 8192, 256
-#: A query's threshold is settled once at most this many scores beyond K reach it, or it is exact.
-SPARE = 0
+QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 1024, 2048, 256
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -120,7 +118,7 @@ def _winners(k: int):
     return run
 
 
-def _query_blocks(queries: DataFrame, parts: int) -> DataFrame:
+def _query_blocks(queries: DataFrame) -> DataFrame:
     """Blocks of queries with their state; the block number decides which rows lie together."""
     packed = queries.groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("query_id", "v", "lo", "hi"))).alias("x"))
     return packed.select("block", "dim", F.col("x.query_id").alias("i"), F.flatten("x.v").alias("f"), F.col("x.lo").alias("q_lo"), F.col("x.hi").alias("q_hi"))
@@ -145,8 +143,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """
     rows = integers(vectors)
     n = written(rows, "vectors")
-    blocks = written(n.repartition(max(1, n.count() // CANDIDATE_BLOCK + 1)).mapInArrow(_blocks(CANDIDATE_BLOCK), "dim int, n int, ids binary, v binary"), "blocks").withColumn("cb", F.monotonically_increasing_id())
-    blocks = written(blocks, "blocks")
+    parts = max(1, n.count() // CANDIDATE_BLOCK + 1)
+    dealt = n.repartition(parts, F.xxhash64("vec_id", "v"))
+    blocks = written(dealt.mapInArrow(_blocks(CANDIDATE_BLOCK), "dim int, n int, ids binary, v binary").withColumn("cb", F.monotonically_increasing_id()), "blocks")
     queries = n.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").cast("long").alias("query_id"), "v", F.size("v").alias("dim"))
     count = queries.count()
     nb = max(1, -(-count // QUERY_BLOCK))
@@ -155,7 +154,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     cbs = blocks.select("cb", F.col("dim").alias("c_dim")).distinct()
 
     def tiles(state: DataFrame) -> DataFrame:
-        q = _query_blocks(queries.join(state, "query_id"), nb).mapInArrow(_as_bytes, "block int, dim int, q_ids binary, q_v binary, q_lo array<long>, q_hi array<long>")
+        q = _query_blocks(queries.join(state, "query_id")).mapInArrow(_as_bytes, "block int, dim int, q_ids binary, q_v binary, q_lo array<long>, q_hi array<long>")
         # Every pair of a query block and a candidate block, by number: small tables of numbers, no rows.
         left = q.join(cbs, q["dim"] == cbs["c_dim"]).drop("c_dim")
         return left.join(blocks.drop("dim", "n"), "cb").repartition(F.col("block"), F.col("cb"))
@@ -189,8 +188,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0

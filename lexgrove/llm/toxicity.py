@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import read
+from lexgrove.llm.common import first_by_hash, read
 
 #: Labelled rows that the classifier is fitted on: this many of each label at most, first by a hash of the text.
-SAMPLE = 4000
+SAMPLE = 2000
 FEATURES = 1500
 THRESHOLD = 0.7
 STEMS = (5,)
@@ -134,6 +134,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     first = F.row_number().over(order)
     # The texts' hashes choose the rows first; only those rows' texts are then read to the driver.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h")).where("h is not null").join(own, "doc_id")
+    # Equal texts share a hash, so a large group of copies counts as one row.
+    keyed = first_by_hash(keyed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")), "y", SAMPLE)
     chosen = keyed.withColumn("n", first).where(F.col("n") <= SAMPLE).select("doc_id", "y").distinct()
     got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     return fit([(r["text"], r["y"]) for r in got.orderBy("doc_id", "y", F.xxhash64("text")).collect()])
