@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import read
 
 SPACE = "▁"
-#: Characters of text that are encoded together, distinct words that a worker remembers, and the longest it remembers.
-TOGETHER, REMEMBERED, LONGEST = 8_000_000, 600_000, 40
+#: Bytes of text that are encoded together, distinct words that a worker remembers, and the longest it remembers.
+TOGETHER, REMEMBERED, LONGEST = 3_000_000, 450_000, 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BIG = np.int64(1 << 40)
 _FRONT = np.uint64(42)
@@ -96,10 +97,6 @@ class Encoder:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.keys >> _FRONT] = True
         self.known: dict[str, bytes] = {}
-        self.table = [t.replace(SPACE, " ").encode() if k == 1 else b"" for t, k in zip(pieces.texts, pieces.kinds)]
-        for b, i in self.bytes.items():
-            self.table[i] = bytes([b])
-        self.table[self.unk_id] = " ⁇ ".encode()
 
     def _hash(self, texts: list[str], k: int) -> np.ndarray:
         out = []
@@ -177,7 +174,7 @@ class Encoder:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for k in np.unique(np.ceil(np.log2(np.maximum(sizes, 8)))).tolist():
             group = np.flatnonzero(np.ceil(np.log2(np.maximum(sizes, 8))) == k)
-            step = max(1, 4_000_000 // (1 << int(k)))
+            step = max(1, 1_000_000 // (1 << int(k)))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 part = part[np.argsort(-sizes[part], kind="stable")]
@@ -298,39 +295,52 @@ class Encoder:
             out.append(b"".join([*parts, self._run(run) if run else b""]))
         return out
 
+
+class Decoder:
+    """Texts of ids: each piece's bytes in turn, without the space that encoding puts first."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.prefix = pieces.prefix
+        self.table = [bytes([int(t[3:5], 16)]) if k == 6 else t.replace(SPACE, " ").encode() if k in (1, 4, 5) else b" \xe2\x81\x87 " if k == 2 else b"" for t, k in zip(pieces.texts, pieces.kinds)]
+
     def decode(self, ids: bytes) -> str:
-        """Text of ids; bytes that are not UTF-8 become U+FFFD, ids beyond the model nothing."""
+        """Bytes that are not UTF-8 become U+FFFD, ids beyond the model nothing."""
         table, n = self.table, len(self.table)
-        got = np.frombuffer(ids, "<u4").tolist()
-        raw = b"".join([table[i] for i in got if i < n])
+        got = np.frombuffer(ids, "<u4")
+        raw = b"".join([table[i] for i in (got if not len(got) or int(got.max()) < n else got[got < n]).tolist()])
         if self.prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
 
-_ENCODERS: dict[Pieces, Encoder] = {}
+_TOOLS: dict[type, tuple[Pieces, object]] = {}
 
 
-def _encoder(pieces: Pieces) -> Encoder:
+def _tool(kind: type, pieces: Pieces):
     """One for each worker, with what it remembers."""
-    if pieces not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[pieces] = Encoder(pieces)
-    return _ENCODERS[pieces]
+    if kind not in _TOOLS or _TOOLS[kind][0] != pieces:
+        _TOOLS[kind] = (pieces, kind(pieces))
+    return _TOOLS[kind][1]
+
+
+def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about TOGETHER bytes of a column."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.get_field_index(column))), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + TOGETHER)))
+        yield b.slice(at, to - at)
+        at = to
 
 
 def _encode_batches(pieces, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(pieces.value)
+        e = _tool(Encoder, pieces.value)
         for b in batches:
-            lengths = np.cumsum([len(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()])
-            at = 0
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + TOGETHER)))
-                part = b.slice(at, to - at)
-                ids = e.encode([t or "" for t in part.column(b.schema.get_field_index("text")).to_pylist()])
+            for part in _slices(b, "text"):
+                ids = e.encode([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*columns, "piece_ids"])
-                at = to
 
     return run
 
@@ -348,10 +358,11 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def _decode_batches(pieces, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(pieces.value)
+        d = _tool(Decoder, pieces.value)
         for b in batches:
-            texts = [e.decode(x or b"") for x in b.column(b.schema.get_field_index("piece_ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
+            for part in _slices(b, "piece_ids"):
+                texts = [d.decode(x or b"") for x in part.column(part.schema.get_field_index("piece_ids")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
     return run
 
