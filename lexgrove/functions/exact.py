@@ -7,6 +7,7 @@ from math import comb
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BIG = "decimal(38,0)"
 
@@ -35,7 +36,7 @@ def subset_sum_combinations(counts: list[int], k: int, b: int) -> int:
     return table[k][b]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def branch_set_count(counts: pd.Series, k: pd.Series, b: pd.Series) -> pd.Series:
     """As ``subset_sum_combinations``, as text: values exceed 64 bits."""
     return pd.Series([str(subset_sum_combinations([int(x) for x in c], int(m), int(q))) if c is not None else None for c, m, q in zip(counts, k, b)])

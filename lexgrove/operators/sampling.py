@@ -75,7 +75,7 @@ def windows(cores: DataFrame, g: Graph, size: int = 512) -> DataFrame:
     sort = F.filter(F.array(F.when(scope & (F.col("x") == 0), "positive"), F.when(hit | fails | outside, "negative"), F.when(hit | fails | ((F.col("n") == 1) & ~scope), "hard_negative")), lambda v: v.isNotNull())
     inside = flags.select("key", "m", F.explode(sort).alias("stream")).distinct()
     # Outside nodes that no role touches are most of the graph: only its lowest ids can matter.
-    low = g.sizes.select("family", F.col("object_id").alias("m")).withColumn("i", F.row_number().over(Window.partitionBy("family").orderBy("object_id")))
+    low = g.sizes.select("family", F.col("object_id").alias("m")).withColumn("i", F.row_number().over(Window.partitionBy("family").orderBy("m")))
     need = keys.join(g.sizes.select("family", F.col("object_id").alias("a1"), F.col("size").alias("s")), ["family", "a1"])
     low = need.select("key", "family", "a1", (F.col("s") + 1 + size).alias("upto")).join(low, "family").where("i <= upto and m <> a1")
     out_ = low.select("key", "m", "family", "a1").join(g.closed.select("family", F.col("anc").alias("a1"), F.col("desc").alias("m")), ["family", "a1", "m"], "left_anti")

@@ -26,7 +26,7 @@ def _judged(rows: DataFrame, error: Column) -> DataFrame:
 
 def scores(requests: DataFrame, responses: DataFrame, limit: int = 2000, literals: bool = True) -> DataFrame:
     """Scored requests that have a response. Refusals replace parse errors of successes; other errors keep their text."""
-    rows = _parsed(requests.join(select_response(responses), "request_id"), limit, literals)
+    rows = _parsed(requests.join(select_response(responses).withColumnRenamed("ordinal", "response_ordinal"), "request_id"), limit, literals)
     bad = text.parse_error(F.col("task"), F.col("final_answer_text"), F.col("parsed_bool"), F.col("parsed_set"), limit)
     bad = F.when(bad.isNotNull() & text.is_refusal(F.col("final_answer_text")), text.REFUSAL).otherwise(bad)
     error = F.when(F.col("status") == "success", bad).otherwise(F.coalesce(F.when(F.col("error_state") != "", F.col("error_state")), F.lit(text.PROVIDER)))
@@ -35,7 +35,7 @@ def scores(requests: DataFrame, responses: DataFrame, limit: int = 2000, literal
 
 def evaluation_rows(requests: DataFrame, responses: DataFrame, limit: int = 2000, literals: bool = True) -> DataFrame:
     """Every request: those without a response are wrong, with their own error. Refusals are no kind of error here."""
-    rows = _parsed(requests.join(select_response(responses), "request_id", "left"), limit, literals)
+    rows = _parsed(requests.join(select_response(responses).withColumnRenamed("ordinal", "response_ordinal"), "request_id", "left"), limit, literals)
     bad = text.parse_error(F.col("task"), F.col("final_answer_text"), F.col("parsed_bool"), F.col("parsed_set"), limit)
     failed = F.coalesce(F.when(F.col("error_state") != "", F.col("error_state")), F.lit(text.PROVIDER))
     error = F.when(F.col("status").isNull(), text.MISSING).when(F.col("status") == "success", bad).otherwise(failed)
