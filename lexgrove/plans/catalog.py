@@ -504,7 +504,7 @@ def _samples(spark, sf_dir):
     cores = constraint.written(constraint.seed_cores(g, _seeds(g)), "seed-cores")
     win = sampling.windows(cores, g)
     size = cores.groupBy("family", "a_count", "b_count").agg(F.count("*").alias("population"))
-    v = cores.join(win, ["family", "a1", "branches", "bs"]).join(size, ["family", "a_count", "b_count"])
+    v = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count").join(win, ["family", "a1", "branches", "bs"]).join(size, ["family", "a_count", "b_count"])
     v = v.withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS)))).withColumn("quota", F.lit(3)).withColumn("seed_index", F.lit(0))
     v = sampling.seed_order(v, "product", "test", "scheduler", 13)
     cols = ["family", "task", "a_count", "b_count", "seed", "a1", "branches", "bs", "h", "population", "quota", *sampling.STREAMS]
