@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from lexgrove.llm.common import read, shuffle_parts
 
 #: Samples of a fingerprint, in groups that are drawn together.
-GROUPS, PER_GROUP = 8, 8
+GROUPS, PER_GROUP = 16, 4
 SAMPLES = GROUPS * PER_GROUP
 #: Steps of the table of Gamma(2, 1) quantiles, as bits.
-STEP_BITS = 11
+STEP_BITS = 10
 _CODE_BITS, _LOWEST = 23, -(1 << 63)
 
 
+@functools.cache
 def gamma_quantiles(bits: int = STEP_BITS) -> list[float]:
     """Quantiles of the Gamma(2, 1) distribution at the middles of 2**bits equal steps, by bisection."""
     out, n = [], 1 << bits
@@ -29,6 +31,11 @@ def gamma_quantiles(bits: int = STEP_BITS) -> list[float]:
     return out
 
 
+def _table(values: list[float]) -> Column:
+    """A constant array, given as one string, so that it is one node of the plan."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs without ASCII white space; may hold empty strings at its ends."""
     return F.split(F.lower(text), r"[\x20\x09-\x0D]+")
@@ -41,11 +48,11 @@ def _draw(term: Column, at: Column, log_weights: list[Column]) -> list[Column]:
     floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the term with the least a is the sample,
     told by term and t. The long holds ln a in its upper 40 bits and a hash of term, sample and t below.
     """
-    r_table = gamma_quantiles()
+    table = gamma_quantiles()
     steps = F.lit((1 << STEP_BITS) - 1).cast("long")
     x = F.xxhash64(term, at)
-    r = F.get(F.array(*map(F.lit, r_table)), x.bitwiseAND(steps).cast("int"))
-    c = F.get(F.array(*(F.lit(math.log(v)) for v in r_table)), F.shiftright(x, STEP_BITS).bitwiseAND(steps).cast("int"))
+    r = F.get(_table(table), x.bitwiseAND(steps).cast("int"))
+    c = F.get(_table([math.log(v) for v in table]), F.shiftright(x, STEP_BITS).bitwiseAND(steps).cast("int"))
     b = F.shiftrightunsigned(x, 2 * STEP_BITS) / F.lit(float(1 << (64 - 2 * STEP_BITS)))
     out = []
     for w in log_weights:
