@@ -29,11 +29,15 @@ WORDING = {
 }
 
 
+def _numbered(ids: str, role: str) -> Column:
+    return F.transform(ids, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("i"), x.alias("object_id")))
+
+
 def with_nodes(samples: DataFrame, node: DataFrame, key: str = "sample_id") -> DataFrame:
     """``samples`` with the (surface, gloss) of A1, branches, bs and candidates, in their order; unknown ids raise."""
     roles = F.concat(
         F.array(F.struct(F.lit("a").alias("role"), F.lit(0).alias("i"), F.col("a1").alias("object_id"))),
-        *(F.transform(c, lambda x, i, r=r: F.struct(F.lit(r).alias("role"), i.alias("i"), x.alias("object_id"))) for c, r in (("branches", "p"), ("bs", "x"), ("candidates", "c"))),
+        *(_numbered(c, r) for c, r in (("branches", "p"), ("bs", "x"), ("candidates", "c"))),
     )
     asked = samples.select(key, "family", F.explode(roles).alias("r")).select(key, "family", "r.*")
     known = asked.join(node.select("family", "object_id", "surface", "gloss", F.lit(True).alias("known")), ["family", "object_id"], "left")
