@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.functions import exact, text
 from lexgrove.functions.hashing import stable_hash
-from lexgrove.operators import audits, constraint, rendering, runlog, sampling, scoring, taxonomy, truth
+from lexgrove.operators import audits, constraint, probe, rendering, runlog, sampling, scoring, taxonomy, truth
 from lexgrove.plans import driver_data as data
 
 Q: dict = {}
@@ -532,10 +529,64 @@ def violations(spark, sf_dir):
     return sampling.violations(constraint.written(sampling.with_information(s), "samples"))
 
 
-def manifest(name: str = "lexgrove") -> str:
-    return json.dumps({"name": name, "queries": sorted(Q)}, sort_keys=True)
+@query("request_faults")
+def request_faults(spark, sf_dir):
+    """Faults of rendered requests: none."""
+    s, g = _samples(spark, sf_dir)
+    full = constraint.written(sampling.with_information(s), "samples")
+    return rendering.request_faults(rendering.prompt(rendering.with_nodes(full, g.node)))
+
+
+@query("gold_pools")
+def gold_pools(spark, sf_dir):
+    """The oracle's answer of every realised pool beside the fold's: they agree."""
+    s, g = _samples(spark, sf_dir)
+    base = constraint.written(s, "base")
+    got = truth.gold(truth.trace(base.select(F.col("base_sample_id").alias("key"), "family", "a1", "branches", "bs", "candidates"), g.closed))
+    both = base.join(got, F.col("key") == F.col("base_sample_id"))
+    same = F.when(F.col("task") == "T2", base["gold_set"] == got["gold_set"]).otherwise(F.col("gold_bool") == F.col("gold_any"))
+    return both.groupBy("task", same.alias("agrees")).agg(F.count("*").alias("n"))
+
+
+@query("probe_summary")
+def probe_summary(spark, sf_dir):
+    return probe.probe_summary(probe.probe_cores(_small(spark, sf_dir))).select("family", "a_count", "b_count", "probed", "feasible", "positive_min", "positive_max", "status", _r(F.col("share"), "share"))
+
+
+@query("scheduler_simulation")
+def scheduler_simulation(spark, sf_dir):
+    """Three strategies over all seed cores' windows: pools built, hard and easy negatives."""
+    g = _small(spark, sf_dir)
+    cores = constraint.written(constraint.seed_cores(g, _seeds(g)), "seed-cores")
+    win = sampling.windows(cores, g).withColumn("core", F.to_json(F.struct("a1", "branches", "bs"))).withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS))))
+    return probe.simulate(win).groupBy("strategy", "task").agg(F.count_if(F.col("ok")).alias("built"), F.sum("hard").alias("hard"), F.sum("easy").alias("easy"))
+
+
+@query("top_labels", """WITH n AS (SELECT c_nationkey AS k, c_mktsegment AS label, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY 1, 2)
+SELECT k, label, n, round(n / sum(n) OVER (PARTITION BY k), 9) AS share, CAST(row_number() OVER (PARTITION BY k ORDER BY n DESC, f) AS INT) AS rank FROM n""")
+def top_labels(spark, sf_dir):
+    """The commonest segments of each nation, at most twelve: a top-k report."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("label"), "c_custkey")
+    return taxonomy.top_labels(c, ["k"], "label", "c_custkey").select("k", "label", "n", _r(F.col("share"), "share"), "rank")
+
+
+@query("clean_lemmas", "SELECT p_partkey AS id, regexp_full_match(p_name, '[A-Za-z]+') AS clean, regexp_full_match(p_brand, '[A-Za-z]+') AS brand FROM part")
+def clean_lemmas(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), text.is_clean_lemma(F.col("p_name")).alias("clean"), text.is_clean_lemma(F.col("p_brand")).alias("brand"))
+
+
+@query("parse_list", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '1,3' WHEN 4 THEN '2' END AS positions FROM events")
+def parse_list(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ("[]", "a list: [1, 3]", "[1, 1]", "[01]", " [2] and [3]", "none", "[9]"))), (F.col("event_id") % 7 + 1).cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", said.alias("t"))
+    return e.select("event_id", F.array_join(text.parse_list(F.col("t"), F.lit(4)), ",").alias("positions"))
+
 
+@query("shard_numbers", "SELECT floor(o_orderkey / 334) AS shard, count(*) AS n FROM orders GROUP BY 1")
+def shard_numbers(spark, sf_dir):
+    """Shards of at most 1,000 rows in groups of three."""
+    from lexgrove.sources import files
 
-@functools.cache
-def names() -> tuple[str, ...]:
-    return tuple(sorted(Q))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(files.shard_number(F.lit(0), F.col("o_orderkey"), 3, 1000).cast("double").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
