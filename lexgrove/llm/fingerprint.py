@@ -63,23 +63,26 @@ def _draw(term: Column, at: Column, log_weights: list[Column]) -> list[Column]:
     return out
 
 
-def signatures(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+def signatures(terms: DataFrame, keys: list[str], weights: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
     """For each key: one array of SAMPLES codes for each weight column; terms (``term`` long) are distinct within a key.
 
+    The greatest values of ``carried`` long columns come along.
+
     Two signatures' share of equal codes estimates the generalised Jaccard similarity of their weighted
     terms, sum of least weights over sum of greatest. Without a positive weight all codes are -1.
     """
-    logs = terms.select(*keys, "term", *(F.ln(F.col(w).cast("double")).alias(f"l_{w}") for w in weights))
+    logs = terms.select(*keys, *carried, "term", *(F.ln(F.col(w).cast("double")).alias(f"l_{w}") for w in weights))
     spread = logs.withColumn("g", F.explode(F.array(*map(F.lit, range(GROUPS)))))
     least = []
     for i in range(PER_GROUP):
         drawn = _draw(F.col("term"), F.col("g") * PER_GROUP + i, [F.col(f"l_{w}") for w in weights])
         least += [F.min(d).alias(f"{w}_{i}") for w, d in zip(weights, drawn)]
-    found = spread.groupBy(*keys, "g").agg(*least)
+    top = [F.max(c).alias(c) for c in carried]
+    found = spread.groupBy(*keys, "g").agg(*least, *top)
     mask = F.lit((1 << _CODE_BITS) - 1).cast("long")
     codes = [F.array(*(F.coalesce(F.col(f"{w}_{i}").bitwiseAND(mask), F.lit(-1).cast("long")) for i in range(PER_GROUP))).alias(w) for w in weights]
-    rows = found.select(*keys, F.struct("g", *codes).alias("group")).groupBy(*keys).agg(F.array_sort(F.collect_list("group")).alias("groups"))
-    return rows.select(*keys, *(F.flatten(F.col("groups")[w]).alias(w) for w in weights))
+    rows = found.select(*keys, *carried, F.struct("g", *codes).alias("group")).groupBy(*keys).agg(F.array_sort(F.collect_list("group")).alias("groups"), *top)
+    return rows.select(*keys, *carried, *(F.flatten(F.col("groups")[w]).alias(w) for w in weights))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -134,18 +137,27 @@ def compare(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.select("b", "s", "pos", "doc_id", "text", edited.alias("edited"))
-    two = rows.select("b", "s", "pos", "doc_id", words(F.col("text")).alias("own"), words(F.col("edited")).alias("new"))
-    # An empty last word keeps rows without words; it has no weight.
-    each = two.select("b", "s", "pos", "doc_id", F.size("own").alias("n"), F.posexplode(F.concat("own", "new", F.array(F.lit("")))).alias("i", "word"))
+    digest = F.sha2("edited", 256)
+    facts = [n.cast("string"), *(F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10) for k in range(4))]
+    two = rows.select("b", "s", "pos", "doc_id", words(F.col("text")).alias("own"), words(F.col("edited")).alias("new"), F.array(*facts).alias("facts"))
+    # Facts of a row ride along as elements behind its words, so that its text is dealt once; they have no weight.
+    each = two.select("b", "s", "pos", "doc_id", F.size("own").alias("n"), (F.size("own") + F.size("new")).alias("m"), F.posexplode(F.concat("own", "new", "facts")).alias("i", "word"))
+    kind = F.greatest(F.col("i") - F.col("m") + 1, F.lit(0))
     there = F.col("word") != ""
-    each = each.select("b", "s", "pos", "doc_id", F.xxhash64("word").alias("term"), (there & (F.col("i") < F.col("n"))).cast("int").alias("x"), (there & (F.col("i") >= F.col("n"))).cast("int").alias("y"))
-    terms = each.groupBy("b", "s", "pos", "doc_id", "term").agg(F.sum("x").alias("own"), F.sum("y").alias("new"))
-    found = signatures(terms, ["b", "s", "pos", "doc_id"], ["own", "new"])
+    each = each.select(
+        "b", "s", "pos", "doc_id", kind.alias("kind"), F.when(kind > 0, F.col("word").try_cast("long")).otherwise(F.xxhash64("word")).alias("term"),
+        (there & (F.col("i") < F.col("n"))).cast("int").alias("x"), (there & (F.col("i") >= F.col("n")) & (kind == 0)).cast("int").alias("y"),
+    )
+    keys = ["b", "s", "pos", "doc_id"]
+    terms = each.groupBy(*keys, "kind", "term").agg(F.sum("x").alias("own"), F.sum("y").alias("new"))
+    carried = ("n_chars", "h0", "h1", "h2", "h3")
+    terms = terms.select(*keys, "term", "own", "new", *(F.when(F.col("kind") == k, F.col("term")).alias(c) for k, c in enumerate(carried, 1)))
+    found = signatures(terms, keys, ["own", "new"], carried)
     after = F.lead("own").over(Window.partitionBy("b").orderBy("pos"))
-    found = found.select("b", "s", "pos", "own", "new", after.alias("after")).where("s = 0")
-    facts = rows.where("s = 0").select("b", "pos", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    return facts.join(found, ["b", "pos"]).select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("new")).alias("edited_fingerprint"),
+    found = found.select(*found.columns, after.alias("after")).where("s = 0")
+    return found.select(
+        "doc_id", "n_chars", F.lower(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in carried[1:]))).alias("edited_sha256"),
+        as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
 
