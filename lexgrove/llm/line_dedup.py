@@ -100,7 +100,7 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).cast("long").alias("id"), "text")
-    cuts = ids.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)
+    cuts = ids.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     batch = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     keys = ids.mapInArrow(_key_batches, "id long, key binary").withColumn("batch", batch)
