@@ -32,19 +32,18 @@ def _folded(text: str) -> str:
 def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     """Dictionaries for each value of ``lang`` among the rows that are not held out.
 
-    Taken from the rows of a language that come first by a hash of the text, SAMPLE_DOCS for each of
-    DICTIONARIES; each row adds at most SAMPLE_CHARS from its middle, so that the whole is bounded by
+    Taken from the distinct texts of a language that come first by their hash, SAMPLE_DOCS for each of
+    DICTIONARIES; each text adds at most SAMPLE_CHARS from its middle, so that the whole is bounded by
     the number of languages. Empty without such rows.
     """
-    rows = docs.where(~F.coalesce(is_held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # Counts first: only rows whose hash falls into about twice the wanted share are ranked.
+    rows = docs.where(~F.coalesce(is_held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    # Copies count once. Counts first: only texts whose hash falls into about twice the wanted share are ranked.
     want = SAMPLE_DOCS * DICTIONARIES
-    rows = first_by_hash(rows.withColumn("h", F.xxhash64("text")), "lang", want)
-    order = Window.partitionBy("lang").orderBy("h", "part")
+    first = first_by_hash(rows.select("lang", "h").distinct(), "lang", want).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= want)
     part = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int")), SAMPLE_CHARS)
-    chosen = rows.select("lang", "h", part.alias("part")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= want)
+    chosen = rows.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "n").agg(F.min(part).alias("part"))
     got: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.select("lang", "n", "part").collect():
+    for r in chosen.collect():
         got.setdefault(r["lang"], []).append((r["n"], r["part"]))
     out = {}
     for lang, found in sorted(got.items()):

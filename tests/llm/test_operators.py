@@ -213,6 +213,15 @@ def test_language_edges(spark):
     assert language.known_language(docs).columns == docs.columns
 
 
+def test_language_learns_distinct_texts(spark):
+    text = "format_string('%s text %s', if(lang = 'rare', 'wenig bekannte worte', 'many different words'), {})"
+    few = spark.range(60000).selectExpr("id as doc_id", "'rare' as lang").selectExpr("*", text.format("doc_id % 30") + " as text")
+    many = spark.range(60000).selectExpr("id as doc_id", "'common' as lang").selectExpr("*", text.format("if(doc_id < 57000, 0, doc_id)") + " as text")
+    got = {lang: [p for raw in raws for p in raw.decode().split("\n")] for lang, raws in language.learn(few.unionByName(many)).items()}
+    assert sorted(got["rare"]) == sorted(f"wenig bekannte worte text {i}" for i in range(30))
+    assert len(got["common"]) == len(set(got["common"])) == language.SAMPLE_DOCS * language.DICTIONARIES
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
