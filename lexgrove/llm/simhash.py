@@ -52,15 +52,16 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
+        *carried, texts = b.columns
+        texts = texts.cast(pa.binary()).to_pylist()
         got = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*carried, pa.array(got)], [*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row; 64 bits as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, f"doc_id {kind}, fp long")
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, the carried columns, fp long) of every row; 64 bits as a signed long."""
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *carried))
+    return docs.select("doc_id", *carried, "text").mapInArrow(_fingerprint_batches, f"{kinds}fp long")
 
 
 def _masks() -> list[int]:
@@ -204,6 +205,16 @@ def links(values: DataFrame) -> DataFrame:
     )
 
 
+def _labels(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``rows``; root is the smallest fingerprint reachable."""
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    roots = connected_components(links(nodes.select("fp")))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "components")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return named.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included.
 
@@ -211,27 +222,24 @@ def components(docs: DataFrame) -> DataFrame:
     row and never names a component unless all its members are null. Rows with the same doc_id each stay.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "components")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = named.join(smallest, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_labels(rows), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the row with its smallest doc_id stays.
+    """``docs`` without near copies: of each component the row with its smallest doc_id stays, a null one last.
 
-    Rows that share a doc_id are told apart by their values, and one of them stays; rows with a null
-    doc_id count as one id, below all others.
+    Rows are told apart by two hashes of all their values, so that rows with a null or a shared doc_id
+    each count in their own component; of equal rows one stays.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    found = components(docs.withColumn("doc_id", key))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__id", key).join(stay, "__id", "left_semi")
-    order = Window.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("__copy", F.row_number().over(order)).where("__copy = 1").drop("__copy", "__id")
+    values = [v for c in docs.columns for v in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    keyed = docs.withColumns({"__a": F.xxhash64(*values), "__b": F.xxhash64(F.lit(1), *values)})
+    rows = written(fingerprints(keyed, "__a", "__b"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__a", "__b")).alias("r")
+    own = rows.groupBy("fp").agg(first).join(_labels(rows), "fp")
+    stay = own.groupBy("root").agg(F.min("r").alias("r")).select("r.__a", "r.__b")
+    kept = keyed.join(stay, ["__a", "__b"], "left_semi")
+    copy = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(1)))
+    return kept.withColumn("__copy", copy).where("__copy = 1").drop("__copy", "__a", "__b")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

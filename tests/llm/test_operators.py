@@ -83,6 +83,16 @@ def test_simhash_edges_and_empty(spark):
     assert sorted(i for i in ids if i in (1, 2, 3, 4)) == [1, 4] and kept.columns[-2:] == ["fp", "component_id"]
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    text = {k: " ".join(hashlib.sha256(f"{k}{i}".encode()).hexdigest()[:6] for i in range(40)) for k in "abcdefg"}
+    shared = [(None, "a"), (10, "a"), (11, "a"), (None, "b"), (None, "b"), (None, "c"), (5, "d"), (5, "e"), (9, "e"), (6, "f"), (6, "f"), (5, "g"), (3, "g")]
+    kept = simhash.near_duplicates(docs_of(spark, [(i, text[k], "en", "s", n) for n, (i, k) in enumerate(shared)] + [(6, text["f"], "en", "s", 9)])).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept if r["doc_id"] is not None) == sorted((text[k], i) for k, i in (("a", 10), ("d", 5), ("e", 5), ("f", 6), ("g", 3)))
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == sorted((text["b"], text["c"]))
+    swapped = simhash.near_duplicates(docs_of(spark, [(None, None, text["a"], None, None), (None, text["a"], None, None, None)])).collect()
+    assert len(swapped) == 2
+
+
 def test_links_in_dense_buckets_keep_every_group_connected():
     r = np.random.default_rng(5)
     centre = np.uint64(0x0123456789ABCDEF)
