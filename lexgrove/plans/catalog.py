@@ -45,6 +45,12 @@ def _small(spark: SparkSession, sf_dir: str) -> constraint.Graph:
     return constraint.graph(data.nodes(edge), edge)
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> constraint.Graph:
+    """All nodes, those with several parents too; the folds and the queries with SQL twins over PLACES keep to _small."""
+    node, edge = _full(spark, sf_dir)
+    return constraint.graph(node, edge)
+
+
 def _seeds(g: constraint.Graph) -> DataFrame:
     return g.node.where("usable").select("family", F.col("object_id").alias("seed"))
 
@@ -443,13 +449,13 @@ def seed_cores(spark, sf_dir):
 
 @query("feasibility")
 def feasibility(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     return constraint.feasibility(g, _seeds(g))
 
 
 @query("missing_reasons")
 def missing_reasons(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     return constraint.missing_reasons(g, _seeds(g)).groupBy("a_count", "b_count", "reason").agg(F.count("*").alias("n"))
 
 
@@ -471,20 +477,20 @@ def log10_combinations(spark, sf_dir):
 
 @query("threshold_populations")
 def threshold_populations(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     return audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False))
 
 
 @query("scheduler_scenarios")
 def scheduler_scenarios(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     p = audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False))
     return audits.scheduler_scenarios(p, audits.QUOTAS, 5)
 
 
 @query("depth_options")
 def depth_options(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     pairs = g.walk.select("family", "seed", F.col("anc").alias("a1"))
     o = audits.b_options_by_depth(constraint.branch_sets(pairs, g), g, None)
     return o.groupBy("k", "source", "depth").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -550,7 +556,7 @@ def gold_pools(spark, sf_dir):
 
 @query("probe_summary")
 def probe_summary(spark, sf_dir):
-    return probe.probe_summary(probe.probe_cores(_small(spark, sf_dir))).select("family", "a_count", "b_count", "probed", "feasible", "positive_min", "positive_max", "status", _r(F.col("share"), "share"))
+    return probe.probe_summary(probe.probe_cores(_whole(spark, sf_dir))).select("family", "a_count", "b_count", "probed", "feasible", "positive_min", "positive_max", "status", _r(F.col("share"), "share"))
 
 
 @query("scheduler_simulation")

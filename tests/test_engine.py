@@ -289,3 +289,14 @@ def test_catalogue_names():
 
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and "truth_boundary" in q
+
+
+def test_core_audits_run_over_the_whole_hierarchy(spark):
+    import __spark_entry__ as entry
+    from lexgrove.plans import driver_data
+
+    d = "/root/testdata/sf0.001"
+    n = driver_data.nodes(driver_data.edges(spark, d)).count()
+    cell = entry.queries()["probe_summary"](spark, d).where("a_count = 1 and b_count = 0").first()
+    assert cell["positive_max"] == n - 1
+    assert {r["usable_seed_count"] for r in entry.queries()["feasibility"](spark, d).collect()} == {n}
