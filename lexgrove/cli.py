@@ -98,7 +98,7 @@ def universe_audit(spark, a):
 
 def seed_audit(spark, a):
     g = _graph(spark, a)
-    _out(audits.threshold_populations(constraint.seed_cores(g, _seeds(g), a.min_positive, need_negative=False)), a, "threshold_populations")
+    _out(audits.threshold_populations(constraint.seed_cores(g, _seeds(g), a.min_positive, need_negative=False), g.node), a, "threshold_populations")
 
 
 def depth_audit(spark, a):

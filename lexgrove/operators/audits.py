@@ -31,16 +31,31 @@ def structural_counts(g: Graph) -> DataFrame:
     return rows.select("family", "a1", "a_count", "b_count", F.when(F.col("a_count") == 1, lone).otherwise(some).alias("n"))
 
 
-def threshold_populations(cores: DataFrame) -> DataFrame:
-    """(family, a_count, b_count, threshold, T1, T2_any, T2_all_gold_sizes, T3): seeds whose core has at least that many positives and the capacity."""
+def threshold_populations(cores: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """(family, a_count, b_count, threshold, T1, T2_any, T2_all_gold_sizes, T3): seeds whose core has at least that many positives and the capacity.
+
+    With ``families`` (a column family) each of them has a row for every cell and threshold, zeros where no seed
+    qualifies, as scheduler_scenarios needs; without, only cells and thresholds that some seed reaches have rows.
+    """
     can = capacity(F.col("positive"), F.col("negative"), F.col("hard"))
     rows = cores.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS)))).where("positive >= threshold")
     names = {"T1": "T1_balanced", "T2_any": "T2_any", "T2_all_gold_sizes": "T2_all_gold_sizes", "T3": "T3_balanced"}
-    return rows.groupBy("family", "a_count", "b_count", "threshold").agg(*(F.count_if(can[c]).alias(n) for n, c in names.items()))
+    keys = ["family", "a_count", "b_count", "threshold"]
+    found = rows.groupBy(*keys).agg(*(F.count_if(can[c]).alias(n) for n, c in names.items()))
+    if families is None:
+        return found
+    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count"), F.lit(t).alias("threshold")) for a in A_COUNTS for b in B_COUNTS for t in THRESHOLDS))).alias("c")
+    every = families.select("family").distinct().select("family", cells).select("family", "c.*")
+    return every.join(found, keys, "left").fillna(0, list(names))
 
 
 def scheduler_scenarios(populations: DataFrame, quotas: dict[str, int], threshold: int) -> DataFrame:
-    """(scenario, shortages, status): cells below quota under each scenario; a fixed ratio always asks for an audit of candidates."""
+    """(scenario, shortages, status): cells below quota under each scenario; a fixed ratio always asks for an audit of candidates.
+
+    ``populations`` holds all cells of its families, empty ones too.
+    """
+    if threshold not in THRESHOLDS:
+        raise ValueError(threshold)
     quota = F.lit(None).cast("int")
     for f, q in quotas.items():
         quota = F.when(F.col("family") == f, q).otherwise(quota)

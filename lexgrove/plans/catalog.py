@@ -478,13 +478,13 @@ def log10_combinations(spark, sf_dir):
 @query("threshold_populations")
 def threshold_populations(spark, sf_dir):
     g = _whole(spark, sf_dir)
-    return audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False))
+    return audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False), g.node)
 
 
 @query("scheduler_scenarios")
 def scheduler_scenarios(spark, sf_dir):
     g = _whole(spark, sf_dir)
-    p = audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False))
+    p = audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False), g.node)
     return audits.scheduler_scenarios(p, audits.QUOTAS, 5)
 
 

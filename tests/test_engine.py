@@ -300,3 +300,16 @@ def test_core_audits_run_over_the_whole_hierarchy(spark):
     cell = entry.queries()["probe_summary"](spark, d).where("a_count = 1 and b_count = 0").first()
     assert cell["positive_max"] == n - 1
     assert {r["usable_seed_count"] for r in entry.queries()["feasibility"](spark, d).collect()} == {n}
+
+
+def test_empty_cells_are_shortages(spark):
+    kind = "family string, a_count int, b_count int, positive int, negative int, hard int"
+    families = spark.createDataFrame([("wordnet",), ("wordnet",), ("babelnet",)], "family string")
+    for cores, filled in (([("wordnet", 1, 0, p, 9, 9) for p in (1, 3, 7)], 1), ([], 0)):
+        p = audits.threshold_populations(spark.createDataFrame(cores, kind), families)
+        assert p.count() == 2 * 30 * len(audits.THRESHOLDS) and p.where("T1 > 0").where("threshold = 2").count() == filled
+        s = {r["scenario"]: r for r in audits.scheduler_scenarios(p, {"wordnet": 2, "babelnet": 1}, 2).collect()}
+        assert s["balanced"]["shortages"] == (60 - filled) * 4 and s["opportunistic"]["shortages"] == (60 - filled) * 3
+        assert s["balanced"]["status"] == s["opportunistic"]["status"] == "quota_shortage"
+    with pytest.raises(ValueError):
+        audits.scheduler_scenarios(p, {"wordnet": 2}, 3)
