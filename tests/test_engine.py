@@ -313,3 +313,10 @@ def test_empty_cells_are_shortages(spark):
         assert s["balanced"]["status"] == s["opportunistic"]["status"] == "quota_shortage"
     with pytest.raises(ValueError):
         audits.scheduler_scenarios(p, {"wordnet": 2}, 3)
+
+
+def test_bench_times_all_operators():
+    import bench
+    import __spark_entry__ as entry
+
+    assert all(n in bench.HEADLINE or any(h.endswith("_") and n.startswith(h) for h in bench.HEADLINE) for n in entry.queries() if n == "pipeline" or n.startswith("op"))
