@@ -60,7 +60,7 @@ def probe_cores(g: Graph) -> DataFrame:
 
 
 def probe_summary(cores: DataFrame) -> DataFrame:
-    """Per family and cell: probed cores, those with positives and negatives, quantiles of positives; cells without any are infeasible."""
+    """Per family and cell: probed cores, those with positives and negatives, least and largest positive count; cells without any are infeasible."""
     ok = (F.col("positive") >= 1) & (F.col("negative") >= 1)
     g = cores.groupBy("family", "a_count", "b_count").agg(F.count("*").alias("probed"), F.count_if(ok).alias("feasible"), F.max("positive").alias("positive_max"), F.min("positive").alias("positive_min"))
     cells = cores.select("family").distinct().select("family", F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))).alias("c")).select("family", "c.*")
