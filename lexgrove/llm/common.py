@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (tests, one machine) a folder of our own is set.
+    Only where the session has no such setting and all runs on one machine (tests) a folder of our own is
+    set; on a cluster a missing setting raises, as executors would write where nobody reads.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexgrove-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -41,19 +44,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def first_by_hash(rows: DataFrame, group: str, want: int) -> DataFrame:
-    """Rows of each group among which its ``want`` first by the 64-bit hash ``h`` are, almost surely: about twice as many.
+    """Rows of each group that are its ``want`` first by the 64-bit hash ``h``, rows of equal hash all.
 
-    A group's count sets the share of hashes that is taken, so that ranking never gathers a whole group.
-    Few groups are expected; their counts come to the driver. Groups of up to four times ``want`` are whole.
+    A group's count sets the share of hashes that is looked at, so that ranking never gathers a whole group:
+    about twice as many hashes as wanted come to the driver, eight bytes each, and give the bound. Few groups are expected.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > 4 * want).collect()
-    limit = F.lit(None).cast("long")
-    for r in counts:
+    own = F.col(group)
+    share = F.lit(None).cast("long")
+    for r in rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > 4 * want).collect():
         at = -(1 << 63) + int((1 << 64) * (2 * want + 100) / r["n"])
-        limit = F.when(F.col(group) == F.lit(r[group]), F.lit(min(at, (1 << 63) - 1)).cast("long")).otherwise(limit)
-    return rows.where(limit.isNull() | (F.col("h") <= limit))
+        share = F.when(own == F.lit(r[group]), F.lit(min(at, (1 << 63) - 1)).cast("long")).otherwise(share)
+    found: dict[object, list[int]] = {}
+    for r in rows.where(share.isNull() | (F.col("h") <= share)).select(group, "h").collect():
+        found.setdefault(r[group], []).append(r["h"])
+    bound = F.lit(None).cast("long")
+    for value, hashes in found.items():
+        bound = F.when(own == F.lit(value), F.lit(sorted(hashes)[:want][-1]).cast("long")).otherwise(bound)
+    return rows.where(F.col("h") <= bound)
