@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import first_by_hash, read
+from lexgrove.llm.common import first_by_hash, read, written
 
 #: Labelled rows that the classifier is fitted on: this many of each label at most, first by a hash of the text.
 SAMPLE = 2000
-FEATURES = 1500
+#: Size of the model: terms whose share differs between the labels by a z value of at least LEAST_Z and that LEAST_DOCS of the
+#: sampled documents hold, FEATURES of them at most, the clearest first.
+FEATURES, LEAST_Z, LEAST_DOCS = 4000, 3.5, 3
 THRESHOLD = 0.7
-STEMS = (5,)
+#: Lengths in bytes of the stems that a word gives.
+STEMS = (4, 5, 6, 7, 8, 9, 10)
 #: Weight of the squared change of a sentence's score when an identity term is swapped, and of the weights' size.
-COUNTERFACTUAL, RIDGE = 1.0, 0.01
+COUNTERFACTUAL, RIDGE = 1.0, 1.0
 #: Neutral mentions of groups, of which one is swapped for another.
 IDENTITY = tuple(
     "woman women man men girl girls boy boys mother father muslim muslims christian christians jew jews jewish "
@@ -36,7 +38,7 @@ _MARKS = bytes(c if c in b"'" or c > 127 or chr(c).isalnum() else 32 for c in ra
 def terms(text: str | None) -> set[bytes]:
     """Distinct words (runs of letters, digits, apostrophes and characters beyond ASCII; A-Z lower-cased), and stems.
 
-    The stems of a word are its first STEMS bytes, with a star, where it has more; inflected forms share them.
+    The stems of a word are its first bytes, of each of STEMS lengths, with a star, where it has more; inflected forms share them.
     """
     words = set((text or "").encode().translate(_MARKS).split())
     stems = [{w[:n] + b"*" for w in words if len(w) > n} for n in STEMS]
@@ -55,24 +57,31 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _select(docs: list[set[bytes]], labels: np.ndarray, count: int) -> list[bytes]:
-    """Terms whose share among the two labels differs most, by z value; at least 4.5 and three documents."""
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    one, zero = Counter(), Counter()
-    for d, y in zip(docs, labels):
-        (one if y else zero).update(d)
+def clearest(counts: list[tuple[bytes, int, int]], ones: int, zeros: int, count: int = FEATURES) -> list[bytes]:
+    """Terms whose share among the two labels differs most, by z value; ``counts`` holds (term, documents of label 1, of label 0)."""
+    n1, n0 = max(1, ones), max(1, zeros)
     found = []
-    for t in one.keys() | zero.keys():
-        a, b = one[t], zero[t]
-        if a + b >= 3:
+    for t, a, b in counts:
+        if a + b >= LEAST_DOCS:
             p = (a + b + 1) / (n1 + n0 + 2)
             z = abs(a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z >= 4.5:
+            if z >= LEAST_Z:
                 found.append((-z, t))
     return [t for _, t in sorted(found)[:count]]
 
 
 def fit(rows: list[tuple[str, int]], identity: tuple[str, ...] = IDENTITY, steps: int = 400) -> Model:
+    """A model of labelled texts that are at hand; ``learn`` does the same over tables."""
+    docs, counts, ones = [terms(t) for t, _ in rows], {}, sum(int(y) for _, y in rows)
+    for d, (_, y) in zip(docs, rows):
+        for t in d:
+            n = counts.setdefault(t, [0, 0])
+            n[1 - int(y)] += 1
+    names = clearest([(t, a, b) for t, (a, b) in counts.items()], ones, len(rows) - ones)
+    return fit_terms(docs, [int(y) for _, y in rows], names, identity, steps)
+
+
+def fit_terms(docs: list[set[bytes]], ys: list[int], features: list[bytes], identity: tuple[str, ...] = IDENTITY, steps: int = 400) -> Model:
     """Logistic regression on term presence, with a counterfactual penalty.
 
     For each labelled text with identity terms, each such term is swapped for each other one; the mean
@@ -80,13 +89,12 @@ def fit(rows: list[tuple[str, int]], identity: tuple[str, ...] = IDENTITY, steps
     features, so that their weights are learnt, and pulled together. Without both labels the model
     has no weights and scores the share of label 1 (0.5 without rows).
     """
-    labels = np.asarray([int(y) for _, y in rows], float)
+    labels = np.asarray(ys, float)
     if not len(labels) or labels.min() == labels.max():
         p = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
         return Model({}, math.log(p / (1 - p)))
-    docs = [terms(t) for t, _ in rows]
     groups = [t.encode() for t in identity]
-    names = list(dict.fromkeys([*groups, *_select(docs, labels, FEATURES)]))
+    names = list(dict.fromkeys([*groups, *features]))
     at = {t: i for i, t in enumerate(names)}
     x = np.zeros((len(docs), len(names)), np.float32)
     for i, d in enumerate(docs):
@@ -123,43 +131,59 @@ def is_held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on at most SAMPLE rows of each label that are not held out, first by a hash of the text.
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, t in enumerate(b.column(0).to_pylist()):
+            own = sorted(terms(t))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array([i] * len(own), pa.int64())) for c in b.columns[1:]), pa.array(own, pa.binary())], ["h", "y", "term"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on at most ``sample`` texts of each label that are not held out, first by a hash of the text.
 
     Rows with a null label, text or doc_id, and labels other than 0 and 1, take no part; of two labels of
-    one doc_id both do.
+    one text both do, and equal texts count once. Terms are taken and counted on the executors; what comes to
+    the driver is the counts of terms that LEAST_DOCS texts hold, and each text's numbers of chosen features.
     """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").where(~is_held_out())
-    order = Window.partitionBy("y").orderBy("h", "doc_id")
-    first = F.row_number().over(order)
-    # The texts' hashes choose the rows first; only those rows' texts are then read to the driver.
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h")).where("h is not null").join(own, "doc_id")
-    # Equal texts share a hash, so a large group of copies counts as one row.
-    keyed = first_by_hash(keyed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")), "y", SAMPLE)
-    chosen = keyed.withColumn("n", first).where(F.col("n") <= SAMPLE).select("doc_id", "y").distinct()
-    got = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return fit([(r["text"], r["y"]) for r in got.orderBy("doc_id", "y", F.xxhash64("text")).collect()])
+    # The texts' hashes choose the rows first; only those rows' texts are then read. Equal texts share a hash, so copies count as one.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").isNull().alias("none")).where("not none").drop("none").join(own, "doc_id")
+    keyed = written(keyed.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    chosen = written(first_by_hash(keyed, "y", sample), "chosen")
+    ids = chosen.select("doc_id").distinct()
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("h", "y").agg(F.min("text").alias("text")).select("text", "h", "y")
+    pairs = written(texts.mapInArrow(_term_batches, "h long, y int, term binary"), "terms")
+    rows = [(r["h"], r["y"]) for r in chosen.select("h", "y").distinct().orderBy("h", "y").collect()]
+    ones = sum(y for _, y in rows)
+    counted = pairs.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
+    names = clearest([(bytes(r["term"]), r["a"], r["b"]) for r in counted.collect()], ones, len(rows) - ones)
+    kept = docs.sparkSession.createDataFrame([(bytearray(t),) for t in dict.fromkeys([*(t.encode() for t in IDENTITY), *names])], "term binary")
+    found: dict[tuple[int, int], set[bytes]] = {r: set() for r in rows}
+    for r in pairs.join(F.broadcast(kept), "term").select("h", "y", "term").collect():
+        found[r["h"], r["y"]].add(bytes(r["term"]))
+    return fit_terms([found[r] for r in rows], [y for _, y in rows], names)
 
 
 def _batches(model: Model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*columns, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], columns)
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity``, from 0 to 1, of each whole text; null texts count as empty. An own column of that name is replaced."""
-    base = docs.drop("toxicity")
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with ``name``, from 0 to 1, of each whole text; null texts count as empty. An own column of that name is replaced."""
+    base = docs.drop(name)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(_batches(model, base.columns), f"{kinds}, toxicity double")
+    return base.mapInArrow(_batches(model, [*base.columns, name]), f"{kinds}, {name} double")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that score below THRESHOLD; the same columns."""
-    return score(docs, learn(docs, labels)).where(F.col("toxicity") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` that score below THRESHOLD; the same columns with their values, whatever their names. Null texts score as empty ones."""
+    return score(docs, learn(docs, labels), "__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
