@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +17,15 @@ SCALE = 1024
 EVERY = 100
 #: Vectors of a block, and bins of each histogram.
 QUERY_BLOCK, CANDIDATE_BLOCK, BINS = 1024, 2048, 256
+#: Scores and components beyond this size count as this size.
+_MOST = (1 << 62) - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<long>): floor(SCALE * x) of each component; rows with null ids, null vectors or components that are null or not finite go."""
+    """(vec_id, v array<long>): floor(SCALE * x) of each component, 2**62 - 1 in size at most; rows with null ids, null vectors or components that are null or not finite go."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", e).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine).select("vec_id", F.transform(e, lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    n = len(col)
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1) if n else np.empty((0, 0))
+    return vectors.select("vec_id", e).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine).select("vec_id", F.transform(e, lambda x: F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), F.floor(x.cast("double") * SCALE)))).alias("v"))
 
 
 def _blocks(size: int):
@@ -36,7 +33,7 @@ def _blocks(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = np.asarray(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64)
+            lengths = np.asarray(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False), np.int64)
             for dim in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == dim)
                 for at in range(0, len(rows), size):
@@ -54,13 +51,16 @@ def _unpacked(ids: bytes, v: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by float64 where every partial sum stays below 2**53."""
+    """Exact integer inner products; by float64 where every partial sum stays below 2**53, by long integers where 64 bits do not suffice.
+
+    Those beyond 2**62 - 1 in size are cut to it, so that differences of scores stay within 64 bits.
+    """
     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if top < 2**62:
         return q @ c.T
-    raise OverflowError("scores exceed 64 bits")
+    return np.clip(q.astype(object) @ c.astype(object).T, -_MOST, _MOST).astype(np.int64)
 
 
 def _tiles(columns: list[str]):
@@ -79,20 +79,25 @@ def _tiles(columns: list[str]):
 _LEAST = np.iinfo(np.int64).min
 
 
-def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, qi, _, s, own in _tiles(["dim", "ids", "v", "q_ids", "q_v"])(batches):
-        some = ~own.all(axis=1)
-        lo = np.where(own, np.iinfo(np.int64).max, s).min(axis=1)
-        hi = np.where(own, _LEAST, s).max(axis=1)
-        n = (~own).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (qi, lo, hi, n)], ["query_id", "lo", "hi", "n"])
+def _bounds(k: int):
+    """For each query of a tile the kth score from above (null with fewer), the least, the greatest, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, qi, _, s, own in _tiles(["dim", "ids", "v", "q_ids", "q_v"])(batches):
+            n = (~own).sum(axis=1)
+            lo, high = np.where(own, np.iinfo(np.int64).max, s).min(axis=1), np.where(own, _LEAST, s)
+            kth = np.partition(high, -k, axis=1)[:, -k] if high.shape[1] >= k else np.full(len(qi), _LEAST)
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(qi[some]), pa.array(kth[some], mask=(n < k)[some]), *(pa.array(x[some]) for x in (lo, high.max(axis=1), n))], ["query_id", "kth", "lo", "hi", "n"])
+
+    return run
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Histogram of each query's scores in its range [lo, hi]; scores outside count in no bin."""
     for r, qi, _, s, own in _tiles(["dim", "ids", "v", "q_ids", "q_v", "q_lo", "q_hi"])(batches):
         lo, hi = (np.asarray(r[k], np.int64)[:, None] for k in ("q_lo", "q_hi"))
-        width = np.maximum(1, -(-(hi - lo + 1) // BINS))
+        width = (hi - lo) // BINS + 1
         inside = (s >= lo) & (s <= hi) & ~own
         q, _ = np.nonzero(inside)
         bins = ((s - lo) // width)[inside]
@@ -136,17 +141,19 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
 
     Scores are inner products of integer vectors, ties go to the smaller vec_id. Every candidate is
     scored for every query, tile by tile: blocks of queries and blocks of candidates are dealt so that each
-    pair of blocks meets once. Passes of global score histograms narrow each query's range down to
-    its kth score; a last pass gives the scores that reach it. Vectors of another dimension than a
-    query's are no candidates of it. Rows that share a vec_id are one another's own row, and each
-    stays a candidate of other queries. Fewer than k candidates: all of them.
+    pair of blocks meets once. The first pass gives each query's range: from the best of its tiles' kth
+    scores up, so that few scores are counted from then on. Passes of global score histograms narrow it down to
+    the kth score; a last pass gives the scores that reach it. Vectors of another dimension than a
+    query's are no candidates of it. Rows that share a vec_id are one another's own row; the least of their
+    vectors is the query, and each stays a candidate of other queries. Fewer than k candidates: all of them.
+    Scores beyond 2**62 - 1 in size count as that. An empty table gives an empty result.
     """
     rows = integers(vectors)
     n = written(rows, "vectors")
     parts = max(1, n.count() // CANDIDATE_BLOCK + 1)
     dealt = n.repartition(parts, F.xxhash64("vec_id", "v"))
     blocks = written(dealt.mapInArrow(_blocks(CANDIDATE_BLOCK), "dim int, n int, ids binary, v binary").withColumn("cb", F.monotonically_increasing_id()), "blocks")
-    queries = n.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").cast("long").alias("query_id"), "v", F.size("v").alias("dim"))
+    queries = n.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").cast("long").alias("query_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     count = queries.count()
     nb = max(1, -(-count // QUERY_BLOCK))
     # Ids alone decide the block, so that a block's bytes are bounded and every pass deals them alike.
@@ -160,11 +167,11 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
         return left.join(blocks.drop("dim", "n"), "cb").repartition(F.col("block"), F.col("cb"))
 
     full = queries.select("query_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    found = tiles(full).mapInArrow(_bounds, "query_id long, lo long, hi long, n long").groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    found = tiles(full).mapInArrow(_bounds(k), "query_id long, kth long, lo long, hi long, n long").groupBy("query_id").agg(F.coalesce(F.max("kth"), F.min("lo")).alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     # want: how many scores of the range are needed; with fewer candidates than k all of them.
     state = written(found.select("query_id", "lo", "hi", F.least(F.col("n"), F.lit(k)).alias("want")), "state")
     while state.where("hi > lo").limit(1).count():
-        width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / BINS)).cast("long")
+        width = F.expr(f"(hi - lo) div {BINS} + 1")
         narrowing = state.where("hi > lo")
         counts = tiles(narrowing.select("query_id", "lo", "hi")).mapInArrow(_counts, "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # From the top bin down, the first in which the wanted number is reached.
