@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ END_ID = 2
 REMEMBERED, CHUNK = 400_000, 48
 #: Rounds of packing; all but the last exchange pieces.
 ROUNDS = 3
+#: Where a partition has more sequences than its bound, so many of its emptiest ones are packed anew, in turn, until it meets it. The
+#: search fills one sequence at a time by subset sums, in time that grows with the square of the number: larger pools cost more and
+#: may save another sequence; what is given up is never a piece, and ``certificate`` tells how many sequences it can be.
+POOLS = (60, 120, 240)
 _SPACED = re.compile(r"\s ")
 
 
@@ -78,9 +83,15 @@ class Encoder:
         return self._plain(text)
 
 
+@functools.cache
+def _encoder(ranks: str, pattern: str) -> Encoder:
+    """One for each worker process, with what it remembers."""
+    return Encoder(ranks, pattern)
+
+
 def _piece_batches(ranks: str, pattern: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks, pattern)
+        encoder = _encoder(ranks, pattern)
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
@@ -183,7 +194,7 @@ def _fullest(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def repack(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, loads: np.ndarray, limit: int = LIMIT, pool: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repack(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, loads: np.ndarray, limit: int = LIMIT, pool: int = POOLS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packs the pieces of the ``pool`` emptiest bins anew, and takes the outcome if it has fewer bins."""
     open_ = np.argsort(loads, kind="stable")[:pool]
     where = np.flatnonzero(np.isin(bins, open_))
@@ -202,7 +213,7 @@ def repack(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, loads: np
     return bins, offsets, np.bincount(bins, weights=lengths, minlength=len(used)).astype(np.int64)
 
 
-def _pack_partition(limit: int, round_no: int):
+def _pack_partition(limit: int, round_no: int, pools: tuple[int, ...] = POOLS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs one partition's pieces; marks the bins that stay and those whose pieces are exchanged."""
         from pyspark import TaskContext
@@ -215,7 +226,7 @@ def _pack_partition(limit: int, round_no: int):
         lengths = table.column("length").to_numpy()
         bins, offsets, loads = best_fit_decreasing(lengths, limit)
         bound = dual_feasible_bound(np.bincount(lengths, minlength=limit + 2)[: limit + 2], limit)
-        for pool in (60, 120, 240):
+        for pool in pools:
             if len(loads) > bound:
                 bins, offsets, loads = repack(lengths, bins, offsets, loads, limit, pool)
         gap = len(loads) - bound
@@ -231,14 +242,14 @@ def _pack_partition(limit: int, round_no: int):
     return run
 
 
-def pack(pieces_: DataFrame, limit: int = LIMIT, per_part: int = 150_000, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces_: DataFrame, limit: int = LIMIT, per_part: int = 150_000, rounds: int = ROUNDS, pools: tuple[int, ...] = POOLS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces, in as few sequences of ``limit`` as it can.
 
     Partitions of about ``per_part`` pieces are packed best-fit decreasing. A partition whose number of
     sequences meets its lower bound is certified and keeps them, but for its emptiest one. The pieces in
     unfilled sequences of the others are dealt anew over fewer partitions, and packed again; in the last
     round all stays as it is. Pieces of length ``limit`` fill a sequence alone and move nowhere. Each round's outcome is written to the
-    shared folder, so that a lost executor never repeats it in another way.
+    shared folder, so that a lost executor never repeats it in another way. ``certificate`` bounds what more rounds or larger pools could save.
     """
     cols = pieces_.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_.schema)
@@ -254,8 +265,8 @@ def pack(pieces_: DataFrame, limit: int = LIMIT, per_part: int = 150_000, rounds
         parts = max(1, -(-n // per_part))
         dealt = todo.withColumn("__p", F.pmod(own + r, F.lit(parts))).repartition(parts, "__p") if parts > 1 else todo.withColumn("__p", F.lit(0)).coalesce(1)
         dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").drop("__p")
-        packed = written(dealt.mapInArrow(_pack_partition(limit, r), made), "packed")
-        if last or parts == 1:
+        packed = written(dealt.mapInArrow(_pack_partition(limit, r, pools), made), "packed")
+        if last:
             done.append(packed.drop("stays"))
             break
         done.append(packed.where("stays").drop("stays"))
@@ -271,8 +282,25 @@ def pack(pieces_: DataFrame, limit: int = LIMIT, per_part: int = 150_000, rounds
     return out
 
 
+def certificate(packed: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(sequences, bound, gap): how many sequences there are, the least there can be, and the difference; one row, zeros without pieces.
+
+    The bound comes from the number of pieces of each length, at most ``limit`` numbers.
+    """
+    counts = np.zeros(limit + 2, np.int64)
+    for r in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    bound = dual_feasible_bound(counts, limit)
+    made = packed.agg(F.count_distinct("sequence_id").alias("sequences"))
+    return made.select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def pack_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pieces of every document with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Pieces of every document with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null texts count as empty, and have the end id only; rows with a null or a shared doc_id each have their own pieces.
+    An empty table gives an empty result; further columns are not read.
+    """
     return pack(written(pieces(docs, limit), "pieces"), limit)
 
 
