@@ -15,7 +15,10 @@ GROUPS, PER_GROUP = 16, 4
 SAMPLES = GROUPS * PER_GROUP
 #: Steps of the table of Gamma(2, 1) quantiles, as bits.
 STEP_BITS = 10
-_CODE_BITS, _LOWEST = 23, -(1 << 63)
+#: Bits of a candidate that tell it, and those of them that a fingerprint keeps and likeness compares.
+_CODE_BITS, CODE_BITS, _LOWEST = 23, 16, -(1 << 63)
+#: Bytes of text that a task of neighbours or draws is to hold, about, and ranges of doc_ids a task.
+TASK_BYTES, RANGES = 32 << 20, 4
 
 
 @functools.cache
@@ -46,7 +49,8 @@ def _draw(term: Column, at: Column, log_weights: list[Column]) -> list[Column]:
 
     With r and c from Gamma(2, 1) and b uniform, all fixed by term and sample, a weight w gives t =
     floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the term with the least a is the sample,
-    told by term and t. The long holds ln a in its upper 40 bits and a hash of term, sample and t below.
+    told by term and t. The long holds ln a in its upper 40 bits and, below, the first bits of the hash of
+    term and sample, with t in their lowest.
     """
     table = gamma_quantiles()
     steps = F.lit((1 << STEP_BITS) - 1).cast("long")
@@ -59,7 +63,8 @@ def _draw(term: Column, at: Column, log_weights: list[Column]) -> list[Column]:
         t = F.floor(w / r + b)
         a = c - r * (t - b + 1)
         rank = ((a + 64.0) * float(1 << (63 - 7 - _CODE_BITS))).cast("long")
-        out.append(F.shiftleft(rank, _CODE_BITS).bitwiseOR(F.xxhash64(x, t).bitwiseAND(F.lit((1 << _CODE_BITS) - 1).cast("long"))))
+        own = F.shiftrightunsigned(x, 64 - _CODE_BITS).bitwiseXOR(F.shiftleft(t.cast("long"), _CODE_BITS - CODE_BITS))
+        out.append(F.shiftleft(rank, _CODE_BITS).bitwiseOR(own.bitwiseAND(F.lit((1 << _CODE_BITS) - 1).cast("long"))))
     return out
 
 
@@ -69,7 +74,7 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], carried: t
     The greatest values of ``carried`` long columns come along.
 
     Two signatures' share of equal codes estimates the generalised Jaccard similarity of their weighted
-    terms, sum of least weights over sum of greatest. Without a positive weight all codes are -1.
+    terms, sum of least weights over sum of greatest. Codes are CODE_BITS bits; without a positive weight all are 0.
     """
     logs = terms.select(*keys, *carried, "term", *(F.ln(F.col(w).cast("double")).alias(f"l_{w}") for w in weights))
     spread = logs.withColumn("g", F.explode(F.array(*map(F.lit, range(GROUPS)))))
@@ -79,8 +84,8 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], carried: t
         least += [F.min(d).alias(f"{w}_{i}") for w, d in zip(weights, drawn)]
     top = [F.max(c).alias(c) for c in carried]
     found = spread.groupBy(*keys, "g").agg(*least, *top)
-    mask = F.lit((1 << _CODE_BITS) - 1).cast("long")
-    codes = [F.array(*(F.coalesce(F.col(f"{w}_{i}").bitwiseAND(mask), F.lit(-1).cast("long")) for i in range(PER_GROUP))).alias(w) for w in weights]
+    mask = F.lit((1 << CODE_BITS) - 1).cast("long")
+    codes = [F.array(*(F.coalesce(F.shiftright(f"{w}_{i}", _CODE_BITS - CODE_BITS).bitwiseAND(mask), F.lit(0).cast("long")) for i in range(PER_GROUP))).alias(w) for w in weights]
     rows = found.select(*keys, *carried, F.struct("g", *codes).alias("group")).groupBy(*keys).agg(F.array_sort(F.collect_list("group")).alias("groups"), *top)
     return rows.select(*keys, *carried, *(F.flatten(F.col("groups")[w]).alias(w) for w in weights))
 
@@ -92,19 +97,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_hex(signature: Column) -> Column:
     """Four hex digits of each code."""
-    return F.array_join(F.transform(signature, lambda c: F.lower(F.lpad(F.hex(F.shiftright(c, _CODE_BITS - 16).bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0"))), "")
+    return F.array_join(F.transform(signature, lambda c: F.lower(F.lpad(F.hex(c), 4, "0"))), "")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(b, pos, s, doc_id, text, next): each row and the text of the row after it, by descending doc_id; after the last comes the first.
 
-    Rows are dealt by ranges of doc_id with fixed bounds, and ordered within a range; of equal ids the
-    text's hash decides, and a null id comes last. The first row of a range is copied, with s = 1, to the end of the
+    Rows are dealt by ranges of doc_id with fixed bounds, as many as the bytes of all texts ask for, and ordered within
+    a range; of equal ids the text's hash decides, and a null id comes last. The first row of a range is copied, with s = 1, to the end of the
     range before it, so that no order over all rows is needed. Null texts are empty.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
-    parts = max(8, 2 * shuffle_parts(spark))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    tasks = max(shuffle_parts(spark), total // TASK_BYTES + 1)
+    parts = RANGES * tasks
     cuts = sorted({int(c) for c in rows.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (4 * parts))})
     if cuts:
         bounds = F.array(*(F.lit(c).cast("long") for c in cuts))
@@ -121,7 +128,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         own = F.try_element_at(firsts, F.col("home"))
         target = F.when((own["id"] == F.col("id")) & (own["tie"] == F.col("tie")), own["to"])
     places = F.filter(F.array(F.struct(F.col("home").alias("b"), F.lit(0).alias("s")), F.struct(target.alias("b"), F.lit(1).alias("s"))), lambda x: x["b"].isNotNull())
-    dealt = rows.select("doc_id", "text", "id", "tie", F.explode(places).alias("p")).select("p.b", "p.s", "doc_id", "text", "id", "tie")
+    dealt = rows.select("doc_id", "text", "id", "tie", F.explode(places).alias("p")).select("p.b", "p.s", "doc_id", "text", "id", "tie").repartition(tasks, "b")
     order = Window.partitionBy("b").orderBy("s", F.desc("id"), "tie")
     return dealt.select("b", "s", "doc_id", "text", F.row_number().over(order).alias("pos"), F.lead("text").over(order).alias("next"))
 
