@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import read, written
 
 SHARDS = 40
 ROW_BYTES = 16
-#: Bins of each histogram; a split is refined until it is this close to its target, as a share of a shard, or a single value is left.
-BINS, CLOSE = 512, 0.002
+#: Bins of each histogram; a cut is refined until it is this close to its target, as a share of a shard, or a single value is left.
+BINS, CLOSE = 4096, 0.002
+#: Equal texts stay together up to this share of a shard's bytes; larger groups are dealt in parts of that size.
+WHOLE = 0.05
 #: Rows of a shard that are numbered together, about.
 SLOT_ROWS = 20_000
-_KEYS = ("k0", "k1", "k2")
-_LOWEST = 1 - (1 << 63)
+#: Dimensions: bytes of the text (in steps of a thousandth of a doubling), language, source, doc_id.
+AXES = ("k0", "k1", "k2", "k3")
+#: Bits of a dimension's value and, below, of a hash by which equal values are told apart.
+_VALUE, _TIE = 40, 22
 
 
 @dataclass
@@ -26,132 +30,138 @@ class Node:
     first: int
     shards: int
     axis: int = 0
-    cut: tuple[int, int] | None = None
+    cut: int = 0
     left: Node | None = None
     right: Node | None = None
 
 
-def _routed(rows: DataFrame, level: list[Node]) -> DataFrame:
-    """Rows one level further down; written, so that conditions do not pile up."""
-    arms = [
-        f"when node = {n.first} and ({_KEYS[n.axis]} > {n.cut[0]} or ({_KEYS[n.axis]} = {n.cut[0]} and tie >= ({n.cut[1]}))) then {n.right.first}"
-        for n in level
-    ]
-    return written(rows.withColumn("node", F.expr("case " + " ".join(arms) + " else node end")), "level")
+def _routed(units: DataFrame, level: list[Node]) -> DataFrame:
+    """Units one level further down; written, so that conditions do not pile up."""
+    arms = [f"when node = {n.first} and {AXES[n.axis]} >= ({n.cut}) then {n.right.first}" for n in level]
+    return written(units.withColumn("node", F.expr("case " + " ".join(arms) + " else node end")), "level")
 
 
-def _width(lo: int, hi: int) -> int:
-    return max(1, -(-(hi - lo + 1) // BINS))
-
-
-def _histograms(rows: DataFrame, jobs: dict[int, tuple[str, int, int]]) -> dict[int, dict[int, int]]:
+def _histograms(units: DataFrame, jobs: dict[int, tuple[str, int, int]]) -> dict[int, dict[int, int]]:
     """For each node (by its first shard): bytes in each of BINS bins of a column between lo and hi."""
     arms = [f"when node = {n} and {col} between ({lo}) and ({hi}) then ({col} - ({lo})) div {_width(lo, hi)}" for n, (col, lo, hi) in jobs.items()]
-    got = rows.select("node", F.expr("case " + " ".join(arms) + " end").cast("int").alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w"))
+    got = units.select("node", F.expr("case " + " ".join(arms) + " end").cast("int").alias("bin"), "bytes").where("bin is not null").groupBy("node", "bin").agg(F.sum("bytes").alias("w"))
     out: dict[int, dict[int, int]] = {n: {} for n in jobs}
     for r in got.collect():
         out[r["node"]][r["bin"]] = int(r["w"])
     return out
 
 
-def _cuts(rows: DataFrame, wanted: dict[int, tuple[str, int, int, float]], slack: float, exact: bool = False) -> dict[int, tuple[int, float]]:
-    """For each node: the smallest value whose rows reach the wanted bytes, and what is still wanted of them.
+def _width(lo: int, hi: int) -> int:
+    return (hi - lo) // BINS + 1
+
+
+def _cuts(units: DataFrame, wanted: dict[int, tuple[str, int, int, float]], slack: float) -> dict[int, int]:
+    """For each node the value at which the bytes below come closest to those wanted.
 
-    A row below the value goes left. Histograms are refined within one bin until the bin's bytes are
-    within ``slack`` or it holds one value; all nodes share a pass.
+    Histograms are refined within one bin until the bin's bytes are within ``slack`` or it holds one value;
+    all nodes of a level share a pass.
     """
     state, done = {n: [c, lo, hi, want] for n, (c, lo, hi, want) in wanted.items()}, {}
     while state:
-        found = _histograms(rows, {n: (c, lo, hi) for n, (c, lo, hi, _) in state.items()})
+        found = _histograms(units, {n: (c, lo, hi) for n, (c, lo, hi, _) in state.items()})
         for n in list(state):
             col, lo, hi, want = state[n]
-            width = _width(lo, hi)
-            bins = sorted(found[n].items())
+            width, bins = _width(lo, hi), sorted(found[n].items())
             k, w = bins[-1] if bins else (0, 0)
             for k, w in bins:
                 if want < w or k == bins[-1][0]:
                     break
                 want -= w
-            if width == 1 or (slack and w <= slack):
-                # Without a further split by ties the nearer side takes the rows at the value.
-                up = width if (exact or width > 1) and want > w / 2 else 0
-                done[n] = (lo + k * width + up, 0.0 if up or width > 1 else max(0.0, want))
+            if width == 1 or w <= slack:
+                done[n] = lo + (k + (want > w / 2)) * width
                 del state[n]
             else:
                 state[n] = [col, lo + k * width, min(hi, lo + (k + 1) * width - 1), want]
     return done
 
 
-def split(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows`` (k0, k1, k2, tie, size: long) with ``node``: the shard each falls into, by a k-d tree built a level at a time.
+def split(units: DataFrame, shards: int) -> DataFrame:
+    """``units`` (k0..k3, bytes: long) with ``node``: the shard each falls into, by a k-d tree built a level at a time.
 
     A node with s shards is split so that the left part holds floor(s/2)/s of its bytes. The dimension
-    is the one whose values spread widest, as a share of the spread over all rows. Rows at the cut's
-    value are split by ``tie``.
+    is the one whose values spread widest, as a share of the spread over all units.
     """
-    rows = rows.withColumn("node", F.lit(0))
+    units = units.withColumn("node", F.lit(0))
     spread: list[int] = []
     level = [Node(0, shards)]
     while level := [n for n in level if n.shards > 1]:
-        got = rows.groupBy("node").agg(F.sum("size").alias("w"), F.min("tie").alias("t0"), F.max("tie").alias("t1"), *(f(k).alias(f"{f.__name__}{k}") for k in _KEYS for f in (F.min, F.max))).collect()
+        got = units.groupBy("node").agg(F.sum("bytes").alias("w"), *(f(k).alias(f"{f.__name__}{k}") for k in AXES for f in (F.min, F.max))).collect()
         facts = {r["node"]: r for r in got}
         level = [n for n in level if n.first in facts]
         if not level:
             break
-        spread = spread or [max(1, facts[0][f"max{k}"] - facts[0][f"min{k}"]) for k in _KEYS]
+        spread = spread or [max(1, facts[0][f"max{k}"] - facts[0][f"min{k}"]) for k in AXES]
         slack = CLOSE * sum(int(f["w"]) for f in facts.values()) / shards
         wanted = {}
         for n in level:
             f = facts[n.first]
-            lo, hi = [f[f"min{k}"] for k in _KEYS], [f[f"max{k}"] for k in _KEYS]
-            n.axis = max(range(len(_KEYS)), key=lambda a: ((hi[a] - lo[a]) / spread[a], -a))
-            wanted[n.first] = (_KEYS[n.axis], lo[n.axis], hi[n.axis], f["w"] * (n.shards // 2) / n.shards)
-        cuts = _cuts(rows, wanted, slack)
-        rest = {n.first: ("tie", facts[n.first]["t0"], facts[n.first]["t1"], cuts[n.first][1]) for n in level if cuts[n.first][1] > 0}
-        ties = {}
-        if rest:
-            at_cut = " or ".join(f"(node = {n.first} and {_KEYS[n.axis]} = ({cuts[n.first][0]}))" for n in level if n.first in rest)
-            ties = _cuts(rows.where(at_cut), rest, 0.0, True)
+            lo, hi = [f[f"min{k}"] for k in AXES], [f[f"max{k}"] for k in AXES]
+            n.axis = max(range(len(AXES)), key=lambda a: ((hi[a] - lo[a]) / spread[a], -a))
+            wanted[n.first] = (AXES[n.axis], lo[n.axis], hi[n.axis], float(f["w"]) * (n.shards // 2) / n.shards)
+        cuts = _cuts(units, wanted, slack)
         for n in level:
-            n.cut = (cuts[n.first][0], ties[n.first][0] if n.first in ties else _LOWEST)
+            n.cut = cuts[n.first]
             n.left, n.right = Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)
-        rows = _routed(rows, level)
+        units = _routed(units, level)
         level = [c for n in level for c in (n.left, n.right)]
-    return rows
+    return units
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """Narrow rows: id, size, checksum and three metadata dimensions as longs.
+def _in_order(text: Column) -> Column:
+    """A number of 40 bits that orders texts as their first five bytes do; null and empty ones come first."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 1, _VALUE // 8)), _VALUE // 4, "0"), 16, 10).cast("long")
 
-    Dimensions: the log of the size in thousandths; the language and source, in the order of their
-    hashes; a hash of the text, so that equal texts lie together.
+
+def units(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their unit (g, part), and the units with their bytes and dimensions.
+
+    A unit is what stays together: the rows of one text, by a hash; or, if those exceed WHOLE of a shard's
+    bytes, a part of them by a hash of doc_id. There are at most ``shards`` / WHOLE such texts, which alone are
+    broadcast. Language, source and doc_id of a unit are those of its least row.
     """
-    text = F.coalesce("text", F.lit(""))
-    place = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("lang", "source")])
-    size = (F.octet_length(text) + ROW_BYTES).cast("long")
-    return docs.select(
-        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"),
-        F.floor(F.log2(size.cast("double")) * 1000).alias("k0"), F.shiftright(place, 8).alias("k1"), F.shiftright(F.xxhash64(text), 8).alias("k2"),
-        F.shiftright(F.xxhash64(F.col("doc_id").cast("string"), text), 8).alias("tie"),
-    )
+    total, low, high = rows.agg(F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
+    most = max(1, int(WHOLE * (total or 0) / shards))
+    hot = rows.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most).select("g", F.ceil(F.col("bytes") / most).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("parts")).cast("int"), F.lit(0))
+    rows = written(rows.join(F.broadcast(hot), "g", "left").withColumn("part", part).drop("parts"), "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lang", "source", "size")).alias("m")
+    found = rows.groupBy("g", "part").agg(F.sum("size").alias("bytes"), least)
+    place = F.coalesce((F.col("m.doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(max(1.0, float(high or 0) - float(low or 0))), F.lit(0.0)) * float((1 << _VALUE) - 1)
+    tie = F.shiftrightunsigned(F.xxhash64("g", "part"), 64 - _TIE)
+    values = (F.floor(F.log2(F.col("m.size").cast("double")) * 1000), _in_order(F.col("m.lang")), _in_order(F.col("m.source")), F.floor(place))
+    return rows, found.select("g", "part", "bytes", *(F.shiftleft(v.cast("long"), _TIE).bitwiseOR(tie).alias(k) for k, v in zip(AXES, values)))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row: shards of near-equal bytes.
 
-    A row's size is its text's UTF-8 bytes (null: none) and ROW_BYTES. Rows are split by a tree over
-    size, language and source, and text. Repeated rows lie at one value and are split by doc_id;
-    rows that agree in doc_id and text go to the same shard. Slots count from 0 in each shard without gaps. An empty
-    table gives an empty result; with few rows shards can be empty.
+    A row's size is its text's UTF-8 bytes (null: none) and ROW_BYTES. A tree over size, language, source and
+    doc_id deals whole groups of equal texts, so that copies share a shard; a group of more than WHOLE of a
+    shard's bytes is dealt in parts, and rows that agree in doc_id and text always go together. Null languages,
+    sources and doc_ids come first in their dimension; the columns lang and source may be missing, others are not
+    read. Slots count from 0 in each shard without gaps. An empty table gives an empty result; with few rows shards can be empty.
     """
-    rows = split(written(_keys(docs), "keys"), shards)
-    parts = max(16, rows.count() // (shards * SLOT_ROWS) + 1)
-    placed = written(rows.select("doc_id", "size", "text_crc32", "tie", F.col("node").alias("shard"), F.pmod("tie", F.lit(parts)).cast("int").alias("part")), "placed")
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("tie", "doc_id", "size"))
-    out = placed.withColumn("own", own).join(starts, ["shard", "part"])
+    text = F.coalesce("text", F.lit(""))
+    asked = docs.select(
+        "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g"),
+        *((F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")),
+    )
+    rows, parts_of = units(written(asked, "keys"), shards)
+    placed = split(written(parts_of, "units"), shards)
+    sets = max(16, rows.count() // (shards * SLOT_ROWS) + 1)
+    tie = F.xxhash64("doc_id", "g")
+    placed = rows.join(placed.select("g", "part", F.col("node").alias("shard")), ["g", "part"])
+    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", tie.alias("tie"), F.pmod(tie, F.lit(sets)).cast("int").alias("set")), "placed")
+    counts = placed.groupBy("shard", "set").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("set").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("shard", "set", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("shard", "set").orderBy("tie", "doc_id", "size"))
+    out = placed.withColumn("own", own).join(starts, ["shard", "set"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"))
 
 
