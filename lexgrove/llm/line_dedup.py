@@ -117,21 +117,26 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return lost
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``docs`` with repeated lines dropped from ``text``, and the counts ``n_lines`` and ``n_dropped``.
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines dropped from ``text``, and the counts ``names``.
 
     A line whose key has at least LEAST code points stays only in the document with the smallest doc_id
     that holds the key, with all its repeats there. Rows with the same doc_id are one document; null
-    ids are one document, below all others. A null text stays null and counts one line. Columns of
-    ``docs`` named n_lines or n_dropped are replaced.
+    ids are one document, below all others, which so never loses a line. A null text stays null and counts one
+    line. Columns of ``docs`` with the counts' names are replaced. An empty table gives an empty result.
     """
-    base = docs.drop("n_lines", "n_dropped")
+    base = docs.drop(*names)
     lost = dropped_keys(base, batches).groupBy("id").agg(F.collect_list("key").alias("__drop"))
     joined = base.withColumn("id__", F.coalesce("doc_id", F.lit(_LOWEST)).cast("long")).join(lost.withColumnRenamed("id", "id__"), "id__", "left")
     columns = base.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     out = joined.select(*[F.col(f"`{c}`") for c in columns], "__drop").mapInArrow(_keep_batches(columns), f"{kinds}, __lines long, __dropped long")
-    return out.withColumnsRenamed({"__lines": "n_lines", "__dropped": "n_dropped"})
+    return out.withColumnsRenamed({"__lines": names[0], "__dropped": names[1]})
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines dropped from ``text``; the same columns, all others with their values."""
+    return dedup_lines(docs, names=("__n_lines", "__n_dropped")).drop("__n_lines", "__n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
