@@ -25,13 +25,13 @@ def filter_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document with a smaller id holds go; the document stays, even if nothing is left."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.without_repeats(docs)
     out = kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies, at a similarity of 0.8 or more over five words, the document with the smallest id stays."""
     return simhash.near_duplicates(docs)
 
 
