@@ -85,7 +85,7 @@ class Encoder:
 
 @functools.cache
 def _encoder(ranks: str, pattern: str) -> Encoder:
-    """One for each worker process, with what it remembers."""
+    """One for each worker process."""
     return Encoder(ranks, pattern)
 
 
@@ -108,6 +108,8 @@ def _piece_batches(ranks: str, pattern: str, limit: int):
                     at, k = at + k, limit
             own = b.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # The worker goes on to other tasks: it keeps the vocabulary, but not what this task's texts taught it.
+        encoder.known.clear()
 
     return run
 
