@@ -1,73 +1,149 @@
-"""Command line: stages over Parquet tables ``node`` and ``edge`` and a run folder."""
+"""Command line: stages over Parquet tables ``node`` and ``edge`` and a run folder.
+
+A configuration file gives families, quotas, caps and provider settings; without one the defaults hold. Tables
+go to the run folder as Parquet, manifests and reports as JSON.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.operators import audits, constraint, probe, rendering, runner, sampling, scoring, taxonomy
+from lexgrove.operators.runlog import pending
+from lexgrove.operators.work import written
+from lexgrove.sources import config as settings
 from lexgrove.sources import files
 
-LOG = "request_id string, status string, error_state string, final_answer_text string, run_receive_sequence long"
+LOG = (
+    "request_id string, status string, error_state string, final_answer_text string, run_receive_sequence long, answer_truncated boolean, reasoning_available boolean, "
+    "reasoning_truncated boolean"
+)
+ORDER = ["family", "task", "a_count", "b_count", "variant", "information"]
+
+
+def _config(a) -> settings.Experiment:
+    got = settings.load_experiment(a.config, a.providers) if a.config else settings.Experiment()
+    if a.min_positive is not None:
+        got = replace(got, resources=replace(got.resources, min_final_positive_count=a.min_positive))
+    if a.quota is not None:
+        got = replace(got, product=replace(got.product, wordnet_quota_per_stratum=a.quota, babelnet_quota_per_stratum=a.quota))
+    return got
 
 
-def _graph(spark: SparkSession, a) -> constraint.Graph:
-    return constraint.graph(spark.read.parquet(f"{a.data}/node"), spark.read.parquet(f"{a.data}/edge"))
+def _graph(spark: SparkSession, a, c: settings.Experiment) -> constraint.Graph:
+    on = c.resources.families()
+    return constraint.graph(spark.read.parquet(f"{a.data}/node").where(F.col("family").isin(on)), spark.read.parquet(f"{a.data}/edge").where(F.col("family").isin(on)))
 
 
-def _seeds(g: constraint.Graph):
-    return g.node.where("usable").select("family", F.col("object_id").alias("seed"))
+def _seeds(g: constraint.Graph, c: settings.Experiment) -> DataFrame:
+    seeds = g.node.where("usable").select("family", F.col("object_id").alias("seed"))
+    n = c.resources.max_seed_per_family
+    return sampling.seed_indexes(seeds, n).drop("seed_index") if n else seeds
 
 
-def _out(df, a, name: str) -> None:
+def _out(df: DataFrame, a, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(f"{a.run}/{name}")
+    return df.sparkSession.read.parquet(f"{a.run}/{name}")
+
+
+def _json(a, name: str, value) -> None:
+    files.write_json(f"{a.run}/{name}", value)
 
 
 def audit(spark, a):
-    g = _graph(spark, a)
-    _out(taxonomy.closure_buckets(g.sizes), a, "closure_buckets")
-    _out(constraint.feasibility(g, _seeds(g), a.min_positive), a, "feasibility")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    _out(constraint.feasibility(g, _seeds(g, c), c.resources.min_final_positive_count, c.tasks), a, "feasibility")
+    _out(audits.object_inventory(g.node, g), a, "object_inventory")
+    _json(a, "resource_audit.json", {r.pop("family"): r for r in scoring.records(audits.resource_audit(g.node, g.sizes))})
+    _out(g.node, a, "resource_snapshot")
+    _json(a, "dataset_config_snapshot.json", settings.dataset_snapshot(c))
+    _json(a, "stage_status.json", {"stage": "audit", "complete": False})
 
 
 def freeze(spark, a):
-    g = _graph(spark, a)
-    cores = constraint.written(constraint.seed_cores(g, _seeds(g), a.min_positive), "cores")
-    size = cores.groupBy("family", "a_count", "b_count").agg(F.count("*").alias("population"))
-    rows = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count").join(sampling.windows(cores, g), ["family", "a1", "branches", "bs"]).join(size, ["family", "a_count", "b_count"])
-    rows = rows.withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS)))).withColumn("quota", F.lit(a.quota)).withColumn("seed_index", F.lit(0))
-    base = sampling.realise(sampling.seed_order(rows, a.product, a.tier, "scheduler", a.seed), a.product)
-    full = constraint.written(sampling.with_information(base), "samples")
-    if bad := sampling.violations(full).collect():
-        raise SystemExit(f"{len(bad)} violations, first {bad[0]}")
-    _out(full, a, "samples")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    seeds, low, p = _seeds(g, c), c.resources.min_final_positive_count, c.product
+    cores = written(constraint.seed_cores(g, seeds, low), "cores")
+    if p.tier == "full":
+        base = sampling.full_frame(cores, g, p.product_id, p.candidate_window_limit, tasks=c.tasks)
+        full = _out(sampling.with_information(base, p.product_id), a, "samples")
+        report = sampling.stream_validation(full, g.closed, duplicates=False)
+        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": sampling.rolling_hash(full, ["family", "ordinal", "information"], "sample_hash")})
+        if not report["passed"]:
+            raise SystemExit(f"validation failed: {report}")
+        return
+    known = Path(a.run, "feasibility").exists()
+    populations = spark.read.parquet(f"{a.run}/feasibility").groupBy("family", "a_count", "b_count").agg(F.max("feasible_seed_cell_count").alias("population")) if known else None
+    base, strata = sampling.stratified(cores, g, seeds, p.quotas(), p.product_id, p.tier, p.candidate_scheduler, c.budgets.seed, c.budgets.caps() if a.config else None, p.candidate_window_limit, populations)
+    full = written(sampling.with_information(base, p.product_id), "samples")
+    bad = written(sampling.violations(full, g.closed), "violations")
+    if (n := bad.count()):
+        raise SystemExit(f"{n} violations, first {bad.first()}")
+    full = _out(full, a, "samples")
+    _out(strata, a, "strata")
+    _json(a, "sample_manifest.json", sampling.manifest(base, strata, p.product_id, p.tier, p.quotas(), low, p.candidate_scheduler, p.candidate_window_limit))
 
 
 def render(spark, a):
     node = spark.read.parquet(f"{a.data}/node")
-    _out(rendering.prompt(rendering.with_nodes(spark.read.parquet(f"{a.run}/samples"), node)), a, "requests")
+    samples = spark.read.parquet(f"{a.run}/samples")
+    asked = _out(rendering.prompt(rendering.with_nodes(samples, node)), a, "requests")
+    _json(a, "render_manifest.json", {"request_count": asked.count(), "renderer_version": sampling.RENDERER_VERSION, "request_set_hash": sampling.rolling_hash(asked, ORDER, "request_hash")})
 
 
-def _responses(spark, a):
+def _responses(spark, a) -> DataFrame:
     return files.read_jsonl(spark, f"{a.run}/responses.jsonl", LOG).withColumnRenamed("run_receive_sequence", "ordinal")
 
 
+def _requests(spark, a) -> DataFrame:
+    """Requests with their place in the dataset's order."""
+    from pyspark.sql import Window
+
+    r = spark.read.parquet(f"{a.run}/requests")
+    keys = ORDER[:4]
+    sizes = r.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER[4:])) - 1
+    r = r.withColumn("own", own).join(F.broadcast(before), keys).withColumn("ordinal", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+    return r.withColumn("option_count", F.size("candidates")).withColumnRenamed("weight", "sampling_weight")
+
+
 def preflight_run(spark, a):
-    report = runner.preflight(spark.read.parquet(f"{a.run}/requests"), _responses(spark, a), a.provider, a.configured)
+    c = _config(a)
+    report = runner.preflight(spark.read.parquet(f"{a.run}/requests"), _responses(spark, a), c, a.provider, Path(a.run), a.limit or None)
     print(json.dumps(report, ensure_ascii=False))
     if not report["ok"]:
         sys.exit(1)
 
 
 def run(spark, a):
+    c = _config(a)
+    if not settings.may_run(c.provider.name, a.provider):
+        raise SystemExit(f"provider {a.provider} is not configured")
+    if a.provider != "mock":
+        raise SystemExit("only the mock provider is built in; give runner.Run a provider of your own")
+    s = settings.settings_for_run(c, a.provider)
+    folder = Path(a.run)
     Path(a.run, runner.PAUSE_FILE).unlink(missing_ok=True)
-    asked = spark.read.parquet(f"{a.run}/requests").select("request_id", "task", "prompt", "system_prompt", "gold_bool", "gold_set").orderBy("request_id")
-    rows = [r.asDict() for r in (asked.limit(a.limit) if a.limit else asked).toLocalIterator()]
-    print(json.dumps(runner.Run(Path(a.run), runner.MockProvider(), runner.Limits(a.workers, adaptive=a.adaptive)).go(rows)))
+    asked = _requests(spark, a).select("request_id", "ordinal", "task", "prompt", "system_prompt", "gold_bool", "gold_set")
+    total = asked.count()
+    before = runner.log_state(_responses(spark, a)).where("completed").count()
+    # Only what is pending comes to the driver, one partition at a time, in the dataset's order.
+    todo = pending(asked, _responses(spark, a)).orderBy("ordinal")
+    rows = (r.asDict() for r in todo.toLocalIterator())
+    limits = runner.Limits(a.workers, s.max_retries, s.retry_backoff_seconds, s.request_interval_seconds, a.adaptive or s.concurrency_mode == "adaptive", s.retryable_cooldown_seconds)
+    outcome = runner.Run(folder, runner.MockProvider(), limits).go(rows, a.limit or None)
+    made = runner.run_manifest(folder, outcome, s, a.command, total, before)
+    print(json.dumps({**outcome, "requests": total, "complete": made["complete"]}))
 
 
 def pause(spark, a):
@@ -75,47 +151,79 @@ def pause(spark, a):
     Path(a.run, runner.PAUSE_FILE).touch()
 
 
-def _requests(spark, a):
-    r = spark.read.parquet(f"{a.run}/requests")
-    return r.withColumn("ordinal", F.lit(0).cast("long")).withColumn("option_count", F.size("candidates")).withColumnRenamed("weight", "sampling_weight")
-
-
 def reparse(spark, a):
-    _out(scoring.slice_table(scoring.scores(_requests(spark, a), _responses(spark, a))), a, "score_slices")
+    asked, said = _requests(spark, a), _responses(spark, a)
+    scored = written(scoring.scores(asked, said, _config(a).answer_parse_char_limit), "scored")
+    told = _out(scoring.predictions(scored), a, "predictions")
+    kept = ["base_sample_id", "sample_id", "request_id", "task", "family", "a_count", "b_count", "information", "sampling_weight", "gold_bool", "gold_set", "parsed_bool", "parsed_set", "correct", "format_valid", "parse_error"]
+    scores = _out(scored.select(*kept, "ordinal"), a, "scores")
+    slices = _out(scoring.slice_table(scored), a, "score_slices")
+    summary = {"slices": scoring.records(slices, "slice", "label"), "information_effect": scoring.records(scoring.information_effect(scored))}
+    _json(a, "reparse_manifest.json", {"requests": asked.count(), "responses": said.count(), "predictions": told.count(), "scores": scores.count(), "mode": "reparse", "no_api_requests_sent": True, "summary": summary})
 
 
 def report(spark, a):
-    rows = constraint.written(scoring.evaluation_rows(_requests(spark, a), _responses(spark, a)), "rows")
-    for name, df in {"overall": scoring.overall(rows), "slices": scoring.slice_table(rows, scoring.REPORT_SLICES), "binary": scoring.binary_metrics(rows, ["family", "task"]), "set_sizes": scoring.set_size_table(rows), "parse_errors": scoring.parse_error_table(rows)}.items():
-        _out(df, a, f"report/{name}")
+    said = _responses(spark, a)
+    rows = _out(scoring.evaluation_rows(_requests(spark, a), said), a, "evaluation_rows")
+    candidates = None
+    if Path(a.run, "resource_snapshot").exists() or Path(a.data, "edge").exists():
+        node = spark.read.parquet(f"{a.run}/resource_snapshot" if Path(a.run, "resource_snapshot").exists() else f"{a.data}/node")
+        candidates = _out(scoring.candidate_frame(rows, taxonomy.closure(written(taxonomy.usable_edges(node, spark.read.parquet(f"{a.data}/edge")), "edge"))), a, "t2_candidates")
+    _json(a, "evaluation_metrics.json", scoring.evaluation_metrics(rows, said, candidates))
 
 
 def universe_audit(spark, a):
-    g = _graph(spark, a)
-    _out(audits.structural_counts(g), a, "structural_counts")
-    _out(probe.probe_summary(probe.probe_cores(g)), a, "probe_summary")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    counts = _out(audits.structural_counts(g), a, "structural_counts")
+    probed = written(probe.probe_cores(g), "probed")
+    _out(probe.probe_summary(probed, counts), a, "probe_summary")
+    _out(audits.sampling_frame(audits.scaled_task_populations(probed, counts)), a, "universe_sampling_frame")
+    _out(audits.object_inventory(g.node, g), a, "object_inventory")
+    _out(taxonomy.graph_audit(g.node, g.edge, g.sizes, g.children), a, "graph_audit")
+    _out(taxonomy.top_nodes(g.edge, g.sizes, g.children), a, "top_nodes")
 
 
 def seed_audit(spark, a):
-    g = _graph(spark, a)
-    _out(audits.threshold_populations(constraint.seed_cores(g, _seeds(g), a.min_positive, need_negative=False), g.node), a, "threshold_populations")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    seeds, low = _seeds(g, c), c.resources.min_final_positive_count
+    found = written(constraint.seed_cores(g, seeds, low, need_negative=False), "found")
+    cells = _out(audits.seed_cells(found, constraint.missing_reasons(g, seeds, low), seeds), a, "lowest_viable_cells")
+    counts = _out(audits.threshold_populations(found, g.node), a, "threshold_populations")
+    _out(audits.threshold_summary(counts), a, "threshold_summary")
+    _out(audits.threshold_shortages(counts), a, "threshold_shortages")
+    _out(audits.top_heads(found), a, "top_heads")
+    frame = _out(audits.sampling_frame(audits.task_populations(cells)), a, "sampling_frame")
+    _json(a, "recipe_seed_audit_summary.json", scoring.records(audits.sampling_summary(frame))[0])
+    _out(probe.probe_frame(found), a, "probe_frame")
+
+
+def _frame(spark, a, g, c) -> DataFrame:
+    if Path(a.run, "probe_frame").exists():
+        return spark.read.parquet(f"{a.run}/probe_frame")
+    return written(probe.probe_frame(constraint.seed_cores(g, _seeds(g, c), c.resources.min_final_positive_count, need_negative=False)), "probe_frame")
 
 
 def depth_audit(spark, a):
-    g = _graph(spark, a)
-    pairs = g.walk.select("family", "seed", F.col("anc").alias("a1"))
-    _out(audits.b_options_by_depth(constraint.branch_sets(pairs, g), g, None), a, "depth_options")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    compared = _out(audits.depth_comparison(_frame(spark, a, g, c), g), a, "depth_comparison")
+    _out(audits.depth_summary(compared), a, "depth_summary")
+    _out(audits.depth_cells(compared), a, "depth_cells")
 
 
 def scheduler_audit(spark, a):
-    _out(audits.scheduler_scenarios(spark.read.parquet(f"{a.run}/threshold_populations"), audits.QUOTAS, a.min_positive), a, "scheduler_scenarios")
+    counts = spark.read.parquet(f"{a.run}/threshold_populations")
+    _out(audits.scheduler_scenarios(counts, audits.QUOTAS, a.threshold), a, "scheduler_scenarios")
+    _out(audits.gold_size_plan(counts, audits.QUOTAS, a.threshold), a, "gold_size_plan")
 
 
 def scheduler_probe(spark, a):
-    g = _graph(spark, a)
-    cores = constraint.seed_cores(g, _seeds(g), a.min_positive)
-    win = sampling.windows(cores, g).withColumn("core", F.to_json(F.struct("a1", "branches", "bs"))).withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS))))
-    _out(probe.simulate(win), a, "simulation")
+    c = _config(a)
+    g = _graph(spark, a, c)
+    made = _out(probe.simulate(probe.probe_windows(_frame(spark, a, g, c), g), threshold=a.threshold), a, "simulation")
+    _out(probe.strategy_metrics(made), a, "strategy_metrics")
 
 
 COMMANDS = {
@@ -129,12 +237,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=sorted(COMMANDS))
     p.add_argument("--data", default="data")
     p.add_argument("--run", default="run")
+    p.add_argument("--config")
+    p.add_argument("--providers")
     p.add_argument("--provider", default="mock")
-    p.add_argument("--configured", default="mock")
-    for name, value in (("min-positive", 1), ("quota", 3), ("seed", 13), ("limit", 0), ("workers", 1)):
+    for name in ("min-positive", "quota"):
+        p.add_argument(f"--{name}", type=int)
+    for name, value in (("limit", 0), ("workers", 1), ("threshold", 5)):
         p.add_argument(f"--{name}", type=int, default=value)
-    p.add_argument("--product", default="product")
-    p.add_argument("--tier", default="test")
     p.add_argument("--adaptive", action="store_true")
     return p
 

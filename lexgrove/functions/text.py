@@ -57,11 +57,16 @@ def clean_han_synonyms(values: Column) -> Column:
     return ordered_distinct(F.filter(values, lambda v: is_han(v) & (v != EXCLUDED_SURFACE)))
 
 
+#: Fixed value: the surfaces that come before the first synonym of an id.
+PREFERRED_SURFACES = {"bn:00054288n": ["迷因", "模因"]}
+
+
 def preferred_surface(values: Column, object_id: Column, preferred: dict[str, list[str]] | None = None) -> Column:
-    """The first synonym among an id's preferred ones, else its first, else an empty string."""
+    """The first synonym among an id's preferred ones (PREFERRED_SURFACES if none are given), else its first, else an empty string."""
+    preferred = PREFERRED_SURFACES if preferred is None else preferred
     first = F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(""))
     out = first
-    for key, wanted in (preferred or {}).items():
+    for key, wanted in preferred.items():
         hit = F.try_element_at(F.filter(F.array(*map(F.lit, wanted)), lambda w: F.array_contains(values, w)), F.lit(1))
         out = F.when(object_id == key, F.coalesce(hit, first)).otherwise(out)
     return out

@@ -40,23 +40,70 @@ def split_children(pairs: DataFrame, g: Graph) -> DataFrame:
     return kids.join(cover, ["family", "child", "seed"], "left").select("family", "seed", "a1", "child", "size", F.coalesce("covers", F.lit(False)).alias("covers"))
 
 
+def ranked_children(g: Graph) -> DataFrame:
+    """(family, parent, j, child, size): children with descendants, the largest first, numbered from 1."""
+    j = F.row_number().over(Window.partitionBy("family", "parent").orderBy(F.desc("size"), "child"))
+    return g.children.select("family", "parent", "child", "size", j.alias("j"))
+
+
+def first_left(keys: DataFrame, removed: DataFrame, ranked: DataFrame, count: int) -> DataFrame:
+    """Each key's ``count`` first children of ``parent`` that are not removed: the columns of ``keys`` and child, size, j.
+
+    ``keys`` holds id, family, parent; ``removed`` id, parent, j. Only as many ranks are written out as can matter, so that a
+    parent with many children costs no more than one with few.
+    """
+    gone = removed.distinct().withColumn("i", F.row_number().over(Window.partitionBy("id", "parent").orderBy("j")))
+    early = gone.where(F.col("j") - F.col("i") < count).groupBy("id", "parent").agg(F.count("*").alias("n"))
+    upto = keys.join(early, ["id", "parent"], "left").withColumn("j", F.explode(F.sequence(F.lit(1), (F.coalesce("n", F.lit(0)) + count).cast("int")))).drop("n")
+    return upto.join(gone.select("id", "parent", "j"), ["id", "parent", "j"], "left_anti").join(ranked, ["family", "parent", "j"])
+
+
 def branch_sets(pairs: DataFrame, g: Graph) -> DataFrame:
     """(family, seed, a1, k, branches): the branches of a (seed, a1) pair for k from 0 to 4, where it has enough.
 
     Taken in turn: the smallest covering child, those that do not cover by descending size, the rest of the covering;
-    ids break ties, and the set is in id order.
+    ids break ties, and the set is in id order. Of a parent's children only those that cover the seed and the first few others are looked at.
     """
-    kids = split_children(pairs, g)
-    first = F.row_number().over(Window.partitionBy("family", "seed", "a1", "covers").orderBy("size", "child"))
-    stage = F.when(~F.col("covers"), 1).when(F.col("n") == 1, 0).otherwise(2)
-    key = F.struct(stage.alias("stage"), F.when(F.col("covers"), F.col("size")).otherwise(-F.col("size")).alias("size"), "child")
-    ordered = kids.withColumn("n", first).groupBy("family", "seed", "a1").agg(F.array_sort(F.collect_list(key)).alias("o"), F.max("covers").alias("any"))
-    ks = F.explode(F.sequence(F.lit(1), F.lit(max(A_COUNTS) - 1))).alias("k")
-    some = ordered.where("any").select("family", "seed", "a1", F.col("o.child").alias("o"), ks).where(F.size("o") >= F.col("k"))
-    some = some.select("family", "seed", "a1", "k", F.array_sort(F.slice("o", F.lit(1), F.col("k"))).alias("branches"))
+    most = max(A_COUNTS) - 1
+    ranked = written(ranked_children(g), "ranked")
+    pairs = pairs.select("family", "seed", "a1").distinct().withColumn("id", F.xxhash64("family", "seed", "a1"))
+    covering = g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed")).join(ranked, ["family", "child"])
+    covering = covering.select("family", "seed", F.col("parent").alias("a1"), "child", "size", "j").join(pairs, ["family", "seed", "a1"])
+    covering = written(covering, "covering")
+    asked = pairs.join(covering.select("id").distinct(), "id", "left_semi").withColumn("parent", F.col("a1"))
+    others = first_left(asked, covering.select("id", F.col("a1").alias("parent"), "j"), ranked, most)
+    first = F.row_number().over(Window.partitionBy("id").orderBy("size", "child"))
+    own = covering.withColumn("n", first).where(F.col("n") <= most)
+    rows = own.select("id", F.when(F.col("n") == 1, 0).otherwise(2).alias("stage"), F.col("size").alias("o"), "child").unionByName(others.select("id", F.lit(1).alias("stage"), (-F.col("size")).alias("o"), "child"))
+    ordered = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("stage", "o", "child"))).alias("x")).select("id", F.col("x.child").alias("x"))
+    ks = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")
+    some = pairs.join(ordered, "id").select("family", "seed", "a1", "x", ks).where(F.size("x") >= F.col("k"))
+    some = some.select("family", "seed", "a1", "k", F.array_sort(F.slice("x", F.lit(1), F.col("k"))).alias("branches"))
     return pairs.select("family", "seed", "a1", F.lit(0).alias("k"), F.array().cast(_IDS).alias("branches")).unionByName(some)
 
 
+def top_b(branched: DataFrame, g: Graph, count: int = max(B_COUNTS)) -> DataFrame:
+    """As ``choose_b`` over ``b_options``, but of each branch and of a1 only the ``count`` first options of its own are looked at.
+
+    A child belongs to the first branch in id order that has it, else to a1 if it is no branch itself. Within its
+    source the order is by size and id, so that a source's ``count`` first hold all that can be chosen from it.
+    """
+    ranked = written(ranked_children(g), "ranked")
+    rows = written(branched.select("family", "seed", "a1", "k", "branches", F.xxhash64("family", "seed", "a1", "k").alias("id")), "branched")
+    at = F.concat(F.transform("branches", lambda x, i: F.struct(i.alias("stage"), x.alias("parent"))), F.array(F.struct(F.lit(99).alias("stage"), F.col("a1").alias("parent"))))
+    asked = rows.select("id", "family", "seed", F.explode(at).alias("p")).select("id", "family", "seed", "p.*")
+    covers = asked.join(g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed")).join(ranked, ["family", "child"]), ["family", "seed", "parent"]).select("id", "parent", "j")
+    # Children of a branch belong to it, not to a later branch or to a1: what an earlier source has, is removed.
+    named = rows.select("id", "family", F.explode("branches").alias("child")).join(ranked, ["family", "child"]).join(rows.select("id", F.col("a1").alias("parent")), ["id", "parent"], "left_semi").select("id", "parent", "j")
+    early = asked.where("stage < 99").select("id", "family", F.col("stage").alias("was"), F.col("parent").alias("branch")).join(ranked.select("family", F.col("parent").alias("branch"), "child"), ["family", "branch"])
+    taken = early.join(ranked.select("family", "child", "parent", "j"), ["family", "child"]).join(asked.select("id", "stage", "parent"), ["id", "parent"]).where("was < stage").select("id", "parent", "j")
+    found = first_left(asked.select("id", "family", "parent", "stage"), covers.unionByName(named).unionByName(taken), ranked, count)
+    source = F.when(F.col("stage") == 99, "inside_A1").otherwise("inside_positive_branch").alias("source")
+    key = F.struct((-F.col("size")).alias("neg"), F.col("parent").alias("paired"), F.col("child").alias("b"), source)
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, count).alias("chosen"))
+    return rows.join(best, "id").select("family", "seed", "a1", "k", "chosen")
+
+
 def b_options(branched: DataFrame, g: Graph) -> DataFrame:
     """(family, seed, a1, k, b, size, paired, source): children that do not cover the seed, of each branch and then of a1.
 
@@ -84,7 +131,7 @@ def cores(g: Graph, seeds: DataFrame) -> DataFrame:
     """All candidate cores: (family, seed, a1, distance, rank, a_count, b_count, branches, bs, paired, sources)."""
     pairs = g.walk.join(seeds, ["family", "seed"], "left_semi").select("family", "seed", F.col("anc").alias("a1"), "distance", "rank")
     branched = written(branch_sets(pairs.select("family", "seed", "a1"), g), "branches")
-    chosen = choose_b(b_options(branched, g))
+    chosen = top_b(branched, g)
     out = branched.join(chosen, ["family", "seed", "a1", "k"], "left").join(pairs, ["family", "seed", "a1"])
     n = F.coalesce(F.size("chosen"), F.lit(0))
     out = out.withColumn("b_count", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))))
@@ -144,13 +191,8 @@ def capacity(positive: Column, negative: Column, hard: Column) -> dict[str, Colu
     }
 
 
-def seed_cores(g: Graph, seeds: DataFrame, min_positive: int = 1, need_negative: bool = True) -> DataFrame:
-    """For each seed and cell the first ancestor in walk order whose core is viable, with its counts.
-
-    ``need_negative`` tells the generator's gate (a negative must exist) from the audit's.
-    """
-    all_ = written(cores(g, seeds), "cores")
-    counted = written(core_counts(all_, g), "counts")
+def first_viable(all_: DataFrame, counted: DataFrame, min_positive: int = 1, need_negative: bool = True) -> DataFrame:
+    """Of all cores with their counts the first in walk order of each seed and cell that is viable."""
     fine = F.col("positive") >= min_positive
     if need_negative:
         fine = fine & (F.col("negative") >= 1)
@@ -159,11 +201,20 @@ def seed_cores(g: Graph, seeds: DataFrame, min_positive: int = 1, need_negative:
     return viable.withColumn("n", first).where("n = 1").drop("n")
 
 
-def missing_reasons(g: Graph, seeds: DataFrame, min_positive: int = 1) -> DataFrame:
+def seed_cores(g: Graph, seeds: DataFrame, min_positive: int = 1, need_negative: bool = True) -> DataFrame:
+    """For each seed and cell the first ancestor in walk order whose core is viable, with its counts.
+
+    ``need_negative`` tells the generator's gate (a negative must exist) from the audit's.
+    """
+    all_ = written(cores(g, seeds), "cores")
+    return first_viable(all_, written(core_counts(all_, g), "counts"), min_positive, need_negative)
+
+
+def missing_reasons(g: Graph, seeds: DataFrame, min_positive: int = 1, all_: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(family, seed, a_count, b_count, reason) where no ancestor is viable: the commonest reason over ancestors, ties to the earliest; without ancestors no_usable_ancestor."""
     cells = seeds.select("family", "seed", F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))).alias("c")).select("family", "seed", "c.*")
-    all_ = written(cores(g, seeds), "cores")
-    counted = core_counts(all_, g)
+    all_ = all_ if all_ is not None else written(cores(g, seeds), "cores")
+    counted = counted if counted is not None else core_counts(all_, g)
     got = all_.join(counted, ["family", "a1", "branches", "bs"]).select("family", "seed", F.col("a1").alias("anc"), "a_count", "b_count", "positive")
     has_branch = all_.select("family", "seed", F.col("a1").alias("anc"), "a_count", F.lit(True).alias("branched")).distinct()
     each = cells.join(g.walk, ["family", "seed"]).join(has_branch, ["family", "seed", "anc", "a_count"], "left").join(got, ["family", "seed", "anc", "a_count", "b_count"], "left")
@@ -177,8 +228,15 @@ def missing_reasons(g: Graph, seeds: DataFrame, min_positive: int = 1) -> DataFr
 
 
 def feasibility(g: Graph, seeds: DataFrame, min_positive: int = 1, tasks: tuple[str, ...] = ("T1", "T2", "T3")) -> DataFrame:
-    """One row per family, task and cell: feasible seeds, capacities, negative sources and status."""
-    found = written(seed_cores(g, seeds, min_positive, need_negative=False), "found")
+    """One row per family, task and cell: feasible seeds, capacities, negative sources, status and its reason.
+
+    Cells without a core give the reasons that their seeds lack one, in order, joined by commas.
+    """
+    all_ = written(cores(g, seeds), "cores")
+    counted = written(core_counts(all_, g), "counts")
+    found = written(first_viable(all_, counted, min_positive, need_negative=False), "found")
+    reasons = missing_reasons(g, seeds, min_positive, all_, counted).groupBy("family", "a_count", "b_count").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    kids = g.children.groupBy("family", "parent").agg(F.count("*").alias("n")).groupBy("family").agg(F.max("n").alias("direct_children"))
     n_seeds = seeds.groupBy("family").agg(F.count("*").alias("usable_seed_count"))
     easy = F.col("outside") >= POOL
     t2 = sum(((F.col("positive") >= p) & (F.col("negative") >= POOL - p)).cast("int") for p in (0, 1, 2))
@@ -191,14 +249,15 @@ def feasibility(g: Graph, seeds: DataFrame, min_positive: int = 1, tasks: tuple[
         F.min("positive").alias("positive_min"), F.max("positive").alias("positive_max"), F.min("negative").alias("negative_min"), F.max("negative").alias("negative_max"),
     )
     cells = n_seeds.select("family", "usable_seed_count", F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for t in tasks for a in A_COUNTS for b in B_COUNTS))).alias("c")).select("family", "usable_seed_count", "c.*")
-    out = cells.join(g1, ["family", "a_count", "b_count"], "left")
+    out = cells.join(g1, ["family", "a_count", "b_count"], "left").join(reasons, ["family", "a_count", "b_count"], "left").join(kids, "family", "left")
     numbers = ["feasible", "candidates", "t1", "t2", "t3", "positive_min", "positive_max", "negative_min", "negative_max"]
-    out = out.fillna(0, numbers).fillna(False, ["hits", "fails", "hard_available", "easy_available"])
+    out = out.fillna(0, [*numbers, "direct_children"]).fillna(False, ["hits", "fails", "hard_available", "easy_available"])
     status = F.when(F.col("feasible") == 0, "infeasible").when(F.col("feasible") < F.greatest(F.lit(1), F.floor(F.col("usable_seed_count") / 100)), "shortage").otherwise("available")
     sources = F.array_sort(F.filter(F.array(F.lit("outside_A1"), F.when(F.col("hits"), "hits_B"), F.when(F.col("fails"), "fails_positive_branch")), lambda x: x.isNotNull()))
     return out.select(
         "family", "task", "a_count", "b_count", "usable_seed_count", F.col("feasible").cast("long").alias("feasible_seed_cell_count"), F.col("candidates").cast("long").alias("usable_candidate_count"),
         F.array_join(F.array_distinct(F.coalesce("sources", F.array().cast(_IDS))), ",").alias("b_sources"), F.array_join(sources, ",").alias("negative_sources"), "hard_available", "easy_available",
         F.when(F.col("task") == "T1", F.col("t1")).otherwise(0).cast("long").alias("t1_capacity"), F.col("t2").cast("long").alias("t2_pool_space"), F.col("t3").cast("long").alias("t3_pool_space"),
-        status.alias("status"), *(F.col(c).cast("long").alias(c) for c in numbers[5:]),
+        status.alias("status"), F.when(status == "infeasible", F.coalesce("reasons", F.lit("no_feasible_seed_cell"))).when(status == "shortage", "low_feasible_seed_cell_count").otherwise("ok").alias("reason"),
+        F.col("direct_children").cast("long").alias("direct_usable_child_count"), *(F.col(c).cast("long").alias(c) for c in numbers[5:]),
     )

@@ -51,7 +51,10 @@ def _family(family: Column, pick) -> Column:
 
 
 def prompt(rows: DataFrame) -> DataFrame:
-    """Adds prompt, system_prompt, expected_protocol, request_hash and request_id to rows of ``with_nodes``."""
+    """Adds prompt, system_prompt, messages, expected_protocol, request_hash and request_id to rows of ``with_nodes``.
+
+    The request hash replaces the sample's placeholder; ``sample_request_hash`` is the sample's own copy of it.
+    """
     fam, task, info = F.col("family"), F.col("task"), F.col("information")
     word = lambda k: _family(fam, lambda w: F.lit(w[k]))
     strings = lambda *c: F.array(*c)
@@ -77,18 +80,33 @@ def prompt(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("prompt", F.array_join(lines, "\n")).withColumn("system_prompt", word("system"))
     out = out.withColumn("expected_protocol", F.when(task == "T2", "candidate_number_list").otherwise("boolean_first_word")).withColumn("renderer_version", F.lit(RENDERER_VERSION))
     out = out.withColumn("request_hash", stable_hash(32, **{k: F.col(k) for k in ("sample_id", "renderer_version", "prompt", "system_prompt", "expected_protocol")}))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    out = out.withColumn("messages", F.array(message("system", "system_prompt"), message("user", "prompt"))).withColumn("sample_request_hash", F.col("request_hash"))
     return out.withColumn("request_id", F.concat(F.lit("request_"), F.substring("request_hash", 1, 16))).drop("_a", "_p", "_x", "_c")
 
 
-def request_faults(requests: DataFrame) -> DataFrame:
-    """(fault, request_id): duplicate ids or hashes, ids that do not match their hash, empty prompts, other renderer versions."""
-    def fault(name: str, bad: DataFrame) -> DataFrame:
-        return bad.select(F.lit(name).alias("fault"), "request_id")
+#: Fields that every request must have.
+REQUIRED = ("request_id", "sample_id", "base_sample_id", "task", "family", "information", "request_hash", "messages", "sample_request_hash")
 
-    per_hash = requests.groupBy("request_hash").agg(F.min("request_id").alias("request_id"), F.count("*").alias("n")).where("n > 1")
-    return (
-        fault("duplicate_request_id", requests.groupBy("request_id").count().where("count > 1")).unionByName(fault("duplicate_request_hash", per_hash))
-        .unionByName(fault("id_without_hash", requests.where(~F.col("request_id").endswith(F.substring("request_hash", 1, 16)))))
-        .unionByName(fault("empty_prompt", requests.where("coalesce(prompt, '') = ''")))
-        .unionByName(fault("renderer_version", requests.where(F.col("renderer_version") != RENDERER_VERSION)))
-    )
+
+def request_faults(requests: DataFrame, renderer_version: str = RENDERER_VERSION) -> DataFrame:
+    """(fault, request_id): missing fields, duplicate ids or hashes, ids that do not end with their hash, samples with another hash, no messages, other renderer versions.
+
+    A field is missing if its column is, or if it is null. Single rows are checked in one pass.
+    """
+    rows = requests
+    for c in REQUIRED:
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("array<struct<role:string,content:string>>" if c == "messages" else "string"))
+    rows = rows if "renderer_version" in rows.columns else rows.withColumn("renderer_version", F.lit(None).cast("string"))
+    lacking = F.lit(False)
+    for c in REQUIRED:
+        lacking = lacking | F.col(c).isNull()
+    empty = (F.size("messages") == 0) | F.exists("messages", lambda m: F.coalesce(m["content"], F.lit("")) == "")
+    checks = {
+        "missing_fields": lacking, "id_without_hash": ~F.col("request_id").endswith(F.substring("request_hash", 1, 16)), "nested_hash": F.col("sample_request_hash") != F.col("request_hash"),
+        "empty_messages": F.col("messages").isNotNull() & empty, "renderer_version": F.coalesce(F.col("renderer_version") != renderer_version, F.lit(True)),
+    }
+    each = F.explode(F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks.items())), lambda x: x.isNotNull()))
+    twice = lambda c: rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("request_id").alias("id"), F.count("*").alias("n")).where("n > 1").select(F.lit(f"duplicate_{c}").alias("fault"), F.col("id").alias("request_id"))
+    return rows.select(each.alias("fault"), "request_id").unionByName(twice("request_id")).unionByName(twice("request_hash"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text
 from lexgrove.functions.exact import rate
+from lexgrove.operators import truth
 from lexgrove.operators.runlog import select_response
 
 
@@ -24,13 +25,34 @@ def _judged(rows: DataFrame, error: Column) -> DataFrame:
     return rows.withColumn("correct", F.col("format_valid") & hit)
 
 
+def normal_gold(rows: DataFrame) -> DataFrame:
+    """Gold answers by task: T2 a set (none: empty), others a truth value (none: false)."""
+    two = F.col("task") == "T2"
+    none = F.array().cast("array<int>")
+    return rows.withColumns({"gold_set": F.when(two, F.coalesce("gold_set", none)), "gold_bool": F.when(~two, F.coalesce("gold_bool", F.lit(False)))})
+
+
+def predictions(scored: DataFrame) -> DataFrame:
+    """The prediction records of scored requests: parsed answer, error, and whether answer and reasoning were cut.
+
+    A text over the limit counts as cut; response columns that the log lacks count as false.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in scored.columns else F.lit(False)
+    own = [c for c in ("sample_id", "request_id") if c in scored.columns]
+    return scored.select(
+        *own, "task", "parsed_bool", "parsed_set", F.col("parse_error").alias("parse_error_type"), (flag("text_cut") | flag("answer_truncated")).alias("answer_truncated"),
+        flag("reasoning_available").alias("reasoning_available"), flag("reasoning_truncated").alias("reasoning_truncated"),
+    )
+
+
 def scores(requests: DataFrame, responses: DataFrame, limit: int = 2000, literals: bool = True) -> DataFrame:
     """Scored requests that have a response. Refusals replace parse errors of successes; other errors keep their text."""
     rows = _parsed(requests.join(select_response(responses).withColumnRenamed("ordinal", "response_ordinal"), "request_id"), limit, literals)
     bad = text.parse_error(F.col("task"), F.col("final_answer_text"), F.col("parsed_bool"), F.col("parsed_set"), limit)
     bad = F.when(bad.isNotNull() & text.is_refusal(F.col("final_answer_text")), text.REFUSAL).otherwise(bad)
     error = F.when(F.col("status") == "success", bad).otherwise(F.coalesce(F.when(F.col("error_state") != "", F.col("error_state")), F.lit(text.PROVIDER)))
-    return _judged(rows, error)
+    cut = (F.col("status") == "success") & (F.length(F.coalesce("final_answer_text", F.lit(""))) > limit)
+    return _judged(rows.withColumn("text_cut", cut), error)
 
 
 def evaluation_rows(requests: DataFrame, responses: DataFrame, limit: int = 2000, literals: bool = True) -> DataFrame:
@@ -123,3 +145,90 @@ def overall(rows: DataFrame) -> DataFrame:
 def selection_rates(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """How often candidates were selected."""
     return candidates.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("selected")).alias("chosen"), rate(F.count_if(F.col("selected")), F.count("*")).alias("share"))
+
+
+def candidate_frame(rows: DataFrame, closed: DataFrame) -> DataFrame:
+    """(request_id, family, information, a_count, b_count, gold_set_size, pos, category, selected) of each candidate of T2 rows.
+
+    ``rows`` are evaluation rows with a1, branches, bs and candidates. A candidate in the gold set is positive; one
+    under a1 and a branch that an exclusion takes out is B-excluded.
+    """
+    t2 = rows.where("task = 'T2'")
+    traced = truth.trace(t2.select(F.col("request_id").alias("key"), "family", "a1", "branches", "bs", "candidates"), closed)
+    kept = t2.select(F.col("request_id").alias("key"), "information", "a_count", "b_count", "gold_set_size", "gold_set", "parsed_set")
+    both = traced.join(kept, "key")
+    branch = ~F.col("has_branches") | (F.size("branch_hits") > 0)
+    kind = truth.category(F.array_contains("gold_set", F.col("pos")), F.col("inside_a1"), branch, F.size("b_hits") > 0)
+    chosen = F.coalesce(F.array_contains("parsed_set", F.col("pos")), F.lit(False))
+    return both.select(F.col("key").alias("request_id"), "family", "information", "a_count", "b_count", "gold_set_size", "pos", kind.alias("category"), chosen.alias("selected"))
+
+
+def usage(responses: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """Responses with ``completion_tokens`` (0 if none) and ``finish_reason`` out of the raw answer's JSON text; without a reason ``unknown``."""
+    get = lambda p: F.get_json_object(raw, p)
+    reason = F.coalesce(get("$.choices[0].finish_reason"), get("$.choices[0].stop_reason"), F.lit("unknown"))
+    return responses.withColumn("completion_tokens", F.coalesce(get("$.usage.completion_tokens").try_cast("long"), F.lit(0))).withColumn("finish_reason", reason)
+
+
+def as_percent(value: Column) -> Column:
+    """A share with two decimals and a percent sign; empty for null and NaN."""
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "").otherwise(F.format_string("%.2f%%", value.cast("double") * 100))
+
+
+def as_number(value: Column) -> Column:
+    """Whole numbers with commas, others with four decimals; empty for null and NaN."""
+    x = value.cast("double")
+    whole = F.format_number(x, 0)
+    return F.when(x.isNull() | F.isnan(x), "").when(x == F.floor(x), whole).otherwise(F.format_string("%.4f", x))
+
+
+def markdown(headers: list[str], rows: list[list]) -> str:
+    """A table of a report: floats with four decimals, nothing for None and NaN."""
+    def cell(v) -> str:
+        if v is None or isinstance(v, float) and v != v:
+            return ""
+        return f"{v:.4f}" if isinstance(v, float) else str(v)
+
+    lines = [headers, ["---"] * len(headers), *([cell(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def matrix_payload(table: DataFrame) -> dict:
+    """A matrix of a few rows as index, columns and values for JSON; what is missing is None."""
+    rows = sorted(table.collect(), key=lambda r: r["a_count"])
+    names = [c for c in table.columns if c != "a_count"]
+    used = [c for c in names if any(r[c] is not None for r in rows)]
+    return {"index": [r["a_count"] for r in rows], "columns": [int(c[1:]) for c in used], "values": [[r[c] for c in used] for r in rows]}
+
+
+def records(table: DataFrame, *order: str) -> list[dict]:
+    """Rows of a report's table, which is small, as dictionaries."""
+    return [r.asDict(recursive=True) for r in (table.orderBy(*order) if order else table).collect()]
+
+
+def accuracy_table(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, hits, accuracy); null keys are groups, no keys give one row."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("correct").alias("hits"), rate(F.count_if("correct"), F.count("*")).alias("accuracy"))
+
+
+def evaluation_metrics(rows: DataFrame, responses: DataFrame, candidates: DataFrame | None = None) -> dict:
+    """All numbers of a report as one JSON object; raises without a request."""
+    whole = overall(rows).first().asDict()
+    if not whole["total"]:
+        raise ValueError("a report needs at least one request")
+    seen = responses.agg(F.count("*").alias("rows"), F.count_distinct("request_id").alias("ids")).first()
+    out = {"overall": whole | {"response_rows_seen": seen["rows"], "responses_selected": rows.where("status <> 'missing'").count()}}
+    out["parse_errors"] = records(parse_error_table(rows), "task", "parse_error")
+    out["accuracy_slices"] = records(slice_table(rows, REPORT_SLICES), "slice", "label")
+    out["overall_accuracy_matrix"] = matrix_payload(matrix(rows.withColumn("x", F.col("correct").cast("double")), "x"))
+    out["binary_metrics"] = records(binary_metrics(rows, ["task"]), "task")
+    cells = binary_metrics(rows, ["task", "a_count", "b_count"])
+    names = ("positive_precision", "positive_recall", "negative_precision", "negative_recall")
+    out["binary_matrices"] = {t: {m: matrix_payload(matrix(cells.where(F.col("task") == t), m)) for m in names} for t in ("T1", "T3")}
+    t2 = rows.where("task = 'T2'")
+    out["t2_accuracy_by_gold_set_size"] = records(accuracy_table(t2, ["gold_set_size"]), "gold_set_size")
+    out["t2_predicted_size_distribution"] = records(set_size_table(rows), "gold_set_size", "predicted_size_label")
+    if candidates is not None:
+        out["t2_candidate_summary"] = records(selection_rates(candidates, ["category"]), "category")
+        out["t2_candidate_by_b_count"] = records(selection_rates(candidates, ["b_count", "category"]), "b_count", "category")
+    return out

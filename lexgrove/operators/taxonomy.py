@@ -27,16 +27,17 @@ def nodes_from_english(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return node, pairs.join(known, "child", "left_semi").distinct().select(F.lit("wordnet").alias("family"), "parent", "child")
 
 
-def nodes_from_chinese(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def nodes_from_chinese(records: DataFrame, preferred: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from ``ordinal, object_id, pos, zh_synonyms, gloss, sememes, hyponyms``.
 
     The last record of an id counts. Nouns only; proper names go; usable with a Han surface and a gloss that is not blank.
+    ``preferred`` lists, for an id, the surfaces that come before its first one.
     """
     last = records.groupBy("object_id").agg(F.max_by(F.struct("pos", "zh_synonyms", "gloss", "sememes", "hyponyms"), "ordinal").alias("r")).select("object_id", "r.*")
     noun = last.where("lower(pos) in ('n', 'noun')")
     clean = text.clean_han_synonyms(F.col("zh_synonyms"))
     node = noun.select(
-        F.lit("babelnet").alias("family"), "object_id", text.preferred_surface(clean, F.col("object_id")).alias("surface"),
+        F.lit("babelnet").alias("family"), "object_id", text.preferred_surface(clean, F.col("object_id"), preferred).alias("surface"),
         F.coalesce("gloss", F.lit("")).alias("gloss"), clean.alias("synonyms"), text.is_proper_name(F.col("sememes")).alias("proper"),
     )
     node = node.withColumn("usable", (F.col("surface") != "") & (F.trim("gloss") != "") & ~F.col("proper")).drop("proper")
@@ -51,13 +52,16 @@ def usable_edges(node: DataFrame, edge: DataFrame) -> DataFrame:
     return out.join(ok.withColumnRenamed("object_id", "child"), ["family", "child"], "left_semi").select("family", "parent", "child").distinct()
 
 
-def closure(edge: DataFrame, rounds: int = 200) -> DataFrame:
+def closure(edge: DataFrame, rounds: int = 200, starts: DataFrame | None = None) -> DataFrame:
     """(family, anc, desc, depth): all descendants, not the node itself unless it lies on a cycle; depth is the shortest.
 
     Semi-naive: each round joins only the pairs found last with the edges, and keeps what is new. Every
-    level is written to the shared folder, so that plans stay short.
+    level is written to the shared folder, so that plans stay short. With ``starts`` (family, anc) only their
+    descendants are walked.
     """
     pairs = edge.select("family", F.col("parent").alias("anc"), F.col("child").alias("desc")).distinct()
+    if starts is not None:
+        pairs = pairs.join(F.broadcast(starts.distinct()), ["family", "anc"], "left_semi")
     level = written(pairs.withColumn("depth", F.lit(1)), "closure")
     seen = level
     step = edge.select("family", F.col("parent").alias("desc"), F.col("child").alias("next"))
@@ -146,7 +150,7 @@ def descendants_without_seed(children: DataFrame, closed: DataFrame, starts: Dat
 
 
 def graph_audit(node: DataFrame, edge: DataFrame, sizes: DataFrame, children: DataFrame) -> DataFrame:
-    """One row per family: roots, leaves (no child with descendants), nodes with several parents, quantiles of degree and closure size."""
+    """One row per family: nodes, roots, leaves (no child with descendants), nodes with several parents, largest closure, and quantiles of degrees and sizes as maps."""
     up = edge.groupBy("family", F.col("child").alias("object_id")).agg(F.count("*").alias("parents"))
     down = children.groupBy("family", F.col("parent").alias("object_id")).agg(F.count("*").alias("kids"))
     facts = sizes.join(up, ["family", "object_id"], "left").join(down, ["family", "object_id"], "left").fillna(0, ["parents", "kids"])
@@ -154,9 +158,53 @@ def graph_audit(node: DataFrame, edge: DataFrame, sizes: DataFrame, children: Da
         F.count("*").alias("nodes"), F.count_if(F.col("parents") == 0).alias("roots"),
         F.count_if(F.col("kids") == 0).alias("leaves"), F.count_if(F.col("parents") > 1).alias("multi_parent"), F.max("size").alias("largest"),
     )
+    for c in ("kids", "parents", "size"):
+        q = value_quantiles(facts, ["family"], c).select("family", F.struct("n", "min", "p50", "p90", "p99", "max").alias(f"{c}_quantiles"))
+        grouped = grouped.join(q, "family", "left")
     return grouped
 
 
+def top_nodes(edge: DataFrame, sizes: DataFrame, children: DataFrame, count: int = 12) -> DataFrame:
+    """(family, measure, object_id, value, rank): the nodes with most children with descendants, parents and descendants; ties by id."""
+    up = edge.groupBy("family", F.col("child").alias("object_id")).agg(F.count("*").alias("value"))
+    down = children.groupBy("family", F.col("parent").alias("object_id")).agg(F.count("*").alias("value"))
+    rows = None
+    for name, df in (("children", down), ("parents", up), ("closure", sizes.select("family", "object_id", F.col("size").alias("value")))):
+        one = df.select("family", F.lit(name).alias("measure"), "object_id", F.col("value").cast("long").alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("family", "measure").orderBy(F.desc("value"), "object_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= count)
+
+
+def direct_children(edge: DataFrame, sizes: DataFrame, least: int = 1) -> DataFrame:
+    """(family, parent, child, size): children with at least ``least`` descendants."""
+    return edge.join(sizes.withColumnRenamed("object_id", "child"), ["family", "child"]).where(F.col("size") >= least).select("family", "parent", "child", "size")
+
+
+def sibling_pool(edge: DataFrame, closed: DataFrame) -> DataFrame:
+    """(family, object_id, member): all siblings, leaves too, and their descendants, without the node and its own."""
+    pairs = edge.select("family", "parent", F.col("child").alias("object_id")).join(edge.select("family", "parent", F.col("child").alias("sibling")), ["family", "parent"]).where("sibling <> object_id")
+    pairs = pairs.select("family", "object_id", "sibling").distinct()
+    below = pairs.join(closed.select("family", F.col("anc").alias("sibling"), F.col("desc").alias("member")), ["family", "sibling"]).select("family", "object_id", "member")
+    all_ = pairs.select("family", "object_id", F.col("sibling").alias("member")).unionByName(below).where("member <> object_id").distinct()
+    return all_.join(closed.select("family", F.col("anc").alias("object_id"), F.col("desc").alias("member")), ["family", "object_id", "member"], "left_anti")
+
+
+def inventories(english: DataFrame | None, chinese: DataFrame | None, families: list[str], preferred: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the families that are switched on and have records; raises if none is left."""
+    made = []
+    if "wordnet" in families and english is not None:
+        made.append(nodes_from_english(english))
+    if "babelnet" in families and chinese is not None:
+        made.append(nodes_from_chinese(chinese, preferred))
+    if not made:
+        raise ValueError("no family is switched on and has records")
+    node, edge = made[0]
+    for n, e in made[1:]:
+        node, edge = node.unionByName(n, allowMissingColumns=True), edge.unionByName(e)
+    return node, edge
+
+
 def value_quantiles(values: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Nearest-rank quantiles of a whole-number column, from counts of its distinct values.
 

@@ -21,7 +21,7 @@ node(id) AS (SELECT p FROM e UNION SELECT c FROM e),
 sz AS (SELECT node.id, count(cl.c) AS size FROM node LEFT JOIN cl ON cl.p = node.id GROUP BY node.id),
 kid AS (SELECT e.p, e.c, sz.size FROM e JOIN sz ON sz.id = e.c WHERE sz.size >= 1)
 """
-FULL, SMALL = _GRAPH.format(edges=data.EDGES), _GRAPH.format(edges=data.PLACES)
+FULL = _GRAPH.format(edges=data.EDGES)
 _LOG = f"WITH r AS ({data.RESPONSES}), req AS ({data.REQUESTS})"
 
 
@@ -40,15 +40,9 @@ def _full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return data.nodes(edge), edge
 
 
-def _small(spark: SparkSession, sf_dir: str) -> constraint.Graph:
-    edge = data.edges(spark, sf_dir, data.PLACES)
-    return constraint.graph(data.nodes(edge), edge)
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> constraint.Graph:
-    """All nodes, those with several parents too; the folds and the queries with SQL twins over PLACES keep to _small."""
-    node, edge = _full(spark, sf_dir)
-    return constraint.graph(node, edge)
+    """All nodes, those with several parents too."""
+    return constraint.graph(*_full(spark, sf_dir))
 
 
 def _seeds(g: constraint.Graph) -> DataFrame:
@@ -71,7 +65,9 @@ def truth_boundary(spark, sf_dir):
     """Every object under ROOT against: under PROMO or SMALL, not under Brand#13."""
     a1, branches, bs = _BOUNDARY
     _, edge = _full(spark, sf_dir)
-    closed = taxonomy.closure(edge)
+    # Four concepts are asked about: only their descendants are walked.
+    heads = spark.createDataFrame([("wordnet", x) for x in (a1, *branches, *bs)], "family string, anc string")
+    closed = taxonomy.closure(edge, starts=heads)
     arr = lambda v: F.array(*map(F.lit, v))
     one = closed.where(F.col("anc") == a1).select(F.col("desc").alias("key"), "family", F.lit(a1).alias("a1"), arr(branches).alias("branches"), arr(bs).alias("bs"), F.array("desc").alias("candidates"))
     got = truth.trace(one, closed)
@@ -105,17 +101,26 @@ def usable_children(spark, sf_dir):
 
 @query("sibling_scope", FULL + """, s AS (SELECT DISTINCT e.c AS id, kid.c AS sib FROM e JOIN kid ON kid.p = e.p WHERE kid.c <> e.c),
 m AS (SELECT id, sib AS member FROM s UNION SELECT s.id, cl.c FROM s JOIN cl ON cl.p = s.sib)
-SELECT m.id AS object_id, count(*) AS near FROM m WHERE m.member <> m.id AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.p = m.id AND cl.c = m.member) AND m.id NOT LIKE 'P%' AND m.id NOT LIKE 'C%' AND m.id NOT LIKE 'S%' GROUP BY m.id""")
+SELECT m.id AS object_id, count(*) AS near FROM m WHERE m.member <> m.id AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.p = m.id AND cl.c = m.member) GROUP BY m.id""")
 def sibling_scope(spark, sf_dir):
-    """Sizes of sibling scopes of all concepts; leaves are objects, not concepts, and head no constraint."""
+    """Sizes of the sibling scopes of all nodes that have one."""
     node, edge = _full(spark, sf_dir)
     closed = taxonomy.closure(edge)
-    sizes = taxonomy.closure_sizes(node, closed)
-    concept = sizes.where("size > 0").select("family", F.col("object_id").alias("child"))
-    got = taxonomy.siblings(edge.join(concept, ["family", "child"], "left_semi"), taxonomy.usable_children(edge, sizes), closed)
+    got = taxonomy.siblings(edge, taxonomy.usable_children(edge, taxonomy.closure_sizes(node, closed)), closed)
     return got.groupBy("object_id").agg(F.count("*").alias("near"))
 
 
+@query("sibling_pool", FULL + """, s AS (SELECT DISTINCT e.c AS id, f.c AS sib FROM e JOIN e f ON f.p = e.p WHERE f.c <> e.c AND e.p NOT LIKE 'N%' AND e.p NOT LIKE 'T:%' AND e.p NOT LIKE 'B:%'),
+m AS (SELECT id, sib AS member FROM s UNION SELECT s.id, cl.c FROM s JOIN cl ON cl.p = s.sib)
+SELECT m.id AS object_id, count(*) AS near FROM m WHERE m.member <> m.id AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.p = m.id AND cl.c = m.member) GROUP BY m.id""")
+def sibling_pool(spark, sf_dir):
+    """Sibling pools, leaves included, of the concepts above the leaves' parents; among n leaves of one parent they would be all n * n pairs."""
+    node, edge = _full(spark, sf_dir)
+    closed = taxonomy.closure(edge)
+    upper = edge.where("parent not like 'N%' and parent not like 'T:%' and parent not like 'B:%'")
+    return taxonomy.sibling_pool(upper, closed).groupBy("object_id").agg(F.count("*").alias("near"))
+
+
 @query("ancestor_walk", FULL + """, w(seed, anc, distance, path) AS (
   SELECT e.c, e.p, 1, [lpad(CAST(sz.size AS VARCHAR), 12, '0') || ':' || e.p] FROM e JOIN sz ON sz.id = e.p
   UNION ALL SELECT w.seed, e.p, w.distance + 1, list_append(w.path, lpad(CAST(sz.size AS VARCHAR), 12, '0') || ':' || e.p) FROM w JOIN e ON e.c = w.anc JOIN sz ON sz.id = e.p
@@ -128,12 +133,45 @@ def ancestor_walk(spark, sf_dir):
 
 
 @query("graph_audit", FULL + """, u AS (SELECT c AS id, count(*) AS n FROM e GROUP BY c), d AS (SELECT p AS id, count(*) AS n FROM kid GROUP BY p)
-SELECT count(*) AS nodes, count(*) FILTER (WHERE u.n IS NULL) AS roots, count(*) FILTER (WHERE d.n IS NULL) AS leaves, count(*) FILTER (WHERE u.n > 1) AS multi_parent, max(sz.size) AS largest
-FROM sz LEFT JOIN u ON u.id = sz.id LEFT JOIN d ON d.id = sz.id""")
+x AS (SELECT coalesce(d.n, 0) AS kids, coalesce(u.n, 0) AS parents, sz.size FROM sz LEFT JOIN u ON u.id = sz.id LEFT JOIN d ON d.id = sz.id),
+y AS (SELECT *, row_number() OVER (ORDER BY kids) - 1 AS ik, row_number() OVER (ORDER BY parents) - 1 AS ip, row_number() OVER (ORDER BY size) - 1 AS iz, count(*) OVER () - 1 AS n FROM x)
+SELECT count(*) AS nodes, count(*) FILTER (WHERE parents = 0) AS roots, count(*) FILTER (WHERE kids = 0) AS leaves, count(*) FILTER (WHERE parents > 1) AS multi_parent, max(size) AS largest, """ + ", ".join(
+    f"max({c}) FILTER (WHERE {i} = round_even(n * {q}, 0)) AS {c}_p{int(100 * q)}" for c, i in (("kids", "ik"), ("parents", "ip"), ("size", "iz")) for q in (0.5, 0.9, 0.99)) + ", max(kids) AS kids_max, max(parents) AS parents_max, max(size) AS size_max FROM y")
 def graph_audit(spark, sf_dir):
     node, edge = _full(spark, sf_dir)
     sizes = taxonomy.closure_sizes(node, taxonomy.closure(edge))
-    return taxonomy.graph_audit(node, edge, sizes, taxonomy.usable_children(edge, sizes)).drop("family")
+    got = taxonomy.graph_audit(node, edge, sizes, taxonomy.usable_children(edge, sizes))
+    return got.select("nodes", "roots", "leaves", "multi_parent", "largest", *(F.col(f"{c}_quantiles.{q}").alias(f"{c}_{q}") for c in ("kids", "parents", "size") for q in ("p50", "p90", "p99", "max")))
+
+
+@query("top_nodes", FULL + """, x AS (SELECT 'children' AS measure, p AS object_id, count(*) AS value FROM kid GROUP BY p UNION ALL SELECT 'parents', c, count(*) FROM e GROUP BY c UNION ALL SELECT 'closure', id, size FROM sz),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY measure ORDER BY value DESC, object_id) AS INT) AS rank FROM x) SELECT measure, object_id, value, rank FROM r WHERE rank <= 12""")
+def top_nodes(spark, sf_dir):
+    """The twelve nodes with most children, parents and descendants: a top-k report."""
+    node, edge = _full(spark, sf_dir)
+    sizes = taxonomy.closure_sizes(node, taxonomy.closure(edge))
+    return taxonomy.top_nodes(edge, sizes, taxonomy.usable_children(edge, sizes)).drop("family")
+
+
+@query("object_inventory", FULL + """, k AS (SELECT p AS id, count(*) AS n FROM kid GROUP BY p), u AS (SELECT c AS id, count(*) AS n FROM e GROUP BY c)
+SELECT sz.id AS object_id, coalesce(k.n, 0) AS direct_usable_child_count, coalesce(u.n, 0) AS usable_parent_count, sz.size AS closure_size, true AS gloss_available FROM sz LEFT JOIN k ON k.id = sz.id LEFT JOIN u ON u.id = sz.id""")
+def object_inventory(spark, sf_dir):
+    node, edge = _full(spark, sf_dir)
+    sizes = taxonomy.closure_sizes(node, taxonomy.closure(edge))
+    g = constraint.Graph(node, edge, edge, sizes, taxonomy.usable_children(edge, sizes), edge)
+    return audits.object_inventory(node, g).select("object_id", "direct_usable_child_count", "usable_parent_count", "closure_size", "gloss_available")
+
+
+@query("resource_audit", """WITH n AS (SELECT n_name AS family, c_custkey AS id, c_acctbal > 0 AS surface, c_mktsegment <> 'BUILDING' AS gloss FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT family, count(*) AS raw, count(*) FILTER (WHERE surface AND gloss) AS usable, round(avg(CASE WHEN surface THEN 1.0 ELSE 0.0 END), 9) AS surface_coverage, round(avg(CASE WHEN gloss THEN 1.0 ELSE 0.0 END), 9) AS gloss_coverage,
+round(avg(CASE WHEN surface AND gloss THEN 1.0 ELSE 0.0 END), 9) AS usable_coverage FROM n GROUP BY family""")
+def resource_audit(spark, sf_dir):
+    """Coverage of surfaces and glosses, with customers as nodes and nations as families."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    node = c.select(F.col("n_name").alias("family"), F.col("c_custkey").alias("object_id"), F.when(F.col("c_acctbal") > 0, "x").alias("surface"), F.when(F.col("c_mktsegment") != "BUILDING", "y").alias("gloss"))
+    node = node.withColumn("usable", F.col("surface").isNotNull() & F.col("gloss").isNotNull())
+    got = audits.resource_audit(node, node.where("usable").select("family", "object_id", F.lit(0).cast("long").alias("size")))
+    return got.select("family", "raw", "usable", *(_r(F.col(c), c) for c in ("surface_coverage", "gloss_coverage", "usable_coverage")))
 
 
 @query("degree_quantiles", FULL + """, x AS (SELECT count(*) AS v FROM e GROUP BY p), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM x),
@@ -235,9 +273,14 @@ def terminal_counts(spark, sf_dir):
     return runlog.terminal_counts(runlog.log_state(data.responses(spark, sf_dir)))
 
 
-@query("pending", _LOG + f" SELECT request_id, task FROM req WHERE request_id NOT IN (SELECT request_id FROM r WHERE NOT ({_RETRY}))")
+_SINGLE = data.RESPONSES.replace("CAST(floor(event_id / 3) AS BIGINT) AS request_id", "event_id AS request_id")
+
+
+@query("pending", f"WITH r AS ({_SINGLE}), req AS ({data.REQUESTS}) SELECT request_id, task FROM req WHERE request_id NOT IN (SELECT request_id FROM r WHERE NOT ({_RETRY}))")
 def pending(spark, sf_dir):
-    return runlog.pending(data.requests(spark, sf_dir), data.responses(spark, sf_dir)).select("request_id", "task")
+    """Requests without a terminal row, in a log with one attempt each."""
+    log = data.run_sql(spark, sf_dir, _SINGLE, ("events",))
+    return runlog.pending(data.requests(spark, sf_dir), log).select("request_id", "task")
 
 
 @query("stream_log_state", _LOG + f""", k AS (SELECT *, {_RETRY} AS retry, row_number() OVER (PARTITION BY request_id ORDER BY ordinal DESC) AS n FROM r)
@@ -262,11 +305,20 @@ def stream_log_state(spark, sf_dir):
 # --- parsing and scoring -------------------------------------------------------------------------
 
 
-@query("parse_bool", "SELECT doc_id, CASE lower(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) WHEN 'true' THEN true WHEN 'false' THEN false END AS answer, CASE WHEN trim(text) = '' THEN 'Null Output' WHEN lower(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) NOT IN ('true', 'false') THEN 'Format Error' END AS error FROM documents")
+@query("parse_bool", f"""WITH r AS ({data.RESPONSES}), t AS (SELECT ordinal, repeat(' ', CAST(ordinal % 3 AS INT)) || final_answer_text AS t FROM r), w AS (SELECT ordinal, t, lower(regexp_extract(t, '^\\s*([A-Za-z]+)', 1)) AS w FROM t)
+SELECT ordinal, CASE w WHEN 'true' THEN true WHEN 'false' THEN false END AS answer, CASE WHEN trim(t) = '' THEN 'Null Output' WHEN w NOT IN ('true', 'false') THEN 'Format Error' END AS error FROM w""")
 def parse_bool(spark, sf_dir):
+    """Answers of the log, behind up to two spaces."""
+    d = data.responses(spark, sf_dir).select("ordinal", F.expr("repeat(' ', cast(ordinal % 3 as int)) || final_answer_text").alias("t"))
+    got = d.withColumn("answer", text.parse_bool(F.col("t")))
+    return got.select("ordinal", "answer", text.parse_error(F.lit("T1"), F.col("t"), F.col("answer"), F.lit(None).cast("array<int>")).alias("error"))
+
+
+@query("document_answers", "SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'Null Output' WHEN lower(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) NOT IN ('true', 'false') THEN 'Format Error' END AS error FROM documents")
+def document_answers(spark, sf_dir):
+    """Whole documents as if they were answers: none begins with a truth value."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    got = d.withColumn("answer", text.parse_bool(F.col("text")))
-    return got.select("doc_id", "answer", text.parse_error(F.lit("T1"), F.col("text"), F.col("answer"), F.lit(None).cast("array<int>")).alias("error"))
+    return d.select("doc_id", text.parse_error(F.lit("T1"), F.col("text"), text.parse_bool(F.col("text")), F.lit(None).cast("array<int>")).alias("error"))
 
 
 @query("refusals", "SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{m.replace(chr(39), chr(39) * 2)}')" for m in text.REFUSAL_MARKERS) + " AS refused FROM conversations")
@@ -382,83 +434,167 @@ def report_overall(spark, sf_dir):
     return o.select("total", "hits", _r(F.col("accuracy"), "accuracy"), _r(F.col("weighted_accuracy"), "weighted_accuracy"), "valid", "invalid", "provider_errors")
 
 
-@query("candidate_rates", _EV + """, c AS (SELECT b_count, pos.p, CASE WHEN contains(',' || gs || ',', ',' || pos.p || ',') THEN 'positive' ELSE 'other-negative' END AS category, contains(',' || coalesce(ps, '') || ',', ',' || pos.p || ',') AS chosen
- FROM ev CROSS JOIN (VALUES (1), (2), (3), (4)) pos(p) WHERE task = 'T2')
+#: A constraint over places and, for a number i, a pool of four: two suppliers, a customer and a nation.
+_PLACE = ("R1", ["N1", "N2"], ["N1"])
+_POOL = """, pool AS (SELECT i, u.pos, CASE u.pos WHEN 1 THEN 'S' || (1 + i % ns) WHEN 2 THEN 'S' || (1 + (i + 1) % ns) WHEN 3 THEN 'C' || (1 + i % nc) ELSE 'N' || (i % 25) END AS candidate
+  FROM src, (SELECT count(*) AS ns FROM supplier) a, (SELECT count(*) AS nc FROM customer) b, (VALUES (1), (2), (3), (4)) u(pos)),
+tr AS (SELECT i, pos, candidate, EXISTS (SELECT 1 FROM cl WHERE p = 'R1' AND c = candidate) AS s, EXISTS (SELECT 1 FROM cl WHERE p IN ('N1', 'N2') AND c = candidate) AS br, EXISTS (SELECT 1 FROM cl WHERE p = 'N1' AND c = candidate) AS x FROM pool)"""
+
+
+def _pools(spark, sf_dir, ids: DataFrame) -> DataFrame:
+    """``ids`` (i) with the constraint and its pool."""
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("supplier", "customer")}
+    arr = lambda v: F.array(*map(F.lit, v))
+    pool = F.expr(f"array(concat('S', 1 + i % {n['supplier']}), concat('S', 1 + (i + 1) % {n['supplier']}), concat('C', 1 + i % {n['customer']}), concat('N', i % 25))")
+    return ids.withColumns({"family": F.lit("wordnet"), "a1": F.lit(_PLACE[0]), "branches": arr(_PLACE[1]), "bs": arr(_PLACE[2]), "candidates": pool})
+
+
+def _place_closure(spark, sf_dir) -> DataFrame:
+    heads = spark.createDataFrame([("wordnet", x) for x in (_PLACE[0], *_PLACE[1])], "family string, anc string")
+    return taxonomy.closure(_full(spark, sf_dir)[1], starts=heads)
+
+
+_RATES = FULL.replace("WITH RECURSIVE", "WITH RECURSIVE src AS (SELECT doc_id AS i FROM documents),", 1) + _POOL
+
+
+@query("candidate_rates", _RATES + f", r AS ({data.RESPONSES}), req AS ({data.REQUESTS})" + _PICK + """,
+c AS (SELECT ev.b_count, CASE WHEN contains(',' || gs || ',', ',' || tr.pos || ',') THEN 'positive' WHEN s AND br AND x THEN 'B-excluded' ELSE 'other-negative' END AS category, contains(',' || coalesce(ps, '') || ',', ',' || tr.pos || ',') AS chosen
+ FROM ev JOIN tr ON tr.i = ev.request_id WHERE task = 'T2')
 SELECT b_count, category, count(*) AS total, count(*) FILTER (WHERE chosen) AS chosen, round(avg(CASE WHEN chosen THEN 1.0 ELSE 0.0 END), 9) AS share FROM c GROUP BY 1, 2""")
 def candidate_rates(spark, sf_dir):
-    """Selection rates by answer category; requests here carry no constraint, so nothing is excluded by one."""
-    t2 = _rows(spark, sf_dir).where("task = 'T2'").withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    c = t2.select("b_count", truth.category(F.array_contains("gold_set", F.col("pos")), F.lit(False), F.lit(False), F.lit(False)).alias("category"), F.coalesce(F.array_contains("parsed_set", F.col("pos")), F.lit(False)).alias("selected"))
-    r = scoring.selection_rates(c, ["b_count", "category"])
+    """Selection rates by answer category of T2 requests, whose candidates and constraint come from places."""
+    rows = _rows(spark, sf_dir).drop("family").withColumn("i", F.col("request_id"))
+    frame = scoring.candidate_frame(_pools(spark, sf_dir, rows), _place_closure(spark, sf_dir))
+    r = scoring.selection_rates(frame, ["b_count", "category"])
     return r.select("b_count", "category", "total", "chosen", _r(F.col("share"), "share"))
 
 
+_POOLS = FULL.replace("WITH RECURSIVE", "WITH RECURSIVE src AS (SELECT o_orderkey AS i FROM orders),", 1) + _POOL
+
+
+@query("gold_pools", _POOLS + """ SELECT i, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE s AND br AND NOT x), '') AS gold_set, bool_or(s AND br AND NOT x) AS gold_any FROM tr GROUP BY i""")
+def gold_pools(spark, sf_dir):
+    """The oracle's answers to one pool for each order."""
+    pools = _pools(spark, sf_dir, spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i"))).withColumn("key", F.col("i"))
+    got = truth.gold(truth.trace(pools, _place_closure(spark, sf_dir)))
+    return got.select(F.col("key").alias("i"), F.array_join("gold_set", ",").alias("gold_set"), "gold_any")
+
+
+@query("candidate_sources", _POOLS + """ SELECT CASE WHEN br AND x THEN 'hits_B' WHEN s AND NOT br THEN 'fails_positive_branch' ELSE 'outside_A1' END AS source, count(*) AS n FROM tr WHERE NOT (s AND br AND NOT x) GROUP BY 1""")
+def candidate_sources(spark, sf_dir):
+    """What kind of negatives the pools of all orders hold."""
+    pools = _pools(spark, sf_dir, spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("i")))
+    node, edge = _full(spark, sf_dir)
+    closed = _place_closure(spark, sf_dir)
+    g = constraint.Graph(node, edge.where("parent = 'none'"), closed, node, edge.where("parent = 'none'").select("family", "parent", "child", F.lit(0).alias("size")), edge)
+    base = pools.withColumn("base_sample_id", F.col("i").cast("string"))
+    return sampling.negative_sources(base, g).groupBy("source").agg(F.sum("n").alias("n"))
+
+
 # --- constraint cores ----------------------------------------------------------------------------
 
-_BRANCH = """, w AS (SELECT p AS a1, c AS seed FROM cl), k AS (SELECT w.seed, w.a1, kid.c AS child, kid.size, EXISTS (SELECT 1 FROM cl WHERE cl.p = kid.c AND cl.c = w.seed) AS covers FROM w JOIN kid ON kid.p = w.a1),
+#: Ancestors in walk order: the least shortest path decides.
+_WALK = """, wk(seed, anc, distance, path) AS (
+  SELECT e.c, e.p, 1, [lpad(CAST(sz.size AS VARCHAR), 12, '0') || ':' || e.p] FROM e JOIN sz ON sz.id = e.p
+  UNION ALL SELECT wk.seed, e.p, wk.distance + 1, list_append(wk.path, lpad(CAST(sz.size AS VARCHAR), 12, '0') || ':' || e.p) FROM wk JOIN e ON e.c = wk.anc JOIN sz ON sz.id = e.p
+), wf AS (SELECT seed, anc, distance, path FROM (SELECT *, row_number() OVER (PARTITION BY seed, anc ORDER BY distance, path) AS n FROM wk) WHERE n = 1),
+wr AS (SELECT seed, anc AS a1, distance, row_number() OVER (PARTITION BY seed ORDER BY distance, path) AS rank FROM wf)"""
+_BRANCH = """, w AS (SELECT p AS a1, c AS seed FROM cl), k AS (SELECT w.seed, w.a1, kid.c AS child, kid.size, cv.c IS NOT NULL AS covers FROM w JOIN kid ON kid.p = w.a1 LEFT JOIN cl cv ON cv.p = kid.c AND cv.c = w.seed),
 o AS (SELECT *, row_number() OVER (PARTITION BY seed, a1, covers ORDER BY size, child) AS n FROM k),
 s AS (SELECT *, row_number() OVER (PARTITION BY seed, a1 ORDER BY CASE WHEN NOT covers THEN 1 WHEN n = 1 THEN 0 ELSE 2 END, CASE WHEN covers THEN size ELSE -size END, child) AS pos, bool_or(covers) OVER (PARTITION BY seed, a1) AS has FROM o),
 br AS (SELECT seed, a1, kk.k, list(child ORDER BY child) AS branches FROM s CROSS JOIN (VALUES (1), (2), (3), (4)) kk(k) WHERE has AND pos <= kk.k GROUP BY seed, a1, kk.k HAVING count(*) = kk.k
   UNION ALL SELECT seed, a1, 0, [] FROM w)"""
 
 
-@query("branches", SMALL + _BRANCH + " SELECT seed, a1, k, array_to_string(branches, ',') AS branches FROM br")
+@query("branches", FULL + _BRANCH + " SELECT seed, a1, k, array_to_string(branches, ',') AS branches FROM br")
 def branches(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     pairs = g.walk.select("family", "seed", F.col("anc").alias("a1"))
     return constraint.branch_sets(pairs, g).select("seed", "a1", "k", F.array_join("branches", ",").alias("branches"))
 
 
 _OPTION = _BRANCH + """, src AS (SELECT seed, a1, k, branches, unnest(branches) AS paired, generate_subscripts(branches, 1) AS stage FROM br UNION ALL SELECT seed, a1, k, branches, a1, 99 FROM br),
-op AS (SELECT src.seed, src.a1, src.k, kid.c AS b, kid.size, src.paired, src.stage, row_number() OVER (PARTITION BY src.seed, src.a1, src.k, kid.c ORDER BY src.stage) AS n FROM src JOIN kid ON kid.p = src.paired
-  WHERE (src.stage < 99 OR NOT list_contains(src.branches, kid.c)) AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.p = kid.c AND cl.c = src.seed))"""
+op AS (SELECT src.seed, src.a1, src.k, kid.c AS b, kid.size, src.paired, src.stage, row_number() OVER (PARTITION BY src.seed, src.a1, src.k, kid.c ORDER BY src.stage) AS n FROM src JOIN kid ON kid.p = src.paired LEFT JOIN cl cv ON cv.p = kid.c AND cv.c = src.seed
+  WHERE (src.stage < 99 OR NOT list_contains(src.branches, kid.c)) AND cv.c IS NULL)"""
 
 
-@query("b_options", SMALL + _OPTION + " SELECT seed, a1, k, b, size, paired, CASE WHEN stage = 99 THEN 'inside_A1' ELSE 'inside_positive_branch' END AS source FROM op WHERE n = 1")
+@query("b_options", FULL + _OPTION + " SELECT a1, k, b, size, paired, CASE WHEN stage = 99 THEN 'inside_A1' ELSE 'inside_positive_branch' END AS source, count(*) AS seeds FROM op WHERE n = 1 GROUP BY ALL")
 def b_options(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    """Every option of every seed and ancestor, with the number of seeds that have it."""
+    g = _whole(spark, sf_dir)
     pairs = g.walk.select("family", "seed", F.col("anc").alias("a1"))
-    return constraint.b_options(constraint.branch_sets(pairs, g), g).select("seed", "a1", "k", "b", "size", "paired", "source")
+    o = constraint.b_options(constraint.written(constraint.branch_sets(pairs, g), "branches"), g)
+    return o.groupBy("a1", "k", "b", "size", "paired", "source").agg(F.count("*").alias("seeds"))
 
 
 _CORE = _OPTION + """, tb AS (SELECT *, row_number() OVER (PARTITION BY seed, a1, k ORDER BY size DESC, paired, b) AS pos FROM op WHERE n = 1),
-co AS (SELECT br.seed, br.a1, br.k, bb.b AS b_count, br.branches, list(tb.b ORDER BY tb.pos) FILTER (WHERE tb.b IS NOT NULL) AS bs FROM br CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) bb(b)
-  LEFT JOIN tb ON tb.seed = br.seed AND tb.a1 = br.a1 AND tb.k = br.k AND tb.pos <= bb.b GROUP BY br.seed, br.a1, br.k, bb.b, br.branches HAVING count(tb.b) = bb.b),
-ke AS (SELECT DISTINCT a1, branches, coalesce(bs, []) AS bs FROM co),
-me AS (SELECT ke.*, cl.c AS m, (len(ke.branches) = 0 OR EXISTS (SELECT 1 FROM cl x WHERE x.c = cl.c AND list_contains(ke.branches, x.p))) AS pre, EXISTS (SELECT 1 FROM cl x WHERE x.c = cl.c AND list_contains(ke.bs, x.p)) AS hit FROM ke JOIN cl ON cl.p = ke.a1),
-ct AS (SELECT a1, branches, bs, count(*) AS a1_scope, count(*) FILTER (WHERE pre) AS positive_pre, count(*) FILTER (WHERE pre AND hit) AS hits_b, count(*) FILTER (WHERE pre AND NOT hit) AS positive, count(*) FILTER (WHERE NOT pre) AS fails,
-  (SELECT count(*) FROM node) - count(*) - 1 AS outside FROM me GROUP BY a1, branches, bs)"""
-
-
-@query("core_counts", SMALL + _CORE + " SELECT a1, array_to_string(branches, ',') AS branches, array_to_string(bs, ',') AS bs, a1_scope, positive_pre, hits_b, positive, fails, outside, hits_b + fails + outside AS negative FROM ct")
+co AS MATERIALIZED (SELECT br.seed, br.a1, br.k, bb.b AS b_count, br.branches, coalesce(list(tb.b ORDER BY tb.pos) FILTER (WHERE tb.b IS NOT NULL), []) AS bs, coalesce(list(tb.stage ORDER BY tb.pos) FILTER (WHERE tb.b IS NOT NULL), []) AS stages
+  FROM br CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) bb(b) LEFT JOIN tb ON tb.seed = br.seed AND tb.a1 = br.a1 AND tb.k = br.k AND tb.pos <= bb.b GROUP BY br.seed, br.a1, br.k, bb.b, br.branches HAVING count(tb.b) = bb.b),
+ke AS MATERIALIZED (SELECT row_number() OVER () AS id, a1, branches, bs FROM (SELECT DISTINCT a1, branches, bs FROM co)),
+pm AS (SELECT DISTINCT x.id, cl.c AS m FROM (SELECT id, unnest(branches) AS p FROM ke) x JOIN cl ON cl.p = x.p),
+xm AS (SELECT DISTINCT x.id, cl.c AS m FROM (SELECT id, unnest(bs) AS p FROM ke) x JOIN cl ON cl.p = x.p),
+pn AS (SELECT id, count(*) AS n FROM pm GROUP BY id), xn AS (SELECT id, count(*) AS n FROM xm GROUP BY id),
+hn AS (SELECT xm.id, count(*) AS n FROM xm JOIN pm ON pm.id = xm.id AND pm.m = xm.m GROUP BY xm.id), ln AS (SELECT xm.id, count(*) AS n FROM xm JOIN ke ON ke.id = xm.id JOIN cl ON cl.p = ke.a1 AND cl.c = xm.m GROUP BY xm.id),
+sb AS (SELECT DISTINCT e.c AS id, kid.c AS sib FROM e JOIN kid ON kid.p = e.p WHERE kid.c <> e.c), sm AS (SELECT id, sib AS m FROM sb UNION SELECT sb.id, cl.c FROM sb JOIN cl ON cl.p = sb.sib),
+sn AS (SELECT sm.id, count(*) AS n FROM sm LEFT JOIN cl ON cl.p = sm.id AND cl.c = sm.m WHERE cl.c IS NULL AND sm.m <> sm.id GROUP BY sm.id),
+c1 AS (SELECT ke.*, sz.size AS a1_scope, len(ke.branches) > 0 AS has, CASE WHEN len(ke.branches) > 0 THEN coalesce(pn.n, 0) ELSE sz.size END AS positive_pre, coalesce(xn.n, 0) AS excluded_scope,
+  CASE WHEN len(ke.branches) > 0 THEN coalesce(hn.n, 0) ELSE coalesce(ln.n, 0) END AS hits_b, (SELECT count(*) FROM node) - sz.size - 1 AS outside, coalesce(sn.n, 0) AS sib
+  FROM ke JOIN sz ON sz.id = ke.a1 LEFT JOIN pn ON pn.id = ke.id LEFT JOIN xn ON xn.id = ke.id LEFT JOIN hn ON hn.id = ke.id LEFT JOIN ln ON ln.id = ke.id LEFT JOIN sn ON sn.id = ke.a1),
+ct AS MATERIALIZED (SELECT a1, branches, bs, a1_scope, positive_pre, excluded_scope, hits_b, positive_pre - hits_b AS positive, a1_scope - positive_pre AS fails, CASE WHEN has THEN a1_scope - positive_pre ELSE sib END AS near_sibling, outside,
+  hits_b + a1_scope - positive_pre + outside AS negative, hits_b + CASE WHEN has THEN a1_scope - positive_pre ELSE sib END AS hard FROM c1)"""
+_COUNTS = ("a1_scope", "positive_pre", "excluded_scope", "hits_b", "positive", "fails", "near_sibling", "outside", "negative", "hard")
+
+
+@query("core_counts", FULL + _CORE + f" SELECT a1, array_to_string(branches, ',') AS branches, array_to_string(bs, ',') AS bs, {', '.join(_COUNTS)} FROM ct")
 def core_counts(spark, sf_dir):
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     c = constraint.core_counts(constraint.cores(g, _seeds(g)), g)
-    return c.select("a1", F.array_join("branches", ",").alias("branches"), F.array_join("bs", ",").alias("bs"), "a1_scope", "positive_pre", "hits_b", "positive", "fails", "outside", "negative")
+    return c.select("a1", F.array_join("branches", ",").alias("branches"), F.array_join("bs", ",").alias("bs"), *_COUNTS)
+
 
+_FOUND = _CORE + _WALK + """, va AS (SELECT co.*, ct.* EXCLUDE (a1, branches, bs), wr.rank, wr.distance FROM co JOIN ct ON ct.a1 = co.a1 AND ct.branches = co.branches AND ct.bs = co.bs JOIN wr ON wr.seed = co.seed AND wr.a1 = co.a1),
+gen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, k, b_count ORDER BY rank) AS n FROM va WHERE positive >= 1 AND negative >= 1) WHERE n = 1),
+aud AS MATERIALIZED (SELECT *, k + 1 AS a_count FROM (SELECT *, row_number() OVER (PARTITION BY seed, k, b_count ORDER BY rank) AS n FROM va WHERE positive >= 1) WHERE n = 1),
+cell AS (SELECT a.a AS a_count, b.b AS b_count FROM (VALUES (1), (2), (3), (4), (5)) a(a) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) b(b))"""
 
-@query("seed_cores", SMALL + _CORE + """, rk AS (SELECT co.*, ct.positive, ct.hits_b + ct.fails + ct.outside AS negative, row_number() OVER (PARTITION BY co.seed, co.k, co.b_count ORDER BY sz.size) AS n
-  FROM co JOIN ct ON ct.a1 = co.a1 AND ct.branches = co.branches AND ct.bs = coalesce(co.bs, []) JOIN sz ON sz.id = co.a1 WHERE ct.positive >= 1 AND ct.hits_b + ct.fails + ct.outside >= 1)
-SELECT seed, k + 1 AS a_count, b_count, a1, array_to_string(branches, ',') AS branches, coalesce(array_to_string(bs, ','), '') AS bs, positive, negative FROM rk WHERE n = 1""")
+
+@query("seed_cores", FULL + _FOUND + " SELECT seed, k + 1 AS a_count, b_count, a1, array_to_string(branches, ',') AS branches, array_to_string(bs, ',') AS bs, positive, negative FROM gen")
 def seed_cores(spark, sf_dir):
-    """In a tree the walk is the chain of ancestors, smallest closure first."""
-    g = _small(spark, sf_dir)
+    g = _whole(spark, sf_dir)
     c = constraint.seed_cores(g, _seeds(g))
     return c.select("seed", "a_count", "b_count", "a1", F.array_join("branches", ",").alias("branches"), F.array_join("bs", ",").alias("bs"), "positive", "negative")
 
 
-@query("feasibility")
-def feasibility(spark, sf_dir):
-    g = _whole(spark, sf_dir)
-    return constraint.feasibility(g, _seeds(g))
+_REASONS = """, why AS (SELECT n.seed, cell.a_count, cell.b_count, wr.rank, CASE WHEN br.seed IS NULL THEN 'insufficient_positive_branches' WHEN co.seed IS NULL THEN 'insufficient_B_options' WHEN va.positive < 1 THEN 'empty_final_positive_scope' END AS reason
+  FROM (SELECT id AS seed FROM node) n CROSS JOIN cell JOIN wr ON wr.seed = n.seed LEFT JOIN br ON br.seed = n.seed AND br.a1 = wr.a1 AND br.k = cell.a_count - 1
+  LEFT JOIN co ON co.seed = n.seed AND co.a1 = wr.a1 AND co.k = cell.a_count - 1 AND co.b_count = cell.b_count LEFT JOIN va ON va.seed = n.seed AND va.a1 = wr.a1 AND va.k = cell.a_count - 1 AND va.b_count = cell.b_count),
+tally AS (SELECT seed, a_count, b_count, reason, count(*) AS n, min(rank) AS f FROM why y WHERE NOT EXISTS (SELECT 1 FROM why z WHERE z.seed = y.seed AND z.a_count = y.a_count AND z.b_count = y.b_count AND z.reason IS NULL) GROUP BY 1, 2, 3, 4),
+miss AS (SELECT seed, a_count, b_count, arg_min(reason, (-n) * 1000000 + f) AS reason FROM tally GROUP BY 1, 2, 3
+  UNION ALL SELECT node.id, cell.a_count, cell.b_count, 'no_usable_ancestor' FROM node CROSS JOIN cell WHERE NOT EXISTS (SELECT 1 FROM wr WHERE wr.seed = node.id))"""
 
 
-@query("missing_reasons")
+@query("missing_reasons", FULL + _FOUND + _REASONS + " SELECT a_count, b_count, reason, count(*) AS n FROM miss GROUP BY 1, 2, 3")
 def missing_reasons(spark, sf_dir):
     g = _whole(spark, sf_dir)
     return constraint.missing_reasons(g, _seeds(g)).groupBy("a_count", "b_count", "reason").agg(F.count("*").alias("n"))
 
 
+@query("feasibility", FULL + _FOUND + _REASONS + """, ns AS (SELECT count(*) AS n FROM node), mr AS (SELECT a_count, b_count, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM miss GROUP BY 1, 2),
+ag AS (SELECT a_count, b_count, count(*) AS f, sum(positive + negative) AS c, bool_or(hits_b > 0) AS h, bool_or(fails > 0) AS fl, bool_or(hard >= 4) AS hd, bool_or(outside >= 4) AS ez,
+  sum(CAST(negative >= 4 AS INT) + CAST(positive >= 1 AND negative >= 3 AS INT) + CAST(positive >= 2 AND negative >= 2 AS INT)) AS t2, sum(CAST(positive >= 1 AND negative >= 3 AS INT) + CAST(negative >= 4 AS INT)) AS t3,
+  min(positive) AS p0, max(positive) AS p1, min(negative) AS n0, max(negative) AS n1, max(CASE WHEN list_contains(stages, 99) THEN 1 ELSE 0 END) AS in_a1, max(CASE WHEN len(list_filter(stages, lambda x: x < 99)) > 0 THEN 1 ELSE 0 END) AS in_branch FROM aud GROUP BY 1, 2)
+SELECT t.t AS task, cell.a_count, cell.b_count, ns.n AS usable_seed_count, coalesce(f, 0) AS feasible_seed_cell_count, CAST(coalesce(c, 0) AS BIGINT) AS usable_candidate_count,
+  concat_ws(',', CASE WHEN in_a1 = 1 THEN 'inside_A1' END, CASE WHEN in_branch = 1 THEN 'inside_positive_branch' END) AS b_sources, concat_ws(',', CASE WHEN fl THEN 'fails_positive_branch' END, CASE WHEN h THEN 'hits_B' END, 'outside_A1') AS negative_sources,
+  coalesce(hd, false) AS hard_available, coalesce(ez, false) AS easy_available, CAST(CASE WHEN t.t = 'T1' THEN coalesce(c, 0) ELSE 0 END AS BIGINT) AS t1_capacity, CAST(coalesce(t2, 0) AS BIGINT) AS t2_pool_space, CAST(coalesce(t3, 0) AS BIGINT) AS t3_pool_space,
+  CASE WHEN coalesce(f, 0) = 0 THEN 'infeasible' WHEN f < greatest(1, ns.n // 100) THEN 'shortage' ELSE 'available' END AS status,
+  CASE WHEN coalesce(f, 0) = 0 THEN coalesce(reasons, 'no_feasible_seed_cell') WHEN f < greatest(1, ns.n // 100) THEN 'low_feasible_seed_cell_count' ELSE 'ok' END AS reason,
+  (SELECT max(q) FROM (SELECT count(*) AS q FROM kid GROUP BY p)) AS direct_usable_child_count, coalesce(p0, 0) AS positive_min, coalesce(p1, 0) AS positive_max, coalesce(n0, 0) AS negative_min, coalesce(n1, 0) AS negative_max
+FROM cell CROSS JOIN (VALUES ('T1'), ('T2'), ('T3')) t(t) CROSS JOIN ns LEFT JOIN ag ON ag.a_count = cell.a_count AND ag.b_count = cell.b_count LEFT JOIN mr ON mr.a_count = cell.a_count AND mr.b_count = cell.b_count""")
+def feasibility(spark, sf_dir):
+    g = _whole(spark, sf_dir)
+    return constraint.feasibility(g, _seeds(g)).drop("family")
+
+
 @query("structural_counts")
 def structural_counts(spark, sf_dir):
     """Exact counts as text; they exceed 64 bits."""
@@ -469,103 +605,170 @@ def structural_counts(spark, sf_dir):
     return audits.structural_counts(g).select("a1", "a_count", "b_count", "n")
 
 
-@query("log10_combinations", "WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) SELECT k, n, CASE WHEN n >= 3 THEN round(log10(n) + log10((n - 1) / 2.0) + log10((n - 2) / 3.0), 9) END AS ways FROM s")
-def log10_combinations(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return s.select("k", "n", F.when(F.col("n") >= 3, F.round(exact.log10_combinations(F.col("n"), 3), 9)).alias("ways"))
+_CAN = """, th AS (SELECT CAST(x.t AS INT) AS threshold FROM (VALUES (1), (2), (5), (10), (20), (50), (100)) x(t)),
+po AS (SELECT cell.a_count, cell.b_count, th.threshold, count(*) FILTER (WHERE positive >= 1 AND negative >= 1) AS "T1", count(*) FILTER (WHERE negative >= 4 OR positive >= 1 AND negative >= 3 OR positive >= 2 AND negative >= 2) AS "T2_any",
+  count(*) FILTER (WHERE negative >= 4 AND positive >= 1 AND negative >= 3 AND positive >= 2 AND negative >= 2) AS "T2_all_gold_sizes", count(*) FILTER (WHERE positive >= 1 AND negative >= 4) AS "T3"
+  FROM cell CROSS JOIN th LEFT JOIN aud ON aud.a_count = cell.a_count AND aud.b_count = cell.b_count AND aud.positive >= th.threshold GROUP BY 1, 2, 3),
+sh AS (SELECT threshold, a_count, b_count, u.task, u.population FROM (UNPIVOT po ON "T1", "T2_any", "T2_all_gold_sizes", "T3" INTO NAME task VALUE population) u WHERE population < 650)"""
 
 
-@query("threshold_populations")
-def threshold_populations(spark, sf_dir):
+def _found(spark, sf_dir) -> tuple[constraint.Graph, DataFrame]:
     g = _whole(spark, sf_dir)
-    return audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False), g.node)
+    return g, constraint.written(constraint.seed_cores(g, _seeds(g), need_negative=False), "found")
+
 
+@query("threshold_populations", FULL + _FOUND + _CAN + " SELECT * FROM po")
+def threshold_populations(spark, sf_dir):
+    g, found = _found(spark, sf_dir)
+    return audits.threshold_populations(found, g.node).drop("family")
 
-@query("scheduler_scenarios")
+
+@query("threshold_summary", FULL + _FOUND + _CAN + """ SELECT po.threshold, min("T1") AS "min_T1", min("T2_any") AS "min_T2_any", min("T3") AS "min_T3", min("T2_all_gold_sizes") AS "min_T2_all_gold_sizes", CAST(sum("T1" + "T2_any" + "T3") AS BIGINT) AS base_samples,
+CAST(3 * sum("T1" + "T2_any" + "T3") AS BIGINT) AS requests, (SELECT count(*) FROM sh WHERE sh.threshold = po.threshold) AS shortages FROM po GROUP BY po.threshold""")
+def threshold_summary(spark, sf_dir):
+    g, found = _found(spark, sf_dir)
+    return audits.threshold_summary(audits.threshold_populations(found, g.node)).drop("family")
+
+
+@query("scheduler_scenarios", FULL + _FOUND + _CAN + """, sc(scenario, t2_policy, hard_negative_policy) AS (VALUES ('A_balanced_simple', 'balanced_gold_sizes', 'prefer'), ('B_opportunistic_simple', 'opportunistic_gold_sizes', 'prefer'), ('C_balanced_with_fixed_hard_negative_ratio', 'balanced_gold_sizes', 'fixed_ratio')),
+n AS (SELECT sc.*, (SELECT count(*) FROM sh WHERE threshold = 5 AND (t2_policy = 'balanced_gold_sizes' OR task <> 'T2_all_gold_sizes')) AS shortages FROM sc)
+SELECT *, CASE WHEN hard_negative_policy = 'fixed_ratio' THEN 'requires_candidate_level_audit' WHEN shortages > 0 THEN 'quota_shortage' ELSE 'audited_no_shortage' END AS status FROM n""")
 def scheduler_scenarios(spark, sf_dir):
-    g = _whole(spark, sf_dir)
-    p = audits.threshold_populations(constraint.seed_cores(g, _seeds(g), need_negative=False), g.node)
-    return audits.scheduler_scenarios(p, audits.QUOTAS, 5)
+    g, found = _found(spark, sf_dir)
+    return audits.scheduler_scenarios(audits.threshold_populations(found, g.node), audits.QUOTAS, 5).drop("examples")
+
 
+@query("gold_size_plan", FULL + _FOUND + _CAN + """ SELECT a_count, b_count, 650 AS quota, 217 AS size_0, 217 AS size_1, 216 AS size_2, "T2_all_gold_sizes" AS population, "T2_all_gold_sizes" >= 650 AS possible FROM po WHERE threshold = 5""")
+def gold_size_plan(spark, sf_dir):
+    g, found = _found(spark, sf_dir)
+    return audits.gold_size_plan(audits.threshold_populations(found, g.node), audits.QUOTAS, 5).drop("family")
 
-@query("depth_options")
+
+@query("seed_cells", FULL + _FOUND + """, q AS (SELECT *, row_number() OVER (PARTITION BY a_count, b_count ORDER BY positive) - 1 AS i, count(*) OVER (PARTITION BY a_count, b_count) - 1 AS m FROM aud),
+ag AS (SELECT a_count, b_count, count(*) AS f, max(positive) FILTER (WHERE i = round_even(m * 0.5, 0)) AS p50, max(positive) FILTER (WHERE i = round_even(m * 0.9, 0)) AS p90, max(distance) AS far, count(*) FILTER (WHERE hard >= 4) AS hard_ge_4,
+  count(*) FILTER (WHERE negative >= 1) AS t1 FROM q GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM node)
+SELECT cell.a_count, cell.b_count, n.n AS seed_total, coalesce(f, 0) AS feasible, CASE WHEN f IS NULL THEN 'infeasible' WHEN f < greatest(10, n.n // 100) THEN 'shortage' ELSE 'available' END AS status, p50, p90, far, coalesce(hard_ge_4, 0) AS hard_ge_4, coalesce(t1, 0) AS t1
+FROM cell CROSS JOIN n LEFT JOIN ag ON ag.a_count = cell.a_count AND ag.b_count = cell.b_count""")
+def seed_cells(spark, sf_dir):
+    g, found = _found(spark, sf_dir)
+    missing = constraint.missing_reasons(g, _seeds(g))
+    c = audits.seed_cells(found, missing, _seeds(g))
+    q = lambda name, x: F.try_element_at("quantiles", F.lit(name))[x]
+    return c.select("a_count", "b_count", "seed_total", "feasible", "status", q("positive", "p50").alias("p50"), q("positive", "p90").alias("p90"), q("distance", "max").cast("int").alias("far"), "hard_ge_4", F.coalesce(F.try_element_at("task_counts", F.lit("T1_balanced")), F.lit(0)).alias("t1"))
+
+
+@query("sampling_frame", FULL + _FOUND + """, pp AS (SELECT cell.a_count, cell.b_count, count(*) FILTER (WHERE positive >= 1 AND negative >= 1) AS "T1", count(*) FILTER (WHERE negative >= 4 OR positive >= 1 AND negative >= 3 OR positive >= 2 AND negative >= 2) AS "T2",
+  count(*) FILTER (WHERE positive >= 1 AND negative >= 4) AS "T3" FROM cell LEFT JOIN aud ON aud.a_count = cell.a_count AND aud.b_count = cell.b_count GROUP BY 1, 2), u AS (UNPIVOT pp ON "T1", "T2", "T3" INTO NAME task VALUE population)
+SELECT task, a_count, b_count, population, least(3, population) AS test_selected, least(650, population) AS main_selected, population < 650 AS main_shortage, round(coalesce(least(650, population) / nullif(CAST(population AS DOUBLE), 0), 0), 9) AS main_inclusion FROM u""")
+def sampling_frame(spark, sf_dir):
+    """What the test and main products would draw from each stratum."""
+    g, found = _found(spark, sf_dir)
+    cells = audits.seed_cells(found, constraint.missing_reasons(g, _seeds(g)), _seeds(g))
+    f = audits.sampling_frame(audits.task_populations(cells))
+    return f.select("task", "a_count", "b_count", "population", "test_selected", "main_selected", "main_shortage", _r(F.col("main_inclusion"), "main_inclusion"))
+
+
+@query("log10_combinations", "WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) SELECT k, n, CASE WHEN n >= 3 THEN round(log10(n) + log10((n - 1) / 2.0) + log10((n - 2) / 3.0), 9) END AS ways FROM s")
+def log10_combinations(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return s.select("k", "n", F.when(F.col("n") >= 3, F.round(exact.log10_combinations(F.col("n"), 3), 9)).alias("ways"))
+
+
+@query("depth_options", FULL + _BRANCH + """, kd(p, c, d) AS (SELECT p, c, 1 FROM kid UNION SELECT kd.p, kid.c, kd.d + 1 FROM kd JOIN kid ON kid.p = kd.c), km AS (SELECT p, c, min(d) AS d FROM kd GROUP BY p, c),
+src AS (SELECT seed, a1, k, branches, unnest(branches) AS paired, generate_subscripts(branches, 1) AS stage FROM br UNION ALL SELECT seed, a1, k, branches, a1, 99 FROM br),
+op AS (SELECT src.seed, src.a1, src.k, km.c AS b, src.stage, km.d, row_number() OVER (PARTITION BY src.seed, src.a1, src.k, km.c ORDER BY src.stage, km.d) AS n FROM src JOIN km ON km.p = src.paired LEFT JOIN cl cv ON cv.p = km.c AND cv.c = src.seed
+  WHERE (src.stage < 99 OR NOT list_contains(src.branches, km.c)) AND cv.c IS NULL)
+SELECT k, CASE WHEN stage = 99 THEN 'inside_A1' ELSE 'inside_positive_branch' END AS source, op.d AS depth, count(*) AS n, CAST(sum(sz.size) AS BIGINT) AS size FROM op JOIN sz ON sz.id = op.b WHERE n = 1 GROUP BY 1, 2, 3""")
 def depth_options(spark, sf_dir):
     g = _whole(spark, sf_dir)
     pairs = g.walk.select("family", "seed", F.col("anc").alias("a1"))
-    o = audits.b_options_by_depth(constraint.branch_sets(pairs, g), g, None)
+    o = audits.b_options_by_depth(constraint.written(constraint.branch_sets(pairs, g), "branches"), g, None)
     return o.groupBy("k", "source", "depth").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query("candidate_sources")
-def candidate_sources(spark, sf_dir):
-    """Realised samples' candidates by task and answer."""
-    return _samples(spark, sf_dir)[0].groupBy("task", "a_count", "b_count").agg(F.count("*").alias("n"), F.sum(F.size("candidates")).alias("candidates"))
+@query("depth_cells")
+def depth_cells(spark, sf_dir):
+    """What deeper exclusions would add, over the first eighty cores of each cell: the probe's frame is such a limit by its meaning."""
+    g, found = _found(spark, sf_dir)
+    c = audits.depth_cells(audits.depth_comparison(constraint.written(probe.probe_frame(found), "frame"), g))
+    return c.select("family", "a_count", "b_count", "rows", "delta_ge_3", "deepest_ok", _r(F.col("deepest_ok_rate"), "deepest_ok_rate"))
 
 
 def _samples(spark, sf_dir):
-    g = _small(spark, sf_dir)
-    cores = constraint.written(constraint.seed_cores(g, _seeds(g)), "seed-cores")
-    win = sampling.windows(cores, g)
-    size = cores.groupBy("family", "a_count", "b_count").agg(F.count("*").alias("population"))
-    v = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count").join(win, ["family", "a1", "branches", "bs"]).join(size, ["family", "a_count", "b_count"])
-    v = v.withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS)))).withColumn("quota", F.lit(3)).withColumn("seed_index", F.lit(0))
-    v = sampling.seed_order(v, "product", "test", "scheduler", 13)
-    cols = ["family", "task", "a_count", "b_count", "seed", "a1", "branches", "bs", "h", "population", "quota", *sampling.STREAMS]
-    return sampling.realise(v.select(*cols), "product"), g
+    g = _whole(spark, sf_dir)
+    seeds = _seeds(g)
+    cores = constraint.written(constraint.seed_cores(g, seeds), "seed-cores")
+    return sampling.stratified(cores, g, seeds, {"wordnet": 3}, "test"), g
 
 
 @query("samples")
 def samples(spark, sf_dir):
-    """Base samples at a quota of three a stratum: the ordered fold."""
-    s = _samples(spark, sf_dir)[0]
+    """Base samples at a quota of three a stratum over the whole hierarchy: the ordered fold."""
+    (s, _), _ = _samples(spark, sf_dir)
     return s.select("family", "task", "a_count", "b_count", "seed", "a1", F.array_join("branches", ",").alias("branches"), F.array_join("bs", ",").alias("bs"), F.array_join("candidates", ",").alias("candidates"), "gold_bool", F.array_join("gold_set", ",").alias("gold_set"), "variant", "base_sample_id", "inclusion", "weight")
 
 
+@query("strata")
+def strata(spark, sf_dir):
+    """Population, target, accepted samples and weights of all ninety strata."""
+    (_, s), _ = _samples(spark, sf_dir)
+    return s.select("stratum_id", "task", "a_count", "b_count", "population", "quota", "target", "accepted", _r(F.col("inclusion_probability"), "inclusion_probability"), _r(F.col("sampling_weight"), "sampling_weight"), "skipped_reason")
+
+
 @query("prompts")
 def prompts(spark, sf_dir):
-    s, g = _samples(spark, sf_dir)
+    (s, _), g = _samples(spark, sf_dir)
     full = constraint.written(sampling.with_information(s), "samples")
     return rendering.prompt(rendering.with_nodes(full, g.node)).select("sample_id", "task", "information", "prompt", "request_id", "request_hash", "expected_protocol")
 
 
-@query("violations")
+_ROWS = """SELECT doc_id AS i, 'sample_' || (CASE WHEN doc_id % 97 = 5 THEN doc_id - 1 ELSE doc_id END) AS sample_id, 'h' || doc_id AS sample_hash, 'r' || (CASE WHEN doc_id % 89 = 7 THEN doc_id - 1 ELSE doc_id END) AS request_hash, doc_id // 3 AS base_sample_id,
+'I' || (CASE WHEN doc_id % 31 = 3 THEN 0 ELSE doc_id % 3 END) AS information, doc_id // 3 % 7 AS a_count, doc_id // 21 % 7 AS b_count, doc_id // 3 % 7 + doc_id // 21 % 7 + CASE WHEN doc_id % 41 = 0 THEN 1 ELSE 0 END AS condition_count,
+CASE WHEN doc_id // 3 % 2 = 0 THEN 'T1' ELSE 'T2' END AS task, CASE WHEN doc_id % 53 = 0 THEN 2 WHEN doc_id // 3 % 2 = 0 THEN 1 ELSE 4 END AS nc, CASE WHEN doc_id % 59 = 1 THEN 0 ELSE 1 END AS seed FROM documents"""
+
+
+@query("violations", f"""WITH s AS ({_ROWS}), g AS (SELECT base_sample_id, list(information ORDER BY information) AS i, count(DISTINCT task || a_count || ':' || b_count || ':' || nc || ':' || seed) AS n FROM s GROUP BY 1)
+SELECT 'a_count_out_of_range' AS rule, sample_id AS id FROM s WHERE a_count NOT BETWEEN 1 AND 5 UNION ALL SELECT 'b_count_out_of_range', sample_id FROM s WHERE b_count > 5
+UNION ALL SELECT 'condition_count', sample_id FROM s WHERE condition_count <> a_count + b_count UNION ALL SELECT 'candidate_count', sample_id FROM s WHERE nc <> CASE task WHEN 'T1' THEN 1 ELSE 4 END
+UNION ALL SELECT 'duplicate_sample_id', sample_id FROM s GROUP BY sample_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_request_hash', request_hash FROM s GROUP BY request_hash HAVING count(*) > 1
+UNION ALL SELECT 'information_levels', CAST(base_sample_id AS VARCHAR) FROM g WHERE i <> ['I0', 'I1', 'I2'] UNION ALL SELECT 'paired_payload', CAST(base_sample_id AS VARCHAR) FROM g WHERE n > 1""")
 def violations(spark, sf_dir):
-    """Rules that realised samples break: none."""
-    s, _ = _samples(spark, sf_dir)
-    return sampling.violations(constraint.written(sampling.with_information(s), "samples"))
+    """Faults planted into sample rows, one for each document."""
+    rows = data.run_sql(spark, sf_dir, _ROWS.replace("//", "div"), ("documents",))
+    some = lambda n: F.transform(F.sequence(F.lit(1), F.lit(7)), lambda x: x.cast("string")).alias("x") if n is None else F.slice(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda x: x.cast("string")), F.lit(1), n.cast("int"))
+    a, b = F.col("a_count"), F.col("b_count")
+    full = rows.withColumns({"family": F.lit("wordnet"), "a1": F.lit("x"), "branches": some(F.greatest(F.lit(0), a - 1)), "bs": some(b), "paired": some(b), "sources": some(b), "candidates": some(F.col("nc")), "gold_bool": F.lit(True), "gold_set": F.lit(None).cast("array<int>"), "seed": F.col("seed").cast("string")})
+    return sampling.violations(full)
 
 
-@query("request_faults")
-def request_faults(spark, sf_dir):
-    """Faults of rendered requests: none."""
-    s, g = _samples(spark, sf_dir)
-    full = constraint.written(sampling.with_information(s), "samples")
-    return rendering.request_faults(rendering.prompt(rendering.with_nodes(full, g.node)))
+_ASKED = """SELECT doc_id AS i, 'request_' || substr(md5(CAST(doc_id AS VARCHAR)), 1, CASE WHEN doc_id % 37 = 1 THEN 15 ELSE 16 END) || CASE WHEN doc_id % 43 = 2 THEN 'x' ELSE '' END AS request_id, md5(CAST(doc_id AS VARCHAR)) AS request_hash,
+CASE WHEN doc_id % 47 = 3 THEN 'other' ELSE md5(CAST(doc_id AS VARCHAR)) END AS sample_request_hash, CASE WHEN doc_id % 61 = 4 THEN 'old' ELSE 'separated_gloss_v2' END AS renderer_version, CASE WHEN doc_id % 67 = 5 THEN '' ELSE 'q' END AS prompt, CASE WHEN doc_id % 71 = 6 THEN NULL ELSE lang END AS family FROM documents"""
 
 
-@query("gold_pools")
-def gold_pools(spark, sf_dir):
-    """The oracle's answer of every realised pool beside the fold's: they agree."""
-    s, g = _samples(spark, sf_dir)
-    base = constraint.written(s, "base")
-    got = truth.gold(truth.trace(base.select(F.col("base_sample_id").alias("key"), "family", "a1", "branches", "bs", "candidates"), g.closed))
-    both = base.join(got, F.col("key") == F.col("base_sample_id"))
-    same = F.when(F.col("task") == "T2", base["gold_set"] == got["gold_set"]).otherwise(F.col("gold_bool") == F.col("gold_any"))
-    return both.groupBy("task", same.alias("agrees")).agg(F.count("*").alias("n"))
+@query("request_faults", f"""WITH r AS ({_ASKED}) SELECT 'id_without_hash' AS fault, request_id FROM r WHERE NOT ends_with(request_id, substr(request_hash, 1, 16)) UNION ALL SELECT 'nested_hash', request_id FROM r WHERE sample_request_hash <> request_hash
+UNION ALL SELECT 'renderer_version', request_id FROM r WHERE renderer_version = 'old' UNION ALL SELECT 'empty_messages', request_id FROM r WHERE prompt = '' UNION ALL SELECT 'missing_fields', request_id FROM r WHERE family IS NULL""")
+def request_faults(spark, sf_dir):
+    """Faults planted into requests, one for each document."""
+    rows = data.run_sql(spark, sf_dir, _ASKED, ("documents",))
+    said = F.array(F.struct(F.lit("system").alias("role"), F.lit("s").alias("content")), F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    more = {"sample_id": F.col("i").cast("string"), "base_sample_id": F.col("i").cast("string"), "task": F.lit("T1"), "information": F.lit("I0"), "messages": said}
+    return rendering.request_faults(rows.withColumns(more))
 
 
 @query("probe_summary")
 def probe_summary(spark, sf_dir):
-    return probe.probe_summary(probe.probe_cores(_whole(spark, sf_dir))).select("family", "a_count", "b_count", "probed", "feasible", "positive_min", "positive_max", "status", _r(F.col("share"), "share"))
+    g = _whole(spark, sf_dir)
+    got = probe.probe_summary(constraint.written(probe.probe_cores(g), "probed"), audits.structural_counts(g))
+    return got.withColumn("share", F.round("share", 9))
 
 
 @query("scheduler_simulation")
 def scheduler_simulation(spark, sf_dir):
-    """Three strategies over all seed cores' windows: pools built, hard and easy negatives."""
-    g = _small(spark, sf_dir)
-    cores = constraint.written(constraint.seed_cores(g, _seeds(g)), "seed-cores")
-    win = sampling.windows(cores, g).withColumn("core", F.to_json(F.struct("a1", "branches", "bs"))).withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS))))
-    return probe.simulate(win).groupBy("strategy", "task").agg(F.count_if(F.col("ok")).alias("built"), F.sum("hard").alias("hard"), F.sum("easy").alias("easy"))
+    """The three strategies over the probe's frame, the first eighty cores of each cell: samples, negatives, reuse and faults."""
+    g, found = _found(spark, sf_dir)
+    frame = constraint.written(probe.probe_frame(found), "frame")
+    m = probe.strategy_metrics(constraint.written(probe.simulate(probe.probe_windows(frame, g)), "simulated"))
+    return m.select("strategy", "base_samples", "skipped_count", "fallback_count", "hard", "easy", "fallback_any_negative", F.col("candidate_reuse.max").alias("candidate_reuse_max"), F.col("pool_reuse.max").alias("pool_reuse_max"), F.col("cell_answer_imbalance.max").alias("imbalance_max"), "validation")
 
 
 @query("top_labels", """WITH n AS (SELECT c_nationkey AS k, c_mktsegment AS label, count(*) AS n, min(c_custkey) AS f FROM customer GROUP BY 1, 2)
@@ -582,11 +785,13 @@ def clean_lemmas(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), text.is_clean_lemma(F.col("p_name")).alias("clean"), text.is_clean_lemma(F.col("p_brand")).alias("brand"))
 
 
-@query("parse_list", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '1,3' WHEN 4 THEN '2' END AS positions FROM events")
+@query("parse_list", """WITH x AS (SELECT event_id, event_id % 7 AS a, event_id // 7 % 6 AS b, event_id // 42 % 3 AS form FROM events)
+SELECT event_id, CASE WHEN form = 2 AND a BETWEEN 1 AND 4 THEN CAST(a AS VARCHAR) WHEN form < 2 AND a <> b AND a BETWEEN 1 AND 4 AND b BETWEEN 1 AND 4 THEN a || ',' || b END AS positions FROM x""")
 def parse_list(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, ("[]", "a list: [1, 3]", "[1, 1]", "[01]", " [2] and [3]", "none", "[9]"))), (F.col("event_id") % 7 + 1).cast("int"))
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", said.alias("t"))
-    return e.select("event_id", F.array_join(text.parse_list(F.col("t"), F.lit(4)), ",").alias("positions"))
+    """Two positions out of the event's number, in one of three wordings; out of range and repeated ones are no answer."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "event_id % 7 as a", "event_id div 7 % 6 as b", "event_id div 42 % 3 as form")
+    said = F.expr("case form when 0 then concat('[', a, ', ', b, ']') when 1 then concat(' picked [ ', a, ',', b, ' ] of [4]') else concat('only [', a, '].') end")
+    return e.select("event_id", F.array_join(text.parse_list(said, F.lit(4)), ",").alias("positions"))
 
 
 @query("shard_numbers", "SELECT floor(o_orderkey / 334) AS shard, count(*) AS n FROM orders GROUP BY 1")

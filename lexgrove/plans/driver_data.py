@@ -15,12 +15,6 @@ UNION ALL SELECT DISTINCT 'ROOT', concat('B:', p_brand) FROM part
 UNION ALL SELECT concat('T:', p_type), concat('P', p_partkey) FROM part
 UNION ALL SELECT concat('B:', p_brand), concat('P', p_partkey) FROM part
 """
-#: The hierarchy of places and suppliers, a family of its own for constraint cores.
-PLACES = """
-SELECT 'ROOT' AS p, concat('R', r_regionkey) AS c FROM region
-UNION ALL SELECT concat('R', n_regionkey), concat('N', n_nationkey) FROM nation
-UNION ALL SELECT concat('N', s_nationkey), concat('S', s_suppkey) FROM supplier
-"""
 REQUESTS = """
 SELECT d.doc_id AS request_id, d.doc_id AS ordinal, concat('T', 1 + d.doc_id % 3) AS task, d.lang AS family, concat('I', floor(d.doc_id / 3) % 3) AS information,
        CAST(1 + d.doc_id % 5 AS INT) AS a_count, CAST(d.doc_id % 6 AS INT) AS b_count, CAST(d.n_chars AS DOUBLE) AS sampling_weight,
@@ -47,9 +41,8 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...])
     return spark.sql(sql, **frames)
 
 
-def edges(spark: SparkSession, sf_dir: str, sql: str = EDGES, family: str = "wordnet") -> DataFrame:
-    tables = ("region", "nation", "customer", "supplier", "part") if sql is EDGES else ("region", "nation", "supplier")
-    return run_sql(spark, sf_dir, sql, tables).select(F.lit(family).alias("family"), F.col("p").alias("parent"), F.col("c").alias("child"))
+def edges(spark: SparkSession, sf_dir: str, family: str = "wordnet") -> DataFrame:
+    return run_sql(spark, sf_dir, EDGES, ("region", "nation", "customer", "supplier", "part")).select(F.lit(family).alias("family"), F.col("p").alias("parent"), F.col("c").alias("child"))
 
 
 def nodes(edge: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def test_paired_fixture_samples_and_prompts(spark):
     cores = constraint.seed_cores(g, seeds).where("a_count = 1 and b_count = 1")
     core = cores.first()
     assert (core["a1"], core["bs"], core["positive"], core["hits_b"]) == ("positive", ["b1"], 6, 4)
-    visits = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count").join(sampling.windows(cores, g), ["family", "a1", "branches", "bs"])
+    visits = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count", "paired", "sources", "distance").join(sampling.windows(cores, g), ["family", "a1", "branches", "bs"])
     visits = visits.withColumns({"population": F.lit(20), "quota": F.lit(1), "h": F.lit("0")}).withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS))))
     base = sampling.realise(visits, "p")
     rows = {r["task"]: r for r in base.collect()}
@@ -126,8 +126,8 @@ def test_paired_fixture_samples_and_prompts(spark):
     full = sampling.with_information(base)
     assert full.count() == 9 and sampling.violations(full).count() == 0
     judged = truth.gold(truth.trace(base.select(F.col("base_sample_id").alias("key"), "family", "a1", "branches", "bs", "candidates"), g.closed))
-    for r in judged.join(base, F.col("key") == F.col("base_sample_id")).collect():
-        assert r["gold_set"] == r["gold_set"] and (r["gold_any"] == r["gold_bool"] or r["task"] == "T2")
+    for r in judged.withColumnRenamed("gold_set", "told").join(base, F.col("key") == F.col("base_sample_id")).collect():
+        assert r["told"] == r["gold_set"] if r["task"] == "T2" else r["gold_any"] == r["gold_bool"]
     asked = rendering.prompt(rendering.with_nodes(full, node))
     assert rendering.request_faults(asked).count() == 0
     by = {(r["task"], r["information"]): r["prompt"] for r in asked.collect()}
@@ -247,7 +247,7 @@ def test_thresholds_and_scenarios(spark):
     p = {r["threshold"]: r for r in audits.threshold_populations(cores).collect()}
     assert p[1]["T1"] == 3 and p[2]["T1"] == 2 and p[5]["T2_all_gold_sizes"] == 1 and 10 not in p
     s = {r["scenario"]: r for r in audits.scheduler_scenarios(audits.threshold_populations(cores), {"wordnet": 2}, 2).collect()}
-    assert s["balanced"]["status"] == "audited_no_shortage" and s["fixed_ratio"]["status"] == "requires_candidate_level_audit"
+    assert s["A_balanced_simple"]["status"] == "audited_no_shortage" and s["C_balanced_with_fixed_hard_negative_ratio"]["status"] == "requires_candidate_level_audit"
 
 
 def test_depth_options(spark):
@@ -309,8 +309,8 @@ def test_empty_cells_are_shortages(spark):
         p = audits.threshold_populations(spark.createDataFrame(cores, kind), families)
         assert p.count() == 2 * 30 * len(audits.THRESHOLDS) and p.where("T1 > 0").where("threshold = 2").count() == filled
         s = {r["scenario"]: r for r in audits.scheduler_scenarios(p, {"wordnet": 2, "babelnet": 1}, 2).collect()}
-        assert s["balanced"]["shortages"] == (60 - filled) * 4 and s["opportunistic"]["shortages"] == (60 - filled) * 3
-        assert s["balanced"]["status"] == s["opportunistic"]["status"] == "quota_shortage"
+        a, b = s["A_balanced_simple"], s["B_opportunistic_simple"]
+        assert a["shortages"] == (60 - filled) * 4 and b["shortages"] == (60 - filled) * 3 and a["status"] == b["status"] == "quota_shortage"
     with pytest.raises(ValueError):
         audits.scheduler_scenarios(p, {"wordnet": 2}, 3)
 
