@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from lexgrove.llm.common import read
 SPACE = "▁"
 #: Bytes of text that are encoded together, distinct words that a worker remembers, and the longest it remembers.
 TOGETHER, REMEMBERED, LONGEST = 3_000_000, 450_000, 32
+#: Words of more characters than this (unspaced text, encoded data) go alone, so many characters at a time.
+ALONE, WINDOW = 512, 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BIG = np.int64(1 << 40)
 _FRONT = np.uint64(42)
@@ -68,7 +71,8 @@ class Encoder:
     last piece is the one that is compatible with the last piece of the prefix before it, that is, no merge of
     better rank goes over their border while either is built; there is exactly one, so the maximum is
     over candidates with all others at minus infinity. Runs of spaces have pieces of equal rank, which
-    BPE joins from the left, and are cut apart from the word.
+    BPE joins from the left, and are cut apart from the word. A word of more than ALONE characters has no others to
+    advance with: all its substrings are probed together, window by window, and only the choice goes from end to end.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -92,8 +96,10 @@ class Encoder:
         self.own = [np.append(x, np.uint64(0)) for x in h]
         low = min((pieces.scores[i] for i in normal), default=0.0)
         self.scores = np.asarray([*(pieces.scores[i] for i in use), low - 10.0])
+        self.texts, self.known_rank = texts, {t: i for i, t in enumerate(texts)}
         if self.bpe:
             self._splits(texts)
+            self.halves = self.left.tolist(), self.right.tolist()
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.keys >> _FRONT] = True
         self.known: dict[str, bytes] = {}
@@ -132,6 +138,8 @@ class Encoder:
         if gone:
             keep = ~np.isin(self.rank, gone)
             self.keys, self.checks, self.rank = self.keys[keep], self.checks[keep], self.rank[keep]
+            for i in gone:
+                del self.known_rank[texts[i]]
 
     def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Ranks of substrings by their two hashes; -1 where there is no such piece. Most end at a bitmap of the keys' first bits."""
@@ -172,6 +180,13 @@ class Encoder:
         """Ids of each non-empty word, little-endian unsigned 32-bit."""
         out: list[bytes] = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > ALONE).tolist():
+            out[i] = self._alone(words[i])
+        short = np.flatnonzero(sizes <= ALONE)
+        if len(short) < len(words):
+            for i, x in zip(short.tolist(), self.words([words[i] for i in short])):
+                out[i] = x
+            return out
         for k in np.unique(np.ceil(np.log2(np.maximum(sizes, 8)))).tolist():
             group = np.flatnonzero(np.ceil(np.log2(np.maximum(sizes, 8))) == k)
             step = max(1, 1_000_000 // (1 << int(k)))
@@ -237,17 +252,84 @@ class Encoder:
         raw, cuts = self.ids[rank].tobytes(), np.searchsorted(col, np.arange(n + 1)).tolist()
         out = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
         for c in np.unique(col[rank == self.unknown]).tolist():
-            part: list[int] = []
-            for k in range(cuts[c], cuts[c + 1]):
-                if rank[k] != self.unknown:
-                    part.append(int(self.ids[rank[k]]))
-                elif self.bytes:
-                    part.extend(self.bytes[x] for x in words[c][end[k] - 1].encode())
-                elif not part or part[-1] != self.unk_id:
-                    part.append(self.unk_id)
-            out[c] = np.asarray(part, "<u4").tobytes()
+            out[c] = self._with_unknown(words[c], rank[cuts[c] : cuts[c + 1]].tolist(), end[cuts[c] : cuts[c + 1]].tolist())
         return out
 
+    def _with_unknown(self, word: str, ranks: list[int], ends: list[int]) -> bytes:
+        """Ids where some character is no piece: its bytes, or one unknown id for a run of such characters."""
+        part: list[int] = []
+        for r, e in zip(ranks, ends):
+            if r != self.unknown:
+                part.append(int(self.ids[r]))
+            elif self.bytes:
+                part.extend(self.bytes[x] for x in word[e - 1].encode())
+            elif not part or part[-1] != self.unk_id:
+                part.append(self.unk_id)
+        return np.asarray(part, "<u4").tobytes()
+
+    def _keeps(self, a: int, b: int) -> bool:
+        """As ``_compatible``, for one border."""
+        if a < 0 or a == self.unknown or b == self.unknown:
+            return True
+        left, right = self.halves
+        limit = _BIG
+        while True:
+            if self.known_rank.get(self.texts[a] + self.texts[b], _BIG) < limit:
+                return False
+            na, nb = right[a], left[b]
+            if na == a and nb == b:
+                return True
+            if na != a and (a > b or nb == b):
+                limit, a = a, na
+            else:
+                limit, b = b + 1, nb
+
+    def _alone(self, word: str) -> bytes:
+        """Ids of one long word, WINDOW characters at a time; time and memory grow with its length only."""
+        codes = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        n = len(codes)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        total, low = [0.0], float(self.scores[-1])
+        scores = self.scores.tolist() if not self.bpe else []
+        for at in range(0, n, WINDOW):
+            lo, hi = max(0, at - self.longest), min(n, at + WINDOW)
+            m1, m2 = _mixed(codes[lo:hi], _B), _mixed(codes[lo:hi], _A)
+            h1, h2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+            found: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo + 1)]
+            for size in range(1, min(self.longest, hi - lo) + 1):
+                k = hi - lo - size + 1
+                h1, h2 = h1[:k] * _A + m1[size - 1 :], h2[:k] * _B + m2[size - 1 :]
+                got = self._find(h1, h2)
+                starts = np.flatnonzero(got >= 0)
+                for s, r in zip(starts.tolist(), got[starts].tolist()):
+                    found[s + size].append((size, r))
+            for e in range(at + 1, hi + 1):
+                if self.bpe:
+                    for size, r in reversed(found[e - lo]):
+                        if self._keeps(last[e - size], r):
+                            last[e], back[e] = r, size
+                            break
+                else:
+                    best = -math.inf
+                    for size, r in reversed(found[e - lo]):
+                        if (v := total[e - size] + scores[r]) > best:
+                            best, last[e], back[e] = v, r, size
+                    if (not found[e - lo] or found[e - lo][0][0] > 1) and (v := total[e - 1] + low) > best:
+                        best, last[e], back[e] = v, self.unknown, 1
+                    total.append(best)
+                if not back[e]:
+                    last[e], back[e] = self.unknown, 1
+        ranks, ends, e = [], [], n
+        while e:
+            ranks.append(last[e])
+            ends.append(e)
+            e -= back[e]
+        ranks.reverse()
+        ends.reverse()
+        if self.unknown in ranks:
+            return self._with_unknown(word, ranks, ends)
+        return self.ids[np.asarray(ranks)].tobytes()
+
     def _run(self, n: int) -> bytes:
         """Ids of n spaces that no word takes in: the longest pieces from the left."""
         top = max(self.white, default=1)

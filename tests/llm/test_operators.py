@@ -472,6 +472,29 @@ def test_pieces_match_the_library(spark):
         assert np.frombuffer(bytes(got[i]["piece_ids"]), "<u4").tolist() == want and got[i]["decoded"] == lib.decode(want)
 
 
+def test_long_words_match_the_library():
+    """Unspaced text and encoded data over several windows, in time that grows with the length."""
+    import base64
+    import time
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    e, r = sentencepieces.Encoder(sentencepieces.load(sentencepieces.default_model())), random.Random(2)
+    encoded = base64.b64encode(r.randbytes(90_000)).decode()
+    texts = [encoded, "".join(r.choice("的一是不了人我在有他这") for _ in range(3000)), "ab" * 700, "😀é" * 400, ("word" * 200 + " ") * 3 + "x", "a" * 513, "a" * 512]
+    for t, got in zip(texts, e.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(t)
+    began = time.monotonic()
+    e.encode([encoded * 3])
+    assert time.monotonic() - began < 60
+    p = sentencepieces.Pieces(("<unk>", "▁", "▁a", "a", "b", "ab", "aba", "ba"), (0.0, -3.0, -2.0, -2.5, -2.6, -3.1, -4.0, -3.4), (2, 1, 1, 1, 1, 1, 1, 1), False, True)
+    u = sentencepieces.Encoder(p)
+    for n in (3, 40, 300):
+        w = "▁" + "".join(r.choice("abc") for _ in range(n))
+        assert u._alone(w) == u._advance([w], np.asarray([len(w)]))[0]
+
+
 def test_unigram_viterbi_is_optimal():
     texts = ["▁", "▁a", "a", "b", "ab", "aba", "ba", "▁ab"]
     scores = [-3.0, -2.0, -2.5, -2.6, -3.1, -4.0, -3.4, -3.9]
