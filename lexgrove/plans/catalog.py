@@ -132,7 +132,7 @@ def ancestor_walk(spark, sf_dir):
     return taxonomy.ancestor_walk(edge, sizes).select("seed", "anc", "distance", "rank")
 
 
-@query("graph_audit", FULL + """, u AS (SELECT c AS id, count(*) AS n FROM e GROUP BY c), d AS (SELECT p AS id, count(*) AS n FROM kid GROUP BY p)
+@query("graph_audit", FULL + """, u AS (SELECT c AS id, count(*) AS n FROM e GROUP BY c), d AS (SELECT p AS id, count(*) AS n FROM kid GROUP BY p),
 x AS (SELECT coalesce(d.n, 0) AS kids, coalesce(u.n, 0) AS parents, sz.size FROM sz LEFT JOIN u ON u.id = sz.id LEFT JOIN d ON d.id = sz.id),
 y AS (SELECT *, row_number() OVER (ORDER BY kids) - 1 AS ik, row_number() OVER (ORDER BY parents) - 1 AS ip, row_number() OVER (ORDER BY size) - 1 AS iz, count(*) OVER () - 1 AS n FROM x)
 SELECT count(*) AS nodes, count(*) FILTER (WHERE parents = 0) AS roots, count(*) FILTER (WHERE kids = 0) AS leaves, count(*) FILTER (WHERE parents > 1) AS multi_parent, max(size) AS largest, """ + ", ".join(
@@ -741,8 +741,8 @@ def violations(spark, sf_dir):
     return sampling.violations(full)
 
 
-_ASKED = """SELECT doc_id AS i, 'request_' || substr(md5(CAST(doc_id AS VARCHAR)), 1, CASE WHEN doc_id % 37 = 1 THEN 15 ELSE 16 END) || CASE WHEN doc_id % 43 = 2 THEN 'x' ELSE '' END AS request_id, md5(CAST(doc_id AS VARCHAR)) AS request_hash,
-CASE WHEN doc_id % 47 = 3 THEN 'other' ELSE md5(CAST(doc_id AS VARCHAR)) END AS sample_request_hash, CASE WHEN doc_id % 61 = 4 THEN 'old' ELSE 'separated_gloss_v2' END AS renderer_version, CASE WHEN doc_id % 67 = 5 THEN '' ELSE 'q' END AS prompt, CASE WHEN doc_id % 71 = 6 THEN NULL ELSE lang END AS family FROM documents"""
+_ASKED = """SELECT doc_id AS i, 'request_' || substr(md5(CAST(doc_id AS STRING)), 1, CASE WHEN doc_id % 37 = 1 THEN 15 ELSE 16 END) || CASE WHEN doc_id % 43 = 2 THEN 'x' ELSE '' END AS request_id, md5(CAST(doc_id AS STRING)) AS request_hash,
+CASE WHEN doc_id % 47 = 3 THEN 'other' ELSE md5(CAST(doc_id AS STRING)) END AS sample_request_hash, CASE WHEN doc_id % 61 = 4 THEN 'old' ELSE 'separated_gloss_v2' END AS renderer_version, CASE WHEN doc_id % 67 = 5 THEN '' ELSE 'q' END AS prompt, CASE WHEN doc_id % 71 = 6 THEN NULL ELSE lang END AS family FROM documents"""
 
 
 @query("request_faults", f"""WITH r AS ({_ASKED}) SELECT 'id_without_hash' AS fault, request_id FROM r WHERE NOT ends_with(request_id, substr(request_hash, 1, 16)) UNION ALL SELECT 'nested_hash', request_id FROM r WHERE sample_request_hash <> request_hash
