@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -83,15 +82,10 @@ class Encoder:
         return self._plain(text)
 
 
-@functools.cache
-def _encoder(ranks: str, pattern: str) -> Encoder:
-    """One for each worker process."""
-    return Encoder(ranks, pattern)
-
-
 def _piece_batches(ranks: str, pattern: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, pattern)
+        # Loaded for each task and freed with it: a vocabulary that idle workers kept would count against every other stage.
+        encoder = Encoder(ranks, pattern)
         end = np.asarray([END_ID], "<u4").tobytes()
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
@@ -108,8 +102,6 @@ def _piece_batches(ranks: str, pattern: str, limit: int):
                     at, k = at + k, limit
             own = b.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        # The worker goes on to other tasks: it keeps the vocabulary, but not what this task's texts taught it.
-        encoder.known.clear()
 
     return run
 
