@@ -56,16 +56,6 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), F.greatest(at, F.lit(1)))).otherwise(F.lit(0))
 
 
-def quantile_columns(values: Column) -> list[Column]:
-    n = F.size(values)
-    zero = F.lit(0)
-    return [
-        n.cast("long").alias("n"), F.when(n > 0, F.array_min(values)).otherwise(zero).cast("long").alias("min"),
-        *(nearest_rank(values, q).cast("long").alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)),
-        F.when(n > 0, F.array_max(values)).otherwise(zero).cast("long").alias("max"),
-    ]
-
-
 def evenly_spread(values: Column, k: int) -> Column:
     """k values at even steps of the array, ends included, positions rounded half to even; all if there are no more."""
     n = F.size(values)

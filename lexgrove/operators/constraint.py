@@ -33,13 +33,6 @@ def graph(node: DataFrame, edge: DataFrame) -> Graph:
     return Graph(node, edge, closed, sizes, written(taxonomy.usable_children(edge, sizes), "children"), taxonomy.ancestor_walk(edge, sizes))
 
 
-def split_children(pairs: DataFrame, g: Graph) -> DataFrame:
-    """(family, seed, a1, child, size, covers) for each pair's usable children; a node never covers itself."""
-    kids = pairs.join(g.children.select("family", F.col("parent").alias("a1"), "child", "size"), ["family", "a1"])
-    cover = g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed"), F.lit(True).alias("covers"))
-    return kids.join(cover, ["family", "child", "seed"], "left").select("family", "seed", "a1", "child", "size", F.coalesce("covers", F.lit(False)).alias("covers"))
-
-
 def ranked_children(g: Graph) -> DataFrame:
     """(family, parent, j, child, size): children with descendants, the largest first, numbered from 1."""
     j = F.row_number().over(Window.partitionBy("family", "parent").orderBy(F.desc("size"), "child"))

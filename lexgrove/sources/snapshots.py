@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,8 +156,3 @@ def part_faults(folder: str, rows_per_group: int = 3) -> list[str]:
         elif n % rows_per_group:
             out.append(f"{path.name} splits a group")
     return out
-
-
-def canonical(value) -> str:
-    """JSON with sorted keys and raw Unicode; the Python twin of the column function."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
