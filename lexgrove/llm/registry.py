@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import chat, fingerprint, language, line_dedup, packing, sentencepieces, sharding, simhash, topk, toxicity
+from lexgrove.llm import chat, clustering, fingerprint, language, line_dedup, online_packing, packing, sentencepieces, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.query,
         "op9_language_id": language.query,
         "op10_toxicity": toxicity.query,
+        "op11_online_packing": online_packing.query,
+        "op12_centroid_clustering": clustering.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op4_exact_top_k": topk.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {
+        "op2_chat_format": chat.ORACLE,
+        "op4_exact_top_k": topk.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
+        "op12_centroid_clustering": clustering.ORACLE,
+    }
