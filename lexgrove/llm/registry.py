@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgrove.llm import chat, clustering, fingerprint, language, line_dedup, online_packing, packing, sentencepieces, sharding, simhash, topk, toxicity
+from lexgrove.llm import chat, clustering, fingerprint, language, line_dedup, online_packing, packing, repair, sentencepieces, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.query,
         "op11_online_packing": online_packing.query,
         "op12_centroid_clustering": clustering.query,
+        "op13_conversation_repair": repair.query,
     }
 
 
