@@ -41,7 +41,15 @@ def closed_sets(edges):
     return out
 
 
-PAIRED = [("root", "positive"), ("root", "excluded"), ("root", "outside"), ("positive", "seed"), *(("positive", f"p{i}") for i in range(1, 5)), ("positive", "b1"), *(("b1", f"l{i}") for i in range(4)), *(("excluded", f"n{i}") for i in range(4)), *(("outside", f"o{i}") for i in range(4))]
+#: Goods of a workshop; a rivet and a chair have two parents each.
+WORKSHOP = [
+    *(("goods", x) for x in ("timber", "metalware", "textile")),
+    *(("timber", x) for x in ("chair", "plank", "joint")),
+    *(("joint", x) for x in ("dovetail", "tenon", "lap", "bridle", "rivet")),
+    *(("metalware", x) for x in ("rivet", "hinge", "blade")),
+    *(("blade", x) for x in ("chisel", "saw")),
+    *(("textile", x) for x in ("felt", "cord", "chair")),
+]
 
 
 def test_closure_shapes(spark):
@@ -110,13 +118,13 @@ def test_walk_and_counts_against_sets(spark, seed):
         assert r["branches"] == sorted((cover[:1] + rest + cover[1:])[: r["k"]])
 
 
-def test_paired_fixture_samples_and_prompts(spark):
-    node, edge = make(spark, PAIRED)
+def test_samples_and_prompts_of_a_small_hierarchy(spark):
+    node, edge = make(spark, WORKSHOP)
     g = constraint.graph(node, edge)
-    seeds = node.where("object_id = 'seed'").select("family", F.col("object_id").alias("seed"))
+    seeds = node.where("object_id = 'plank'").select("family", F.col("object_id").alias("seed"))
     cores = constraint.seed_cores(g, seeds).where("a_count = 1 and b_count = 1")
     core = cores.first()
-    assert (core["a1"], core["bs"], core["positive"], core["hits_b"]) == ("positive", ["b1"], 6, 4)
+    assert (core["a1"], core["bs"], core["positive"], core["hits_b"]) == ("timber", ["joint"], 3, 5)
     visits = cores.select("family", "seed", "a1", "branches", "bs", "a_count", "b_count", "paired", "sources", "distance").join(sampling.windows(cores, g), ["family", "a1", "branches", "bs"])
     visits = visits.withColumns({"population": F.lit(20), "quota": F.lit(1), "h": F.lit("0")}).withColumn("task", F.explode(F.array(*map(F.lit, sampling.TASKS))))
     base = sampling.realise(visits, "p")
@@ -132,7 +140,7 @@ def test_paired_fixture_samples_and_prompts(spark):
     assert rendering.request_faults(asked).count() == 0
     by = {(r["task"], r["information"]): r["prompt"] for r in asked.collect()}
     assert "notes" not in by["T1", "I0"] and "Concept notes:" in by["T1", "I1"] and "Candidate notes:" not in by["T1", "I1"] and "Candidate notes:" in by["T1", "I2"]
-    assert by["T1", "I0"].startswith("You are given a concept-boundary question.\n\nTarget condition:\n- A1 positive is the outer required concept.\n- Exclude objects that are a kind of any concept below:\n- B1 b1\n")
+    assert by["T1", "I0"].startswith("You are given a concept-boundary question.\n\nTarget condition:\n- A1 timber is the outer required concept.\n- Exclude objects that are a kind of any concept below:\n- B1 joint\n")
 
 
 def test_fold_respects_caps():
