@@ -188,8 +188,9 @@ def seed_audit(spark, a):
     c = _config(a)
     g = _graph(spark, a, c)
     seeds, low = _seeds(g, c), c.resources.min_final_positive_count
-    found = written(constraint.seed_cores(g, seeds, low, need_negative=False), "found")
-    cells = _out(audits.seed_cells(found, constraint.missing_reasons(g, seeds, low), seeds), a, "lowest_viable_cells")
+    searched = constraint.search(g, seeds, low, need_negative=False)
+    found = searched.found
+    cells = _out(audits.seed_cells(found, constraint.missing_reasons(g, seeds, low, searched), seeds), a, "lowest_viable_cells")
     counts = _out(audits.threshold_populations(found, g.node), a, "threshold_populations")
     _out(audits.threshold_summary(counts), a, "threshold_summary")
     _out(audits.threshold_shortages(counts), a, "threshold_shortages")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.operators import taxonomy
+from lexgrove.operators import bitmaps, taxonomy
 from lexgrove.operators.work import written
 
 A_COUNTS, B_COUNTS, POOL = (1, 2, 3, 4, 5), (0, 1, 2, 3, 4, 5), 4
@@ -25,6 +26,16 @@ class Graph:
     children: DataFrame
     walk: DataFrame
 
+    @functools.cached_property
+    def places(self) -> DataFrame:
+        """Places of usable nodes, as ``bitmaps.node_places``; written once."""
+        return written(bitmaps.node_places(self.node, self.edge), "places")
+
+    @functools.cached_property
+    def words(self) -> DataFrame:
+        """Closures as words, as ``bitmaps.closure_words``; written once."""
+        return written(bitmaps.closure_words(self.closed, self.places), "words")
+
 
 def graph(node: DataFrame, edge: DataFrame) -> Graph:
     edge = written(taxonomy.usable_edges(node, edge), "edge")
@@ -59,7 +70,7 @@ def branch_sets(pairs: DataFrame, g: Graph) -> DataFrame:
     """
     most = max(A_COUNTS) - 1
     ranked = written(ranked_children(g), "ranked")
-    pairs = pairs.select("family", "seed", "a1").distinct().withColumn("id", F.xxhash64("family", "seed", "a1"))
+    pairs = written(pairs.select("family", "seed", "a1").distinct().withColumn("id", F.monotonically_increasing_id()), "pairs")
     covering = g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed")).join(ranked, ["family", "child"])
     covering = covering.select("family", "seed", F.col("parent").alias("a1"), "child", "size", "j").join(pairs, ["family", "seed", "a1"])
     covering = written(covering, "covering")
@@ -82,14 +93,19 @@ def top_b(branched: DataFrame, g: Graph, count: int = max(B_COUNTS)) -> DataFram
     source the order is by size and id, so that a source's ``count`` first hold all that can be chosen from it.
     """
     ranked = written(ranked_children(g), "ranked")
-    rows = written(branched.select("family", "seed", "a1", "k", "branches", F.xxhash64("family", "seed", "a1", "k").alias("id")), "branched")
+    rows = written(branched.select("family", "seed", "a1", "k", "branches", F.monotonically_increasing_id().alias("id")), "branched")
     at = F.concat(F.transform("branches", lambda x, i: F.struct(i.alias("stage"), x.alias("parent"))), F.array(F.struct(F.lit(99).alias("stage"), F.col("a1").alias("parent"))))
     asked = rows.select("id", "family", "seed", F.explode(at).alias("p")).select("id", "family", "seed", "p.*")
     covers = asked.join(g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed")).join(ranked, ["family", "child"]), ["family", "seed", "parent"]).select("id", "parent", "j")
     # Children of a branch belong to it, not to a later branch or to a1: what an earlier source has, is removed.
     named = rows.select("id", "family", F.explode("branches").alias("child")).join(ranked, ["family", "child"]).join(rows.select("id", F.col("a1").alias("parent")), ["id", "parent"], "left_semi").select("id", "parent", "j")
-    early = asked.where("stage < 99").select("id", "family", F.col("stage").alias("was"), F.col("parent").alias("branch")).join(ranked.select("family", F.col("parent").alias("branch"), "child"), ["family", "branch"])
-    taken = early.join(ranked.select("family", "child", "parent", "j"), ["family", "child"]).join(asked.select("id", "stage", "parent"), ["id", "parent"]).where("was < stage").select("id", "parent", "j")
+    # Children of two parents are found once for the two, whatever the number of seeds that ask.
+    some = asked.select("family", "parent").distinct()
+    other = ranked.join(some, ["family", "parent"], "left_semi").select("family", F.col("parent").alias("branch"), "child")
+    shared = written(ranked.join(other, ["family", "child"]).where("branch <> parent").select("family", "branch", "parent", "j"), "shared")
+    early = asked.where("stage < 99").select("id", F.col("stage").alias("was"), F.col("parent").alias("branch"))
+    meet = early.join(asked.select("id", "family", "stage", "parent"), "id").where("was < stage")
+    taken = meet.join(shared, ["family", "branch", "parent"]).select("id", "parent", "j")
     found = first_left(asked.select("id", "family", "parent", "stage"), covers.unionByName(named).unionByName(taken), ranked, count)
     source = F.when(F.col("stage") == 99, "inside_A1").otherwise("inside_positive_branch").alias("source")
     key = F.struct((-F.col("size")).alias("neg"), F.col("parent").alias("paired"), F.col("child").alias("b"), source)
@@ -123,7 +139,11 @@ def choose_b(options: DataFrame, count: int = max(B_COUNTS)) -> DataFrame:
 def cores(g: Graph, seeds: DataFrame) -> DataFrame:
     """All candidate cores: (family, seed, a1, distance, rank, a_count, b_count, branches, bs, paired, sources)."""
     pairs = g.walk.join(seeds, ["family", "seed"], "left_semi").select("family", "seed", F.col("anc").alias("a1"), "distance", "rank")
-    branched = written(branch_sets(pairs.select("family", "seed", "a1"), g), "branches")
+    return cores_of(written(branch_sets(pairs.select("family", "seed", "a1"), g), "branches"), pairs, g)
+
+
+def cores_of(branched: DataFrame, pairs: DataFrame, g: Graph) -> DataFrame:
+    """The cores of branch sets, as ``cores``; ``pairs`` (family, seed, a1, distance, rank) places their ancestors."""
     chosen = top_b(branched, g)
     out = branched.join(chosen, ["family", "seed", "a1", "k"], "left").join(pairs, ["family", "seed", "a1"])
     n = F.coalesce(F.size("chosen"), F.lit(0))
@@ -131,7 +151,8 @@ def cores(g: Graph, seeds: DataFrame) -> DataFrame:
     take = F.slice(F.coalesce("chosen", F.array().cast("array<struct<neg:bigint,paired:string,b:string,source:string>>")), F.lit(1), F.col("b_count"))
     out = out.withColumn("take", F.when(F.col("b_count") > 0, take))
     none = F.array().cast(_IDS)
-    return out.select("family", "seed", "a1", "distance", "rank", (F.col("k") + 1).alias("a_count"), "b_count", "branches", *(F.coalesce(F.col(f"take.{c}"), none).alias(n) for c, n in (("b", "bs"), ("paired", "paired"), ("source", "sources"))))
+    parts = (F.coalesce(F.col(f"take.{c}"), none).alias(n) for c, n in (("b", "bs"), ("paired", "paired"), ("source", "sources")))
+    return out.select("family", "seed", "a1", "distance", "rank", (F.col("k") + 1).alias("a_count"), "b_count", "branches", *parts)
 
 
 def core_counts(keys: DataFrame, g: Graph) -> DataFrame:
@@ -139,27 +160,31 @@ def core_counts(keys: DataFrame, g: Graph) -> DataFrame:
 
     With S all under a1 and P the part of it under a branch (all of S without branches): positive is P
     outside all bs, hits_b P inside one, fails S outside P, outside all usable nodes but S and a1. Near siblings are
-    the fails if there are branches, else siblings' nodes outside P. Only members of branches and bs are expanded.
+    the fails if there are branches, else siblings' nodes outside P. Sets are put together and counted as bitmaps.
     """
-    keys = keys.select("family", "a1", "branches", "bs").distinct().withColumn("key", F.xxhash64("family", "a1", F.to_json(F.struct("branches", "bs"))))
-    keys = written(keys, "keys")
-    member = g.closed.select("family", F.col("anc").alias("id"), F.col("desc").alias("m"))
-    pre = keys.select("key", "family", F.explode("branches").alias("id")).join(member, ["family", "id"]).select("key", "m", F.lit(1).alias("p"), F.lit(0).alias("x"))
-    out_ = keys.select("key", "family", F.explode("bs").alias("id")).join(member, ["family", "id"]).select("key", "m", F.lit(0).alias("p"), F.lit(1).alias("x"))
-    each = pre.unionByName(out_).groupBy("key", "m").agg(F.max("p").alias("p"), F.max("x").alias("x"))
-    sums = each.groupBy("key").agg(F.sum("p").alias("p"), F.sum("x").alias("x"), F.sum(F.col("p") * F.col("x")).alias("both"))
+    keys = written(keys.select("family", "a1", "branches", "bs").distinct().withColumn("key", F.monotonically_increasing_id()), "keys")
+    words = g.words.withColumnRenamed("anc", "id")
+    none = F.lit(0).cast("long")
+    pre = keys.select("key", "family", F.explode("branches").alias("id")).join(words, ["family", "id"]).select("key", "word", F.col("bits").alias("p"), none.alias("x"))
+    out_ = keys.select("key", "family", F.explode("bs").alias("id")).join(words, ["family", "id"]).select("key", "word", none.alias("p"), F.col("bits").alias("x"))
+    each = pre.unionByName(out_).groupBy("key", "word").agg(F.bit_or("p").alias("p"), F.bit_or("x").alias("x"))
+    each = each.join(keys.select("key", "family", "a1", (F.size("branches") == 0).alias("lone")), "key")
     # Without branches what the bs cover must lie under a1 to count as a hit.
-    lone = keys.where(F.size("branches") == 0).select("key", "family", "a1", F.explode("bs").alias("id")).join(member, ["family", "id"]).select("key", "family", "a1", "m").distinct()
-    lone = lone.join(g.closed.select("family", F.col("anc").alias("a1"), F.col("desc").alias("m")), ["family", "a1", "m"], "left_semi").groupBy("key").agg(F.count("*").alias("in_a1"))
+    under = g.words.select("family", F.col("anc").alias("a1"), "word", F.col("bits").alias("s"))
+    hit = F.when(~F.col("lone"), F.col("p")).otherwise(F.coalesce("s", none)).bitwiseAND(F.col("x"))
+    each = each.join(under, ["family", "a1", "word"], "left")
+    sums = each.groupBy("key").agg(bitmaps.size_of(F.col("p")).alias("p"), bitmaps.size_of(F.col("x")).alias("x"), bitmaps.size_of(hit).alias("hits"))
     size = g.sizes.select("family", F.col("object_id").alias("a1"), F.col("size").alias("s"))
     total = g.sizes.groupBy("family").agg(F.count("*").alias("total"))
     on_cycle = g.closed.where("anc = desc").select("family", F.col("anc").alias("a1"), F.lit(1).alias("own"))
-    sib = taxonomy.siblings(g.edge, g.children, g.closed).groupBy("family", F.col("object_id").alias("a1")).agg(F.count("*").alias("near"))
-    row = keys.join(sums, "key", "left").join(lone, "key", "left").join(size, ["family", "a1"]).join(F.broadcast(total), "family").join(on_cycle, ["family", "a1"], "left").join(sib, ["family", "a1"], "left")
-    row = row.fillna(0, ["p", "x", "both", "in_a1", "own", "near"])
+    heads = keys.where(F.size("branches") == 0).select("family", F.col("a1").alias("object_id"))
+    near = bitmaps.sibling_words(heads, g.edge, g.children, g.words, g.places)
+    sib = near.groupBy("family", F.col("object_id").alias("a1")).agg(bitmaps.size_of(F.col("bits")).alias("near"))
+    row = keys.join(sums, "key", "left").join(size, ["family", "a1"]).join(F.broadcast(total), "family").join(on_cycle, ["family", "a1"], "left").join(sib, ["family", "a1"], "left")
+    row = row.fillna(0, ["p", "x", "hits", "own", "near"])
     branches = F.size("branches") > 0
     scope = F.when(branches, F.col("p")).otherwise(F.col("s"))
-    hits = F.when(branches, F.col("both")).otherwise(F.col("in_a1"))
+    hits = F.col("hits")
     fails, outside = F.col("s") - scope, F.col("total") - F.col("s") - 1 + F.col("own")
     near = F.when(branches, fails).otherwise(F.col("near"))
     as_long = lambda c, n: c.cast("long").alias(n)
@@ -194,29 +219,78 @@ def first_viable(all_: DataFrame, counted: DataFrame, min_positive: int = 1, nee
     return viable.withColumn("n", first).where("n = 1").drop("n")
 
 
+@dataclass(frozen=True)
+class Search:
+    """What the walk up from the seeds gave.
+
+    ``found``: the first viable core of each seed and cell; ``open``: (family, seed, a_count, b_count) without one;
+    ``branched`` (family, seed, anc, a_count) and ``tried`` (family, seed, anc, a_count, b_count, positive): what there was to try.
+    ``built`` counts the cores that were built.
+    """
+
+    found: DataFrame
+    open: DataFrame
+    branched: DataFrame
+    tried: DataFrame
+    built: int
+
+
+def _cells(seeds: DataFrame) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))
+    return seeds.select("family", "seed", F.explode(cells).alias("c")).select("family", "seed", "c.*")
+
+
+def search(g: Graph, seeds: DataFrame, min_positive: int = 1, need_negative: bool = True) -> Search:
+    """Walks up from the seeds in rounds of ancestors: ranks 1, then 2 and 3, then 4 to 7, and so on.
+
+    A round builds and counts the cores of open cells only, and takes the first viable one of each; what is solved takes no
+    part in the next. Every round is written. Rounds grow as the logarithm of the longest walk.
+    """
+    cell = ["family", "seed", "a_count", "b_count"]
+    walk = g.walk.join(seeds.select("family", "seed"), ["family", "seed"], "left_semi").select("family", "seed", F.col("anc").alias("a1"), "distance", "rank")
+    last = walk.agg(F.max("rank")).first()[0] or 0
+    open_ = written(_cells(seeds), "open")
+    found, branched, tried, built = [], [], [], 0
+    low, high = 1, 1
+    while True:
+        pairs = walk.where(F.col("rank").between(low, high)).join(open_.select("family", "seed").distinct(), ["family", "seed"], "left_semi")
+        sets = branch_sets(pairs.select("family", "seed", "a1"), g).withColumn("a_count", F.col("k") + 1)
+        sets = written(sets.join(open_.select("family", "seed", "a_count").distinct(), ["family", "seed", "a_count"], "left_semi"), "branches")
+        made = written(cores_of(sets.drop("a_count"), pairs, g).join(open_, cell, "left_semi"), "cores")
+        counted = written(core_counts(made, g), "counts")
+        first = written(first_viable(made, counted, min_positive, need_negative), "found")
+        built += made.count()
+        found.append(first)
+        branched.append(sets.select("family", "seed", F.col("a1").alias("anc"), "a_count"))
+        tried.append(made.join(counted, ["family", "a1", "branches", "bs"]).select("family", "seed", F.col("a1").alias("anc"), "a_count", "b_count", "positive"))
+        open_ = written(open_.join(first, cell, "left_anti"), "open")
+        low, high = high + 1, 2 * high + 1
+        if low > last or open_.isEmpty():
+            break
+    whole = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return Search(whole(found), open_, whole(branched), whole(tried), built)
+
+
 def seed_cores(g: Graph, seeds: DataFrame, min_positive: int = 1, need_negative: bool = True) -> DataFrame:
     """For each seed and cell the first ancestor in walk order whose core is viable, with its counts.
 
     ``need_negative`` tells the generator's gate (a negative must exist) from the audit's.
     """
-    all_ = written(cores(g, seeds), "cores")
-    return first_viable(all_, written(core_counts(all_, g), "counts"), min_positive, need_negative)
-
-
-def missing_reasons(g: Graph, seeds: DataFrame, min_positive: int = 1, all_: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """(family, seed, a_count, b_count, reason) where no ancestor is viable: the commonest reason over ancestors, ties to the earliest; without ancestors no_usable_ancestor."""
-    cells = seeds.select("family", "seed", F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))).alias("c")).select("family", "seed", "c.*")
-    all_ = all_ if all_ is not None else written(cores(g, seeds), "cores")
-    counted = counted if counted is not None else core_counts(all_, g)
-    got = all_.join(counted, ["family", "a1", "branches", "bs"]).select("family", "seed", F.col("a1").alias("anc"), "a_count", "b_count", "positive")
-    has_branch = all_.select("family", "seed", F.col("a1").alias("anc"), "a_count", F.lit(True).alias("branched")).distinct()
-    each = cells.join(g.walk, ["family", "seed"]).join(has_branch, ["family", "seed", "anc", "a_count"], "left").join(got, ["family", "seed", "anc", "a_count", "b_count"], "left")
-    why = F.when(F.col("branched").isNull(), "insufficient_positive_branches").when(F.col("positive").isNull(), "insufficient_B_options").when(F.col("positive") < min_positive, "empty_final_positive_scope")
-    each = each.withColumn("reason", why)
-    solved = each.where("reason is null").select("family", "seed", "a_count", "b_count").distinct()
-    n = each.join(solved, ["family", "seed", "a_count", "b_count"], "left_anti").groupBy("family", "seed", "a_count", "b_count", "reason").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    top = n.groupBy("family", "seed", "a_count", "b_count").agg(F.min_by("reason", F.struct((-F.col("n")).alias("n"), "first")).alias("reason"))
-    none = cells.join(g.walk.select("family", "seed").distinct(), ["family", "seed"], "left_anti").withColumn("reason", F.lit("no_usable_ancestor"))
+    return search(g, seeds, min_positive, need_negative).found
+
+
+def missing_reasons(g: Graph, seeds: DataFrame, min_positive: int = 1, searched: Search | None = None) -> DataFrame:
+    """(family, seed, a_count, b_count, reason) where no ancestor is viable: the commonest reason over ancestors, ties to the earliest; without ancestors no_usable_ancestor.
+
+    ``searched`` is the audit's search (``need_negative`` off) over the same seeds, if it has been made.
+    """
+    got = searched or search(g, seeds, min_positive, need_negative=False)
+    cell, at = ["family", "seed", "a_count", "b_count"], ["family", "seed", "anc", "a_count"]
+    each = got.open.join(g.walk, ["family", "seed"]).join(got.branched.withColumn("branched", F.lit(True)), at, "left").join(got.tried, [*at, "b_count"], "left")
+    why = F.when(F.col("branched").isNull(), "insufficient_positive_branches").when(F.col("positive").isNull(), "insufficient_B_options").otherwise("empty_final_positive_scope")
+    n = each.groupBy(*cell, why.alias("reason")).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    top = n.groupBy(*cell).agg(F.min_by("reason", F.struct((-F.col("n")).alias("n"), "first")).alias("reason"))
+    none = got.open.join(g.walk.select("family", "seed").distinct(), ["family", "seed"], "left_anti").withColumn("reason", F.lit("no_usable_ancestor"))
     return top.unionByName(none)
 
 
@@ -225,10 +299,9 @@ def feasibility(g: Graph, seeds: DataFrame, min_positive: int = 1, tasks: tuple[
 
     Cells without a core give the reasons that their seeds lack one, in order, joined by commas.
     """
-    all_ = written(cores(g, seeds), "cores")
-    counted = written(core_counts(all_, g), "counts")
-    found = written(first_viable(all_, counted, min_positive, need_negative=False), "found")
-    reasons = missing_reasons(g, seeds, min_positive, all_, counted).groupBy("family", "a_count", "b_count").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    searched = search(g, seeds, min_positive, need_negative=False)
+    found = searched.found
+    reasons = missing_reasons(g, seeds, min_positive, searched).groupBy("family", "a_count", "b_count").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
     kids = g.children.groupBy("family", "parent").agg(F.count("*").alias("n")).groupBy("family").agg(F.max("n").alias("direct_children"))
     n_seeds = seeds.groupBy("family").agg(F.count("*").alias("usable_seed_count"))
     easy = F.col("outside") >= POOL

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions.hashing import stable_hash
 from lexgrove.operators import truth
 from lexgrove.operators.constraint import A_COUNTS, B_COUNTS, Graph
+from lexgrove.operators.ranks import first_by_hash, numbered
 from lexgrove.operators.taxonomy import siblings
 from lexgrove.operators.work import written
 
@@ -62,7 +63,7 @@ def target_size(quotas: dict[str, int], tasks: int = 3, cells: int = 30, informa
 
 def seed_indexes(seeds: DataFrame, limit: int = 0) -> DataFrame:
     """``seeds`` (family, seed) with ``seed_index``, the place of its id in the family from 0; only the first ``limit``, if given."""
-    out = seeds.withColumn("seed_index", F.row_number().over(Window.partitionBy("family").orderBy("seed")) - 1)
+    out = numbered(seeds, ["seed"], ["family"], "seed_index")
     return out.where(F.col("seed_index") < limit) if limit else out
 
 
@@ -86,29 +87,29 @@ def windows(cores: DataFrame, g: Graph, size: int = 512) -> DataFrame:
 
     Only members of branches and of bs are expanded; what lies under a1 beside them, and outside a1, is found by rank.
     """
-    keys = cores.select("family", "a1", "branches", "bs").distinct().withColumn("key", F.xxhash64("family", "a1", F.to_json(F.struct("branches", "bs"))))
+    keys = cores.select("family", "a1", "branches", "bs").distinct().withColumn("key", F.monotonically_increasing_id())
     keys = written(keys, "keys")
     member = g.closed.select("family", F.col("anc").alias("id"), F.col("desc").alias("m"))
-    heads = keys.select("family", "a1").distinct()
+    heads = written(keys.select("family", "a1").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
     under = heads.join(member.withColumnRenamed("id", "a1"), ["family", "a1"])
-    under = written(under.withColumn("j", F.row_number().over(Window.partitionBy("family", "a1").orderBy("m"))), "under")
-    nodes = written(g.sizes.select("family", F.col("object_id").alias("m")).withColumn("j", F.row_number().over(Window.partitionBy("family").orderBy("m"))), "ranks")
+    under = written(numbered(under, ["m"], ["head"], "j").withColumn("j", F.col("j") + 1), "under")
+    nodes = numbered(g.sizes.select("family", F.col("object_id").alias("m")), ["m"], ["family"], "j")
+    nodes = written(nodes.withColumn("j", F.col("j") + 1), "ranks")
     inside = lambda c, r: keys.select("key", "family", "a1", F.explode(c).alias("id")).join(member, ["family", "id"]).select("key", "family", "a1", "m", F.lit(r).alias("role"))
     roles = inside("branches", "p").unionByName(inside("bs", "x")).groupBy("key", "family", "a1", "m").agg(*(F.max((F.col("role") == r).cast("int")).alias(r) for r in "px"))
-    roles = written(roles.join(under, ["family", "a1", "m"]), "roles")
+    roles = written(roles.join(under.drop("head"), ["family", "a1", "m"]), "roles")
     has = keys.where(F.size("branches") > 0).select("key", "family", "a1")
     lone = keys.where(F.size("branches") == 0).select("key", "family", "a1")
     with_p, without = roles.join(has.select("key"), "key", "left_semi"), roles.join(lone.select("key"), "key", "left_semi")
     hits = with_p.where("p = 1 and x = 1").select("key", "m").unionByName(without.where("x = 1").select("key", "m"))
-    positive = with_p.where("p = 1 and x = 0").select("key", "m").unionByName(_lowest_left(lone, without.where("x = 1"), under, ["family", "a1"], size))
-    fails = _lowest_left(has, with_p.where("p = 1"), under, ["family", "a1"], size)
-    near = lone.join(siblings(g.edge, g.children, g.closed).select("family", F.col("object_id").alias("a1"), "member"), ["family", "a1"]).select("key", F.col("member").alias("m"))
+    positive = with_p.where("p = 1 and x = 0").select("key", "m").unionByName(_lowest_left(lone, without.where("x = 1"), under.drop("head"), ["family", "a1"], size))
+    fails = _lowest_left(has, with_p.where("p = 1"), under.drop("head"), ["family", "a1"], size)
+    near = lone.join(siblings(g.edge, g.children, g.closed, lone.withColumnRenamed("a1", "object_id")).select("family", F.col("object_id").alias("a1"), "member"), ["family", "a1"]).select("key", F.col("member").alias("m"))
     # What lies outside is the same for all constraints of an a1.
-    key = F.xxhash64("family", "a1").alias("key")
-    own = heads.select("family", F.col("a1").alias("m"), key).join(nodes, ["family", "m"]).select("key", "j")
-    below = under.select("family", "a1", "m").join(nodes, ["family", "m"]).select(key, "j")
-    beyond = written(_lowest_left(heads.select(key, "family"), own.unionByName(below), nodes, ["family"], size), "outside")
-    outside = keys.select("key", F.xxhash64("family", "a1").alias("head")).join(beyond.withColumnRenamed("key", "head"), "head").select("key", "m")
+    own = heads.select("family", F.col("a1").alias("m"), F.col("head").alias("key")).join(nodes, ["family", "m"]).select("key", "j")
+    below = under.select("family", F.col("head").alias("key"), "m").join(nodes, ["family", "m"]).select("key", "j")
+    beyond = written(_lowest_left(heads.select(F.col("head").alias("key"), "family"), own.unionByName(below), nodes, ["family"], size), "outside")
+    outside = keys.join(heads, ["family", "a1"]).select("key", "head").join(beyond.withColumnRenamed("key", "head"), "head").select("key", "m")
     label = lambda df, *names: df.select("key", "m", F.explode(F.array(*map(F.lit, names))).alias("stream"))
     every = label(positive, "positive").unionByName(label(hits, "negative", "hard_negative")).unionByName(label(fails, "negative", "hard_negative"))
     every = every.unionByName(label(near, "hard_negative")).unionByName(label(outside, "negative", "easy_negative")).distinct()
@@ -219,13 +220,12 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
 
 
 def visits(cores: DataFrame, seeds: DataFrame, product: str, tier: str, scheduler: str, seed: int, tasks: tuple[str, ...] = TASKS) -> DataFrame:
-    """One row for each core and task with its hash ``h`` and its place ``n`` in its stratum by that hash.
+    """One row for each core and task with its hash ``h``, by which a stratum's seeds are visited.
 
     ``seeds`` (family, seed) are all seeds of a family: a seed's place among them goes into its hash. Rows are narrow: no windows yet.
     """
     rows = cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")).join(seed_indexes(seeds), ["family", "seed"])
-    rows = seed_order(rows.withColumn("task", F.explode(F.array(*map(F.lit, tasks)))), product, tier, scheduler, seed)
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("family", "task", "a_count", "b_count").orderBy("h")))
+    return seed_order(rows.withColumn("task", F.explode(F.array(*map(F.lit, tasks)))), product, tier, scheduler, seed)
 
 
 def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, limit: int = 64) -> DataFrame:
@@ -260,7 +260,8 @@ def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, i
     need = written(strata_of(cores, seeds, quotas, populations).withColumn("need", 2 * F.col("target") + margin), "need")
     all_ = written(visits(cores, seeds, product, tier, scheduler, seed), "visits")
     while True:
-        asked = all_.join(F.broadcast(need.select(*keys, "need", "population", "quota")), keys).where("n <= need")
+        asked = first_by_hash(all_, keys, need.select(*keys, "need")).drop("n", "need")
+        asked = written(asked.join(F.broadcast(need.select(*keys, "population", "quota")), keys), "asked")
         win = written(windows(asked, g, 8 * limit), "windows")
         base = written(realise(asked.join(win, ["family", "a1", "branches", "bs"]), product, caps, limit), "base")
         accepted = base.groupBy(*keys).agg(F.count("*").alias("accepted"))
@@ -298,7 +299,7 @@ def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk:
     holds one chunk. ``ordinal`` is a sample's place in its family.
     """
     rows = cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("family", "a_count", "b_count").orderBy("seed")) - 1)
+    rows = numbered(rows, ["seed"], ["family", "a_count", "b_count"], "n")
     rows = written(rows.withColumn("chunk", F.floor(F.col("n") / chunk).cast("int")), "frame")
     cells = [tuple(r) for r in rows.select("a_count", "b_count", "chunk").distinct().orderBy("a_count", "b_count", "chunk").collect()]
     spark = cores.sparkSession
@@ -350,7 +351,8 @@ def negative_sources(base: DataFrame, g: Graph) -> DataFrame:
     """(base_sample_id, source, n): what kind of negatives a sample's candidates are; positives do not count."""
     key = F.col("base_sample_id").alias("key")
     traced = truth.trace(base.select(key, "family", "a1", "branches", "bs", "candidates"), g.closed).where("not verdict")
-    near = siblings(g.edge, g.children, g.closed).select("family", F.col("object_id").alias("a1"), F.col("member").alias("candidate"), F.lit(True).alias("near"))
+    heads = base.select("family", F.col("a1").alias("object_id"))
+    near = siblings(g.edge, g.children, g.closed, heads).select("family", F.col("object_id").alias("a1"), F.col("member").alias("candidate"), F.lit(True).alias("near"))
     rows = traced.join(base.select(key, "a1"), "key").join(near, ["family", "a1", "candidate"], "left")
     scope = F.col("inside_a1") & (~F.col("has_branches") | (F.size("branch_hits") > 0))
     source = truth.negative_source(scope & (F.size("b_hits") > 0), F.col("inside_a1") & ~scope, F.coalesce("near", F.lit(False)) & ~F.col("has_branches"))

@@ -100,13 +100,20 @@ def usable_children(edge: DataFrame, sizes: DataFrame) -> DataFrame:
     return edge.join(sizes.withColumnRenamed("object_id", "child"), ["family", "child"]).where("size >= 1").select("family", "parent", "child", "size")
 
 
-def siblings(edge: DataFrame, children: DataFrame, closed: DataFrame) -> DataFrame:
-    """(family, object_id, member): siblings with descendants and all those descendants, without the node and its own."""
-    pairs = edge.select("family", "parent", F.col("child").alias("object_id")).join(children.select("family", "parent", F.col("child").alias("sibling")), ["family", "parent"]).where("sibling <> object_id")
+def siblings(edge: DataFrame, children: DataFrame, closed: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """(family, object_id, member): siblings with descendants and all those descendants, without the node and its own.
+
+    With ``heads`` (family, object_id) only those nodes are looked at.
+    """
+    up = edge.select("family", "parent", F.col("child").alias("object_id"))
+    if heads is not None:
+        up = up.join(heads.select("family", "object_id").distinct(), ["family", "object_id"], "left_semi")
+    pairs = up.join(children.select("family", "parent", F.col("child").alias("sibling")), ["family", "parent"]).where("sibling <> object_id")
     pairs = pairs.select("family", "object_id", "sibling").distinct()
-    below = pairs.join(closed.select("family", F.col("anc").alias("sibling"), F.col("desc").alias("member")), ["family", "sibling"]).select("family", "object_id", "member")
-    all_ = pairs.select("family", "object_id", F.col("sibling").alias("member")).unionByName(below).where("member <> object_id").distinct()
-    return all_.join(closed.select("family", F.col("anc").alias("object_id"), F.col("desc").alias("member")), ["family", "object_id", "member"], "left_anti")
+    below = pairs.join(closed.select("family", F.col("anc").alias("sibling"), F.col("desc").alias("member")), ["family", "sibling"])
+    every = pairs.select("family", "object_id", F.col("sibling").alias("member")).unionByName(below.select("family", "object_id", "member"))
+    own = closed.select("family", F.col("anc").alias("object_id"), F.col("desc").alias("member"))
+    return every.where("member <> object_id").distinct().join(own, ["family", "object_id", "member"], "left_anti")
 
 
 def ancestor_walk(edge: DataFrame, sizes: DataFrame, rounds: int = 200) -> DataFrame:

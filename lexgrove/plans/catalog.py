@@ -614,7 +614,7 @@ sh AS (SELECT threshold, a_count, b_count, u.task, u.population FROM (UNPIVOT po
 
 def _found(spark, sf_dir) -> tuple[constraint.Graph, DataFrame]:
     g = _whole(spark, sf_dir)
-    return g, constraint.written(constraint.seed_cores(g, _seeds(g), need_negative=False), "found")
+    return g, constraint.seed_cores(g, _seeds(g), need_negative=False)
 
 
 @query("threshold_populations", FULL + _FOUND + _CAN + " SELECT * FROM po")
@@ -650,9 +650,9 @@ ag AS (SELECT a_count, b_count, count(*) AS f, max(positive) FILTER (WHERE i = r
 SELECT cell.a_count, cell.b_count, n.n AS seed_total, coalesce(f, 0) AS feasible, CASE WHEN f IS NULL THEN 'infeasible' WHEN f < greatest(10, n.n // 100) THEN 'shortage' ELSE 'available' END AS status, p50, p90, far, coalesce(hard_ge_4, 0) AS hard_ge_4, coalesce(t1, 0) AS t1
 FROM cell CROSS JOIN n LEFT JOIN ag ON ag.a_count = cell.a_count AND ag.b_count = cell.b_count""")
 def seed_cells(spark, sf_dir):
-    g, found = _found(spark, sf_dir)
-    missing = constraint.missing_reasons(g, _seeds(g))
-    c = audits.seed_cells(found, missing, _seeds(g))
+    g = _whole(spark, sf_dir)
+    searched = constraint.search(g, _seeds(g), need_negative=False)
+    c = audits.seed_cells(searched.found, constraint.missing_reasons(g, _seeds(g), searched=searched), _seeds(g))
     q = lambda name, x: F.try_element_at("quantiles", F.lit(name))[x]
     return c.select("a_count", "b_count", "seed_total", "feasible", "status", q("positive", "p50").alias("p50"), q("positive", "p90").alias("p90"), q("distance", "max").cast("int").alias("far"), "hard_ge_4", F.coalesce(F.try_element_at("task_counts", F.lit("T1_balanced")), F.lit(0)).alias("t1"))
 
@@ -662,8 +662,9 @@ def seed_cells(spark, sf_dir):
 SELECT task, a_count, b_count, population, least(3, population) AS test_selected, least(650, population) AS main_selected, population < 650 AS main_shortage, round(coalesce(least(650, population) / nullif(CAST(population AS DOUBLE), 0), 0), 9) AS main_inclusion FROM u""")
 def sampling_frame(spark, sf_dir):
     """What the test and main products would draw from each stratum."""
-    g, found = _found(spark, sf_dir)
-    cells = audits.seed_cells(found, constraint.missing_reasons(g, _seeds(g)), _seeds(g))
+    g = _whole(spark, sf_dir)
+    searched = constraint.search(g, _seeds(g), need_negative=False)
+    cells = audits.seed_cells(searched.found, constraint.missing_reasons(g, _seeds(g), searched=searched), _seeds(g))
     f = audits.sampling_frame(audits.task_populations(cells))
     return f.select("task", "a_count", "b_count", "population", "test_selected", "main_selected", "main_shortage", _r(F.col("main_inclusion"), "main_inclusion"))
 
