@@ -12,12 +12,12 @@ WORD = 64
 
 
 def node_places(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """(family, object_id, word, bit): each usable node's place in its family, dealt so that children of a parent lie together."""
+    """(family, object_id, place, word, bit): each usable node's place in its family, dealt so that children of a parent lie together."""
     home = edge.groupBy("family", F.col("child").alias("object_id")).agg(F.min("parent").alias("home"))
     rows = node.where("usable").select("family", "object_id").distinct().join(home, ["family", "object_id"], "left").fillna("", ["home"])
     placed = numbered(rows, ["home", "object_id"], ["family"], "place")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % WORD).cast("int"))
-    return placed.select("family", "object_id", F.floor(F.col("place") / WORD).cast("long").alias("word"), bit.alias("bit"))
+    return placed.select("family", "object_id", "place", F.floor(F.col("place") / WORD).cast("long").alias("word"), bit.alias("bit"))
 
 
 def set_words(members: DataFrame, places: DataFrame, keys: list[str], member: str) -> DataFrame:

@@ -26,6 +26,11 @@ class Graph:
     children: DataFrame
     walk: DataFrame
 
+    @functools.cached_property
+    def ranked(self) -> DataFrame:
+        """Numbered children, as ``ranked_children``; written once."""
+        return written(ranked_children(self), "ranked")
+
     @functools.cached_property
     def places(self) -> DataFrame:
         """Places of usable nodes, as ``bitmaps.node_places``; written once."""
@@ -69,7 +74,7 @@ def branch_sets(pairs: DataFrame, g: Graph) -> DataFrame:
     ids break ties, and the set is in id order. Of a parent's children only those that cover the seed and the first few others are looked at.
     """
     most = max(A_COUNTS) - 1
-    ranked = written(ranked_children(g), "ranked")
+    ranked = g.ranked
     pairs = written(pairs.select("family", "seed", "a1").distinct().withColumn("id", F.monotonically_increasing_id()), "pairs")
     covering = g.closed.select("family", F.col("anc").alias("child"), F.col("desc").alias("seed")).join(ranked, ["family", "child"])
     covering = covering.select("family", "seed", F.col("parent").alias("a1"), "child", "size", "j").join(pairs, ["family", "seed", "a1"])
@@ -92,7 +97,7 @@ def top_b(branched: DataFrame, g: Graph, count: int = max(B_COUNTS)) -> DataFram
     A child belongs to the first branch in id order that has it, else to a1 if it is no branch itself. Within its
     source the order is by size and id, so that a source's ``count`` first hold all that can be chosen from it.
     """
-    ranked = written(ranked_children(g), "ranked")
+    ranked = g.ranked
     rows = written(branched.select("family", "seed", "a1", "k", "branches", F.monotonically_increasing_id().alias("id")), "branched")
     at = F.concat(F.transform("branches", lambda x, i: F.struct(i.alias("stage"), x.alias("parent"))), F.array(F.struct(F.lit(99).alias("stage"), F.col("a1").alias("parent"))))
     asked = rows.select("id", "family", "seed", F.explode(at).alias("p")).select("id", "family", "seed", "p.*")
