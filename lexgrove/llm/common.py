@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +68,32 @@ def first_by_hash(rows: DataFrame, group: str, want: int) -> DataFrame:
     for value, hashes in found.items():
         bound = F.when(own == F.lit(value), F.lit(sorted(hashes)[:want][-1]).cast("long")).otherwise(bound)
     return rows.where(F.col("h") <= bound)
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, or with as many underscores behind it as no column has; columns are the same in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, about ``most`` bytes of a text or binary column at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most)))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def give_back() -> None:
+    """Hands a worker's free memory to the system: workers live on between tasks, and count against the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass

@@ -122,7 +122,11 @@ def known_language(docs: DataFrame) -> DataFrame:
 
     Null texts, texts without a letter and narrow margins go.
     """
-    return identify(docs, prefix="__lang_").where("not __lang_rejected").drop("__lang_pred", "__lang_score", "__lang_rejected")
+    prefix = "language_"
+    while any(f"{prefix}{n}" in map(str.lower, docs.columns) for n in ("pred", "score", "rejected")):
+        prefix += "_"
+    found = identify(docs, prefix=prefix)
+    return found.where(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import read, shuffle_parts, written
+from lexgrove.llm.common import free_name, give_back, read, shuffle_parts, slices, written
 
 LEAST = 10
 BATCHES = 5
@@ -34,35 +34,39 @@ def line_keys(text: str | None, least: int = LEAST) -> list[bytes | None]:
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, keys = [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            own = {k for k in line_keys(t) if k is not None}
-            at.extend([i] * len(own))
-            keys.extend(own)
-        ids = b.column(0).take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], ["id", "key"])
+        for part in slices(b, 1):
+            at, keys = [], []
+            for i, t in enumerate(part.column(1)):
+                own = {k for k in line_keys(t.as_py()) if k is not None}
+                at.extend([i] * len(own))
+                keys.extend(own)
+            ids = part.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], ["id", "key"])
+    give_back()
 
 
-def _keep_batches(columns: list[str]):
+def _keep_batches(columns: list[str], names: tuple[str, str]):
+    """Batches of the own ``columns`` and the keys to drop; a text at a time is split into lines."""
+    at = columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            drops = b.column(b.schema.get_field_index("__drop")).to_pylist()
-            out, lines, dropped = [], [], []
-            for t, d in zip(texts, drops):
-                if d:
-                    own = set(d)
-                    all_ = (t or "").split("\n")
-                    kept = [x for x, k in zip(all_, line_keys(t)) if k not in own]
-                    out.append("\n".join(kept))
-                    lines.append(len(all_))
-                    dropped.append(len(all_) - len(kept))
-                else:
-                    out.append(t)
-                    lines.append((t or "").count("\n") + 1)
-                    dropped.append(0)
-            cols = [pa.array(out, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "__lines", "__dropped"])
+        for whole in batches:
+            for b in slices(whole, at):
+                out, lines, dropped = [], [], []
+                for t, d in zip(b.column(at), b.column(len(columns))):
+                    text = t.as_py()
+                    all_ = (text or "").split("\n")
+                    n = len(all_)
+                    if d.is_valid and len(d):
+                        own = set(d.as_py())
+                        all_ = [x for x, k in zip(all_, line_keys(text)) if k not in own]
+                        text = "\n".join(all_)
+                    out.append(text)
+                    lines.append(n)
+                    dropped.append(n - len(all_))
+                cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*columns, *names])
+        give_back()
 
     return run
 
@@ -126,17 +130,19 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, names: tuple[str, str]
     line. Columns of ``docs`` with the counts' names are replaced. An empty table gives an empty result.
     """
     base = docs.drop(*names)
-    lost = dropped_keys(base, batches).groupBy("id").agg(F.collect_list("key").alias("__drop"))
-    joined = base.withColumn("id__", F.coalesce("doc_id", F.lit(_LOWEST)).cast("long")).join(lost.withColumnRenamed("id", "id__"), "id__", "left")
     columns = base.columns
+    own, drop = free_name(columns, "id"), free_name(columns, "keys")
+    lost = dropped_keys(base, batches).groupBy("id").agg(F.collect_list("key").alias(drop)).withColumnRenamed("id", own)
+    joined = base.withColumn(own, F.coalesce("doc_id", F.lit(_LOWEST)).cast("long")).join(lost, own, "left")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    out = joined.select(*[F.col(f"`{c}`") for c in columns], "__drop").mapInArrow(_keep_batches(columns), f"{kinds}, __lines long, __dropped long")
-    return out.withColumnsRenamed({"__lines": names[0], "__dropped": names[1]})
+    asked = joined.select(*[F.col(f"`{c}`") for c in columns], drop)
+    return asked.mapInArrow(_keep_batches(columns, names), f"{kinds}, `{names[0]}` long, `{names[1]}` long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines dropped from ``text``; the same columns, all others with their values."""
-    return dedup_lines(docs, names=("__n_lines", "__n_dropped")).drop("__n_lines", "__n_dropped")
+    names = free_name(docs.columns, "n_lines_"), free_name(docs.columns, "n_dropped_")
+    return dedup_lines(docs, names=names).drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Bins of each histogram; a cut is refined until it is this close to its target, as a share of a shard, or a single value is left.
 BINS, CLOSE = 4096, 0.002
-#: Equal texts stay together up to this share of a shard's bytes; larger groups are dealt in parts of that size.
-WHOLE = 0.05
+#: Groups of equal texts of more than this share of a shard's bytes are placed before the tree is built, at most ``shards`` / LARGE of
+#: them; those of more than a whole shard's bytes fit in none, and are dealt in parts of this share.
+LARGE = 0.05
 #: Rows of a shard that are numbered together, about.
 SLOT_ROWS = 20_000
 #: Dimensions: bytes of the text (in steps of a thousandth of a doubling), language, source, doc_id.
@@ -80,12 +81,13 @@ def _cuts(units: DataFrame, wanted: dict[int, tuple[str, int, int, float]], slac
     return done
 
 
-def split(units: DataFrame, shards: int) -> DataFrame:
+def split(units: DataFrame, shards: int, room: list[float] | None = None) -> DataFrame:
     """``units`` (k0..k3, bytes: long) with ``node``: the shard each falls into, by a k-d tree built a level at a time.
 
-    A node with s shards is split so that the left part holds floor(s/2)/s of its bytes. The dimension
-    is the one whose values spread widest, as a share of the spread over all units.
+    A node is split so that each part gets its shards' share of the node's ``room`` (equal, if not given) in bytes; floor(s/2)
+    of s shards go left. The dimension is the one whose values spread widest, as a share of the spread over all units.
     """
+    room = [max(x, 1e-9) for x in room] if room else [1.0] * shards
     units = units.withColumn("node", F.lit(0))
     spread: list[int] = []
     level = [Node(0, shards)]
@@ -102,7 +104,7 @@ def split(units: DataFrame, shards: int) -> DataFrame:
             f = facts[n.first]
             lo, hi = [f[f"min{k}"] for k in AXES], [f[f"max{k}"] for k in AXES]
             n.axis = max(range(len(AXES)), key=lambda a: ((hi[a] - lo[a]) / spread[a], -a))
-            wanted[n.first] = (AXES[n.axis], lo[n.axis], hi[n.axis], float(f["w"]) * (n.shards // 2) / n.shards)
+            wanted[n.first] = (AXES[n.axis], lo[n.axis], hi[n.axis], float(f["w"]) * _share(room, n))
         cuts = _cuts(units, wanted, slack)
         for n in level:
             n.cut = cuts[n.first]
@@ -112,37 +114,62 @@ def split(units: DataFrame, shards: int) -> DataFrame:
     return units
 
 
+def _share(room: list[float], n: Node) -> float:
+    """The left part's share of a node's room."""
+    left = sum(room[n.first : n.first + n.shards // 2])
+    return left / sum(room[n.first : n.first + n.shards])
+
+
+def place_large(groups: list[tuple[int, int]], room: list[float]) -> dict[int, int]:
+    """The shard of each large group (g, bytes): the largest first, into the shard with most room, which shrinks."""
+    out = {}
+    for g, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        s = max(range(len(room)), key=lambda i: (room[i], -i))
+        out[g] = s
+        room[s] -= size
+    return out
+
+
 def _in_order(text: Column) -> Column:
     """A number of 40 bits that orders texts as their first five bytes do; null and empty ones come first."""
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 1, _VALUE // 8)), _VALUE // 4, "0"), 16, 10).cast("long")
 
 
-def units(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their unit (g, part), and the units with their bytes and dimensions.
+def units(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, dict[int, int], list[float]]:
+    """Rows with their unit (g, part); the units that the tree deals, with their bytes and dimensions; the shards of large groups; and the room that is left in each shard.
 
-    A unit is what stays together: the rows of one text, by a hash; or, if those exceed WHOLE of a shard's
-    bytes, a part of them by a hash of doc_id. There are at most ``shards`` / WHOLE such texts, which alone are
+    A unit is what stays together: the rows of one text, by a hash; or, if those exceed a whole shard's bytes, a part of them
+    by a hash of doc_id. At most ``shards`` / LARGE groups are large or dealt in parts: these alone come to the driver and are
     broadcast. Language, source and doc_id of a unit are those of its least row.
     """
     total, low, high = rows.agg(F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
-    most = max(1, int(WHOLE * (total or 0) / shards))
-    hot = rows.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most).select("g", F.ceil(F.col("bytes") / most).cast("int").alias("parts"))
+    target = (total or 0) / shards
+    most = max(1, int(LARGE * target))
+    sizes = rows.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
+    found = [(r["g"], int(r["bytes"])) for r in sizes.collect()]
+    room = [target] * shards
+    where = place_large([x for x in found if x[1] <= target], room)
+    spark = rows.sparkSession
+    hot = spark.createDataFrame([(g, -(-n // most)) for g, n in found if n > target], "g long, parts int")
     part = F.coalesce(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("parts")).cast("int"), F.lit(0))
     rows = written(rows.join(F.broadcast(hot), "g", "left").withColumn("part", part).drop("parts"), "rows")
+    large = spark.createDataFrame([(g,) for g in where], "g long")
+    small = rows.join(F.broadcast(large), "g", "left_anti")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "lang", "source", "size")).alias("m")
-    found = rows.groupBy("g", "part").agg(F.sum("size").alias("bytes"), least)
+    each = small.groupBy("g", "part").agg(F.sum("size").alias("bytes"), least)
     place = F.coalesce((F.col("m.doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(max(1.0, float(high or 0) - float(low or 0))), F.lit(0.0)) * float((1 << _VALUE) - 1)
     tie = F.shiftrightunsigned(F.xxhash64("g", "part"), 64 - _TIE)
     values = (F.floor(F.log2(F.col("m.size").cast("double")) * 1000), _in_order(F.col("m.lang")), _in_order(F.col("m.source")), F.floor(place))
-    return rows, found.select("g", "part", "bytes", *(F.shiftleft(v.cast("long"), _TIE).bitwiseOR(tie).alias(k) for k, v in zip(AXES, values)))
+    return rows, each.select("g", "part", "bytes", *(F.shiftleft(v.cast("long"), _TIE).bitwiseOR(tie).alias(k) for k, v in zip(AXES, values))), where, room
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row: shards of near-equal bytes.
 
     A row's size is its text's UTF-8 bytes (null: none) and ROW_BYTES. A tree over size, language, source and
-    doc_id deals whole groups of equal texts, so that copies share a shard; a group of more than WHOLE of a
-    shard's bytes is dealt in parts, and rows that agree in doc_id and text always go together. Null languages,
+    doc_id deals whole groups of equal texts, so that copies share a shard. Groups of more than LARGE of a shard's bytes are
+    placed first, and the tree fills the room they leave. A group that no shard can hold is dealt in parts, rows
+    that agree in doc_id and text together. Null languages,
     sources and doc_ids come first in their dimension; the columns lang and source may be missing, others are not
     read. Slots count from 0 in each shard without gaps. An empty table gives an empty result; with few rows shards can be empty.
     """
@@ -151,11 +178,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g"),
         *((F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")),
     )
-    rows, parts_of = units(written(asked, "keys"), shards)
-    placed = split(written(parts_of, "units"), shards)
+    rows, parts_of, where, room = units(written(asked, "keys"), shards)
+    placed = split(written(parts_of, "units"), shards, room).select("g", "part", F.col("node").alias("shard"))
+    placed = placed.unionByName(docs.sparkSession.createDataFrame([(g, 0, s) for g, s in where.items()], "g long, part int, shard int"))
     sets = max(16, rows.count() // (shards * SLOT_ROWS) + 1)
     tie = F.xxhash64("doc_id", "g")
-    placed = rows.join(placed.select("g", "part", F.col("node").alias("shard")), ["g", "part"])
+    placed = rows.join(placed, ["g", "part"])
     placed = written(placed.select("doc_id", "size", "text_crc32", "shard", tie.alias("tie"), F.pmod(tie, F.lit(sets)).cast("int").alias("set")), "placed")
     counts = placed.groupBy("shard", "set").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("set").rowsBetween(Window.unboundedPreceding, -1))

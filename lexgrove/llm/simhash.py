@@ -15,10 +15,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from lexgrove.llm.common import read, shuffle_parts, written
+from lexgrove.llm.common import free_name, read, shuffle_parts, written
 from lexgrove.llm.graph import connected_components
 
 SHINGLE = 4
@@ -366,19 +367,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null or a shared doc_id each count in their own group; of equal rows one stays. An empty table gives an
     empty result; further columns are kept.
     """
-    values = [v for c in docs.columns for v in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    keyed = docs.withColumns({"__a": F.xxhash64(*values), "__b": F.xxhash64(F.lit(1), *values)})
+    named, other = free_name(docs.columns, "row_a"), free_name(docs.columns, "row_b")
+    values = [v for f in docs.schema for v in (F.col(f"`{f.name}`").isNull(), _hashable(f))]
+    keyed = docs.withColumns({named: F.xxhash64(*values), other: F.xxhash64(F.lit(1), *values)})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = keyed.select("doc_id", "__a", "__b", "text")
-    rows = asked.mapInArrow(_wide_batches(["doc_id", "__a", "__b"]), f"doc_id {kind}, __a long, __b long, " + ", ".join(f"{w} long" for w in _W))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__a", "__b")).alias("r")
+    asked = keyed.select("doc_id", F.col(named).alias("a"), F.col(other).alias("b"), "text")
+    rows = asked.mapInArrow(_wide_batches(["doc_id", "a", "b"]), f"doc_id {kind}, a long, b long, " + ", ".join(f"{w} long" for w in _W))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "a", "b")).alias("r")
     nodes = written(rows.groupBy(*_W).agg(first), "fingerprints")
     roots = connected_components(wide_links(nodes))
     own = nodes.withColumn("node", _as_node(_W)).join(roots, "node", "left")
-    stay = own.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r")).select("r.__a", "r.__b")
-    kept = keyed.join(stay, ["__a", "__b"], "left_semi")
-    copy = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(1)))
-    return kept.withColumn("__copy", copy).where("__copy = 1").drop("__copy", "__a", "__b")
+    stay = own.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("r").alias("r")).select(F.col("r.a").alias(named), F.col("r.b").alias(other))
+    kept = keyed.join(stay, [named, other], "left_semi")
+    copy = free_name(keyed.columns, "copy")
+    kept = kept.withColumn(copy, F.row_number().over(Window.partitionBy(named, other).orderBy(F.lit(1)))).where(F.col(copy) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _hashable(f: StructField) -> Column:
+    """A column's value, or its JSON if it holds maps, which have no hash."""
+    value = F.col(f"`{f.name}`")
+    return F.to_json(F.struct(value.alias("v"))) if "map<" in f.dataType.simpleString() else value
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import first_by_hash, read, written
+from lexgrove.llm.common import first_by_hash, free_name, read, written
 
 #: Labelled rows that the classifier is fitted on: this many of each label at most, first by a hash of the text.
 SAMPLE = 2000
@@ -183,7 +183,8 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` that score below THRESHOLD; the same columns with their values, whatever their names. Null texts score as empty ones."""
-    return score(docs, learn(docs, labels), "__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    name = free_name(docs.columns, "toxicity")
+    return score(docs, learn(docs, labels), name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,3 +358,43 @@ def test_repair_of_dropped_and_no_conversations(spark):
     nothing = hashlib.sha256(b"").hexdigest()
     assert spark_repair(spark, [(gone, 0, "user", "a.")], 2) == [(gone, 0, 0, 0, 0, 0, 0, "", nothing)]
     assert spark_repair(spark, [], 2) == []
+
+
+# --- columns whose names the stages use themselves -----------------------------------------------
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that stages give to columns of their own, and a map, come through with their values."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    text = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").first()["text"]
+    names = ["id", "id__", "keys", "__drop", "n_lines_", "copy", "__copy", "row_a", "a", "b", "language_pred", "__lang_pred", "toxicity", "__toxicity", "lines", "dropped"]
+    rows = [(i, text if i % 2 else f"{text}\nline {i} of this text", "en", "s", i) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, d)
+        assert after.columns == docs.columns, name
+        before = after
+    left = before.collect()
+    assert left and all(r[n] == f"{n} {r['doc_id']}" and r["m"] == {"k": r["doc_id"]} for r in left for n in names)
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Groups of up to a whole shard's bytes are in one shard, and shards are near equal all the same."""
+    from lexgrove.llm import sharding
+
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcde ") for _ in range(r.randint(50, 400)))) for i in range(900)]
+    rows += [(2000 + 200 * g + i, f"group {g} " + "z" * 180) for g in range(9) for i in range(12 * (g + 1))]
+    docs = spark.createDataFrame(rows, DOC)
+    got = sharding.shard(docs, 8).toPandas()
+    assert len(got) == len(rows)
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() < 0.03 * sizes.mean()
+    heavy = got.groupby("text_crc32")["size"].sum()
+    assert heavy.max() > sizes.mean() / 2
+    assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
