@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.operators import audits, constraint, probe, rendering, runner, sampling, scoring, taxonomy
+from lexgrove.operators.ranks import numbered
 from lexgrove.operators.runlog import pending
 from lexgrove.operators.work import written
 from lexgrove.sources import config as settings
@@ -25,7 +26,6 @@ LOG = (
     "request_id string, status string, error_state string, final_answer_text string, run_receive_sequence long, answer_truncated boolean, reasoning_available boolean, "
     "reasoning_truncated boolean"
 )
-ORDER = ["family", "task", "a_count", "b_count", "variant", "information"]
 
 
 def _config(a) -> settings.Experiment:
@@ -68,36 +68,61 @@ def audit(spark, a):
     _json(a, "stage_status.json", {"stage": "audit", "complete": False})
 
 
+def _scope(c: settings.Experiment) -> sampling.Scope:
+    """Families, tasks and cells in the configured order."""
+    return sampling.Scope(tuple(c.resources.families()), tuple(c.tasks), tuple(c.matrix.a_count), tuple(c.matrix.b_count))
+
+
+def _status(a, stage: str, reason: str) -> None:
+    _json(a, "stage_status.json", {"stage": stage, "complete": False, "reason": reason})
+
+
 def freeze(spark, a):
     c = _config(a)
     g = _graph(spark, a, c)
-    seeds, low, p = _seeds(g, c), c.resources.min_final_positive_count, c.product
+    seeds, low, p, scope = _seeds(g, c), c.resources.min_final_positive_count, c.product, _scope(c)
     cores = written(constraint.seed_cores(g, seeds, low), "cores")
+    _json(a, "dataset_config_snapshot.json", settings.dataset_snapshot(c))
     if p.tier == "full":
-        base = sampling.full_frame(cores, g, p.product_id, p.candidate_window_limit, tasks=c.tasks)
-        full = _out(sampling.with_information(base, p.product_id), a, "samples")
+        base = sampling.full_frame(cores, g, p.product_id, p.candidate_window_limit, scope=scope).withColumnRenamed("ordinal", "own")
+        family = F.array_position(F.array(*map(F.lit, scope.families)), F.col("family"))
+        full = sampling.with_information(base, p.product_id).withColumn("at", family)
+        full = _out(numbered(full, ["at", "own", "information"], name="ordinal").drop("at", "own"), a, "samples")
         report = sampling.stream_validation(full, g.closed, duplicates=False)
-        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": sampling.rolling_hash(full, ["family", "ordinal", "information"], "sample_hash")})
+        made = sampling.rolling_hash(full, ["ordinal"], "sample_hash")
+        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": made, "dataset_sample_hash": made})
+        _status(a, "freeze", "samples are frozen; nothing has been asked yet")
         if not report["passed"]:
             raise SystemExit(f"validation failed: {report}")
         return
     known = Path(a.run, "feasibility").exists()
     populations = spark.read.parquet(f"{a.run}/feasibility").groupBy("family", "a_count", "b_count").agg(F.max("feasible_seed_cell_count").alias("population")) if known else None
-    base, strata = sampling.stratified(cores, g, seeds, p.quotas(), p.product_id, p.tier, p.candidate_scheduler, c.budgets.seed, c.budgets.caps() if a.config else None, p.candidate_window_limit, populations)
+    base, strata = sampling.stratified(
+        cores, g, seeds, p.quotas(), p.product_id, p.tier, p.candidate_scheduler, c.budgets.seed, c.budgets.caps(), p.candidate_window_limit, populations, scope=scope,
+    )
     full = written(sampling.with_information(base, p.product_id), "samples")
     bad = written(sampling.violations(full, g.closed), "violations")
     if (n := bad.count()):
         raise SystemExit(f"{n} violations, first {bad.first()}")
-    full = _out(full, a, "samples")
+    full = _out(sampling.in_order(full, scope, ["variant", "information"]), a, "samples")
     _out(strata, a, "strata")
-    _json(a, "sample_manifest.json", sampling.manifest(base, strata, p.product_id, p.tier, p.quotas(), low, p.candidate_scheduler, p.candidate_window_limit))
+    made = sampling.manifest(base, strata, p.product_id, p.tier, p.quotas(), low, p.candidate_scheduler, p.candidate_window_limit)
+    made |= {
+        "dataset_sample_hash": sampling.list_hash(full, ["ordinal"], "sample_hash"), "source_feasibility": "feasibility" if known else None,
+        "matrix": {"a_count": list(scope.a_counts), "b_count": list(scope.b_counts)}, "tasks": list(scope.tasks), "reuse_caps": c.budgets.caps(),
+    }
+    _json(a, "sample_manifest.json", made)
+    _status(a, "freeze", "samples are frozen; nothing has been asked yet")
 
 
 def render(spark, a):
     node = spark.read.parquet(f"{a.data}/node")
     samples = spark.read.parquet(f"{a.run}/samples")
+    frozen = files.read_json(f"{a.run}/sample_manifest.json")
     asked = _out(rendering.prompt(rendering.with_nodes(samples, node)), a, "requests")
-    _json(a, "render_manifest.json", {"request_count": asked.count(), "renderer_version": sampling.RENDERER_VERSION, "request_set_hash": sampling.rolling_hash(asked, ORDER, "request_hash")})
+    hashed = sampling.rolling_hash if frozen.get("product_tier") == "full" else sampling.list_hash
+    _json(a, "render_manifest.json", {"request_count": asked.count(), "renderer_version": sampling.RENDERER_VERSION, "request_hash": hashed(asked, ["ordinal"], "request_hash")})
+    _status(a, "render", "requests are rendered; nothing has been asked yet")
 
 
 def _responses(spark, a) -> DataFrame:
@@ -105,15 +130,8 @@ def _responses(spark, a) -> DataFrame:
 
 
 def _requests(spark, a) -> DataFrame:
-    """Requests with their place in the dataset's order."""
-    from pyspark.sql import Window
-
+    """Requests, with their place in the dataset's order as ``ordinal``."""
     r = spark.read.parquet(f"{a.run}/requests")
-    keys = ORDER[:4]
-    sizes = r.groupBy(*keys).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER[4:])) - 1
-    r = r.withColumn("own", own).join(F.broadcast(before), keys).withColumn("ordinal", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
     return r.withColumn("option_count", F.size("candidates")).withColumnRenamed("weight", "sampling_weight")
 
 
@@ -140,7 +158,7 @@ def run(spark, a):
     # Only what is pending comes to the driver, one partition at a time, in the dataset's order.
     todo = pending(asked, _responses(spark, a)).orderBy("ordinal")
     rows = (r.asDict() for r in todo.toLocalIterator())
-    limits = runner.Limits(a.workers, s.max_retries, s.retry_backoff_seconds, s.request_interval_seconds, a.adaptive or s.concurrency_mode == "adaptive", s.retryable_cooldown_seconds)
+    limits = runner.Limits(a.workers or s.max_concurrency, s.max_retries, s.retry_backoff_seconds, s.request_interval_seconds, a.adaptive or s.concurrency_mode == "adaptive", s.retryable_cooldown_seconds)
     outcome = runner.Run(folder, runner.MockProvider(), limits).go(rows, a.limit or None)
     made = runner.run_manifest(folder, outcome, s, a.command, total, before)
     print(json.dumps({**outcome, "requests": total, "complete": made["complete"]}))
@@ -243,7 +261,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--provider", default="mock")
     for name in ("min-positive", "quota"):
         p.add_argument(f"--{name}", type=int)
-    for name, value in (("limit", 0), ("workers", 1), ("threshold", 5)):
+    for name, value in (("limit", 0), ("workers", 0), ("threshold", 5)):
         p.add_argument(f"--{name}", type=int, default=value)
     p.add_argument("--adaptive", action="store_true")
     return p

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,38 @@ SCHEDULER = "reuse_aware_mixed_negatives"
 CORE = ["family", "seed", "a1", "branches", "bs", "a_count", "b_count"]
 
 
+@dataclass(frozen=True)
+class Scope:
+    """The strata of a product, in the order in which they are filled and numbered: families, tasks and counts as they are configured."""
+
+    families: tuple[str, ...] = ("wordnet", "babelnet")
+    tasks: tuple[str, ...] = TASKS
+    a_counts: tuple[int, ...] = A_COUNTS
+    b_counts: tuple[int, ...] = B_COUNTS
+
+    def strata(self) -> list[tuple[str, int, int]]:
+        return [(t, a, b) for t in self.tasks for a in self.a_counts for b in self.b_counts]
+
+    def cells(self) -> Column:
+        """An array of (task, a_count, b_count)."""
+        return F.array(*(F.struct(F.lit(t).alias("task"), F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for t, a, b in self.strata()))
+
+    def holds(self) -> Column:
+        return F.col("a_count").isin(*self.a_counts) & F.col("b_count").isin(*self.b_counts)
+
+    def place(self) -> Column:
+        """A stratum's number in the product's order."""
+        out = F.lit(0)
+        for c, values in (("family", self.families), ("task", self.tasks), ("a_count", self.a_counts), ("b_count", self.b_counts)):
+            out = out * len(values) + F.array_position(F.array(*map(F.lit, values)), F.col(c))
+        return out
+
+
+def in_order(samples: DataFrame, scope: Scope, within: list[str]) -> DataFrame:
+    """``samples`` with ``ordinal``: the place of each in the dataset, strata in the scope's order and then by ``within``."""
+    return numbered(samples.drop("ordinal").withColumn("place", scope.place()), ["place", *within], name="ordinal").drop("place")
+
+
 def hash_text(value, length: int = 16) -> str:
     """First hex digits of the SHA-256 of canonical JSON; the Python twin of ``stable_hash``."""
     body = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
@@ -200,7 +233,7 @@ def _stratum(state: Fold, rows: list[dict], task: str, target: int | None, popul
     return out
 
 
-def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], populations: DataFrame | None = None, tasks: tuple[str, ...] = TASKS) -> DataFrame:
+def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], populations: DataFrame | None = None, scope: Scope = Scope()) -> DataFrame:
     """(family, task, a_count, b_count, population, quota, target, found): every stratum of the families with a quota.
 
     The population is that of ``populations`` (family, a_count, b_count, population), where it has the cell, else the number of cores; ``found`` is that number.
@@ -208,8 +241,8 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
     quota = F.lit(0)
     for f, q in quotas.items():
         quota = F.when(F.col("family") == f, q).otherwise(quota)
-    cells = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for t in tasks for a in A_COUNTS for b in B_COUNTS))).alias("c")
-    every = seeds.select("family").distinct().withColumn("quota", quota).where("quota > 0").select("family", "quota", cells).select("family", "quota", "c.*")
+    cells = F.explode(scope.cells()).alias("c")
+    every = seeds.where(F.col("family").isin(*scope.families)).select("family").distinct().withColumn("quota", quota).where("quota > 0").select("family", "quota", cells).select("family", "quota", "c.*")
     keys = ["family", "a_count", "b_count"]
     out = every.join(cores.groupBy(*keys).agg(F.count("*").alias("found")), keys, "left").fillna(0, ["found"])
     known = F.col("found")
@@ -219,27 +252,28 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
     return out.select("family", "task", "a_count", "b_count", "population", "quota", F.least(F.col("quota").cast("long"), "population").alias("target"), "found")
 
 
-def visits(cores: DataFrame, seeds: DataFrame, product: str, tier: str, scheduler: str, seed: int, tasks: tuple[str, ...] = TASKS) -> DataFrame:
+def visits(cores: DataFrame, seeds: DataFrame, product: str, tier: str, scheduler: str, seed: int, scope: Scope = Scope()) -> DataFrame:
     """One row for each core and task with its hash ``h``, by which a stratum's seeds are visited.
 
     ``seeds`` (family, seed) are all seeds of a family: a seed's place among them goes into its hash. Rows are narrow: no windows yet.
     """
-    rows = cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")).join(seed_indexes(seeds), ["family", "seed"])
-    return seed_order(rows.withColumn("task", F.explode(F.array(*map(F.lit, tasks)))), product, tier, scheduler, seed)
+    rows = cores.where(scope.holds()).select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")).join(seed_indexes(seeds), ["family", "seed"])
+    return seed_order(rows.withColumn("task", F.explode(F.array(*map(F.lit, scope.tasks)))), product, tier, scheduler, seed)
 
 
-def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, limit: int = 64) -> DataFrame:
+def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, limit: int = 64, scope: Scope = Scope()) -> DataFrame:
     """Base samples from ``rows``: visits with a ``quota`` and their windows.
 
-    Usage is shared by all strata of a family, so a family is one ordered fold: strata by task and
-    cell, seeds by hash, each stratum up to the least of quota and population. Seeds whose pools are too small, or whose reuse
+    Usage is shared by all strata of a family, so a family is one ordered fold: strata in the scope's
+    order, seeds by hash, each stratum up to the least of quota and population. Seeds whose pools are too small, or whose reuse
     would exceed a cap, are passed over.
     """
-    caps = dict(caps or {})
+    caps, places = dict(caps or {}), {x: i for i, x in enumerate(scope.strata())}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = Fold(product, limit, caps), []
-        pdf = pdf.sort_values(["task", "a_count", "b_count", "h"], kind="stable")
+        pdf["place"] = [places[x] for x in zip(pdf["task"], pdf["a_count"], pdf["b_count"])]
+        pdf = pdf.sort_values(["place", "h"], kind="stable").drop(columns="place")
         for (task, _, _), rows in pdf.groupby(["task", "a_count", "b_count"], sort=False):
             population, quota = int(rows["population"].iloc[0]), int(rows["quota"].iloc[0])
             out += _stratum(state, rows.to_dict("records"), task, min(population, quota), population, 0, True)
@@ -248,7 +282,7 @@ def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, l
     return rows.groupBy("family").applyInPandas(fold, _SAMPLE)
 
 
-def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, int], product: str, tier: str = "test", scheduler: str = SCHEDULER, seed: int = 13, caps: dict[str, int] | None = None, limit: int = 64, populations: DataFrame | None = None, margin: int = 8) -> tuple[DataFrame, DataFrame]:
+def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, int], product: str, tier: str = "test", scheduler: str = SCHEDULER, seed: int = 13, caps: dict[str, int] | None = None, limit: int = 64, populations: DataFrame | None = None, margin: int = 8, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame]:
     """(base samples, strata) of a product with one quota a family, exactly as if every seed were visited in order.
 
     The fold gets only the first 2 * target + ``margin`` seeds of a stratum by hash, with the windows of their constraints. A
@@ -257,13 +291,13 @@ def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, i
     weight by what was accepted, and the reason where the target is not met.
     """
     keys = ["family", "task", "a_count", "b_count"]
-    need = written(strata_of(cores, seeds, quotas, populations).withColumn("need", 2 * F.col("target") + margin), "need")
-    all_ = written(visits(cores, seeds, product, tier, scheduler, seed), "visits")
+    need = written(strata_of(cores, seeds, quotas, populations, scope).withColumn("need", 2 * F.col("target") + margin), "need")
+    all_ = written(visits(cores, seeds, product, tier, scheduler, seed, scope), "visits")
     while True:
         asked = first_by_hash(all_, keys, need.select(*keys, "need")).drop("n", "need")
         asked = written(asked.join(F.broadcast(need.select(*keys, "population", "quota")), keys), "asked")
         win = written(windows(asked, g, 8 * limit), "windows")
-        base = written(realise(asked.join(win, ["family", "a1", "branches", "bs"]), product, caps, limit), "base")
+        base = written(realise(asked.join(win, ["family", "a1", "branches", "bs"]), product, caps, limit, scope), "base")
         accepted = base.groupBy(*keys).agg(F.count("*").alias("accepted"))
         got = need.join(accepted, keys, "left").fillna(0, ["accepted"])
         starved = (F.col("accepted") < F.col("target")) & (F.col("need") < F.col("found"))
@@ -291,23 +325,25 @@ def _chunk_fold(product: str, limit: int, task: str, start: dict[str, int]):
     return fold
 
 
-def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk: int = 5000, tasks: tuple[str, ...] = TASKS) -> DataFrame:
+def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk: int = 5000, tasks: tuple[str, ...] = TASKS, scope: Scope | None = None) -> DataFrame:
     """The full tier: a base sample of every core and task, seeds in id order, weight 1; caps are not enforced.
 
     The order of candidates depends on all samples before, so strata of a family go one after another, ``chunk`` seeds at a
     time; what passes between chunks is the usage count of each candidate, as a table. Families run side by side, and a task
     holds one chunk. ``ordinal`` is a sample's place in its family.
     """
-    rows = cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance"))
+    scope = scope or Scope(tasks=tasks)
+    rows = cores.where(scope.holds()).select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance"))
     rows = numbered(rows, ["seed"], ["family", "a_count", "b_count"], "n")
     rows = written(rows.withColumn("chunk", F.floor(F.col("n") / chunk).cast("int")), "frame")
-    cells = [tuple(r) for r in rows.select("a_count", "b_count", "chunk").distinct().orderBy("a_count", "b_count", "chunk").collect()]
+    cells = [tuple(r) for r in rows.select("a_count", "b_count", "chunk").distinct().collect()]
+    cells.sort(key=lambda x: (scope.a_counts.index(x[0]), scope.b_counts.index(x[1]), x[2]))
     spark = cores.sparkSession
     used = spark.createDataFrame([], "family string, id string, n long")
     out = None
     count = lambda df: {r["family"]: r["c"] for r in df.groupBy("family").agg(F.count("*").alias("c")).collect()}
     placed: dict[str, int] = {}
-    for task in tasks:
+    for task in scope.tasks:
         done: dict[tuple[str, int, int], int] = {}
         for a, b, c in cells:
             part = rows.where((F.col("a_count") == a) & (F.col("b_count") == b) & (F.col("chunk") == c))
@@ -321,8 +357,8 @@ def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk:
             before = F.lit(0)
             for f, n in placed.items():
                 before = F.when(F.col("family") == f, n).otherwise(before)
-            numbered = made.withColumn("ordinal", before - F.count("*").over(Window.partitionBy("family")) + F.row_number().over(Window.partitionBy("family").orderBy("variant")) - 1)
-            out = numbered if out is None else out.unionByName(numbered)
+            own = made.withColumn("ordinal", before - F.count("*").over(Window.partitionBy("family")) + F.row_number().over(Window.partitionBy("family").orderBy("variant")) - 1)
+            out = own if out is None else out.unionByName(own)
             used = written(used.unionByName(made.select("family", F.explode("candidates").alias("id"), F.lit(1).cast("long").alias("n"))).groupBy("family", "id").agg(F.sum("n").alias("n")), "usage")
     return out if out is not None else spark.createDataFrame([], _SAMPLE + ", ordinal long")
 
@@ -446,6 +482,16 @@ def rolling_hash(rows: DataFrame, order: list[str], col: str) -> str:
     return h.hexdigest()
 
 
+def list_hash(rows: DataFrame, order: list[str], col: str, length: int = 32) -> str:
+    """First hex digits of the SHA-256 of the canonical JSON list of ``col`` in the order of ``order``, as ``hash_text`` of that list."""
+    h, before = hashlib.sha256(), "["
+    for r in rows.select(*order, col).orderBy(*order).toLocalIterator():
+        h.update((before + json.dumps(r[col], ensure_ascii=False)).encode())
+        before = ","
+    h.update(b"[]" if before == "[" else b"]")
+    return h.hexdigest()[:length]
+
+
 def missing_after(existing: DataFrame, made: DataFrame, order: list[str], col: str = "sample_hash") -> DataFrame:
     """The rows of ``made`` that a broken-off freeze has not written yet; raises if ``existing`` differs from it or has more."""
     both = existing.select(*order, F.col(col).alias("_was")).join(made.select(*order, F.col(col).alias("_is")), order, "left")
