@@ -20,7 +20,7 @@ from lexgrove.operators.ranks import numbered
 from lexgrove.operators.runlog import pending
 from lexgrove.operators.work import written
 from lexgrove.sources import config as settings
-from lexgrove.sources import files
+from lexgrove.sources import files, parts
 
 LOG = (
     "request_id string, status string, error_state string, final_answer_text string, run_receive_sequence long, answer_truncated boolean, reasoning_available boolean, "
@@ -88,9 +88,10 @@ def freeze(spark, a):
         family = F.array_position(F.array(*map(F.lit, scope.families)), F.col("family"))
         full = sampling.with_information(base, p.product_id).withColumn("at", family)
         full = _out(numbered(full, ["at", "own", "information"], name="ordinal").drop("at", "own"), a, "samples")
+        kept = parts.write_parts(full, f"{a.run}/sample_parts", "ordinal", -(-p.shard_size // len(sampling.INFORMATION)) * len(sampling.INFORMATION))
         report = sampling.stream_validation(full, g.closed, duplicates=False)
         made = sampling.rolling_hash(full, ["ordinal"], "sample_hash")
-        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": made, "dataset_sample_hash": made})
+        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": made, "dataset_sample_hash": made, "parts": kept["parts"]})
         _status(a, "freeze", "samples are frozen; nothing has been asked yet")
         if not report["passed"]:
             raise SystemExit(f"validation failed: {report}")

@@ -294,7 +294,7 @@ def stream_log_state(spark, sf_dir):
 
     base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*" if not sf_dir.startswith("viewfs") else f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(
         F.floor(F.col("event_id") / 3).cast("long").alias("request_id"), F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"),
         F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "429 rate limit").when(F.col("event_id") % 3 == 1, "BadRequestError").otherwise("Timeout")).alias("error_state"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexgrove.functions.hashing import stable_hash
 from lexgrove.operators import bitmaps, ranks, taxonomy
+from lexgrove.operators.work import work_dir
 from lexgrove.plans import driver_data as data
 from lexgrove.plans.catalog import FULL, query
+from lexgrove.sources import parts
 
 _PLACES = """, home AS (SELECT node.id, coalesce(min(e.p), '') AS home FROM node LEFT JOIN e ON e.c = node.id GROUP BY node.id),
 place AS (SELECT id, row_number() OVER (ORDER BY home, id) - 1 AS place FROM home)"""
@@ -90,3 +94,18 @@ def sibling_bitmaps(spark, sf_dir):
     kids = taxonomy.usable_children(edge, sizes)
     got = bitmaps.sibling_words(node, edge, kids, words, places)
     return got.groupBy("object_id").agg(bitmaps.size_of(F.col("bits")).alias("near"))
+
+
+@query("line_places", """SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END, doc_id) - 1 AS ordinal, sha256(coalesce(text, '')) AS text_sha256 FROM documents""")
+def line_places(spark, sf_dir):
+    """Documents as two unequal parts of JSON lines, read back by byte ranges: each record's place over both."""
+    folder = f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for name, some in (("a", "doc_id % 3 = 0"), ("b", "doc_id % 3 <> 0")):
+        docs.where(some).orderBy("doc_id").select(F.to_json(F.struct("doc_id", "text"))).coalesce(1).write.text(f"{folder}/{name}")
+    # Spark names files by chance; here the folders' order is the parts'.
+    first = parts.read_records(spark, f"{folder}/a", "doc_id long, text string")
+    second = parts.read_records(spark, f"{folder}/b", "doc_id long, text string")
+    n = first.count()
+    every = first.unionByName(second.withColumn("ordinal", F.col("ordinal") + n))
+    return every.select("r.doc_id", "ordinal", F.sha2("r.text", 256).alias("text_sha256"))

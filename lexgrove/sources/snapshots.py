@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrove.operators.ranks import numbered
+from lexgrove.sources import parts
 from lexgrove.sources.files import read_json, read_jsonl, write_json
 
 NODE = (
@@ -103,43 +105,25 @@ def copy_context(requests_path: str, run: str) -> dict[str, str]:
 
 
 def load_requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Requests of a file or folder of numbered parts, with ``ordinal``, their place: parts by name, then lines.
+    """Requests of a file or folder of numbered parts, with ``ordinal``, their place: parts by name, then lines that are not blank.
 
-    ``schema`` names the fields; each part is read by one task, so that lines keep their order. A missing path gives none.
+    ``schema`` names the fields; parts are read in byte ranges. A line that is no such record has nulls. A missing path gives none.
     """
     if not Path(path).exists():
         return spark.createDataFrame([], f"{schema}, ordinal bigint")
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("part"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = files.where("trim(value) <> ''").select("part", "line", F.from_json("value", schema).alias("r"))
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg((F.max("line") + 1).alias("n")).collect()}
-    before, start = F.lit(0).cast("long"), 0
-    for part in sorted(sizes):
-        before = F.when(F.col("part") == part, F.lit(start).cast("long")).otherwise(before)
-        start += sizes[part]
-    return rows.select("r.*", (before + F.col("line")).alias("ordinal"))
+    return parts.read_records(spark, path, schema).select("r.*", "ordinal")
 
 
 def write_parts(rows: DataFrame, folder: str, index: str, rows_per_group: int = 3, shard_rows: int = 100_000) -> int:
-    """Files part-00000.jsonl and on, rows by ``index`` (the 0-based number of their base group) and then as sorted by all columns.
+    """Files part-00000.jsonl and on, rows by ``index`` (the 0-based number of their base group) and then as sorted by all columns; returns their number.
 
-    A file closes once it has ``shard_rows`` rows; groups are never split. One file at a time passes the driver. Returns the number of files.
+    A file closes once it has ``shard_rows`` rows; groups of ``rows_per_group`` are never split. Tasks write the files, and go on
+    with a write that was broken off (``parts.write_parts``).
     """
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
     cols = sorted(c for c in rows.columns if c != index)
-    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols)), {"ignoreNullFields": "false"}).alias("line")
-    groups = -(-shard_rows // rows_per_group)
-    n, out = -1, None
-    for r in rows.select(index, line).orderBy(index, "line").toLocalIterator():
-        shard = r[index] // groups
-        if shard != n:
-            if out:
-                out.close()
-            n, out = shard, (target / f"part-{shard:05d}.jsonl").open("w", encoding="utf-8")
-        out.write(r["line"] + "\n")
-    if out:
-        out.close()
-    return n + 1
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols)), {"ignoreNullFields": "false"})
+    placed = numbered(rows, [index, line], name="__place")
+    return len(parts.write_parts(placed, folder, "__place", -(-shard_rows // rows_per_group) * rows_per_group, cols)["parts"])
 
 
 def part_faults(folder: str, rows_per_group: int = 3) -> list[str]:

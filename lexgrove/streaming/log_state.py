@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexgrove.functions import text
 
-_STATE = "completed boolean, attempts long, ordinal long, status string, error string"
-_OUT = "request_id long, completed boolean, attempts long, latest_status string, latest_error string"
-
-
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Completed once a terminal row was seen; latest by ordinal, whatever the order of arrival."""
-    done, n, at, status, error = state.get if state.exists else (False, 0, -1, None, None)
-    for b in batches:
-        n += len(b)
-        done = bool(done or b["terminal"].any())
-        top = b.loc[b["ordinal"].idxmax()]
-        if int(top["ordinal"]) > at:
-            at, status, error = int(top["ordinal"]), top["status"], top["error_state"]
-    state.update((done, n, at, status, error))
-    yield pd.DataFrame({"request_id": [key[0]], "completed": [done], "attempts": [n], "latest_status": [status], "latest_error": [error]})
-
 
 def stream_state(responses: DataFrame) -> DataFrame:
-    """A stream of each touched request's new state (update mode)."""
-    rows = responses.withColumn("terminal", text.is_terminal(F.col("status"), F.col("error_state"))).select("request_id", "ordinal", "status", "error_state", "terminal")
-    return rows.groupBy("request_id").applyInPandasWithState(_update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """A stream of each touched request's new state (update mode).
+
+    Completed once a terminal row was seen; latest by ordinal, whatever the order of arrival. Spark keeps a flag, a count and one
+    row for each request.
+    """
+    end = text.is_terminal(F.col("status"), F.col("error_state"))
+    last = F.max_by(F.struct("status", "error_state"), "ordinal")
+    out = responses.groupBy("request_id").agg(F.bool_or(end).alias("completed"), F.count("*").alias("attempts"), last.alias("l"))
+    return out.select("request_id", "completed", "attempts", F.col("l.status").alias("latest_status"), F.col("l.error_state").alias("latest_error"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

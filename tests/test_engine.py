@@ -220,6 +220,22 @@ def test_log_state_and_stream(spark, tmp_path):
     assert got == {1: (True, "error"), 2: (False, "error"), 3: (True, "error")}
 
 
+def test_stream_state_over_late_and_repeated_rows(spark, tmp_path):
+    """Many micro-batches in any order give the state of the whole log."""
+    r = random.Random(12)
+    rows = [(r.randrange(12), i, *r.choice([("success", None), ("error", "429"), ("error", "BadRequest"), ("error", None)]), None) for i in range(80)]
+    rows += r.sample(rows, 10)
+    r.shuffle(rows)
+    for k in range(0, len(rows), 15):
+        spark.createDataFrame(rows[k : k + 15], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = log_state.drain(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    cols = ["request_id", "completed", "attempts", "latest_status", "latest_error"]
+    whole = runlog.log_state(spark.createDataFrame(rows, LOG))
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, whole.select(cols).collect()))
+    assert len(list((tmp_path / "out").glob("batch=*"))) > 3
+
+
 REQ = "request_id long, ordinal long, task string, family string, information string, a_count int, b_count int, sampling_weight double, base_sample_id long, option_count int, gold_bool boolean, gold_set array<int>"
 
 
