@@ -12,7 +12,7 @@ import sys
 from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrove.operators import audits, constraint, probe, rendering, runner, sampling, scoring, taxonomy
@@ -53,6 +53,13 @@ def _out(df: DataFrame, a, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{a.run}/{name}")
 
 
+def _counted(df: DataFrame, a, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``_out``, with metrics of the rows that are written, observed by the write itself."""
+    seen = Observation(name)
+    table = _out(df.observe(seen, F.count("*").alias("rows"), *(c.alias(k) for k, c in metrics.items())), a, name)
+    return table, {k: v if v is not None else 0 for k, v in seen.get.items()}
+
+
 def _json(a, name: str, value) -> None:
     files.write_json(f"{a.run}/{name}", value)
 
@@ -73,6 +80,10 @@ def _scope(c: settings.Experiment) -> sampling.Scope:
     return sampling.Scope(tuple(c.resources.families()), tuple(c.tasks), tuple(c.matrix.a_count), tuple(c.matrix.b_count))
 
 
+def _tasks(c: settings.Experiment) -> dict[str, Column]:
+    return {t: F.count_if(F.col("task") == t) for t in c.tasks}
+
+
 def _status(a, stage: str, reason: str) -> None:
     _json(a, "stage_status.json", {"stage": stage, "complete": False, "reason": reason})
 
@@ -87,11 +98,11 @@ def freeze(spark, a):
         base = sampling.full_frame(cores, g, p.product_id, p.candidate_window_limit, scope=scope).withColumnRenamed("ordinal", "own")
         family = F.array_position(F.array(*map(F.lit, scope.families)), F.col("family"))
         full = sampling.with_information(base, p.product_id).withColumn("at", family)
-        full = _out(numbered(full, ["at", "own", "information"], name="ordinal").drop("at", "own"), a, "samples")
+        full, seen = _counted(numbered(full, ["at", "own", "information"], name="ordinal").drop("at", "own"), a, "samples", **_tasks(c))
         kept = parts.write_parts(full, f"{a.run}/sample_parts", "ordinal", -(-p.shard_size // len(sampling.INFORMATION)) * len(sampling.INFORMATION))
         report = sampling.stream_validation(full, g.closed, duplicates=False)
         made = sampling.rolling_hash(full, ["ordinal"], "sample_hash")
-        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": made, "dataset_sample_hash": made, "parts": kept["parts"]})
+        _json(a, "sample_manifest.json", {"product_id": p.product_id, "product_tier": p.tier, "validation": report, "samples_hash": made, "dataset_sample_hash": made, "parts": kept["parts"], "sample_count": seen["rows"], "samples_by_task": {t: seen[t] for t in c.tasks}})
         _status(a, "freeze", "samples are frozen; nothing has been asked yet")
         if not report["passed"]:
             raise SystemExit(f"validation failed: {report}")
@@ -105,12 +116,12 @@ def freeze(spark, a):
     bad = written(sampling.violations(full, g.closed), "violations")
     if (n := bad.count()):
         raise SystemExit(f"{n} violations, first {bad.first()}")
-    full = _out(sampling.in_order(full, scope, ["variant", "information"]), a, "samples")
+    full, seen = _counted(sampling.in_order(full, scope, ["variant", "information"]), a, "samples", **_tasks(c))
     _out(strata, a, "strata")
     made = sampling.manifest(base, strata, p.product_id, p.tier, p.quotas(), low, p.candidate_scheduler, p.candidate_window_limit)
     made |= {
         "dataset_sample_hash": sampling.list_hash(full, ["ordinal"], "sample_hash"), "source_feasibility": "feasibility" if known else None,
-        "matrix": {"a_count": list(scope.a_counts), "b_count": list(scope.b_counts)}, "tasks": list(scope.tasks), "reuse_caps": c.budgets.caps(),
+        "samples_by_task": {t: seen[t] for t in c.tasks}, "matrix": {"a_count": list(scope.a_counts), "b_count": list(scope.b_counts)}, "tasks": list(scope.tasks), "reuse_caps": c.budgets.caps(),
     }
     _json(a, "sample_manifest.json", made)
     _status(a, "freeze", "samples are frozen; nothing has been asked yet")
@@ -120,9 +131,11 @@ def render(spark, a):
     node = spark.read.parquet(f"{a.data}/node")
     samples = spark.read.parquet(f"{a.run}/samples")
     frozen = files.read_json(f"{a.run}/sample_manifest.json")
-    asked = _out(rendering.prompt(rendering.with_nodes(samples, node)), a, "requests")
+    empty = F.count_if(F.coalesce(F.length("prompt"), F.lit(0)) == 0)
+    nested = F.count_if(~F.col("sample_request_hash").eqNullSafe(F.col("request_hash")))
+    asked, seen = _counted(rendering.prompt(rendering.with_nodes(samples, node)), a, "requests", empty_prompts=empty, nested_hash_mismatches=nested)
     hashed = sampling.rolling_hash if frozen.get("product_tier") == "full" else sampling.list_hash
-    _json(a, "render_manifest.json", {"request_count": asked.count(), "renderer_version": sampling.RENDERER_VERSION, "request_hash": hashed(asked, ["ordinal"], "request_hash")})
+    _json(a, "render_manifest.json", {"request_count": seen["rows"], "empty_prompts": seen["empty_prompts"], "nested_hash_mismatches": seen["nested_hash_mismatches"], "renderer_version": sampling.RENDERER_VERSION, "request_hash": hashed(asked, ["ordinal"], "request_hash")})
     _status(a, "render", "requests are rendered; nothing has been asked yet")
 
 
@@ -173,12 +186,12 @@ def pause(spark, a):
 def reparse(spark, a):
     asked, said = _requests(spark, a), _responses(spark, a)
     scored = written(scoring.scores(asked, said, _config(a).answer_parse_char_limit), "scored")
-    told = _out(scoring.predictions(scored), a, "predictions")
+    _, predicted = _counted(scoring.predictions(scored), a, "predictions")
     kept = ["base_sample_id", "sample_id", "request_id", "task", "family", "a_count", "b_count", "information", "sampling_weight", "gold_bool", "gold_set", "parsed_bool", "parsed_set", "correct", "format_valid", "parse_error"]
-    scores = _out(scored.select(*kept, "ordinal"), a, "scores")
+    _, kept_scores = _counted(scored.select(*kept, "ordinal"), a, "scores", hits=F.count_if("correct"), valid=F.count_if("format_valid"))
     slices = _out(scoring.slice_table(scored), a, "score_slices")
     summary = {"slices": scoring.records(slices, "slice", "label"), "information_effect": scoring.records(scoring.information_effect(scored))}
-    _json(a, "reparse_manifest.json", {"requests": asked.count(), "responses": said.count(), "predictions": told.count(), "scores": scores.count(), "mode": "reparse", "no_api_requests_sent": True, "summary": summary})
+    _json(a, "reparse_manifest.json", {"requests": asked.count(), "responses": said.count(), "predictions": predicted["rows"], "scores": kept_scores["rows"], "hits": kept_scores["hits"], "valid": kept_scores["valid"], "mode": "reparse", "no_api_requests_sent": True, "summary": summary})
 
 
 def report(spark, a):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +54,41 @@ def usable_edges(node: DataFrame, edge: DataFrame) -> DataFrame:
     return out.join(ok.withColumnRenamed("object_id", "child"), ["family", "child"], "left_semi").select("family", "parent", "child").distinct()
 
 
-def closure(edge: DataFrame, rounds: int = 200, starts: DataFrame | None = None) -> DataFrame:
+def closure(edge: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(family, anc, desc, depth): all descendants, not the node itself unless it lies on a cycle; depth is the shortest.
 
-    Semi-naive: each round joins only the pairs found last with the edges, and keeps what is new. Every
-    level is written to the shared folder, so that plans stay short. With ``starts`` (family, anc) only their
-    descendants are walked.
+    Paths are doubled: when all pairs up to a depth of n = 2**k are known, those of depth n are joined with all, which gives the
+    pairs up to 2 * n, each over the nodes that lie n steps down its shortest paths. So rounds grow with the logarithm of the
+    depth, and cycles end by themselves. Every round is written to the shared folder, so that plans stay short. With ``starts``
+    (family, anc) only their descendants are walked, a level at a time.
     """
     pairs = edge.select("family", F.col("parent").alias("anc"), F.col("child").alias("desc")).distinct()
     if starts is not None:
-        pairs = pairs.join(F.broadcast(starts.distinct()), ["family", "anc"], "left_semi")
-    level = written(pairs.withColumn("depth", F.lit(1)), "closure")
-    seen = level
+        return _walk_down(edge, pairs.join(starts.distinct(), ["family", "anc"], "left_semi"))
+    seen = last = written(pairs.withColumn("depth", F.lit(1)), "closure")
+    n = 1
+    while True:
+        far = last.where(F.col("depth") == n)
+        if far.isEmpty():
+            return seen
+        more = seen.select("family", F.col("anc").alias("desc"), F.col("desc").alias("next"), F.col("depth").alias("rest"))
+        found = far.select("family", "anc", "desc").join(more, ["family", "desc"]).groupBy("family", "anc", F.col("next").alias("desc")).agg(F.min("rest").alias("rest"))
+        last = found.join(seen, ["family", "anc", "desc"], "left_anti").select("family", "anc", "desc", (F.col("rest") + n).alias("depth"))
+        last = written(last, "closure")
+        seen = seen.unionByName(last)
+        n *= 2
+
+
+def _walk_down(edge: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The closure from ``pairs`` (family, anc, desc), semi-naive: a level joins only the pairs found last with the edges, and keeps what is new."""
+    level = seen = written(pairs.withColumn("depth", F.lit(1)), "closure")
     step = edge.select("family", F.col("parent").alias("desc"), F.col("child").alias("next"))
-    for depth in range(2, rounds):
+    for depth in itertools.count(2):
         found = level.join(step, ["family", "desc"]).select("family", "anc", F.col("next").alias("desc")).distinct()
         level = written(found.join(seen, ["family", "anc", "desc"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-    raise RuntimeError("closure did not settle")
 
 
 def closure_sizes(node: DataFrame, closed: DataFrame) -> DataFrame:
@@ -116,7 +133,7 @@ def siblings(edge: DataFrame, children: DataFrame, closed: DataFrame, heads: Dat
     return every.where("member <> object_id").distinct().join(own, ["family", "object_id", "member"], "left_anti")
 
 
-def ancestor_walk(edge: DataFrame, sizes: DataFrame, rounds: int = 200) -> DataFrame:
+def ancestor_walk(edge: DataFrame, sizes: DataFrame) -> DataFrame:
     """(family, seed, anc, distance, rank): ancestors in the order of a queue walk upwards.
 
     Parents join the queue by (closure size, id), and a node counts at its first arrival. Its place among equal
@@ -127,7 +144,7 @@ def ancestor_walk(edge: DataFrame, sizes: DataFrame, rounds: int = 200) -> DataF
     first = up.select("family", F.col("at").alias("seed"), F.col("parent").alias("anc"), F.array("step").alias("path")).groupBy("family", "seed", "anc").agg(F.min("path").alias("path"))
     level = written(first.where("seed <> anc").withColumn("distance", F.lit(1)), "walk")
     seen = level
-    for distance in range(2, rounds):
+    for distance in itertools.count(2):
         found = level.join(up.withColumnRenamed("at", "anc"), ["family", "anc"]).select("family", "seed", F.col("parent").alias("anc"), F.concat("path", F.array("step")).alias("path"))
         found = found.where("seed <> anc").groupBy("family", "seed", "anc").agg(F.min("path").alias("path"))
         level = written(found.join(seen, ["family", "seed", "anc"], "left_anti").withColumn("distance", F.lit(distance)).select("family", "seed", "anc", "path", "distance"), "walk")
@@ -138,7 +155,7 @@ def ancestor_walk(edge: DataFrame, sizes: DataFrame, rounds: int = 200) -> DataF
     return seen.select("family", "seed", "anc", "distance", rank.alias("rank"))
 
 
-def descendants_without_seed(children: DataFrame, closed: DataFrame, starts: DataFrame, max_depth: int | None, rounds: int = 200) -> DataFrame:
+def descendants_without_seed(children: DataFrame, closed: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
     """(family, src, seed, desc, depth): non-leaf descendants down to ``max_depth`` whose closures lack the seed.
 
     Those that cover the seed are walked through but not returned; depth is the shortest.
@@ -146,7 +163,7 @@ def descendants_without_seed(children: DataFrame, closed: DataFrame, starts: Dat
     step = children.select("family", F.col("parent").alias("desc"), F.col("child").alias("next"))
     level = starts.select("family", "src", "seed", F.col("src").alias("desc"), F.lit(0).alias("depth"))
     seen = level
-    for depth in range(1, (max_depth or rounds) + 1):
+    for depth in range(1, max_depth + 1) if max_depth else itertools.count(1):
         found = level.join(step, ["family", "desc"]).select("family", "src", "seed", F.col("next").alias("desc")).distinct()
         level = written(found.join(seen, ["family", "src", "seed", "desc"], "left_anti").withColumn("depth", F.lit(depth)), "descend")
         if level.isEmpty():

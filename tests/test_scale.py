@@ -123,3 +123,26 @@ def test_search_leaves_solved_cells_alone(spark):
         assert rows(got.found) == rows(constraint.first_viable(every, counted, 1, need))
         assert got.built < 0.7 * every.count()
         assert got.found.count() + got.open.count() == 30 * len(plain.ids)
+
+
+def test_closure_doubles_paths(spark, monkeypatch):
+    """A chain of 300 nodes, a cycle of nine with a way out, and shortcuts: depths are shortest, rounds logarithmic."""
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(299)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("c4", "n250"), ("n010", "n020"), ("n100", "n257")]
+    edge = spark.createDataFrame([("wordnet", a, b) for a, b in edges], EDGE)
+    rounds = []
+    write = taxonomy.written
+    monkeypatch.setattr(taxonomy, "written", lambda df, label: (rounds.append(label), write(df, label))[1])
+    got = {(r["anc"], r["desc"]): r["depth"] for r in taxonomy.closure(edge).collect()}
+    kids = {}
+    for a, b in edges:
+        kids.setdefault(a, []).append(b)
+    want = {}
+    for start in {x for e in edges for x in e}:
+        level, depth = {start}, 0
+        while level:
+            depth += 1
+            level = {k for x in level for k in kids.get(x, ()) if (start, k) not in want}
+            want.update({(start, k): depth for k in level})
+    assert got == want and len(rounds) <= 11
+    few = taxonomy.closure(edge, starts=spark.createDataFrame([("wordnet", "n290")], "family string, anc string"))
+    assert {(r["anc"], r["desc"]): r["depth"] for r in few.collect()} == {k: v for k, v in want.items() if k[0] == "n290"}
