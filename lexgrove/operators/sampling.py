@@ -336,6 +336,9 @@ def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk:
     rows = cores.where(scope.holds()).select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance"))
     rows = numbered(rows, ["seed"], ["family", "a_count", "b_count"], "n")
     rows = written(rows.withColumn("chunk", F.floor(F.col("n") / chunk).cast("int")), "frame")
+    # Windows depend on constraints only: they are made once for all tasks, and a step reads those of its chunk.
+    frame = rows.join(windows(rows, g, 8 * limit), ["family", "a1", "branches", "bs"])
+    frame = written(frame.repartition("a_count", "b_count", "chunk"), "windows", ("a_count", "b_count", "chunk"))
     cells = [tuple(r) for r in rows.select("a_count", "b_count", "chunk").distinct().collect()]
     cells.sort(key=lambda x: (scope.a_counts.index(x[0]), scope.b_counts.index(x[1]), x[2]))
     spark = cores.sparkSession
@@ -346,11 +349,9 @@ def full_frame(cores: DataFrame, g: Graph, product: str, limit: int = 64, chunk:
     for task in scope.tasks:
         done: dict[tuple[str, int, int], int] = {}
         for a, b, c in cells:
-            part = rows.where((F.col("a_count") == a) & (F.col("b_count") == b) & (F.col("chunk") == c))
-            win = windows(part, g, 8 * limit)
+            part = frame.where((F.col("a_count") == a) & (F.col("b_count") == b) & (F.col("chunk") == c))
             start = {f: n for (f, x, y), n in done.items() if (x, y) == (a, b)}
-            joined = part.join(win, ["family", "a1", "branches", "bs"])
-            made = written(joined.groupBy("family").cogroup(used.groupBy("family")).applyInPandas(_chunk_fold(product, limit, task, start), _SAMPLE), "full")
+            made = written(part.groupBy("family").cogroup(used.groupBy("family")).applyInPandas(_chunk_fold(product, limit, task, start), _SAMPLE), "full")
             for f, n in count(made).items():
                 done[f, a, b] = start.get(f, 0) + n
                 placed[f] = placed.get(f, 0) + n
