@@ -2,44 +2,8 @@
 
 from __future__ import annotations
 
-from math import comb
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_BIG = "decimal(38,0)"
-
-
-def combinations(n: Column, k: int) -> Column:
-    """n over k in exact decimals; 0 outside the domain. Each partial product is divided at once, so that it stays whole."""
-    out = F.lit(1).cast(_BIG)
-    for i in range(1, k + 1):
-        out = F.floor(((out * (n - k + i).cast("decimal(10,0)")).cast(_BIG) / F.lit(i).cast("decimal(3,0)"))).cast(_BIG)
-    return F.when((n >= k) & (n >= 0), out).otherwise(F.lit(0).cast(_BIG))
-
-
-def subset_sum_combinations(counts: list[int], k: int, b: int) -> int:
-    """Sum over all k-subsets of ``counts`` of C(sum of the subset, b), exactly.
-
-    C(x + y, b) is the sum of C(x, i) C(y, b - i), so a table over (members chosen, items chosen) suffices.
-    """
-    table = [[0] * (b + 1) for _ in range(k + 1)]
-    table[0][0] = 1
-    for c in counts:
-        ways = [comb(c, j) for j in range(b + 1)]
-        for m in range(k, 0, -1):
-            row = table[m - 1]
-            for q in range(b + 1):
-                table[m][q] += sum(row[q - j] * ways[j] for j in range(q + 1))
-    return table[k][b]
-
-
-@F.pandas_udf(T.StringType())
-def branch_set_count(counts: pd.Series, k: pd.Series, b: pd.Series) -> pd.Series:
-    """As ``subset_sum_combinations``, as text: values exceed 64 bits."""
-    return pd.Series([str(subset_sum_combinations([int(x) for x in c], int(m), int(q))) if c is not None else None for c, m, q in zip(counts, k, b)])
 
 
 def log10_combinations(n: Column, k: int) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.functions import exact
+from lexgrove.functions import exact, residues
 from lexgrove.operators import taxonomy
 from lexgrove.operators.constraint import A_COUNTS, B_COUNTS, Graph, capacity, core_counts
 from lexgrove.operators.probe import counter_map, quantiles
+from lexgrove.operators.work import written
 
 # Thresholds of positives, quotas of the test and main products, scenarios, lengths of lists.
 THRESHOLDS = (1, 2, 5, 10, 20, 50, 100)
@@ -25,19 +28,47 @@ _CELL = ["family", "a_count", "b_count"]
 
 
 def structural_counts(g: Graph) -> DataFrame:
-    """(family, a1, a_count, b_count, n as text): constraints each node can head, exactly.
+    """(family, a1, a_count, b_count, branch_sets and n as text): sets of branches and constraints each node can head, exactly, at every size.
 
     Without branches b of its children are excluded; else for each set of k children b of the set's children together.
+    With n children below each child, the latter are the coefficient of x^b in the k-th elementary symmetric polynomial of
+    the (1 + x)^n. Power sums give it, so children are summed and no node's list of children is ever gathered.
     """
-    kids = g.children.groupBy("family", F.col("parent").alias("object_id")).agg(F.count("*").alias("kids"))
-    per = g.children.join(kids.withColumnRenamed("object_id", "child"), ["family", "child"], "left").groupBy("family", "parent").agg(F.array_sort(F.collect_list(F.coalesce("kids", F.lit(0)))).alias("counts"))
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))).alias("c")
-    rows = per.select("family", F.col("parent").alias("a1"), "counts", cells).select("family", "a1", "counts", "c.*")
-    lone = F.lit("0")
-    for b in B_COUNTS:
-        lone = F.when(F.col("b_count") == b, exact.combinations(F.size("counts"), b).cast("string")).otherwise(lone)
-    some = exact.branch_set_count(F.when(F.col("a_count") > 1, F.col("counts")), F.col("a_count") - 1, F.col("b_count"))
-    return rows.select("family", "a1", "a_count", "b_count", F.when(F.col("a_count") == 1, lone).otherwise(some).alias("n"))
+    kids = g.children.groupBy("family", F.col("parent").alias("child")).agg(F.count("*").alias("n"))
+    per = g.children.join(kids, ["family", "child"], "left").select("family", F.col("parent").alias("a1"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # Children that have equally many children of their own are one row.
+    alike = written(per.groupBy("family", "a1", "n").agg(F.count("*").alias("times")), "alike")
+    widest = alike.groupBy("family", "a1").agg(F.sum("times").alias("kids"), F.max("n").alias("n")).agg(F.max("kids").alias("kids"), F.max("n").alias("n")).first()
+    most, widths = max(A_COUNTS) - 1, max(B_COUNTS)
+    # A bound of every count: choices of children, times choices among all that the widest ones have below.
+    bits = max(most, widths) * math.log2(1 + (widest["kids"] or 0)) + widths * math.log2(1 + most * (widest["n"] or 0))
+    moduli = residues.primes(bits)
+    p = F.col("p")
+    rows = alike.withColumn("m", F.explode(residues.modulus(moduli))).select("family", "a1", "n", "times", "m.*")
+    powers = {j: [f"s{j}_{b}" for b in range(widths + 1)] for j in range(1, most + 1)}
+    terms = [F.sum(residues.times(residues.choose(F.col("n") % p * j % p, b, p, moduli), F.col("times") % p, p)).alias(c) for j, names in powers.items() for b, c in enumerate(names)]
+    sums = rows.groupBy("family", "a1", "i", "p").agg(F.sum("times").alias("kids"), *terms)
+    sums = sums.select("family", "a1", "i", "p", (F.col("kids") % p).alias("kids"), *((F.col(c) % p).alias(c) for names in powers.values() for c in names))
+    made = residues.elementary(powers, p, moduli, sums)
+    value = lambda a, b: residues.choose(F.col("kids"), b, p, moduli) if a == 1 else F.col(f"e{a - 1}_{b}")
+    cells = [(a, b) for a in A_COUNTS for b in B_COUNTS]
+    values = F.array(*(value(a, b) for a, b in cells)).alias("values")
+    sets = F.array(*(residues.choose(F.col("kids"), a - 1, p, moduli) for a, _ in cells)).alias("sets")
+    each = made.groupBy("family", "a1").agg(F.array_sort(F.collect_list(F.struct("i", values, sets))).alias("of"))
+    cell = F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count"), F.lit(i).alias("at")) for i, (a, b) in enumerate(cells)))).alias("c")
+    at = lambda name: F.transform("of", lambda x: x[name][F.col("c.at")]).alias(name)
+    rows = each.select("family", "a1", "of", cell).select("family", "a1", "c.a_count", "c.b_count", at("sets"), at("values"))
+    rows = residues.text_of(F.col("sets"), moduli, rows, "branch_sets")
+    return residues.text_of(F.col("values"), moduli, rows, "n").drop("sets", "values")
+
+
+def universe_counts(structural: DataFrame) -> DataFrame:
+    """(family, a_count, b_count, heads, branch_sets, constraints): nodes that can head a constraint, sets of branches and constraints of each cell; sums as text, exact."""
+    heads = structural.groupBy(*_CELL).agg(F.count_if(F.col("branch_sets") != "0").alias("heads"))
+    out = heads
+    for column, name in (("branch_sets", "branch_sets"), ("n", "constraints")):
+        out = out.join(residues.sum_texts(structural, _CELL, column, name), _CELL)
+    return out
 
 
 def threshold_populations(cores: DataFrame, families: DataFrame | None = None) -> DataFrame:
@@ -171,10 +202,11 @@ def scaled_task_populations(probed: DataFrame, structural: DataFrame) -> DataFra
     """
     can = capacity(F.col("positive"), F.col("negative"), F.col("hard"))
     share = probed.groupBy(*_CELL).agg(F.count("*").alias("n"), *(F.count_if(can[c]).alias(t) for t, c in _TASK_COUNT.items()))
-    total = structural.groupBy(*_CELL).agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("constraints"))
+    total = residues.sum_texts(structural, _CELL, "n", "constraints")
     rows = total.join(share, _CELL, "left").fillna(0, ["n", *_TASK_COUNT])
-    # The product is a double cut to a whole number, as the estimate it is.
-    value = lambda t: F.floor(F.col("constraints").cast("double") * F.col(t) / F.greatest(F.lit(1), F.col("n")), 0).cast("string")
+    # The product is a double cut to a whole number, as the estimate it is; a double has some 16 right digits.
+    whole = lambda x: F.when(x < 1e15, x.cast("long").cast("string")).otherwise(F.format_string("%.0f", x))
+    value = lambda t: whole(F.col("constraints").cast("double") * F.col(t) / F.greatest(F.lit(1), F.col("n")))
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), value(t).alias("population")) for t in _TASK_COUNT))).alias("x")
     return rows.select(*_CELL, each).select("family", "x.task", "a_count", "b_count", "x.population")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.functions import exact
+from lexgrove.functions import exact, residues
 from lexgrove.functions.hashing import stable_hash
 from lexgrove.operators import taxonomy
 from lexgrove.operators.constraint import A_COUNTS, B_COUNTS, POOL, Graph, choose_b, core_counts
@@ -84,9 +84,9 @@ def probe_summary(cores: DataFrame, structural: DataFrame | None = None) -> Data
     if structural is None:
         some = F.col("probed") > 0
     else:
-        # Sums of counts go as decimals: 38 digits hold them for any real hierarchy, and the sum raises beyond.
-        total = structural.groupBy(*keys).agg(F.count("*").alias("heads"), F.sum(F.col("n").cast("decimal(38,0)")).alias("constraints"))
-        out = out.join(total, keys, "left").fillna(0, ["heads"]).withColumn("constraints", F.coalesce(F.col("constraints"), F.lit(0).cast("decimal(38,0)")).cast("string"))
+        heads = structural.groupBy(*keys).agg(F.count("*").alias("heads"))
+        total = residues.sum_texts(structural, keys, "n", "constraints")
+        out = out.join(heads, keys, "left").join(total, keys, "left").fillna(0, ["heads"]).fillna("0", ["constraints"])
         some = F.col("constraints") != "0"
     out = out.fillna(0, ["probed", "feasible", *(f"positive_{c}" for c in ("min", "p50", "p90", "p99", "max"))])
     status = F.when(~some, "infeasible").when(F.col("probed") > 0, "available").otherwise("shortage")

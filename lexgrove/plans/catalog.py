@@ -595,14 +595,36 @@ def feasibility(spark, sf_dir):
     return constraint.feasibility(g, _seeds(g)).drop("family")
 
 
-@query("structural_counts")
-def structural_counts(spark, sf_dir):
-    """Exact counts as text; they exceed 64 bits."""
+# Children are taken or left one after the other, which leaves a row for each number and sum of those taken.
+_STRUCTURE = """, own AS (SELECT p, count(*) AS n FROM kid GROUP BY p), kk AS (SELECT kid.p, coalesce(own.n, 0) AS n, row_number() OVER (PARTITION BY kid.p ORDER BY kid.c) AS i FROM kid LEFT JOIN own ON own.p = kid.c),
+st(p, i, k, s, w) AS (SELECT DISTINCT p, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST(1 AS HUGEINT) FROM kid
+  UNION ALL SELECT st.p, st.i + 1, st.k + f.f, CAST(st.s + f.f * kk.n AS BIGINT), CAST(sum(st.w) AS HUGEINT) FROM st JOIN kk ON kk.p = st.p AND kk.i = st.i + 1 CROSS JOIN (VALUES (0), (1)) f(f) WHERE st.k + f.f <= 4 GROUP BY ALL),
+sums AS (SELECT st.p, st.k, CAST(st.s AS HUGEINT) AS s, st.w FROM st JOIN own ON own.p = st.p AND own.n = st.i), ab AS (SELECT CAST(a.a AS INT) AS a, CAST(b.b AS INT) AS b FROM (VALUES (1), (2), (3), (4), (5)) a(a) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) b(b)),
+ways AS (SELECT p, k + 1 AS a, b.b AS b, sum(w) AS sets, sum(w * CASE b.b WHEN 0 THEN 1 WHEN 1 THEN s WHEN 2 THEN s * (s - 1) // 2 WHEN 3 THEN s * (s - 1) * (s - 2) // 6 WHEN 4 THEN s * (s - 1) * (s - 2) * (s - 3) // 24 ELSE s * (s - 1) * (s - 2) * (s - 3) * (s - 4) // 120 END) AS n
+  FROM sums CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) b(b) GROUP BY 1, 2, 3),
+alone AS (SELECT p, CAST(n AS HUGEINT) AS n FROM own), heads AS (SELECT own.p AS a1, ab.a AS a_count, ab.b AS b_count, CAST(coalesce(CASE WHEN ab.a = 1 THEN 1 ELSE ways.sets END, 0) AS HUGEINT) AS sets,
+  CAST(CASE WHEN ab.a > 1 THEN coalesce(ways.n, 0) WHEN ab.b = 0 THEN 1 WHEN ab.b = 1 THEN x.n WHEN ab.b = 2 THEN x.n * (x.n - 1) // 2 WHEN ab.b = 3 THEN x.n * (x.n - 1) * (x.n - 2) // 6 WHEN ab.b = 4 THEN x.n * (x.n - 1) * (x.n - 2) * (x.n - 3) // 24
+    ELSE x.n * (x.n - 1) * (x.n - 2) * (x.n - 3) * (x.n - 4) // 120 END AS HUGEINT) AS n
+  FROM own CROSS JOIN ab JOIN alone x ON x.p = own.p LEFT JOIN ways ON ways.p = own.p AND ways.a = ab.a AND ways.b = ab.b)"""
+
+
+def _children_only(spark: SparkSession, sf_dir: str) -> constraint.Graph:
     node, edge = _full(spark, sf_dir)
     closed = taxonomy.closure(edge)
     sizes = taxonomy.closure_sizes(node, closed)
-    g = constraint.Graph(node, edge, closed, sizes, taxonomy.usable_children(edge, sizes), edge)
-    return audits.structural_counts(g).select("a1", "a_count", "b_count", "n")
+    return constraint.Graph(node, edge, closed, sizes, taxonomy.usable_children(edge, sizes), edge)
+
+
+@query("structural_counts", FULL + _STRUCTURE + " SELECT a1, a_count, b_count, CAST(sets AS VARCHAR) AS branch_sets, CAST(n AS VARCHAR) AS n FROM heads")
+def structural_counts(spark, sf_dir):
+    """Exact counts as text; they exceed 64 bits."""
+    return audits.structural_counts(_children_only(spark, sf_dir)).select("a1", "a_count", "b_count", "branch_sets", "n")
+
+
+@query("universe_counts", FULL + _STRUCTURE + " SELECT a_count, b_count, count(*) FILTER (WHERE sets > 0) AS heads, CAST(sum(sets) AS VARCHAR) AS branch_sets, CAST(sum(n) AS VARCHAR) AS constraints FROM heads GROUP BY 1, 2")
+def universe_counts(spark, sf_dir):
+    """All constraints of each cell, exactly."""
+    return audits.universe_counts(audits.structural_counts(_children_only(spark, sf_dir))).drop("family")
 
 
 _CAN = """, th AS (SELECT CAST(x.t AS INT) AS threshold FROM (VALUES (1), (2), (5), (10), (20), (50), (100)) x(t)),
