@@ -24,7 +24,7 @@ from lexgrove.sources import files, parts
 
 LOG = (
     "request_id string, status string, error_state string, final_answer_text string, run_receive_sequence long, answer_truncated boolean, reasoning_available boolean, "
-    "reasoning_truncated boolean"
+    "reasoning_truncated boolean, raw_response variant"
 )
 
 
@@ -136,6 +136,7 @@ def render(spark, a):
     asked, seen = _counted(rendering.prompt(rendering.with_nodes(samples, node)), a, "requests", empty_prompts=empty, nested_hash_mismatches=nested)
     hashed = sampling.rolling_hash if frozen.get("product_tier") == "full" else sampling.list_hash
     _json(a, "render_manifest.json", {"request_count": seen["rows"], "empty_prompts": seen["empty_prompts"], "nested_hash_mismatches": seen["nested_hash_mismatches"], "renderer_version": sampling.RENDERER_VERSION, "request_hash": hashed(asked, ["ordinal"], "request_hash")})
+    files.write_jsonl(rendering.nested(asked, samples.columns), f"{a.run}/rendered_requests")
     _status(a, "render", "requests are rendered; nothing has been asked yet")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.functions import unions
 from lexgrove.functions.hashing import stable_hash
 from lexgrove.operators.sampling import RENDERER_VERSION
 
@@ -85,6 +86,30 @@ def prompt(rows: DataFrame) -> DataFrame:
     return out.withColumn("request_id", F.concat(F.lit("request_"), F.substring("request_hash", 1, 16))).drop("_a", "_p", "_x", "_c")
 
 
+def nested(requests: DataFrame, sample: list[str]) -> DataFrame:
+    """Requests as they are handed on: their own fields, ``provider_payload`` and ``sample`` as VARIANT.
+
+    The payload holds the messages; the sample its columns named in ``sample``, the request's hash and the renderer's version.
+    """
+    own = [c for c in ("request_id", "sample_id", "base_sample_id", "task", "family", "information", "renderer_version", "prompt", "system_prompt", "expected_protocol", "request_hash") if c in requests.columns]
+    kept = [F.col(f"`{c}`") for c in sample if c not in ("request_hash", "renderer_version")]
+    inner = F.struct(*kept, F.col("sample_request_hash").alias("request_hash"), "renderer_version")
+    return requests.select(*own, F.to_variant_object(F.struct("messages")).alias("provider_payload"), F.to_variant_object(inner).alias("sample"))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Nested requests (VARIANT, or JSON text as read from a file) with the messages and the sample's own hash as columns, as ``request_faults`` takes them.
+
+    ``payload_malformed`` marks payloads or samples that are no JSON objects, or hold no list of messages.
+    """
+    for c in ("provider_payload", "sample"):
+        rows = unions.with_variant(rows, c, f"__{c}", f"__{c}_malformed")
+    messages = F.try_variant_get("__provider_payload", "$.messages", "array<struct<role:string,content:string>>")
+    rows = rows.withColumns({"messages": messages, "sample_request_hash": F.try_variant_get("__sample", "$.request_hash", "string")})
+    whole = F.col("messages").isNotNull() & (F.coalesce(unions.kind(F.col("__sample")), F.lit("null")) == "object")
+    return rows.withColumn("payload_malformed", ~whole).drop("__provider_payload", "__sample", "__provider_payload_malformed", "__sample_malformed")
+
+
 #: Fields that every request must have.
 REQUIRED = ("request_id", "sample_id", "base_sample_id", "task", "family", "information", "request_hash", "messages", "sample_request_hash")
 

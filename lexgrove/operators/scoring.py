@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.functions import text
+from lexgrove.functions import text, unions
 from lexgrove.functions.exact import rate
 from lexgrove.operators import truth
 from lexgrove.operators.runlog import select_response
@@ -25,10 +25,23 @@ def _judged(rows: DataFrame, error: Column) -> DataFrame:
     return rows.withColumn("correct", F.col("format_valid") & hit)
 
 
-def normal_gold(rows: DataFrame) -> DataFrame:
-    """Gold answers by task: T2 a set (none: empty), others a truth value (none: false)."""
+def normal_gold(rows: DataFrame, gold: str | None = None) -> DataFrame:
+    """Gold answers by task: T2 a set (none: empty), others a truth value (none: false).
+
+    With ``gold``, a column of JSON text or VARIANT, gold_bool and gold_set come out of it, with ``gold_malformed``: text that is no
+    JSON, and for T2 anything but whole numbers in an array or a value that counts as false. A malformed answer has neither.
+    """
     two = F.col("task") == "T2"
     none = F.array().cast("array<int>")
+    if gold is not None:
+        rows = unions.with_variant(rows, gold, "__gold", "gold_malformed")
+        value = F.col("__gold")
+        numbers = unions.whole_numbers(value)
+        odd = two & numbers.isNull() & unions.truth(value)
+        rows = rows.withColumn("gold_malformed", F.col("gold_malformed") | F.coalesce(odd, F.lit(False)))
+        fine = ~F.col("gold_malformed")
+        rows = rows.withColumns({"gold_set": F.when(two & fine, F.coalesce(numbers, none)), "gold_bool": F.when(~two & fine, unions.truth(value))})
+        return rows.drop("__gold")
     return rows.withColumns({"gold_set": F.when(two, F.coalesce("gold_set", none)), "gold_bool": F.when(~two, F.coalesce("gold_bool", F.lit(False)))})
 
 
@@ -164,10 +177,26 @@ def candidate_frame(rows: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def usage(responses: DataFrame, raw: str = "raw_response") -> DataFrame:
-    """Responses with ``completion_tokens`` (0 if none) and ``finish_reason`` out of the raw answer's JSON text; without a reason ``unknown``."""
-    get = lambda p: F.get_json_object(raw, p)
-    reason = F.coalesce(get("$.choices[0].finish_reason"), get("$.choices[0].stop_reason"), F.lit("unknown"))
-    return responses.withColumn("completion_tokens", F.coalesce(get("$.usage.completion_tokens").try_cast("long"), F.lit(0))).withColumn("finish_reason", reason)
+    """Responses with ``completion_tokens`` (0 if none), ``finish_reason`` and ``raw_malformed``, out of the raw answer as JSON text or VARIANT.
+
+    The first choice tells the reason under one of two names, empty ones passed over; without a reason, ``unknown``. A raw answer
+    that is no JSON, or no object, is malformed.
+    """
+    rows = unions.with_variant(responses, raw, "__raw", "raw_malformed")
+    value = F.col("__raw")
+    get = lambda p, kind: F.try_variant_get(value, p, kind)
+    said = lambda name: F.nullif(get(f"$.choices[0].{name}", "string"), F.lit(""))
+    odd = value.isNotNull() & ~unions.kind(value).isin("object", "null")
+    rows = rows.withColumns({
+        "completion_tokens": F.coalesce(get("$.usage.completion_tokens", "long"), F.lit(0)), "finish_reason": F.coalesce(said("finish_reason"), said("stop_reason"), F.lit("unknown")),
+        "raw_malformed": F.col("raw_malformed") | F.coalesce(odd, F.lit(False)),
+    })
+    return rows.drop("__raw")
+
+
+def usage_table(responses: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """(finish_reason, n, completion_tokens, malformed) of responses."""
+    return usage(responses, raw).groupBy("finish_reason").agg(F.count("*").alias("n"), F.sum("completion_tokens").alias("completion_tokens"), F.count_if("raw_malformed").alias("malformed"))
 
 
 def as_percent(value: Column) -> Column:
@@ -228,6 +257,8 @@ def evaluation_metrics(rows: DataFrame, responses: DataFrame, candidates: DataFr
     t2 = rows.where("task = 'T2'")
     out["t2_accuracy_by_gold_set_size"] = records(accuracy_table(t2, ["gold_set_size"]), "gold_set_size")
     out["t2_predicted_size_distribution"] = records(set_size_table(rows), "gold_set_size", "predicted_size_label")
+    if "raw_response" in responses.columns:
+        out["usage"] = records(usage_table(select_response(responses)), "finish_reason")
     if candidates is not None:
         out["t2_candidate_summary"] = records(selection_rates(candidates, ["category"]), "category")
         out["t2_candidate_by_b_count"] = records(selection_rates(candidates, ["b_count", "category"]), "b_count", "category")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexgrove.functions.hashing import stable_hash
-from lexgrove.operators import bitmaps, ranks, taxonomy
+from lexgrove.operators import bitmaps, ranks, rendering, scoring, taxonomy
 from lexgrove.operators.work import work_dir
 from lexgrove.plans import driver_data as data
 from lexgrove.plans.catalog import FULL, query
@@ -109,3 +109,45 @@ def line_places(spark, sf_dir):
     n = first.count()
     every = first.unionByName(second.withColumn("ordinal", F.col("ordinal") + n))
     return every.select("r.doc_id", "ordinal", F.sha2("r.text", 256).alias("text_sha256"))
+
+
+# Texts of answers by the document's number: lists, truth values, what counts as neither, and broken JSON.
+_GOLD = """SELECT d.doc_id, concat('T', 1 + CAST(floor(d.doc_id / 10) AS BIGINT) % 3) AS task, CASE d.doc_id % 10 WHEN 0 THEN concat('[', d.doc_id % 7, ', ', d.n_chars % 4, ']') WHEN 1 THEN 'true' WHEN 2 THEN 'false' WHEN 3 THEN 'null'
+  WHEN 4 THEN '[]' WHEN 5 THEN CAST(d.n_chars % 2 AS STRING) WHEN 6 THEN concat('[1, "', d.lang, '"]') WHEN 7 THEN concat('{{"a": ', d.n_chars) WHEN 8 THEN concat('"', d.lang, '"') ELSE NULL END AS gold FROM documents d"""
+
+
+@query("union_answers", "WITH g AS (" + _GOLD.replace("AS STRING", "AS VARCHAR").replace("{{", "{") + """), k AS (SELECT *, CASE WHEN json_valid(gold) THEN json_type(gold) END AS kind FROM g),
+t AS (SELECT *, CASE WHEN kind IN ('UBIGINT', 'BIGINT') THEN gold <> '0' WHEN kind = 'BOOLEAN' THEN gold = 'true' WHEN kind = 'ARRAY' THEN gold <> '[]' WHEN kind = 'VARCHAR' THEN gold <> '""' ELSE false END AS truth,
+  CASE WHEN kind = 'ARRAY' AND NOT contains(gold, '"') THEN replace(trim(gold, '[]'), ' ', '') END AS numbers FROM k),
+m AS (SELECT *, coalesce(gold IS NOT NULL AND NOT json_valid(gold), false) OR (task = 'T2' AND numbers IS NULL AND truth) AS malformed FROM t)
+SELECT doc_id, task, malformed, CASE WHEN task <> 'T2' AND NOT malformed THEN truth END AS gold_bool, CASE WHEN task = 'T2' AND NOT malformed THEN coalesce(numbers, '') END AS gold_set FROM m""")
+def union_answers(spark, sf_dir):
+    """Answers that are a truth value or a list, out of one column of VARIANT."""
+    got = scoring.normal_gold(data.run_sql(spark, sf_dir, _GOLD, ("documents",)), "gold")
+    return got.select("doc_id", "task", F.col("gold_malformed").alias("malformed"), "gold_bool", F.array_join("gold_set", ",").alias("gold_set"))
+
+
+_RAW = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{{"usage": {{"completion_tokens": ', user_id, '}}, "choices": [{{"finish_reason": "', event_type, '"}}], "props": ', props, '}}')
+  WHEN 1 THEN concat('{{"usage": null, "choices": [{{"finish_reason": "", "stop_reason": "', event_type, '"}}]}}') WHEN 2 THEN concat('{{"usage": {{"completion_tokens": ', user_id) WHEN 3 THEN concat('[', user_id, ']') WHEN 4 THEN props ELSE NULL END AS raw FROM events"""
+
+
+@query("response_usage", "WITH r AS (" + _RAW.replace("{{", "{").replace("}}", "}") + """), k AS (SELECT raw, CASE WHEN json_valid(raw) THEN json_type(raw) END AS kind FROM r), x AS (SELECT CASE WHEN kind = 'OBJECT' THEN raw END AS j, raw IS NOT NULL AND coalesce(kind <> 'OBJECT', true) AS bad FROM k)
+SELECT coalesce(nullif(json_extract_string(j, '$.choices[0].finish_reason'), ''), nullif(json_extract_string(j, '$.choices[0].stop_reason'), ''), 'unknown') AS finish_reason, count(*) AS n,
+  CAST(sum(coalesce(CAST(json_extract_string(j, '$.usage.completion_tokens') AS BIGINT), 0)) AS BIGINT) AS completion_tokens, count(*) FILTER (WHERE bad) AS malformed FROM x GROUP BY 1""")
+def response_usage(spark, sf_dir):
+    """Tokens and reasons of raw answers, malformed ones told apart."""
+    return scoring.usage_table(data.run_sql(spark, sf_dir, _RAW, ("events",)), "raw")
+
+
+@query("request_payloads", """SELECT conv_id, turn, coalesce(role, '') AS role, sha256(coalesce(text, '')) AS content_sha256, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_hash, false AS payload_malformed FROM conversations""")
+def request_payloads(spark, sf_dir):
+    """Every turn as a nested request of JSON text, read back: its message and its sample's hash."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    asked = c.withColumns({"request_id": key, "sample_id": key, "sample_request_hash": key, "renderer_version": F.lit("v"), "messages": F.array(F.struct("role", F.col("text").alias("content")))})
+    sent = rendering.nested(asked, ["conv_id", "turn", "sample_id"])
+    text = sent.withColumns({c: F.to_json(c) for c in ("provider_payload", "sample")})
+    got = rendering.flat(text)
+    inside = lambda c: F.try_variant_get(F.try_parse_json("sample"), f"$.{c}", "long").alias(c)
+    first = F.col("messages")[0]
+    return got.select(inside("conv_id"), inside("turn"), first["role"].alias("role"), F.sha2(first["content"], 256).alias("content_sha256"), F.col("sample_request_hash").alias("request_hash"), "payload_malformed")
