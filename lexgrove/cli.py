@@ -222,15 +222,15 @@ def seed_audit(spark, a):
     g = _graph(spark, a, c)
     seeds, low = _seeds(g, c), c.resources.min_final_positive_count
     searched = constraint.search(g, seeds, low, need_negative=False)
-    found = searched.found
-    cells = _out(audits.seed_cells(found, constraint.missing_reasons(g, seeds, low, searched), seeds), a, "lowest_viable_cells")
+    found = searched.counted()
+    cells = _out(audits.seed_cells(found, constraint.counted_reasons(g, searched), seeds, searched.first(audits.EXAMPLES)), a, "lowest_viable_cells")
     counts = _out(audits.threshold_populations(found, g.node), a, "threshold_populations")
     _out(audits.threshold_summary(counts), a, "threshold_summary")
     _out(audits.threshold_shortages(counts), a, "threshold_shortages")
-    _out(audits.top_heads(found), a, "top_heads")
+    _out(audits.top_heads(searched.found), a, "top_heads")
     frame = _out(audits.sampling_frame(audits.task_populations(cells)), a, "sampling_frame")
     _json(a, "recipe_seed_audit_summary.json", scoring.records(audits.sampling_summary(frame))[0])
-    _out(probe.probe_frame(found), a, "probe_frame")
+    _out(probe.probe_frame(searched.first(probe.PROBE_ROWS)), a, "probe_frame")
 
 
 def _frame(spark, a, g, c) -> DataFrame:

@@ -27,6 +27,15 @@ MEASURES = ("a1_scope", "positive_pre", "excluded_scope", "positive", "hits_b",
 _CELL = ["family", "a_count", "b_count"]
 
 
+def _many(found: DataFrame) -> Column:
+    """How many seeds a row of found cores stands for: its ``seeds``, if it is counted by kinds, else one."""
+    return F.col("seeds") if "seeds" in found.columns else F.lit(1).cast("long")
+
+
+def _count(when: Column, many: Column) -> Column:
+    return F.coalesce(F.sum(F.when(when, many)), F.lit(0).cast("long"))
+
+
 def structural_counts(g: Graph) -> DataFrame:
     """(family, a1, a_count, b_count, branch_sets and n as text): sets of branches and constraints each node can head, exactly, at every size.
 
@@ -74,6 +83,7 @@ def universe_counts(structural: DataFrame) -> DataFrame:
 def threshold_populations(cores: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """(family, a_count, b_count, threshold, T1, T2_any, T2_all_gold_sizes, T3): seeds whose core has at least that many positives and the capacity.
 
+    ``cores`` has a row for each seed, or for each kind with its ``seeds``.
     With ``families`` (a column family) each of them has a row for every cell and threshold, zeros where no seed
     qualifies, as scheduler_scenarios needs; without, only cells and thresholds that some seed reaches have rows.
     """
@@ -81,7 +91,7 @@ def threshold_populations(cores: DataFrame, families: DataFrame | None = None) -
     rows = cores.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS)))).where("positive >= threshold")
     names = {"T1": "T1_balanced", "T2_any": "T2_any", "T2_all_gold_sizes": "T2_all_gold_sizes", "T3": "T3_balanced"}
     keys = ["family", "a_count", "b_count", "threshold"]
-    found = rows.groupBy(*keys).agg(*(F.count_if(can[c]).alias(n) for n, c in names.items()))
+    found = rows.groupBy(*keys).agg(*(_count(can[c], _many(cores)).alias(n) for n, c in names.items()))
     if families is None:
         return found
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count"), F.lit(t).alias("threshold")) for a in A_COUNTS for b in B_COUNTS for t in THRESHOLDS))).alias("c")
@@ -153,26 +163,28 @@ def task_counts(cores: DataFrame) -> DataFrame:
     return cores.withColumn("tasks", F.filter(F.array(*(F.when(c, n) for n, c in can.items())), lambda x: x.isNotNull()))
 
 
-def seed_cells(found: DataFrame, missing: DataFrame, seeds: DataFrame) -> DataFrame:
+def seed_cells(found: DataFrame, missing: DataFrame, seeds: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """One row per family and cell: seeds, feasible ones, status, why others lack a core, tasks, sources, quantiles, hard negatives, examples.
 
     ``found`` holds the cores of seeds with their counts (the audit's gate), ``missing`` the reasons of the
     others. A cell with fewer feasible seeds than a hundredth of all, or than ten, is a shortage. Examples are the first EXAMPLES
-    seeds by id. Nothing is gathered per seed: quantiles come from counts of values.
+    seeds by id. Nothing is gathered per seed: quantiles come from counts of values. ``found`` and ``missing`` may have a row for each
+    kind of seed with its ``seeds``; then ``first`` holds the cores of the first EXAMPLES seeds of each cell.
     """
+    many = _many(found)
     total = seeds.groupBy("family").agg(F.count("*").alias("seed_total"))
     cells = F.explode(F.array(*(F.struct(F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for a in A_COUNTS for b in B_COUNTS))).alias("c")
     every = total.select("family", "seed_total", cells).select("family", "seed_total", "c.*")
-    counts = found.groupBy(*_CELL).agg(F.count("*").alias("feasible"), *(F.count_if(F.col("hard") >= k).alias(f"hard_ge_{k}") for k in (1, 2, 3, 4)))
-    spread = quantiles(found.withColumn("distance", F.col("distance").cast("long")), _CELL, ["distance", *MEASURES])
+    counts = found.groupBy(*_CELL).agg(F.sum(many).alias("feasible"), *(_count(F.col("hard") >= k, many).alias(f"hard_ge_{k}") for k in (1, 2, 3, 4)))
+    spread = quantiles(found.withColumn("distance", F.col("distance").cast("long")), _CELL, ["distance", *MEASURES], "seeds" if "seeds" in found.columns else None)
     spread = spread.groupBy(*_CELL).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("n", "min", "p50", "p90", "p99", "max").alias("q"))))).alias("quantiles"))
     n = F.row_number().over(Window.partitionBy(*_CELL).orderBy("seed"))
     line = F.struct("seed", "a1", "branches", "bs", "distance", "positive", "hard")
-    shown = found.withColumn("n", n).where(F.col("n") <= EXAMPLES).groupBy(*_CELL).agg(F.array_sort(F.collect_list(line)).alias("examples"))
+    shown = (found if first is None else first).withColumn("n", n).where(F.col("n") <= EXAMPLES).groupBy(*_CELL).agg(F.array_sort(F.collect_list(line)).alias("examples"))
     out = every.join(counts, _CELL, "left").fillna(0, ["feasible", *(f"hard_ge_{k}" for k in (1, 2, 3, 4))])
     for table in (
-        counter_map(missing, _CELL, F.col("reason"), "missing_reasons"), counter_map(task_counts(found).withColumn("t", F.explode("tasks")), _CELL, F.col("t"), "task_counts"),
-        counter_map(found.withColumn("s", F.explode("sources")), _CELL, F.col("s"), "b_sources"), spread, shown,
+        counter_map(missing, _CELL, F.col("reason"), "missing_reasons", _many(missing)), counter_map(task_counts(found).withColumn("t", F.explode("tasks")), _CELL, F.col("t"), "task_counts", many),
+        counter_map(found.withColumn("s", F.explode("sources")), _CELL, F.col("s"), "b_sources", many), spread, shown,
     ):
         out = out.join(table, _CELL, "left")
     few = F.col("feasible") < F.greatest(F.lit(10), F.floor(F.col("seed_total") / 100))

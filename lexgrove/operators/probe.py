@@ -63,10 +63,11 @@ def probe_cores(g: Graph) -> DataFrame:
     return rows.join(core_counts(rows, g), ["family", "a1", "branches", "bs"])
 
 
-def quantiles(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, name, n, min, p50, p90, p99, max): nearest-rank quantiles of several whole-number columns in one pass."""
+def quantiles(df: DataFrame, keys: list[str], columns: list[str], many: str | None = None) -> DataFrame:
+    """(keys, name, n, min, p50, p90, p99, max): nearest-rank quantiles of several whole-number columns in one pass; a row counts ``many`` times, if given."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("v")) for c in columns))).alias("x")
-    return taxonomy.value_quantiles(df.select(*keys, each).select(*keys, "x.*").where("v is not null"), [*keys, "name"], "v")
+    own = [many] if many else []
+    return taxonomy.value_quantiles(df.select(*keys, *own, each).select(*keys, *own, "x.*").where("v is not null"), [*keys, "name"], "v", F.col(many) if many else None)
 
 
 def probe_summary(cores: DataFrame, structural: DataFrame | None = None) -> DataFrame:
@@ -213,9 +214,9 @@ def strategy_metrics(simulated: DataFrame) -> DataFrame:
     return out.join(bad, "strategy", "left").withColumn("issues", F.coalesce("issues", none)).withColumn("validation", F.when(F.size("issues") == 0, "pass").otherwise("fail"))
 
 
-def counter_map(rows: DataFrame, keys: list[str], label: Column, name: str) -> DataFrame:
-    """(keys, name): counts of labels as a map whose keys are strings in order."""
-    n = rows.groupBy(*keys, label.cast("string").alias("k")).agg(F.count("*").alias("v"))
+def counter_map(rows: DataFrame, keys: list[str], label: Column, name: str, many: Column | None = None) -> DataFrame:
+    """(keys, name): counts of labels as a map whose keys are strings in order; a row counts ``many`` times, if given."""
+    n = rows.groupBy(*keys, label.cast("string").alias("k")).agg((F.count("*") if many is None else F.sum(many)).alias("v"))
     return n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
 
 

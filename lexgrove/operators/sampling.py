@@ -119,7 +119,9 @@ def windows(cores: DataFrame, g: Graph, size: int = 512) -> DataFrame:
     """(family, a1, branches, bs, positive, negative, hard_negative, easy_negative): the ``size`` lowest ids of each candidate stream of a constraint.
 
     Only members of branches and of bs are expanded; what lies under a1 beside them, and outside a1, is found by rank.
+    All nodes of a kind are in the same streams: the streams are made of kinds, and their nodes written out at the end.
     """
+    member_of, g = g.member, g.lean or g
     keys = cores.select("family", "a1", "branches", "bs").distinct().withColumn("key", F.monotonically_increasing_id())
     keys = written(keys, "keys")
     member = g.closed.select("family", F.col("anc").alias("id"), F.col("desc").alias("m"))
@@ -148,10 +150,27 @@ def windows(cores: DataFrame, g: Graph, size: int = 512) -> DataFrame:
     every = every.unionByName(label(near, "hard_negative")).unionByName(label(outside, "negative", "easy_negative")).distinct()
     n = F.row_number().over(Window.partitionBy("key", "stream").orderBy("m"))
     kept = every.withColumn("n", n).where(F.col("n") <= size)
+    if member_of is not None:
+        kept = _nodes_of(kept.join(keys.select("key", "family"), "key"), member_of, size)
     ids = kept.groupBy("key").pivot("stream", list(STREAMS)).agg(F.array_sort(F.collect_list("m")))
     return keys.join(ids, "key", "left").drop("key")
 
 
+def _nodes_of(kinds: DataFrame, member: DataFrame, size: int) -> DataFrame:
+    """(key, stream, m): the ``size`` lowest ids of each stream, from its ``size`` kinds (key, family, stream, m) with the lowest first ids ``m``.
+
+    With ``size`` kinds there are that many nodes up to the last one's first id, so those beyond it are not needed; nor is more
+    of a kind than its ``size`` lowest nodes.
+    """
+    kinds = written(kinds, "streams")
+    last = kinds.groupBy("key", "stream").agg(F.when(F.count("*") >= size, F.max("m")).alias("last"))
+    at = F.row_number().over(Window.partitionBy("family", "like").orderBy("object_id"))
+    few = member.withColumn("i", at).where(F.col("i") <= size).select("family", F.col("like").alias("m"), "object_id")
+    rows = kinds.join(last, ["key", "stream"]).join(few, ["family", "m"]).where(F.col("last").isNull() | (F.col("object_id") <= F.col("last")))
+    n = F.row_number().over(Window.partitionBy("key", "stream").orderBy("object_id"))
+    return rows.withColumn("n", n).where(F.col("n") <= size).select("key", "stream", F.col("object_id").alias("m"))
+
+
 class Fold:
     """State of one family's sequential selection: usage counts and reuse caps over all strata."""
 
@@ -292,9 +311,11 @@ def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, i
     """
     keys = ["family", "task", "a_count", "b_count"]
     need = written(strata_of(cores, seeds, quotas, populations, scope).withColumn("need", 2 * F.col("target") + margin), "need")
-    all_ = written(visits(cores, seeds, product, tier, scheduler, seed, scope), "visits")
+    all_ = written(visits(cores, seeds, product, tier, scheduler, seed, scope).select(*keys, "seed", "seed_index", "h"), "visits")
     while True:
-        asked = first_by_hash(all_, keys, need.select(*keys, "need")).drop("n", "need")
+        # Constraints are only looked up for the seeds that the fold gets.
+        asked = written(first_by_hash(all_, keys, need.select(*keys, "need")).drop("n", "need"), "first")
+        asked = asked.join(cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")), ["family", "seed", "a_count", "b_count"])
         asked = written(asked.join(F.broadcast(need.select(*keys, "population", "quota")), keys), "asked")
         win = written(windows(asked, g, 8 * limit), "windows")
         base = written(realise(asked.join(win, ["family", "a1", "branches", "bs"]), product, caps, limit, scope), "base")

@@ -98,12 +98,12 @@ def sibling_bitmaps(spark, sf_dir):
 
 @query("line_places", """SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END, doc_id) - 1 AS ordinal, sha256(coalesce(text, '')) AS text_sha256 FROM documents""")
 def line_places(spark, sf_dir):
-    """Documents as two unequal parts of JSON lines, read back by byte ranges: each record's place over both."""
+    """Documents as two unequal parts of JSON lines, each in as many files as it fills, read back by byte ranges: each record's place over both."""
     folder = f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for name, some in (("a", "doc_id % 3 = 0"), ("b", "doc_id % 3 <> 0")):
-        docs.where(some).orderBy("doc_id").select(F.to_json(F.struct("doc_id", "text"))).coalesce(1).write.text(f"{folder}/{name}")
-    # Spark names files by chance; here the folders' order is the parts'.
+        docs.where(some).orderBy("doc_id").select(F.to_json(F.struct("doc_id", "text"))).write.text(f"{folder}/{name}")
+    # Spark numbers a folder's files in the rows' order; the folders' order is the parts'.
     first = parts.read_records(spark, f"{folder}/a", "doc_id long, text string")
     second = parts.read_records(spark, f"{folder}/b", "doc_id long, text string")
     n = first.count()
