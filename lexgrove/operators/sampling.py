@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.functions.hashing import stable_hash
+from lexgrove.functions.hashing import canonical_json, stable_hash
 from lexgrove.operators import truth
 from lexgrove.operators.constraint import A_COUNTS, B_COUNTS, Graph
-from lexgrove.operators.ranks import first_by_hash, numbered
+from lexgrove.operators.ranks import first_of_known, numbered
 from lexgrove.operators.taxonomy import siblings
 from lexgrove.operators.work import written
 
@@ -256,6 +256,7 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
     """(family, task, a_count, b_count, population, quota, target, found): every stratum of the families with a quota.
 
     The population is that of ``populations`` (family, a_count, b_count, population), where it has the cell, else the number of cores; ``found`` is that number.
+    A core with ``seeds`` counts for that many.
     """
     quota = F.lit(0)
     for f, q in quotas.items():
@@ -263,7 +264,8 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
     cells = F.explode(scope.cells()).alias("c")
     every = seeds.where(F.col("family").isin(*scope.families)).select("family").distinct().withColumn("quota", quota).where("quota > 0").select("family", "quota", cells).select("family", "quota", "c.*")
     keys = ["family", "a_count", "b_count"]
-    out = every.join(cores.groupBy(*keys).agg(F.count("*").alias("found")), keys, "left").fillna(0, ["found"])
+    many = F.sum("seeds") if "seeds" in cores.columns else F.count("*")
+    out = every.join(cores.groupBy(*keys).agg(many.alias("found")), keys, "left").fillna(0, ["found"])
     known = F.col("found")
     if populations is not None:
         out, known = out.join(populations.select(*keys, F.col("population").alias("_p")), keys, "left"), F.coalesce("_p", "found")
@@ -271,13 +273,26 @@ def strata_of(cores: DataFrame, seeds: DataFrame, quotas: dict[str, int], popula
     return out.select("family", "task", "a_count", "b_count", "population", "quota", F.least(F.col("quota").cast("long"), "population").alias("target"), "found")
 
 
-def visits(cores: DataFrame, seeds: DataFrame, product: str, tier: str, scheduler: str, seed: int, scope: Scope = Scope()) -> DataFrame:
-    """One row for each core and task with its hash ``h``, by which a stratum's seeds are visited.
+def visits(cores: DataFrame, asked: DataFrame, product: str, tier: str, scheduler: str, seed: int, scope: Scope = Scope()) -> DataFrame:
+    """(family, task, a_count, b_count, seed, like, seed_index, h): one row for each core and task with its hash, by which a stratum's seeds are visited.
 
-    ``seeds`` (family, seed) are all seeds of a family: a seed's place among them goes into its hash. Rows are narrow: no windows yet.
+    ``asked`` (family, seed, like) are all seeds of a family, as a seed's place among them goes into its hash; ``cores`` are those of ``like``.
+    Cells go as bits until the rows are dealt out evenly, whatever the number of seeds that are alike.
     """
-    rows = cores.where(scope.holds()).select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")).join(seed_indexes(seeds), ["family", "seed"])
-    return seed_order(rows.withColumn("task", F.explode(F.array(*map(F.lit, scope.tasks)))), product, tier, scheduler, seed)
+    parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = lambda c, values: F.array_position(F.array(*map(F.lit, values)), F.col(c)) - 1
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    of = number("a_count", scope.a_counts) * len(scope.b_counts) + number("b_count", scope.b_counts)
+    has = cores.where(scope.holds()).groupBy("family", F.col("seed").alias("like")).agg(F.bit_or(bit(of)).alias("cells"))
+    cells = F.array(*(F.struct(F.lit(1 << (i * len(scope.b_counts) + j)).cast("long").alias("bit"), F.lit(a).alias("a_count"), F.lit(b).alias("b_count")) for i, a in enumerate(scope.a_counts) for j, b in enumerate(scope.b_counts)))
+    rows = seed_indexes(asked.select("family", "seed", "like")).join(has, ["family", "like"]).repartition(parts, "family", "seed")
+    # The hash of ``seed_order``: what its JSON has of the seed is written once for all its cells and tasks.
+    inner = lambda **fields: F.regexp_replace(canonical_json(**fields), r"^\{|\}$", "")
+    own = inner(dataset_family=F.col("family"), product_id=F.lit(product), scheduler=F.lit(scheduler), seed=F.lit(seed), seed_id=F.col("seed"), seed_index=F.col("seed_index"))
+    tasks = F.array(*(F.struct(F.lit(t).alias("task"), inner(task=F.lit(t), tier=F.lit(tier)).alias("last")) for t in scope.tasks))
+    rows = rows.withColumn("own", own).withColumn("c", F.explode(F.filter(cells, lambda c: c["bit"].bitwiseAND(F.col("cells")) != 0))).withColumn("t", F.explode(tasks))
+    body = F.concat(F.lit('{"a_count":'), F.col("c.a_count"), F.lit(',"b_count":'), F.col("c.b_count"), F.lit(","), F.col("own"), F.lit(","), F.col("t.last"), F.lit("}"))
+    return rows.select("family", "t.task", "c.a_count", "c.b_count", "seed", "like", "seed_index", F.substring(F.sha2(body, 256), 1, 32).alias("h"))
 
 
 def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, limit: int = 64, scope: Scope = Scope()) -> DataFrame:
@@ -301,21 +316,28 @@ def realise(rows: DataFrame, product: str, caps: dict[str, int] | None = None, l
     return rows.groupBy("family").applyInPandas(fold, _SAMPLE)
 
 
-def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, int], product: str, tier: str = "test", scheduler: str = SCHEDULER, seed: int = 13, caps: dict[str, int] | None = None, limit: int = 64, populations: DataFrame | None = None, margin: int = 8, scope: Scope = Scope()) -> tuple[DataFrame, DataFrame]:
+def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, int], product: str, tier: str = "test", scheduler: str = SCHEDULER, seed: int = 13, caps: dict[str, int] | None = None, limit: int = 64, populations: DataFrame | None = None, margin: int = 8, scope: Scope = Scope(), asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(base samples, strata) of a product with one quota a family, exactly as if every seed were visited in order.
 
     The fold gets only the first 2 * target + ``margin`` seeds of a stratum by hash, with the windows of their constraints. A
     stratum that these don't fill, though it has more, is given four times as many, and the fold runs again; it is
     deterministic, so the outcome is that of all seeds. Strata: population, quota, target, accepted, inclusion and
     weight by what was accepted, and the reason where the target is not met.
+
+    ``cores`` may have a row for each kind of seed with its ``seeds`` (``Search.counted``); then ``asked`` (family, seed, like) tells
+    the kinds of all seeds. Hashes are made as they are read, and only those below a stratum's bound are written.
     """
     keys = ["family", "task", "a_count", "b_count"]
     need = written(strata_of(cores, seeds, quotas, populations, scope).withColumn("need", 2 * F.col("target") + margin), "need")
-    all_ = written(visits(cores, seeds, product, tier, scheduler, seed, scope).select(*keys, "seed", "seed_index", "h"), "visits")
+    kinds = seeds.select("family", "seed", F.col("seed").alias("like")) if asked is None else asked
+    all_ = visits(cores, kinds, product, tier, scheduler, seed, scope)
+    of = cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")).withColumnRenamed("seed", "like")
+    first, fresh = None, need
     while True:
         # Constraints are only looked up for the seeds that the fold gets.
-        asked = written(first_by_hash(all_, keys, need.select(*keys, "need")).drop("n", "need"), "first")
-        asked = asked.join(cores.select(*CORE, "paired", "sources", F.col("distance").cast("int").alias("distance")), ["family", "seed", "a_count", "b_count"])
+        new = written(first_of_known(all_, keys, fresh.select(*keys, "need", "found")).drop("n", "need"), "first")
+        first = new if first is None else first.join(F.broadcast(fresh.select(*keys)), keys, "left_anti").unionByName(new)
+        asked = first.join(of, ["family", "like", "a_count", "b_count"]).drop("like")
         asked = written(asked.join(F.broadcast(need.select(*keys, "population", "quota")), keys), "asked")
         win = written(windows(asked, g, 8 * limit), "windows")
         base = written(realise(asked.join(win, ["family", "a1", "branches", "bs"]), product, caps, limit, scope), "base")
@@ -324,7 +346,8 @@ def stratified(cores: DataFrame, g: Graph, seeds: DataFrame, quotas: dict[str, i
         starved = (F.col("accepted") < F.col("target")) & (F.col("need") < F.col("found"))
         if not got.where(starved).limit(1).count():
             break
-        need = written(got.withColumn("need", F.when(starved, 4 * F.col("need")).otherwise(F.col("need"))).drop("accepted"), "need")
+        got = written(got.withColumn("starved", starved).withColumn("need", F.when(starved, 4 * F.col("need")).otherwise(F.col("need"))).drop("accepted"), "need")
+        need, fresh = got.drop("starved"), got.where("starved")
     share = F.when(F.col("population") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("accepted").cast("double"), "population")))
     strata = got.select(
         F.concat_ws(":", *keys).alias("stratum_id"), *keys, "population", "quota", "target", "accepted", share.alias("inclusion_probability"),

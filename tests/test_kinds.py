@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.operators import audits, bitmaps, constraint, sampling, taxonomy
+from lexgrove.operators import audits, bitmaps, constraint, ranks, sampling, taxonomy
 from tests.test_engine import WORKSHOP, closed_sets, make
 
 
@@ -104,3 +104,56 @@ def test_line_places_writes_parts_in_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
     assert min(files) > 1
     assert [i for i, _ in sorted(rows.items(), key=lambda x: x[1])] == [i for i in range(3000) if i % 3 == 0] + [i for i in range(3000) if i % 3]
+
+
+def test_samples_of_kinds_are_those_of_all_seeds(made):
+    node, _, g = made
+    seeds = node.select("family", F.col("object_id").alias("seed"))
+    got = constraint.search(g, seeds)
+    flat = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    for quota in (1, 6):
+        base, strata = sampling.stratified(got.counted(), g, seeds, {"wordnet": quota}, "test", margin=0, asked=got.asked)
+        every, all_ = sampling.stratified(got.found, g, seeds, {"wordnet": quota}, "test")
+        assert flat(base.drop("scanned")) == flat(every.drop("scanned")) and flat(strata) == flat(all_)
+
+
+def test_visits_are_not_written(spark, made, monkeypatch):
+    """Hashes of all seeds, cells and tasks are read in one pass, and those about the wanted ones are all that is written."""
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("k"), "id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    sizes, written = [], ranks.written
+
+    def told(df, label, by=()):
+        out = written(df, label, by)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranks, "written", told)
+    wanted = spark.createDataFrame([(0, 50, 15_000), (1, 3, 15_000), (2, 9, 0)], "k long, need long, found long")
+    got = ranks.first_of_known(rows, ["k"], wanted).collect()
+    every = {k: sorted((r["h"], r["id"]) for r in rows.where(f"k = {k}").collect()) for k in (0, 1)}
+    assert sorted((r["k"], r["n"], r["id"]) for r in got) == [(k, n, i) for k, need in ((0, 50), (1, 3)) for n, (_, i) in enumerate(every[k][:need], 1)]
+    assert max(sizes) < 250
+    # Groups that turn out shorter than their hashes promise are read again.
+    few = rows.where("h >= '4'")
+    found = few.where("k = 0").count()
+    got = ranks.first_of_known(few, ["k"], spark.createDataFrame([(0, 500, found)], "k long, need long, found long")).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for h, i in [x for x in every[0] if x[0] >= "4"][:500])
+
+
+def test_visits_have_the_hash_of_seed_order(spark):
+    names = ['a', 'b"{}', "c\\u001f}", "d\u001f", "{e", "語"]
+    rows = spark.createDataFrame([("wordnet", s, a, b, s, [], [], 1) for s in names for a, b in ((1, 0), (5, 5), (2, 3))], "family string, seed string, a_count int, b_count int, a1 string, branches array<string>, bs array<string>, distance int")
+    kinds = spark.createDataFrame([("wordnet", s, s) for s in names] + [("wordnet", "a2", "a"), ("wordnet", "z", "z")], "family string, seed string, like string")
+    got = sampling.visits(rows, kinds, "p}", "t{", "s", 13)
+    want = sampling.seed_order(got.drop("h"), "p}", "t{", "s", 13)
+    flat = lambda df: sorted(str(r.asDict()) for r in df.select("task", "a_count", "b_count", "seed", "seed_index", "h").collect())
+    assert flat(got) == flat(want) and got.count() == 7 * 3 * 3
+
+
+def test_rounds_share_what_does_not_change(spark, monkeypatch):
+    """Children by the seeds under them and the sizes of heads are made once for all rounds of a search."""
+    node, edge = make(spark, WORKSHOP)
+    g, labels, written = constraint.graph(node, edge), [], constraint.written
+    monkeypatch.setattr(constraint, "written", lambda df, label, by=(): labels.append(label) or written(df, label, by))
+    constraint.search(g, node.select("family", F.col("object_id").alias("seed")))
+    assert labels.count("counts") > 1 and labels.count("covers") == labels.count("heads") == 1
