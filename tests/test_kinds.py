@@ -157,3 +157,23 @@ def test_rounds_share_what_does_not_change(spark, monkeypatch):
     monkeypatch.setattr(constraint, "written", lambda df, label, by=(): labels.append(label) or written(df, label, by))
     constraint.search(g, node.select("family", F.col("object_id").alias("seed")))
     assert labels.count("counts") > 1 and labels.count("covers") == labels.count("heads") == 1
+
+
+def test_search_writes_no_more_for_more_leaves(spark, monkeypatch):
+    """Twice as many leaves of the same kinds: only the table of all seeds grows, no table of the search does."""
+    rows, written = {}, constraint.written
+    for times in (4, 8):
+        node, edge = make(spark, grown(times))
+        g, sizes = constraint.graph(node, edge), {}
+
+        def told(df, label, by=()):
+            out = written(df, label, by)
+            sizes[label] = sizes.get(label, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(constraint, "written", told)
+        constraint.missing_reasons(g, node.select("family", F.col("object_id").alias("seed"))).collect()
+        monkeypatch.setattr(constraint, "written", written)
+        rows[times] = sizes
+    asked = {times: sizes.pop("asked") for times, sizes in rows.items()}
+    assert asked[8] > 1.5 * asked[4] and rows[8] == rows[4] and sum(rows[8].values()) > 0
