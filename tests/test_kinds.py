@@ -177,3 +177,19 @@ def test_search_writes_no_more_for_more_leaves(spark, monkeypatch):
         rows[times] = sizes
     asked = {times: sizes.pop("asked") for times, sizes in rows.items()}
     assert asked[8] > 1.5 * asked[4] and rows[8] == rows[4] and sum(rows[8].values()) > 0
+
+
+def test_results_of_all_seeds_are_told_by_many_tasks(spark, monkeypatch):
+    """The table of seeds is small and is read by few tasks; what is told of the seeds has more rows, and tasks by the number of seeds."""
+    monkeypatch.setattr(constraint, "TOLD", 2_000, raising=False)
+    kinds = constraint.written(spark.createDataFrame([("w", f"k{i}", n, [f"x{i}", "y"]) for i in range(3) for n in range(4)], "family string, seed string, b_count int, branches array<string>"), "found")
+    monkeypatch.setattr(constraint, "_search", lambda *_: constraint.Search(kinds, kinds, kinds, kinds, 12))
+    member = spark.range(20_000).select(F.lit("w").alias("family"), F.concat(F.lit("s"), "id").alias("object_id"), F.concat(F.lit("k"), F.col("id") % 3).alias("like"))
+    g = constraint.Graph(*[member] * 6, member=member, lean=member)
+    got = constraint.search(g, member.select("family", F.col("object_id").alias("seed")))
+    for make in (lambda: got.found, lambda: got.chosen("b_count", F.array_join("branches", ",").alias("branches"))):
+        rows = make()
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 10 and sum(sizes) == 80_000 and max(sizes) < 12_000
+    told = {(r["seed"], r["b_count"], r["branches"]) for r in rows.collect()}
+    assert told == {(f"s{i}", n, f"x{i % 3},y") for i in range(20_000) for n in range(4)}
