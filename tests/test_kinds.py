@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.operators import audits, bitmaps, constraint, ranks, sampling, taxonomy
+from lexgrove.plans import catalog
 from tests.test_engine import WORKSHOP, closed_sets, make
 
 
@@ -66,6 +67,60 @@ def test_scopes_of_siblings_by_weight(spark):
         assert got == {r["object_id"]: r["n"] for r in pairs.groupBy("object_id").agg(F.count("*").alias("n")).collect()}
 
 
+def test_sibling_pools_of_all_nodes(spark, tmp_path, monkeypatch):
+    # Many leaves of one parent, of two parents, and one without a sibling: all have their pools, and pairs are not made.
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    many = 200
+    tables = {
+        "region": ("r_regionkey int", [(0,), (1,)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 0), (2, 1)]),
+        "customer": ("c_custkey int, c_nationkey int", [(i, 0) for i in range(many)] + [(many, 1), (many + 1, 2)]),
+        "supplier": ("s_suppkey int, s_nationkey int", [(0, 0), (1, 2)]),
+        "part": ("p_partkey int, p_type string, p_brand string", [(i, "SMALL", "x") for i in range(many)] + [(many, "SMALL", "y"), (many + 1, "LARGE", "y"), (many + 2, "SOLE", "z")]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = {("ROOT", f"R{r}") for r, in tables["region"][1]} | {(f"R{r}", f"N{n}") for n, r in tables["nation"][1]}
+    edges |= {(f"N{n}", f"{c}{k}") for c, t in (("C", "customer"), ("S", "supplier")) for k, n in tables[t][1]}
+    edges |= {e for k, t, b in tables["part"][1] for e in (("ROOT", f"T:{t}"), ("ROOT", f"B:{b}"), (f"T:{t}", f"P{k}"), (f"B:{b}", f"P{k}"))}
+    closed, kids = closed_sets(sorted(edges)), {}
+    for p, c in edges:
+        kids.setdefault(p, set()).add(c)
+    pool = {c: set() for _, c in edges}
+    for p, c in edges:
+        pool[c] |= {m for s in kids[p] - {c} for m in {s} | closed[s]}
+    want = {c: len(m - closed[c] - {c}) for c, m in pool.items() if m - closed[c] - {c}}
+    assert want["C0"] == want["P0"] == many and f"C{many}" not in want and f"P{many + 2}" not in want
+
+    sizes, real = [], bitmaps.written
+
+    def seen(df, name, *more):
+        out = real(df, name, *more)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(bitmaps, "written", seen)
+    got = entry.queries()["sibling_pool"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["object_id"]: r["near"] for r in got} == want
+    assert max(sizes) < many
+    db = duckdb.connect()
+    for name in tables:
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(db.execute(entry.oracle_sql()["sibling_pool"]).fetchall()) == sorted(want.items())
+
+
+def test_sizes_of_kinds_are_told_without_dealing_nodes_by_kind(made, monkeypatch):
+    _, _, g = made
+    pairs = taxonomy.sibling_pool(g.edge, g.closed).groupBy("object_id").agg(F.count("*").alias("near"))
+    want = sorted(map(tuple, pairs.collect()))
+    few = catalog._near(g, g.lean.edge)
+    assert sorted(map(tuple, few.collect())) == want and "hashpartitioning" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(ranks, "FEW_GROUPS", 3)
+    assert sorted(map(tuple, catalog._near(g, g.lean.edge).collect())) == want
+
+
 def test_walks_down_are_made_once_for_all_seeds(spark, made, monkeypatch):
     node, _, g = made
     sizes, real = [], taxonomy.written
